@@ -30,6 +30,18 @@ URL_RULES = (
 )
 
 
+def op2_jpeg_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.jpeg_thumbnails import media_digests
+
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
+def op5_piece_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.piece_merge import encoding_digests
+
+    return encoding_digests(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
+
+
 def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.two_pass_shuffle import shard_of, two_pass_shuffle, weight
 
@@ -53,6 +65,8 @@ def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_jpeg_thumbnails": op2_jpeg_thumbnails,
+        "op5_piece_merge": op5_piece_merge,
         "op6_two_pass_shuffle": op6_two_pass_shuffle,
         "op7_url_trie": op7_url_trie,
         "op10_bit_packing": op10_bit_packing,

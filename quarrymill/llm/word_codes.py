@@ -25,7 +25,7 @@ def words_of(texts: pa.Array, separator: str = " ") -> tuple[pa.Array, np.ndarra
 class WordCodes:
     """Ids of words, kept from batch to batch; forgotten when there are more than most."""
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 500_000):
         self.encode, self.most = encode, most
         self.forget()
 
