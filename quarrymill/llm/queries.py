@@ -36,6 +36,14 @@ def op2_jpeg_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.llr_rules import judge_documents, trusted_keys
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = judge_documents(docs, trusted_keys(table(spark, sf_dir, "labels")))
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
+
+
 def op5_piece_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.piece_merge import encoding_digests
 
@@ -66,6 +74,7 @@ def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_jpeg_thumbnails": op2_jpeg_thumbnails,
+        "op4_llr_rules": op4_llr_rules,
         "op5_piece_merge": op5_piece_merge,
         "op6_two_pass_shuffle": op6_two_pass_shuffle,
         "op7_url_trie": op7_url_trie,

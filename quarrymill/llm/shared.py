@@ -5,16 +5,17 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that Python code holds at a time, and that a task gets where the operator deals the rows.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 TASK_BYTES = 16 << 20
 
 
@@ -45,6 +46,12 @@ def parts_for(n_bytes: int, task_bytes: int = TASK_BYTES) -> int:
     return max(1, math.ceil(n_bytes / task_bytes))
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands Python tasks a few MB at a time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most limit bytes of the text column each, or one row."""
     for batch in batches:
@@ -65,3 +72,30 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def bounds(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)])
+
+
+#: A side of a join is broadcast up to so many rows of an id and a few numbers; beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has few rows, else df: the join is the same, only its plan differs."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def map_rows(df: DataFrame, text: str, judge: Callable[[pa.Array], dict[str, pa.Array]], shape: str, limit: int = SLICE_BYTES, extra: list[str] | None = None) -> DataFrame:
+    """df as column row, with the columns of shape that judge gives for the texts (null: empty).
+
+    judge gets the texts of at most limit bytes, then the columns of extra, as Arrow arrays. The columns of df are kept
+    in a struct, so their names can't clash with new ones.
+    """
+    kinds = T.StructType([T.StructField("row", df.schema, False), *T.StructType.fromDDL(shape).fields])
+    names = [f.name for f in kinds.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", limit):
+            made = judge(part.column("text"), *(part.column(f"x{k}") for k in range(len(extra or []))))
+            yield pa.RecordBatch.from_arrays([part.column("row"), *(made[n] for n in names[1:])], names)
+
+    given = bounded_batches(df).select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.coalesce(f"`{text}`", F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(extra or [])))
+    return given.mapInArrow(run, kinds)
