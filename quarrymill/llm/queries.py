@@ -36,6 +36,12 @@ def op2_jpeg_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.bm25_packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), 1, vocabulary_file("byte_bpe_50k.tiktoken"), route=("lang", "source"))
+
+
 def op4_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.llr_rules import judge_documents, trusted_keys
 
@@ -74,6 +80,7 @@ def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_jpeg_thumbnails": op2_jpeg_thumbnails,
+        "op3_bm25_packing": op3_bm25_packing,
         "op4_llr_rules": op4_llr_rules,
         "op5_piece_merge": op5_piece_merge,
         "op6_two_pass_shuffle": op6_two_pass_shuffle,
