@@ -1,0 +1,33 @@
+"""Connected components by contraction, on tables in the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarrymill.llm.shared import written
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node and label (the least node of its component) of the nodes in links (a, b). Copied or circular links do no harm.
+
+    Each round points every node to its least neighbour, jumps once, and contracts the links; hubs are aggregated
+    before they are shuffled, so a component may hold any share of the nodes.
+    """
+    edges, labels = links.select("a", "b").filter("a <> b"), None
+    while True:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parent = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "parents")
+        if parent.isEmpty():
+            return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
+        above = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
+        jumped = parent.join(above, "p").select(F.col("a").alias("node"), F.col("pp").alias("label"))
+        if labels is None:
+            labels = written(jumped, "labels")
+            step = labels
+        else:
+            step = written(jumped, "jumps")
+            moved = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
+            labels = written(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        left, right = step.select(F.col("node").alias("a"), F.col("label").alias("la")), step.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        edges = written(edges.join(left, "a").join(right, "b").filter("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "edges")
