@@ -71,6 +71,12 @@ def op7_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_eb_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.eb_classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_icws_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.icws_dedup import near_duplicates
 
@@ -91,6 +97,7 @@ def queries() -> dict[str, Query]:
         "op5_piece_merge": op5_piece_merge,
         "op6_two_pass_shuffle": op6_two_pass_shuffle,
         "op7_url_trie": op7_url_trie,
+        "op8_eb_classifier": op8_eb_classifier,
         "op9_icws_dedup": op9_icws_dedup,
         "op10_bit_packing": op10_bit_packing,
     }
