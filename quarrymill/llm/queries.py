@@ -30,6 +30,13 @@ URL_RULES = (
 )
 
 
+def op1_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.html_mincut import extract
+
+    found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("row.page_id", "row.url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op2_jpeg_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.jpeg_thumbnails import media_digests
 
@@ -91,6 +98,7 @@ def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_html_mincut": op1_html_mincut,
         "op2_jpeg_thumbnails": op2_jpeg_thumbnails,
         "op3_bm25_packing": op3_bm25_packing,
         "op4_llr_rules": op4_llr_rules,
