@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from quarrymill.plans import filter_queries  # noqa: F401
+from quarrymill.plans import filter_queries, relation_queries, stats_queries  # noqa: F401
 from quarrymill.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

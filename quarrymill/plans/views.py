@@ -53,8 +53,8 @@ ASSETS = {
     "rejection_reason": "CASE WHEN l.quality = 0 THEN 'label' END",
     "is_augmented": "d.doc_id % 37 = 0",
     "augmentation_source_id": "CASE WHEN d.doc_id % 37 = 0 THEN d.doc_id + 1 END",
-    "duplicate_cluster_id": "CASE WHEN d.doc_id % 9 < 3 THEN concat('c', CAST(d.doc_id - d.doc_id % 9 AS STRING)) END",
-    "duplicate_type": choice("(d.doc_id - d.doc_id % 9)", "exact", "phash", "embedding", "face"),
+    "duplicate_cluster_id": "CASE WHEN d.doc_id % 3 = 0 THEN concat('c', CAST(d.doc_id % 20 AS STRING), '_', CAST(d.doc_id - d.doc_id % 180 AS STRING)) END",
+    "duplicate_type": choice("d.doc_id % 20", "exact", "phash", "embedding", "face"),
     "identity_cluster_id": f"CASE WHEN {FACES} > 0 THEN concat('p', CAST(d.doc_id % 23 AS STRING)) END",
     "mu": "CAST(25 AS DOUBLE) + CAST(d.doc_id * 17 % 200 - 100 AS DOUBLE) / CAST(10 AS DOUBLE)",
     "sigma": "CAST(8 AS DOUBLE) - CAST(d.doc_id * 23 % 60 AS DOUBLE) / CAST(10 AS DOUBLE)",
@@ -77,7 +77,7 @@ CAPTIONS = {
 }
 COMPARISONS = {
     "id": "e.event_id",
-    "at": "e.event_id * 7 % 86400",
+    "made_at": "e.event_id * 7 % 86400",
     "session_id": "e.user_id",
     "project_id": "e.user_id % 7",
     "winner": "e.event_id * 13 % 211",
