@@ -108,7 +108,7 @@ def caption_consistency(assets: DataFrame, captions: DataFrame, triggers: list[s
 
 def caption_word_counts(captions: DataFrame, most: int = 20) -> DataFrame:
     """Per project the most frequent words and the first that come only once; ties by first place."""
-    words = captions.filter("is_active AND text IS NOT NULL").select("project_id", "asset_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z][a-z'-]{1,}\b"), 0)).alias("at", "word"))
+    words = captions.filter("is_active AND text IS NOT NULL").select("project_id", "asset_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b[a-z][a-z'-]{1,}\b"), 0)).alias("at", "word"))
     counts = words.groupBy("project_id", "word").agg(F.count("*").alias("n"), F.min(F.struct("asset_id", "at")).alias("_first"))
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("n"), "_first"))).filter(F.col("rank") <= most).withColumn("kind", F.lit("top"))
     once = counts.filter("n = 1").withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy("_first"))).filter(F.col("rank") <= most).withColumn("kind", F.lit("once"))

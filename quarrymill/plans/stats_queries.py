@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quarrymill.operators import stats as s
 from quarrymill.operators.filters import export_eligible
 from quarrymill.plans.registry import register
@@ -50,8 +52,8 @@ register(
          count(*) FILTER ({HIT}) AS with_trigger, count(*) FILTER (NOT {HIT}) AS without_trigger FROM assets a LEFT JOIN (SELECT * FROM captions WHERE is_active) c ON a.asset_id = c.asset_id GROUP BY 1""",
 )
 register(
-    "caption_word_counts", lambda t: s.caption_word_counts(t.captions),
-    r"""WITH w AS (SELECT project_id, asset_id, unnest(regexp_extract_all(lower(text), '\b[a-z][a-z''-]{1,}\b')) AS word, generate_subscripts(regexp_extract_all(lower(text), '\b[a-z][a-z''-]{1,}\b'), 1) AS place FROM captions WHERE is_active),
+    "caption_word_counts", lambda t: s.caption_word_counts(t.captions.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7f]", "z"))),
+    r"""WITH w AS (SELECT project_id, asset_id, unnest(regexp_extract_all(lower(regexp_replace(text, '[^\x00-\x7f]', 'z', 'g')), '\b[a-z][a-z''-]{1,}\b')) AS word, generate_subscripts(regexp_extract_all(lower(regexp_replace(text, '[^\x00-\x7f]', 'z', 'g')), '\b[a-z][a-z''-]{1,}\b'), 1) AS place FROM captions WHERE is_active),
        c AS (SELECT project_id, word, count(*) AS n, min(asset_id * 100000 + place) AS f FROM w GROUP BY 1, 2)
        SELECT project_id, word, n, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, f) AS rank, 'top' AS kind FROM c QUALIFY rank <= 20
        UNION ALL SELECT project_id, word, n, row_number() OVER (PARTITION BY project_id ORDER BY f) AS rank, 'once' AS kind FROM c WHERE n = 1 QUALIFY rank <= 20""",

@@ -64,7 +64,7 @@ ASSETS = {
 SPARK = {"sha": "sha2(d.text, 256)", "phash": "lower(lpad(hex({bits}), 16, '0'))"}
 DUCK = {"sha": "sha256(d.text)", "phash": "lpad(lower(to_hex({bits})), 16, '0')"}
 #: Hashes in families of some bits' distance.
-BITS = {"spark": "(d.doc_id % 61) * 151115727451 ^ shiftleft(1L, CAST(d.doc_id % 7 AS INT)) ^ shiftleft(1L, CAST(20 + d.doc_id % 3 AS INT))", "duck": "xor(xor((d.doc_id % 61) * 151115727451, CAST(1 AS BIGINT) << (d.doc_id % 7)), CAST(1 AS BIGINT) << (20 + d.doc_id % 3))"}
+BITS = {"spark": "(d.doc_id % 40) * 151115727451 ^ shiftleft(1L, CAST(d.doc_id % 7 AS INT)) ^ shiftleft(1L, CAST(20 + d.doc_id % 3 AS INT))", "duck": "xor(xor((d.doc_id % 40) * 151115727451, CAST(1 AS BIGINT) << (d.doc_id % 7)), CAST(1 AS BIGINT) << (20 + d.doc_id % 3))"}
 
 CAPTIONS = {
     "caption_id": "d.doc_id",
