@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.shared import bounds, new_folder, parts_for, slices, text_bytes
-from quarrymill.llm.word_codes import WordCodes, words_of
+from quarrymill.llm.shared import SLICE_BYTES, TASK_BYTES, bounded_batches, bounds, new_folder, parts_for, ranges, slices, text_bytes
+from quarrymill.llm.word_codes import WordCodes, flat_ids, words_of
 
 MAGIC = b"TIDPACK1"
 BLOCK_IDS = 4096
 #: A file is read as one value, so it ends with the batch of documents that brings it to this many ids.
-FILE_IDS = 4 << 20
+FILE_IDS = 2 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -88,12 +88,71 @@ class PackedFile:
         return self.ids(self.starts[k], self.starts[k + 1])
 
 
-def word_level_encoder(file: str) -> Callable[[list[str]], list[list[int]]]:
-    from tokenizers import Tokenizer
+class WordLevel:
+    """Ids of texts under a lower-casing BPE that marks word ends and drops white space.
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_file(file)
-    return lambda words: [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    The vocabulary's own pattern cuts a word of common letters into parts, each of which is merged alone; distinct
+    parts are encoded together as one text, and the ids that end a word show where each part's ids end. Other words
+    are parts of their own, and encoded one by one.
+    """
+
+    #: Fixed with the vocabulary.
+    PARTS = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+    #: Characters that normalisation leaves alone and that have one lower-case character each.
+    COMMON = r"^[\x21-\x7e\x{a1}-\x{12f}\x{131}-\x{17f}]*$"
+    TOGETHER = 4096
+
+    def __init__(self, file: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(file)
+        vocabulary, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.codes = WordCodes(self.of_parts, most=400_000, at_once=1 << 16)
+
+    def common(self, words: pa.Array) -> pa.Array:
+        known = pc.ascii_is_printable(words)
+        known = pc.replace_with_mask(known, pc.invert(known), pc.match_substring_regex(words.filter(pc.invert(known)), self.COMMON))
+        for token in self.special:
+            known = pc.and_not(known, pc.match_substring(words, token))
+        return known
+
+    def one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flat_ids([x.ids for i in range(0, len(words), 8192) for x in self.tokenizer.encode_batch_fast(words[i : i + 8192], add_special_tokens=False)])
+
+    def together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.ends_word[ids])
+        return (ids, np.diff(ends, prepend=-1)) if len(ends) == len(parts) else self.one_by_one(parts)
+
+    def of_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        every = pa.array(parts, pa.string())
+        plain = pc.ascii_is_alpha(every)
+        other = every.filter(pc.invert(plain))
+        plain = pc.replace_with_mask(plain, pc.invert(plain), pc.and_(self.common(other), pc.greater(pc.binary_length(other), 0)))
+        own = every.filter(plain).to_pylist()
+        coded = [self.together(own[i : i + self.TOGETHER]) for i in range(0, len(own), self.TOGETHER)]
+        coded.append(self.one_by_one(every.filter(pc.invert(plain)).to_pylist()))
+        flat, length = (np.concatenate(x) for x in zip(*coded, strict=True))
+        mask = plain.to_numpy(zero_copy_only=False)
+        place = np.empty(len(parts), np.int64)
+        place[mask], place[~mask] = np.arange(len(own)), np.arange(len(own), len(parts))
+        return flat[ranges((np.cumsum(length) - length)[place], length[place])], length[place]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in order, and where each text's ids begin (one more than texts)."""
+        words, numbers, starts = words_of(pc.replace_substring(texts, "\n", " "))
+        words = words.cast(pa.string())  # a slice is far below 2 GB
+        other = pc.invert(pc.ascii_is_alpha(words))  # the rest is one part in any case
+        mixed = words.filter(other)
+        cut = pc.utf8_rtrim(pc.replace_substring_regex(pc.utf8_lower(mixed), self.PARTS, r"\1 "), " ")
+        parts, part, at = words_of(pc.replace_with_mask(pc.ascii_lower(words), other, pc.if_else(self.common(mixed), cut, mixed)))
+        ids, ends = self.codes.ids_of(parts.to_pylist(), part, at)
+        length = np.diff(ends)[numbers]
+        return ids[ranges(ends[:-1][numbers], length)], bounds(length)[starts]
 
 
 def save(folder: str, name: str, data: bytes) -> None:
@@ -112,11 +171,11 @@ def write_packed(docs: DataFrame, folder: str, tokenizer_file: str, vocabulary:
 
     The tokenizer must drop white space between words, so that a text's ids are those of its words.
     """
-    clean = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(text, F.lit("")).alias("t"))
-    dealt = clean.repartitionByRange(parts_for(text_bytes(docs, text)), "k").sortWithinPartitions("k")
+    clean = bounded_batches(docs).select(F.col(key).cast("long").alias("k"), F.coalesce(text, F.lit("")).alias("t"))
+    dealt = clean.repartitionByRange(parts_for(text_bytes(docs, text), 2 * TASK_BYTES), "k").sortWithinPartitions("k")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, part = WordCodes(word_level_encoder(tokenizer_file)), TaskContext.get().partitionId()
+        encoder, part = WordLevel(tokenizer_file), TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         made: list[tuple[str, int, int]] = []
 
@@ -127,11 +186,10 @@ def write_packed(docs: DataFrame, folder: str, tokenizer_file: str, vocabulary:
             made.append((name, len(keys), len(ids)))
             held.clear()
 
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", 2 * SLICE_BYTES):
             if batch.column("k").null_count:
                 raise ValueError("a document has no key")
-            words, numbers, starts = words_of(pc.replace_substring(batch.column("t"), "\n", " "))
-            ids, at = codes.ids_of(words.to_pylist(), numbers, starts)
+            ids, at = encoder.encode(batch.column("t"))
             held.append((batch.column("k").to_numpy(), np.diff(at) + 1, np.insert(ids, at[1:], end_id)))
             if sum(len(x[2]) for x in held) >= FILE_IDS:
                 flush()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.shared import bounds, slices
+from quarrymill.llm.shared import bounded_batches, bounds, slices
 
 ROW, MOST_ROWS = 64, 8191
 #: Bytes of text that are turned into media at a time.
@@ -333,11 +333,11 @@ def thumbnails(table: DataFrame, media: str, key: str) -> DataFrame:
             kinds = pa.list_(pa.struct([("width", pa.int32()), ("height", pa.int32()), ("thumbnail_width", pa.int32()), ("thumbnail", pa.binary()), ("hash", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(found, kinds)], ["k", "images"])
 
-    return table.select(F.col(key).alias("k"), F.col(media).alias("m")).mapInArrow(read, f"k {kind}, images {shape}").withColumnRenamed("k", key)
+    return bounded_batches(table).select(F.col(key).alias("k"), F.col(media).alias("m")).mapInArrow(read, f"k {kind}, images {shape}").withColumnRenamed("k", key)
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+    return bounded_batches(docs).select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
 
 
 def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.shared import bounds, ranges, slices
-from quarrymill.llm.word_codes import Flat, WordCodes, words_of
+from quarrymill.llm.shared import bounded_batches, bounds, ranges, slices
+from quarrymill.llm.word_codes import WordCodes, words_of
 
 SPACE, LINE = "▁", "\n"
 #: Chunks of up to so many characters are merged in step with one another, longer ones each by a heap.
@@ -138,8 +138,8 @@ class Pieces:
                 offer(i)
         return [s for s, x in zip(symbols, alive, strict=True) if x]
 
-    def encode(self, chunks: list[str]) -> Flat:
-        """The ids of each chunk, checked against the library."""
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chunks and the number of each one's, checked against the library."""
         symbols, lengths = self.symbols(chunks)
         long, starts = lengths > STEPPED, bounds(lengths)
         short = np.repeat(~long, lengths)
@@ -157,7 +157,7 @@ class Pieces:
             flat, counts = out, every
         flat, counts = self.to_bytes(flat, counts)
         self.check(chunks, flat, counts)
-        return Flat(flat.astype(np.uint32), counts)
+        return flat.astype(np.uint32), counts
 
     def to_bytes(self, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not (lost := flat < 0).any():
@@ -245,5 +245,5 @@ def _coded(docs: DataFrame, model_file: str, key: str, text: str, digests: bool)
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(counts + 2), pa.array(own, pa.string()), pa.array(back, pa.string())], ["k", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     shape = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
+    rows = bounded_batches(docs).select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
     return rows.mapInArrow(encode, f"k {kind}, {shape}").withColumnRenamed("k", key)

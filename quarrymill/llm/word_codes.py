@@ -6,7 +6,7 @@ Arrow splits a batch and numbers its distinct words; only words that are new to
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,13 @@ def words_of(texts: pa.Array, separator: str = " ") -> tuple[pa.Array, np.ndarra
 
 
 class WordCodes:
-    """Ids of words, kept from batch to batch; forgotten when there are more than most."""
+    """Ids of words, kept from batch to batch; forgotten when there are more than most.
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 500_000):
-        self.encode, self.most = encode, most
+    encode gives the ids of some words, one word after the other, and how many each word has.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000, at_once: int = 1 << 15):
+        self.encode, self.most, self.at_once = encode, most, at_once
         self.forget()
 
     def forget(self) -> None:
@@ -37,21 +40,17 @@ class WordCodes:
         """All ids of the texts in order, and where each text's ids begin (one more than texts)."""
         if len(self.at) > self.most:
             self.forget()
-        if new := [w for w in words if w not in self.at]:
-            coded = self.encode(new)
-            lengths = np.fromiter(map(len, coded), np.int64, len(new))
-            flat = np.fromiter((i for x in coded for i in x), np.uint32, lengths.sum()) if not isinstance(coded, Flat) else coded.flat
-            self.at |= zip(new, range(len(self.at), len(self.at) + len(new)), strict=True)
-            self.ids, self.ends = np.concatenate([self.ids, flat]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+        new = [w for w in words if w not in self.at]
+        coded = [self.encode(new[i : i + self.at_once]) for i in range(0, len(new), self.at_once)]
+        self.at |= zip(new, range(len(self.at), len(self.at) + len(new)), strict=True)
+        self.ids = np.concatenate([self.ids, *(flat for flat, _ in coded)]).astype(np.uint32, copy=False)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([np.zeros(0, np.int64), *(n for _, n in coded)]))])
         place = np.fromiter((self.at[w] for w in words), np.int64, len(words))
         first, length = self.ends[place], self.ends[place + 1] - self.ends[place]
         counts = length[numbers]
         return self.ids[ranges(first[numbers], counts)], bounds(counts)[starts]
 
 
-class Flat(list):
-    """Ids of several words whose concatenation is already there as an array."""
-
-    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
-        super().__init__(map(range, lengths.tolist()))
-        self.flat = flat
+def flat_ids(coded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+    return np.fromiter((i for x in coded for i in x), np.uint32, lengths.sum()), lengths
