@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.judge import judge_compare_fallback
 from quarrymill.operators import coach as c
+from quarrymill.operators import legacy_report as legacy
 from quarrymill.operators import ratings as r
 from quarrymill.operators.relations import candidate_pool
-from quarrymill.plans.registry import register
+from quarrymill.plans.registry import register, split_columns
 
 M = f"""m AS (SELECT b.*, CAST(exact_dups AS BIGINT) AS exact_dups, coalesce(dominant, 0) AS dominant FROM
     (SELECT a.project_id, {", ".join(f"{x} AS {k}" for k, x in c.METRICS.items())} FROM assets a LEFT JOIN (SELECT asset_id, text FROM captions WHERE is_active) t ON a.asset_id = t.asset_id GROUP BY 1) b
@@ -71,3 +72,10 @@ register(
     """WITH j AS (SELECT c.id, c.winner, c.loser, coalesce(nullif(x.composite_score, 0), 0.5::DOUBLE) AS a, coalesce(nullif(y.composite_score, 0), 0.5::DOUBLE) AS b FROM comparisons c JOIN assets x ON c.winner = x.asset_id JOIN assets y ON c.loser = y.asset_id)
        SELECT id, CASE WHEN abs(a - b) >= 0.05 AND b > a THEN loser ELSE winner END AS winner, CASE WHEN abs(a - b) >= 0.05 AND b > a THEN winner ELSE loser END AS loser, abs(a - b) < 0.05 AS is_draw, 'ai' AS decided_by FROM j""",
 )
+
+FEATURES = "project_id, 60 + technical_quality * 100 AS sharpness, 50 + aesthetic_score * 50 AS artifact, 100 + training_usefulness * 100 AS brightness, greatest(face_count, CASE WHEN asset_id % 12 > 0 THEN 1 ELSE 0 END) AS faces, face_quality AS face_x, CASE asset_id % 10 WHEN 0 THEN 'close_up' WHEN 1 THEN 'close_up' WHEN 2 THEN 'full_body' WHEN 3 THEN 'full_body' ELSE 'mid_shot' END AS shot, CASE asset_id % 3 WHEN 0 THEN 'frontal' WHEN 1 THEN 'profile' END AS pose"
+TOTALS = ", ".join(f"{x} AS {k}" for k, x in legacy.TOTALS.items())
+register(
+    "legacy_dataset_report", lambda t: legacy.legacy_dataset_report(t.assets.selectExpr("*").selectExpr(*split_columns(FEATURES))),
+    f"""SELECT * REPLACE (CAST(image_penalty AS BIGINT) AS image_penalty), CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C' WHEN score >= 30 THEN 'D' ELSE 'F' END AS grade FROM (SELECT *, CAST({legacy.SCORE} AS BIGINT) AS score FROM (SELECT project_id, {TOTALS} FROM (SELECT {FEATURES} FROM assets) GROUP BY 1))""",
+)

@@ -27,3 +27,15 @@ def register(name: str, run: Callable[[Tables], DataFrame], sql: str | None = No
     QUERIES[name] = lambda spark, sf_dir: run(Tables(spark, sf_dir))
     if sql:
         ORACLES[name] = with_views(sql)
+
+
+def split_columns(columns: str) -> list[str]:
+    """Columns of a SELECT list, parted at commas outside brackets."""
+    out, depth = [""], 0
+    for c in columns:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.operators import relations as r
 from quarrymill.operators.filters import top_per_project
-from quarrymill.plans.registry import register
+from quarrymill.plans.registry import register, split_columns
 
 QUALITY = "row(coalesce(composite_score, 0), coalesce(training_usefulness, 0), coalesce(technical_quality, 0), coalesce(face_quality, 0), coalesce(aesthetic_score, 0), coalesce(uniqueness_score, 0), -coalesce(redundancy_score, 0), width * height, asset_id)"
 
@@ -59,21 +59,7 @@ register(
 versions = "SELECT caption_id, asset_id % 300 AS asset_id, created_at FROM captions"
 register("active_caption_version", lambda t: r.active_caption_version(t.captions.selectExpr("caption_id", "asset_id % 300 AS asset_id", "created_at")), f"SELECT asset_id, arg_max(caption_id, row(created_at, caption_id)) AS caption_id, count(*) AS versions FROM ({versions}) GROUP BY 1")
 FACES = "e.event_id % 700 AS asset_id, e.event_id AS face_index, CAST(e.event_id * 7 % 90 AS DOUBLE) AS x, CAST(e.event_id * 11 % 80 AS DOUBLE) AS y, CAST(10 + e.event_id * 13 % 50 AS DOUBLE) AS w, CAST(10 + e.event_id * 17 % 60 AS DOUBLE) AS h, CASE WHEN e.event_id % 6 = 0 THEN NULL ELSE CAST(e.event_id % 100 AS DOUBLE) / CAST(100 AS DOUBLE) END AS score"
-faces = lambda t: t.spark.read.parquet(f"{t.sf_dir}/events.parquet").alias("e").selectExpr(*_split(FACES))
-
-
-def _split(columns: str) -> list[str]:
-    """Columns of a SELECT list, parted at commas outside brackets."""
-    out, depth = [""], 0
-    for c in columns:
-        depth += (c == "(") - (c == ")")
-        if c == "," and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return [x.strip() for x in out]
-
-
+faces = lambda t: t.spark.read.parquet(f"{t.sf_dir}/events.parquet").alias("e").selectExpr(*split_columns(FACES))
 register("primary_face", lambda t: r.primary_face(faces(t)), f"SELECT asset_id, arg_max(face_index, row(w * h * coalesce(score, 0.5), -face_index)) AS face_index FROM (SELECT {FACES} FROM events e) GROUP BY 1")
 register(
     "candidate_face_iou", lambda t: r.candidate_face_iou(faces(t), t.assets.filter("asset_id < 700").selectExpr("asset_id", "CAST(asset_id % 40 AS DOUBLE) AS bx", "CAST(asset_id % 30 AS DOUBLE) AS by", "40.0D AS bw", "50.0D AS bh")),
