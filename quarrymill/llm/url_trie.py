@@ -37,7 +37,9 @@ def build(rules: Iterable[tuple[str, str, str]]) -> Node:
         node = root
         for label in reversed(host.translate(LOWER).split(".")):
             node = node.children.setdefault(label, Node())
-        node = node.paths = node.paths or Node()
+        if node.paths is None:
+            node.paths = Node()
+        node = node.paths
         *whole, last = path.split("/")
         for segment in whole:
             node = node.children.setdefault(segment, Node())
