@@ -16,7 +16,8 @@ MIMES = ("image/jpeg", "image/png", "image/webp", "image/bmp", "image/gif", "ima
 
 
 def scan_files(spark: SparkSession, folder: str, endings: tuple[str, ...] = IMAGES, most: int = MOST_BYTES) -> DataFrame:
-    """path, name and length of the files below folder: no hidden part, a known ending, not too large. No content is read."""
+    """path, name and length of the files below folder: no hidden part, a known ending, not too large. No content is read;
+    Spark's file source lists no files of length 0."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     inside = F.substring_index(F.col("path"), folder.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
