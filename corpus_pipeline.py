@@ -15,7 +15,7 @@ from quarrymill.llm.eb_classifier import filter_good
 from quarrymill.llm.icws_dedup import without_near_duplicates
 from quarrymill.llm.llr_rules import filter_quality
 from quarrymill.llm.queries import table, vocabulary_file
-from quarrymill.llm.shared import written
+from quarrymill.operators.tables import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 

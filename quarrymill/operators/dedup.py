@@ -2,40 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that all executors share, and read back: cuts the lineage of loops."""
-    spark: SparkSession = df.sparkSession
-    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    df.write.parquet(path := f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return spark.read.schema(df.schema).parquet(path)
+from quarrymill.operators.tables import written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """node and label (the least node of its component) for links a, b: least neighbours, one jump, contraction, again."""
+    """node and label (the least node of its component) of the nodes in links (a, b). Copied or circular links do no harm.
+
+    Each round points every node to its least neighbour, jumps once, and contracts the links; hubs are aggregated
+    before they are shuffled, so a component may hold any share of the nodes.
+    """
     edges, labels = links.select("a", "b").filter("a <> b"), None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = shared_table(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "parent")
+        parent = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "parent")
         if parent.isEmpty():
             return links.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0) if labels is None else labels
         up = parent.select(F.col("a").alias("p"), F.col("p").alias("label"))
-        step = shared_table(parent.join(up, "p").select(F.col("a").alias("node"), "label"), "step")
+        step = written(parent.join(up, "p").select(F.col("a").alias("node"), "label"), "step")
         if labels is None:
             labels = step
         else:
             move = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
-            labels = shared_table(labels.join(move, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+            labels = written(labels.join(move, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
         a, b = (step.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-        edges = shared_table(edges.join(a, "a").join(b, "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "edges")
+        edges = written(edges.join(a, "a").join(b, "b").filter("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "edges")
 
 
 def dup_exact(assets: DataFrame) -> DataFrame:
@@ -80,9 +73,9 @@ def dup_phash(assets: DataFrame, distance: int = 8) -> DataFrame:
 def dup_layered(assets: DataFrame, distance: int = 8, links: DataFrame | None = None) -> DataFrame:
     """asset_id, cluster and type: exact, then perceptual, then vector links (a, b) by leaders, each on the rest."""
     live = assets.filter("NOT is_rejected")
-    done = shared_table(dup_exact(live).select("asset_id", "cluster").withColumn("type", F.lit("exact")), "exact")
+    done = written(dup_exact(live).select("asset_id", "cluster").withColumn("type", F.lit("exact")), "exact")
     rest = live.join(done, "asset_id", "left_anti")
-    done = done.union(shared_table(dup_phash(rest, distance).select("asset_id", "cluster").withColumn("type", F.lit("phash")), "phash"))
+    done = done.union(written(dup_phash(rest, distance).select("asset_id", "cluster").withColumn("type", F.lit("phash")), "phash"))
     if links is not None:
         ids = live.select("asset_id").join(done, "asset_id", "left_anti")
         inside = links.join(ids.withColumnRenamed("asset_id", "a"), "a").join(ids.withColumnRenamed("asset_id", "b"), "b")
@@ -97,7 +90,7 @@ def leaders(links: DataFrame) -> DataFrame:
     A node leads if no lesser neighbour leads; it joins its least leading neighbour otherwise. Each round settles every
     node whose lesser neighbours are all settled.
     """
-    both = shared_table(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "neighbours")
+    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "neighbours")
     open_ = both.select(F.col("a").alias("node")).distinct()
     settled = open_.select("node", F.col("node").alias("leader")).limit(0)
     while not open_.isEmpty():
@@ -107,7 +100,7 @@ def leaders(links: DataFrame) -> DataFrame:
         joined = open_.join(seen.withColumnRenamed("a", "node"), "node", "left")
         # a lesser open neighbour might still turn out to be the least leader
         now = joined.filter((F.coalesce("waiting", F.lit(0)) == 0) | (F.col("by") < F.col("first_open"))).select("node", F.coalesce("by", "node").alias("leader"))
-        settled = shared_table(settled.union(now), "settled")
-        open_ = shared_table(open_.join(settled, "node", "left_anti"), "open")
+        settled = written(settled.union(now), "settled")
+        open_ = written(open_.join(settled, "node", "left_anti"), "open")
     led = settled.filter("node <> leader").select(F.col("leader").alias("node")).distinct().withColumn("led", F.lit(True))
     return settled.join(led, "node", "left").select("node", "leader", (F.col("node") != F.col("leader")).alias("member"), F.coalesce("led", F.lit(False)).alias("led"))

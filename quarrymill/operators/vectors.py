@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.operators.dedup import connected_components, leaders, shared_table
+from quarrymill.operators.dedup import connected_components, leaders
+from quarrymill.operators.tables import written
 
 #: Vectors in one block of the pair join; two blocks and their product are what a task holds.
 BLOCK = 2048
@@ -140,7 +141,7 @@ def prompt_contrast(vectors: DataFrame, prompts: DataFrame) -> DataFrame:
 
 def leader_clusters(vectors: DataFrame, threshold: float) -> DataFrame:
     """node, leader and similarity to it, as a scan in vec_id order finds them; nodes without neighbours are left out."""
-    pairs = shared_table(cosine_pairs(vectors, threshold), "pairs")
+    pairs = written(cosine_pairs(vectors, threshold), "pairs")
     found = leaders(pairs).filter("member OR led").select("node", "leader")
     s = pairs.select(F.col("a").alias("leader"), F.col("b").alias("node"), "similarity")
     return found.join(s, ["leader", "node"], "left").select("node", "leader", F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
@@ -148,7 +149,7 @@ def leader_clusters(vectors: DataFrame, threshold: float) -> DataFrame:
 
 def identity_dbscan(vectors: DataFrame, eps: float, min_samples: int = 2) -> DataFrame:
     """vec_id and cluster (least core of its component; NULL for noise): density clusters at cosine distance eps."""
-    pairs = shared_table(cosine_pairs(vectors, 1 - eps), "pairs").select("a", "b")
+    pairs = written(cosine_pairs(vectors, 1 - eps), "pairs").select("a", "b")
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     core = both.groupBy(F.col("a").alias("core")).agg((F.count("*") + 1).alias("n")).filter(F.col("n") >= min_samples).select("core")
     inner = both.join(core, F.col("a") == F.col("core")).drop("core").join(core, F.col("b") == F.col("core")).drop("core")
@@ -182,7 +183,7 @@ def average_linkage(x: np.ndarray, distance: float) -> np.ndarray:
 def identity_clusters(vectors: DataFrame, distance: float = 0.6, cap: int = LINKAGE_CAP) -> DataFrame:
     """vec_id, cluster (least member) and approximate: average linkage within components of the graph of pairs below
     distance (no cluster spans two); components of more than cap vectors by leaders."""
-    pairs = shared_table(cosine_pairs(vectors, 1 - distance).filter(F.col("similarity") > 1 - distance), "pairs")
+    pairs = written(cosine_pairs(vectors, 1 - distance).filter(F.col("similarity") > 1 - distance), "pairs")
     labels = connected_components(pairs)
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
     placed = unit(vectors).join(labels, F.col("vec_id") == F.col("node"), "left").join(sizes, "label", "left").withColumn("label", F.coalesce("label", "vec_id"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrymill.operators import actions as a
 from quarrymill.operators import dedup, image_qc
 from quarrymill.operators.filters import export_eligible
+from quarrymill.operators.tables import new_folder
 from quarrymill.plans.registry import Tables, register
 from quarrymill.plans.views import expressions
 from quarrymill.sources import ingest, sinks
@@ -51,7 +52,7 @@ register("export_kohya_manifest", lambda t: sinks.kohya_manifest(export_eligible
 register("export_zip_manifest", lambda t: sinks.zip_manifest(export_eligible(t.assets), t.captions), f"SELECT project_id, asset_id, filename AS entry FROM assets WHERE NOT is_rejected UNION ALL SELECT project_id, a.asset_id, {STEM} || '.txt' FROM assets a JOIN {TEXTS} c ON a.asset_id = c.asset_id WHERE NOT is_rejected")
 register("export_split_layout", lambda t: sinks.split_layout(t.assets, "clustered"), "SELECT project_id, asset_id, coalesce(identity_cluster_id, 'unclustered') || '/' || filename AS name FROM assets")
 register("reorder_names", lambda t: sinks.ranked_names(t.assets, F.col("composite_score")), "SELECT project_id, asset_id, CASE WHEN n < 10000 THEN lpad(CAST(n AS STRING), 4, '0') ELSE CAST(n AS STRING) END || '_' || filename AS name FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY composite_score DESC NULLS LAST, asset_id) AS n FROM assets)")
-register("export_parquet_shards", lambda t: sinks.parquet_shards(t.assets.select("asset_id", "project_id", "filename"), streams.folder(t.spark, "shards") + "/files", 5000).select("file", "rows"))
+register("export_parquet_shards", lambda t: sinks.parquet_shards(t.assets.select("asset_id", "project_id", "filename"), new_folder(t.spark, "shards"), 5000).select("file", "rows"))
 register("curated_table_write", lambda t: sinks.curated_table(t.assets, dedup.dup_exact(t.assets).withColumn("type", F.lit("exact"))).select("asset_id", "duplicate_cluster_id", "duplicate_type"), "SELECT asset_id, CASE WHEN n > 1 THEN CAST(c AS STRING) END AS duplicate_cluster_id, CASE WHEN n > 1 THEN 'exact' END AS duplicate_type FROM (SELECT asset_id, min(asset_id) OVER (PARTITION BY project_id, sha256_hash) AS c, count(*) OVER (PARTITION BY project_id, sha256_hash) AS n FROM assets)")
 
 documents = lambda t: t.spark.read.parquet(f"{t.sf_dir}/documents.parquet")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.captions import export_caption
-from quarrymill.operators.dedup import shared_table
+from quarrymill.operators.tables import written
 
 
 def stem(name: Column) -> Column:
@@ -96,4 +96,4 @@ def parquet_shards(df: DataFrame, folder: str, rows_per_file: int) -> DataFrame:
 def curated_table(assets: DataFrame, labels: DataFrame) -> DataFrame:
     """A new version of the asset table, written, with duplicate labels (asset_id, cluster, type) in place of the old ones."""
     fresh = assets.drop("duplicate_cluster_id", "duplicate_type").join(labels.select("asset_id", F.col("cluster").cast("string").alias("duplicate_cluster_id"), F.col("type").alias("duplicate_type")), "asset_id", "left")
-    return shared_table(fresh, "curated")
+    return written(fresh, "curated")

@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.operators.dedup import shared_table
 from quarrymill.operators.ratings import ELO, elo_update
+from quarrymill.operators.tables import new_folder
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
@@ -20,15 +20,9 @@ def stream_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new shared folder."""
-    marker = shared_table(spark.range(1), name)
-    return marker.inputFiles()[0].rsplit("/", 1)[0]
-
-
 def run(stream: DataFrame, mode: str, name: str, sink: Callable[[DataFrame, int], None] | None = None) -> str:
     """Runs a stream over what is there; gives the folder of its output."""
-    base = folder(stream.sparkSession, name)
+    base = new_folder(stream.sparkSession, name)
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True)
     query = writer.foreachBatch(sink).start() if sink else writer.format("parquet").option("path", f"{base}/rows").start()
     query.awaitTermination()
@@ -46,7 +40,7 @@ def counters(assets: DataFrame) -> DataFrame:
     spark = assets.sparkSession
     n = lambda c: F.count_if(c)
     counted = assets.groupBy("project_id").agg(F.count("*").alias("asset_count"), n(F.col("review_state").isin("approved", "rejected")).alias("reviewed"), n(F.col("is_flagged")).alias("flagged"), n(F.col("is_rejected")).alias("rejected"))
-    out = folder(spark, "counters")
+    out = new_folder(spark, "counters")
     run(counted, "update", "counters", lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/batches/batch={i:08d}"))
     every = spark.read.parquet(f"{out}/batches/*")
     names = counted.columns[1:]
@@ -58,7 +52,7 @@ def provider_latency(usage: DataFrame, window: str = "1 hour", late: str = "10 m
     spark = usage.sparkSession
     by = usage.withWatermark("ts", late).groupBy("provider", F.window("ts", window).alias("w")).agg(F.count("*").alias("calls"), F.count_if(~F.col("ok")).alias("failures"), F.max("latency_ms").alias("most"))
     flat = by.select("provider", F.unix_seconds("w.start").alias("start"), "calls", "failures", "most")
-    out = folder(spark, "latency")
+    out = new_folder(spark, "latency")
     run(flat, "update", "latency", lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/batches/batch={i:08d}"))
     every = spark.read.parquet(f"{out}/batches/*")
     return every.groupBy("provider", "start").agg(F.max_by(F.struct("calls", "failures", "most"), "batch").alias("x")).select("provider", "start", "x.*")
@@ -81,7 +75,7 @@ def ratings(comparisons: DataFrame) -> DataFrame:
         yield pd.DataFrame({"session_id": key[0], "asset_id": touched, "elo": [round(known[str(a)][0], 6) for a in touched], "comparisons": [known[str(a)][1] for a in touched]})
 
     stream = comparisons.groupBy("session_id").applyInPandasWithState(update, shape, "known string", "update", "NoTimeout")
-    out = folder(spark, "ratings")
+    out = new_folder(spark, "ratings")
     run(stream, "update", "ratings", lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/batches/batch={i:08d}"))
     every = spark.read.parquet(f"{out}/batches/*")
     return every.groupBy("session_id", "asset_id").agg(F.max_by(F.struct("elo", "comparisons"), "batch").alias("x")).select("session_id", "asset_id", "x.*")

@@ -232,3 +232,9 @@ def test_components_ignore_order_and_copies(spark):
 def test_pandas_rows_are_whole():
     heads = coach.greedy_heads(pd.DataFrame({"project_id": ["p"] * 3, "asset_id": [1, 2, 3], "score": [1.0, 1.0, 5.0], "shot": ["a", "a", "b"], "angle": ["x"] * 3, "expression": ["unknown"] * 3, "background": ["unknown"] * 3}))
     assert heads["asset_id"].tolist() == [3, 2, 1]
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(200, 200), (7, 3)]
+    got = dict(map(tuple, dedup.connected_components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(60)}
