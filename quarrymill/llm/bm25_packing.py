@@ -28,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.shared import SLICE_BYTES, TASK_BYTES, bounded_batches, bounds, parts_for, ranges, slices, text_bytes
+from quarrymill.llm.shared import TASK_BYTES, bounded_batches, bounds, parts_for, ranges, slices, text_bytes
 from quarrymill.llm.word_codes import flat_ids, words_of
 
 WINDOW = 2048
 #: BM25's constants, the words of a seed that are looked up, and the neighbours that one look-up gives.
 K1, B, QUERY_WORDS, NEIGHBOURS = 1.2, 0.75, 12, 64
 #: Bytes of text in one index; a shard with more has several, one after the other.
-INDEX_BYTES = 16 << 20
+INDEX_BYTES = 8 << 20
 START = "\x02"
 #: Texts in which words aren't parted by single spaces or line ends: they are encoded whole.
 ODD = r"[ \n][ \n]|[\t\x0b\x0c\r\x02\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -241,7 +241,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, rank_file: str | Non
                 yield pa.RecordBatch.from_arrays(columns, ["k", *names, *["ids"] * with_ids])
             shard = Shard()
 
-        for batch in slices(batches, "t", 2 * SLICE_BYTES):
+        for batch in slices(batches, "t"):
             shard.add(batch.column("k"), batch.column("t"), encoder)
             if shard.bytes >= INDEX_BYTES:
                 yield from flush()

@@ -1,16 +1,17 @@
-"""What several operators of this package need: the shared folder, written tables, batches of bounded size."""
+"""What several operators of this package need: batches and slices of bounded size, index arithmetic, checked broadcasts."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,25 +20,6 @@ SLICE_BYTES = 2 << 20
 TASK_BYTES = 16 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); one of our own only where it is unset, as in tests."""
-    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives lost executors, and fixes what was decided."""
-    spark = df.sparkSession
-    df.write.parquet(path := new_folder(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(df: DataFrame, column: str) -> int:
     return df.select(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
 
@@ -52,6 +34,14 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def hand_back() -> None:
+    """Gives freed memory back to the system: Python workers live on from task to task and stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most limit bytes of the text column each, or one row."""
     for batch in batches:
@@ -62,6 +52,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
         for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+    hand_back()
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
