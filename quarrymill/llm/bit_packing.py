@@ -6,7 +6,8 @@ id takes the fewest bits that hold the vocabulary. Blocks begin at whole bytes,
 its blocks, can be read alone.
 
 Defined cases: a null text counts as empty, and an empty text has only the end id; repeated keys keep one entry each, in
-any order among themselves; a null key is an error; an empty table writes no file and reads back as no rows.
+any order among themselves; null keys come first and read back as null; an empty table writes no file and reads back as
+no rows.
 """
 
 from __future__ import annotations
@@ -24,11 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.shared import SLICE_BYTES, TASK_BYTES, bounded_batches, bounds, new_folder, parts_for, ranges, slices, text_bytes
+from quarrymill.llm.shared import SLICE_BYTES, TASK_BYTES, bounded_batches, bounds, parts_for, ranges, slices, text_bytes
 from quarrymill.llm.word_codes import WordCodes, flat_ids, words_of
+from quarrymill.operators.tables import new_folder
 
 MAGIC = b"TIDPACK1"
 BLOCK_IDS = 4096
+#: Stands for a null key in a file.
+NO_KEY = -(2**63)
 #: A file is read as one value, so it ends with the batch of documents that brings it to this many ids.
 FILE_IDS = 2 << 20
 
@@ -187,10 +191,8 @@ def write_packed(docs: DataFrame, folder: str, tokenizer_file: str, vocabulary:
             held.clear()
 
         for batch in slices(batches, "t", 2 * SLICE_BYTES):
-            if batch.column("k").null_count:
-                raise ValueError("a document has no key")
             ids, at = encoder.encode(batch.column("t"))
-            held.append((batch.column("k").to_numpy(), np.diff(at) + 1, np.insert(ids, at[1:], end_id)))
+            held.append((pc.fill_null(batch.column("k"), NO_KEY).to_numpy(), np.diff(at) + 1, np.insert(ids, at[1:], end_id)))
             if sum(len(x[2]) for x in held) >= FILE_IDS:
                 flush()
         if held:
@@ -218,7 +220,7 @@ def read_packed(folder: str, manifest: DataFrame, key: str = "doc_id") -> DataFr
     files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.bin").load(folder)
     docs = files.select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), "content").mapInArrow(read, "file string, k long, at long, n_tokens long, ids_crc32 long")
     begins = manifest.select("file", (F.sum("n_ids").over(Window.orderBy("file")) - F.col("n_ids")).alias("begin"))
-    return docs.join(begins, "file").select(F.col("k").alias(key), (F.col("begin") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(begins, "file").select(F.nullif("k", F.lit(NO_KEY)).alias(key), (F.col("begin") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def packed_ids(docs: DataFrame, tokenizer_file: str, vocabulary: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
