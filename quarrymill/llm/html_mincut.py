@@ -38,8 +38,10 @@ CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset fo
 BOILERPLATE_TAGS = frozenset("nav footer aside form button menu dialog fieldset header".split())
 #: Words of class, id and role that name what is not the article, and what is.
 BOILERPLATE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar toolbar comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login register social share sharing related recommended recommendations widget widgets search searchform form pagination pager copyright legal disclaimer skip tags tagcloud trending teaser outbrain taboola contentinfo complementary".split()
+    "ad ads adsbygoogle adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar toolbar comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login register social share sharing related recommended recommendations widget widgets search searchform form pagination pager copyright legal disclaimer skip tags tagcloud trending teaser outbrain taboola contentinfo complementary".split()
 )
+#: Of an article element, the names that tell it from the main one.
+OTHER_ARTICLES = frozenset("ad ads advert advertisement comment comments related reply replies sponsored teaser".split())
 CONTENT_NAMES = frozenset("article content post entry story body text main prose".split())
 
 #: The classifier's weights.
@@ -61,7 +63,8 @@ class Element:
         """Whether the element stands in boilerplate, in an article, in something named like content."""
         if self.state is None:
             bad, inside, named = self.parent.context() if self.parent else (False, False, False)
-            own = self.hidden or self.tag in BOILERPLATE_TAGS or (bool(self.names & BOILERPLATE_NAMES) and self.tag not in ("html", "body"))
+            telling = {"html": frozenset(), "body": frozenset(), "article": OTHER_ARTICLES, "main": OTHER_ARTICLES}.get(self.tag, BOILERPLATE_NAMES)
+            own = self.hidden or self.tag in BOILERPLATE_TAGS or bool(self.names & telling)
             if self.tag == "header" and inside and not self.names & BOILERPLATE_NAMES:
                 own = self.hidden
             holds = self.article and self.tag not in ("article", "main")  # what holds the article isn't boilerplate

@@ -170,6 +170,9 @@ def test_main_text_of_a_page_without_article():
     <div class="content"><h2>Title</h2><p>First paragraph with <a href=x>a link</a> and quite a few words in it, so it counts.</p><form><p>Sign up for our newsletter.</p></form><script>var a = "</p>";</script>
     <p>Second &eacute; paragraph, 1 &lt; 2.<p>Short.</div><section id="comments"><p>Great article, thanks for writing it, I have learned a lot.</p></section><footer>&copy; x</footer></div></body></html>"""
     assert html_mincut.main_text(page) == "Title First paragraph with a link and quite a few words in it, so it counts. Second é paragraph, 1 < 2. Short."
+    page = """<main class="share-on"><article class="post social"><header><h1>Head</h1></header><p>A paragraph of the article, with a good many words in it.</p><aside>Aside, which is a longer sentence than it ought to be.</aside>
+    <div class="notice">Notice that this sentence is not of the article.</div></article><article class="comment"><p>I am a reader, and this is what I think of it all.</p></article></main>"""
+    assert html_mincut.main_text(page) == "Head A paragraph of the article, with a good many words in it."
     assert html_mincut.main_text(None) == html_mincut.main_text("<script>never closed") == ""
 
 
