@@ -1,9 +1,8 @@
 """Quality classifier: a document's own evidence, combined with what its host and path have shown (empirical Bayes).
 
-Evidence is a sum of log odds over the distinct features of the whole text: its runs of letters (lower-case) and of
-symbols, and a few marks of its shape; good is held against junk and against toxic, and the two are mixed by their
-shares. The odds are counted over a bounded sample of labelled
-documents; only features whose odds stand out from chance count. Sites are then two levels, host and path (here source
+Evidence is a sparse logistic regression over the distinct features of the whole text: its runs of letters (lower-case)
+and of symbols, and a few marks of its shape. It is fitted on a bounded sample of labelled documents, good (of quality
+and not toxic) against the rest, over the features whose odds stand out from chance most. Sites are then two levels, host and path (here source
 and language): a host's share of good documents is shrunk to the global one, and a path's to its host's, by as many
 pseudo-documents as the spread between sites calls for (method of moments). A document is kept if its evidence and its
 path's share together make good more likely than bad.
@@ -26,14 +25,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.shared import bounded_batches, bounds, slices, small, written
+from quarrymill.llm.shared import bounded_batches, bounds, slices, small
 from quarrymill.llm.word_codes import words_of
+from quarrymill.operators.tables import written
 
 #: Labelled documents that the odds are counted on, at most; the least by a hash of their keys.
 SAMPLE = 20_000
 #: A feature counts if so many labelled documents have it and the likelihood ratio statistic of its odds (chi squared
 #: with one degree of freedom, if it were chance) reaches SURPRISE.
-SUPPORT, SURPRISE, MOST_FEATURES = 5, 25.0, 500_000
+SUPPORT, SURPRISE, MOST_FEATURES = 5, 25.0, 4000
+#: Of the regression: the L1 penalty per document, and gradient steps.
+PENALTY, STEPS = 2e-4, 300
 PRIOR = 0.5
 RUNS = re.compile(r"[^\W_]+|[\W_]+")
 
@@ -68,63 +70,95 @@ class Features:
         self.text, self.value = order, value
 
 
-CLASSES = ("good", "junk", "toxic")
+def is_good() -> Column:
+    return (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
 
 
-def class_of() -> Column:
-    """A labelled document's class, as its place in CLASSES."""
-    return F.when(F.coalesce("toxic", F.lit(0)) == 1, 2).when(F.col("quality") == 1, 0).otherwise(1)
+def fit_sparse(text: np.ndarray, feature: np.ndarray, good: np.ndarray, n_features: int) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression with an L1 penalty, by accelerated proximal gradient steps.
+
+    The pairs (text, feature) are the ones of a binary matrix. The penalty leaves out what other features explain, such
+    as the words of one often copied bad document beside those that all bad documents share.
+    """
+    n, y = len(good), good.astype(float)
+    weights, bias = np.zeros(n_features), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
+    direction = np.ones(n_features)
+    for _ in range(10):  # the greatest curvature, by power iteration
+        direction = np.bincount(feature, np.bincount(text, direction[feature], n)[text], n_features)
+        length = np.linalg.norm(direction)
+        direction /= max(length, 1e-12)
+    step = 1 / (0.25 * (length + n) / n)
+    ahead, ahead_bias, t = weights, bias, 1.0
+    for _ in range(STEPS):
+        off = 1 / (1 + np.exp(-np.clip(ahead_bias + np.bincount(text, ahead[feature], n), -50, 50))) - y
+        moved = ahead - step * np.bincount(feature, off[text], n_features) / n
+        new, new_bias = np.sign(moved) * np.maximum(np.abs(moved) - step * PENALTY, 0), ahead_bias - step * off.mean()
+        following = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead, ahead_bias = new + (t - 1) / following * (new - weights), new_bias + (t - 1) / following * (new_bias - bias)
+        weights, bias, t = new, new_bias, following
+    return weights, bias
 
 
 @dataclass
-class Odds:
-    """Feature hashes, sorted; log odds of good against junk and against toxic; the two kinds' shares of the bad."""
+class Evidence:
+    """Feature hashes, sorted, their weights, and what a text without any of them gets."""
 
     features: np.ndarray
-    odds: np.ndarray
-    shares: np.ndarray
+    weights: np.ndarray
+    bias: float
 
-    def evidence(self, found: Features, n: int) -> np.ndarray:
-        """Log odds of good against bad from a text's features alone."""
+    def of(self, found: Features, n: int) -> np.ndarray:
+        """Log odds of good against bad from a text's features alone, apart from how common good is."""
         if not len(self.features):
             return np.zeros(n)
         value = found.value.view(np.int64)
         at = np.minimum(np.searchsorted(self.features, value), len(self.features) - 1)
         hit = self.features[at] == value
-        return -np.logaddexp.reduce([np.log(s) - np.bincount(found.text[hit], o[at[hit]], n) for s, o in zip(self.shares, self.odds, strict=True) if s], axis=0)
+        return self.bias + np.bincount(found.text[hit], self.weights[at[hit]], n)
 
 
-def evidence_table(docs: DataFrame, labels: DataFrame, key: str, text: str) -> Odds:
-    sample = labels.filter("quality is not null").select(F.col(key).alias("k"), class_of().alias("class")).dropDuplicates(["k"]).orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
-    known = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t")).join(F.broadcast(sample), "k").dropDuplicates(["t"]).select("t", "class")
+def evidence_table(docs: DataFrame, labels: DataFrame, key: str, text: str) -> Evidence:
+    none = Evidence(np.zeros(0, np.int64), np.zeros(0), 0.0)
+    sample = labels.filter("quality is not null").select(F.col(key).alias("k"), is_good().alias("good")).dropDuplicates(["k"]).orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
+    known = written(docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t")).join(F.broadcast(sample), "k").dropDuplicates(["t"]).select("k", "t", "good"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t", 4 << 20):
-            found, kind = Features(part.column("t")), part.column("class").to_numpy()
+            found, good = Features(part.column("t")), part.column("good").to_numpy(zero_copy_only=False)
             value, which = np.unique(found.value, return_inverse=True)
-            # the last row, of no feature, carries the number of documents
-            counts = [np.append(np.bincount(which, kind[found.text] == k, len(value)), (kind == k).sum()).astype(np.int64) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(value.view(np.int64), 0)), pa.array(np.append(np.zeros(len(value), bool), True)), *map(pa.array, counts)], ["feature", "total", *CLASSES])
-
-    counted = bounded_batches(known).mapInArrow(count, "feature long, total boolean, good long, junk long, toxic long").groupBy("feature", "total").agg(*(F.sum(c).alias(c) for c in CLASSES))
-    counted = written(counted.filter(F.col("total") | (F.col("good") + F.col("junk") + F.col("toxic") >= SUPPORT)), "features")
-    total = counted.filter("total").first()
-    if total is None or not total["good"] or not total["junk"] + total["toxic"]:
-        return Odds(np.zeros(0, np.int64), np.zeros((2, 0)), np.zeros(2))
-
-    def against(bad: str) -> tuple[Column, Column]:
-        g, b = F.col("good") + F.lit(PRIOR), F.col(bad) + F.lit(PRIOR)
-        all_g, all_b = F.lit(total["good"] + 2 * PRIOR), F.lit(total[bad] + 2 * PRIOR)
-        odds = F.log(g / all_g) - F.log(b / all_b)
-        both = (g + b) / (all_g + all_b)
-        surprise = 2 * (g * F.log(g / (all_g * both)) + b * F.log(b / (all_b * both)))
-        return F.when(surprise >= SURPRISE, odds).otherwise(0.0).alias(bad), surprise
-
-    (junk, s1), (toxic, s2) = against("junk"), against("toxic")
-    scored = counted.filter("not total").select("feature", junk, toxic, F.greatest(s1, s2).alias("surprise"))
-    best = scored.filter(F.col("surprise") >= SURPRISE).orderBy(F.desc("surprise"), "feature").limit(MOST_FEATURES).toPandas().sort_values("feature")
-    bad = np.array([total["junk"], total["toxic"]], float)
-    return Odds(best["feature"].to_numpy(np.int64), best[["junk", "toxic"]].to_numpy(float).T, bad / bad.sum())
+            yes, every = np.bincount(which, good[found.text], len(value)).astype(np.int64), np.bincount(which, minlength=len(value))
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(yes), pa.array(every - yes)], ["feature", "good", "bad"])
+
+    total = known.agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).first()
+    if not total["good"] or not total["bad"]:
+        return none
+    counted = bounded_batches(known).select("t", "good").mapInArrow(count, "feature long, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).filter(F.col("good") + F.col("bad") >= SUPPORT)
+    g, b = F.col("good") + F.lit(PRIOR), F.col("bad") + F.lit(PRIOR)
+    all_g, all_b = F.lit(total["good"] + 2 * PRIOR), F.lit(total["bad"] + 2 * PRIOR)
+    both = (g + b) / (all_g + all_b)
+    surprise = 2 * (g * F.log(g / (all_g * both)) + b * F.log(b / (all_b * both)))
+    best = counted.select("feature", surprise.alias("surprise")).filter(F.col("surprise") >= SURPRISE).orderBy(F.desc("surprise"), "feature").limit(MOST_FEATURES)
+    features = np.sort(best.toPandas()["feature"].to_numpy(np.int64))
+    if not len(features):
+        return none
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "t", 4 << 20):
+            found = Features(part.column("t"))
+            value = found.value.view(np.int64)
+            at = np.minimum(np.searchsorted(features, value), len(features) - 1)
+            hit = features[at] == value
+            ends = bounds(np.bincount(found.text[hit], minlength=part.num_rows))
+            order = np.argsort(found.text[hit], kind="stable")
+            yield pa.RecordBatch.from_arrays([part.column("good"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[hit][order].astype(np.int32)))], ["good", "at"])
+
+    picked = bounded_batches(known).orderBy("k").select("t", "good").mapInArrow(pick, "good boolean, at array<int>").toArrow()  # SAMPLE rows of some of MOST_FEATURES
+    at = picked.column("at").combine_chunks()
+    text_of = np.repeat(np.arange(len(at)), pc.list_value_length(at).to_numpy(zero_copy_only=False))
+    good = picked.column("good").to_numpy()
+    weights, bias = fit_sparse(text_of, at.flatten().to_numpy(), good, len(features))
+    prior = float(np.log(good.mean() / (1 - good.mean())))
+    return Evidence(features, weights, bias - prior)
 
 
 def evidence(docs: DataFrame, labels: DataFrame, key: str, text: str, host: str, path: str) -> DataFrame:
@@ -134,7 +168,7 @@ def evidence(docs: DataFrame, labels: DataFrame, key: str, text: str, host: str,
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
-            total = table.evidence(Features(part.column("t")), part.num_rows)
+            total = table.of(Features(part.column("t")), part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column("k"), part.column("host"), part.column("path"), pa.array(total)], ["k", "host", "path", "evidence"])
 
     given = bounded_batches(docs).select(F.col(key).alias("k"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.coalesce(text, F.lit("")).alias("t"))
@@ -158,7 +192,7 @@ def strength(sites: DataFrame) -> float:
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
     """key, host, path, evidence, the path's share of good documents, posterior and kept, of every document."""
-    rates = labels.filter("quality is not null").agg(F.avg((class_of() == 0).cast("double"))).first()[0]
+    rates = labels.filter("quality is not null").agg(F.avg(is_good().cast("double"))).first()[0]
     start = min(max(0.5 if rates is None else rates, 0.01), 0.99)
     scored = written(evidence(docs, labels, key, text, host, path), "evidence")
     chance = 1 / (1 + F.exp(-(F.lit(float(np.log(start / (1 - start)))) + F.col("evidence"))))
