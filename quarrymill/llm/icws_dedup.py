@@ -4,8 +4,10 @@ A document's shingles are its runs of five words (all its words if it has fewer)
 document and a damped inverse document frequency. Consistent weighted samples of these weights agree with the
 probability of the weighted Jaccard similarity; bands of samples put similar texts into common buckets. The texts of a
 small bucket are compared with one another. A crowded bucket is split by further samples, and besides, all its texts are
-compared with a pivot, the one that shares buckets with most; in further rounds, some texts of each class that is still
-in a crowd are compared with some of its largest class. Links make classes by connected components. So comparisons grow with the texts, not with the square of a crowd.
+compared with a pivot, the one that shares buckets with most. Links make classes by connected components. Then the texts
+of crowds that still hold several classes are joined across classes, exactly: every pair of them whose overlap can reach
+the threshold, by its sizes, rarest shingles (prefixes and positions) and bitmaps, is compared. No pair of such texts that
+reaches it is left in different classes, whatever the size of the crowd or of the classes.
 
 The frequency is damped on purpose: in a group of copies that holds much of the corpus, full weights would count little
 but the few words that set the copies apart. So that damping costs no pair at the threshold, a pair's weighted similarity may be
@@ -40,8 +42,12 @@ BANDS, ROWS = 10, 3
 #: Share of a weight that the inverse document frequency decides.
 DAMPING = 0.02
 DF_BINS = 1 << 16
-#: Texts of a bucket that are all compared with one another; a crowd's rounds at most; splits; draws per class and round.
-CROWD, ROUNDS, DEPTH, PICKS = 12, 3, 3, 4
+#: Texts of a bucket that are all compared with one another at once, and splits of a crowd; what they leave is joined across classes.
+CROWD, DEPTH = 12, 3
+#: Bins that count the crowds' shingles; they only order them, so shared bins cost comparisons, not pairs.
+ORDER_BINS = 1 << 20
+#: Words of 64 bits that hold the parity of a text's elements: where two texts' bits differ, so do their elements.
+PARITY = 16
 LEVELS = 1 << 16
 PRIME, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -158,11 +164,14 @@ def sketches(docs: DataFrame, factor: np.ndarray, key: str, text: str) -> DataFr
     return given.mapInArrow(sketch, f"k {kind}, same string, bands array<long>")
 
 
+def texts_of(keys: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """k and t, the text of each of the keys (k)."""
+    return docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t")).join(small(keys), "k", "left_semi").dropDuplicates(["k"])
+
+
 def similarities(pairs: DataFrame, docs: DataFrame, factor: np.ndarray, key: str, text: str) -> DataFrame:
     """a, b, the weighted Jaccard similarity of each pair of keys, and overlap: the same with times as weights."""
-    clean = F.coalesce(text, F.lit(""))
-    needed = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(key).alias("k"), clean.alias("t")).join(small(needed), "k", "left_semi").dropDuplicates(["k"])
+    texts = texts_of(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), docs, key, text)
     kind = docs.schema[key].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,18 +233,84 @@ def pivoted(large: DataFrame, degree: DataFrame) -> DataFrame:
     return large.join(pivot, "bucket")
 
 
-def meetings(many: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
-    """Distinct pairs a, b: in each crowded bucket, PICKS texts of every class with PICKS of its largest class.
+def elements(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and element of each text: a shingle that comes m times is m elements, so common elements count the overlap."""
+    text, run, times = shingles(texts)
+    nth = np.arange(times.sum()) - np.repeat(bounds(times)[:-1], times)
+    return np.repeat(text, times), mixed(np.repeat(run, times) ^ (nth.astype(np.uint64) * PRIME), 3)
+
+
+def order_bins(element: np.ndarray) -> np.ndarray:
+    return (element >> np.uint64(44)).astype(np.int64)
+
+
+def parities(n: int, text: np.ndarray, element: np.ndarray) -> np.ndarray:
+    """PARITY words for each of n texts; each element flips one bit, so two texts differ in as many elements as bits at least."""
+    out, bit = np.zeros(n * PARITY, np.uint64), element >> np.uint64(20) & np.uint64(64 * PARITY - 1)
+    np.bitwise_xor.at(out, text * PARITY + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.reshape(n, PARITY).view(np.int64)
+
+
+def rarity(texts: DataFrame) -> np.ndarray:
+    """How many of the texts (k, t) have an element of each bin."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ORDER_BINS, np.int64)
+        for part in slices(batches, "t"):
+            total += np.bincount(order_bins(elements(part.column("t"))[1]), minlength=ORDER_BINS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bin", "n"])
+
+    got = bounded_batches(texts).mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(ORDER_BINS, np.int64)
+    out[got["bin"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def prefixes(texts: DataFrame, similarity: float) -> DataFrame:
+    """k, n (its elements), parity, place and element of each text's rarest elements: two texts that reach the similarity share one.
+
+    All texts have their elements in one order, by rarity and then by hash. An overlap of similarity needs that share of
+    the larger text's elements in common, so the first common one has as many behind it.
+    """
+    count, kind = rarity(texts), texts.schema["k"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "t"):
+            text, element = elements(part.column("t"))
+            order = np.lexsort((element, count[order_bins(element)], text))
+            text, element = text[order], element[order]
+            n = np.bincount(text, minlength=part.num_rows)
+            place = np.arange(len(text)) - bounds(n)[:-1][text]
+            rare = n[text] - place >= similarity * n[text] - 1e-6
+            parity = parities(part.num_rows, text, element)
+            for at in np.array_split(np.flatnonzero(rare), rare.sum() // 16384 + 1):
+                own, k = text[at], part.column("k").take(pa.array(text[at]))
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * PARITY, pa.int32()), pa.array(parity[own].ravel()))
+                yield pa.RecordBatch.from_arrays([k, pa.array(n[own]), bits, pa.array(place[at]), pa.array(element[at].view(np.int64))], ["k", "n", "parity", "place", "element"])
+
+    return bounded_batches(texts).mapInArrow(cut, f"k {kind}, n long, parity array<long>, place long, element long")
+
 
-    The picks are drawn anew for each bucket and seed. A bucket's texts share samples, so its members of the largest
-    class are those most like the others in it.
+def across(many: DataFrame, labels: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """Distinct pairs a, b: of the texts in crowds of several classes, all of different classes that can reach the similarity.
+
+    Of an element's texts, those of its largest class meet the others only, not one another.
     """
-    spread = many.join(labels, "k")
-    draws = [F.min_by("k", F.xxhash64("k", "bucket", F.lit(PICKS * seed + i))) for i in range(PICKS)]
-    classes = spread.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.array_distinct(F.array(*draws)).alias("picks"))
-    main = classes.groupBy("bucket").agg(F.max_by(F.struct("label", "picks"), F.struct("n", "label")).alias("main"), F.count("*").alias("c")).filter("c > 1").select("bucket", "main")
-    others = classes.join(main, "bucket").filter("label <> main.label").select(F.explode("picks").alias("k"), F.col("main.picks").alias("other"))
-    return others.select("k", F.explode("other").alias("o")).select(*ordered(F.col("k"), F.col("o"))).distinct()
+    spread = many.join(labels, "k").groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("bucket")
+    crowd = written(many.join(spread, "bucket", "left_semi").select("k").distinct(), "crowd")
+    rare = written(prefixes(written(texts_of(crowd, docs, key, text), "crowd_texts"), similarity).join(labels, "k"), "prefixes")
+    classes = rare.groupBy("element", "label").agg(F.count("*").alias("c"))
+    main = classes.groupBy("element").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("classes")).filter("classes > 1").select("element", "main")
+    known = written(rare.join(main, "element"), "shared_elements")
+    side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("k", "n", "parity", "place", "label")]
+    other = known.filter("label <> main").select("element", "main", *side("a"))
+    met = other.join(known.select("element", *side("b")), "element").filter("labela <> labelb AND (labelb = main OR ka < kb)")
+    every = F.col("na") + F.col("nb")
+    needed = similarity / (1 + similarity) * every - 1e-6  # elements in common
+    behind = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
+    apart = reduce(Column.__add__, (F.bit_count(F.col("paritya")[i].bitwiseXOR(F.col("parityb")[i])) for i in range(PARITY)))
+    return met.filter((behind >= needed) & (every - apart >= 2 * needed)).select(*ordered(F.col("ka"), F.col("kb"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -251,17 +326,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     hubs = pivoted(many, degree).filter("k <> pivot").select(*ordered(F.col("k"), F.col("pivot")))
     pairs = within.union(hubs).distinct()
     labels = texts.select("k", F.col("k").alias("label"))
-    tested: DataFrame | None = None
-    for seed in range(ROUNDS + 1):  # first all small buckets and the hubs, then the classes that still meet in a crowd
-        if tested is not None:
-            pairs = meetings(many, labels, seed).join(tested, ["a", "b"], "left_anti")
+
+    def linked(labels: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = written(similarities(written(pairs, "pairs"), docs, factor, key, text), "similarities")
         # the damped weights take at most their share off a pair's overlap
         links = found.filter((F.col("similarity") >= similarity * (1 - DAMPING)) & (F.col("overlap") >= similarity))
-        if links.isEmpty():
-            break
-        tested = found.select("a", "b") if tested is None else tested.union(found.select("a", "b"))
-        labels = relabelled(labels, links)
+        return found.select("a", "b"), relabelled(labels, links)
+
+    tested, labels = linked(labels, pairs)  # all small buckets and the hubs
+    _, labels = linked(labels, across(many, labels, docs, key, text, similarity).join(tested, ["a", "b"], "left_anti"))
     named = texts.select("same", "k").join(labels, "k").select("same", F.col("k").alias("text_id"), F.col("label").alias("class_id"))
     return sketched.select("k", "same").join(named, "same", "left").select(F.col("k").alias(key), "class_id", "text_id")
 

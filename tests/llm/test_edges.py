@@ -228,6 +228,29 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(ours[k] == want[k] for k in texts)
 
 
+def test_small_classes_of_a_crowd_equal_brute_force(spark):
+    """Two hundred pairs barely at the threshold, in a crowd whose largest class is like neither of them."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+
+    def edited(text, places):
+        own = list(text)
+        for p in places:
+            own[p] = rng.choice(words)
+        return own
+
+    base = rng.choices(words, k=200)
+    texts = [edited(base, rng.sample(range(200), 1)) for _ in range(300)]
+    for _ in range(200):
+        inner = edited(base, rng.sample(range(200), 6))
+        texts += [edited(inner, rng.sample(range(200), 2)) for _ in range(2)]
+    texts = {i: " ".join(t) for i, t in enumerate(texts)}
+    got = icws_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).toPandas()
+    want = brute_classes(texts)
+    assert len(set(want.values())) > 50
+    assert dict(zip(got["doc_id"], got["class_id"], strict=True)) == want
+
+
 def test_shuffle_is_uniform_and_repeats(spark):
     docs = spark.range(4000).withColumnRenamed("id", "doc_id")
     first, again, other = (dict((r.doc_id, (r.shard, r.slot)) for r in two_pass_shuffle.two_pass_shuffle(docs, "doc_id", F.lit(1000), 4, seed, 300_000).collect()) for seed in (1, 1, 2))
