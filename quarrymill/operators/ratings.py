@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrymill.functions.quality import priority
 from quarrymill.operators.relations import canonical, last_comparison, zero
@@ -41,28 +44,38 @@ def replay(comparisons: DataFrame, start: DataFrame, scope: str, engine: str = "
     """The log of all comparisons: values before and after, and counts, in each scope's order (made_at, id).
 
     start has asset_id, mu and sigma (for elo: mu is the rating); missing assets get the defaults. An order-dependent
-    fold is one task per scope; scopes are what runs in parallel.
+    fold is one task per scope; scopes are what runs in parallel. Spark sorts the comparisons, and the task folds them batch
+    by batch: of a scope it holds the state of its assets and one batch, not its comparisons.
     """
     both = comparisons.join(start.select(F.col("asset_id").alias("winner"), F.col("mu").alias("wm"), F.col("sigma").alias("ws")), "winner", "left").join(start.select(F.col("asset_id").alias("loser"), F.col("mu").alias("lm"), F.col("sigma").alias("ls")), "loser", "left")
     mu0, sigma0 = (ELO, 0.0) if engine == "elo" else (MU, SIGMA)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state: dict[int, tuple[float, float, int]] = {}
-        out = []
-        for r in rows.sort_values(["made_at", "id"]).itertuples():
-            for asset, m, s in ((r.winner, r.wm, r.ws), (r.loser, r.lm, r.ls)):
-                state.setdefault(asset, (mu0 if pd.isna(m) else m, sigma0 if pd.isna(s) else s, 0))
-            (wm, ws, wc), (lm, ls, lc) = state[r.winner], state[r.loser]
-            if engine == "elo":
-                (nw, nl), nws, nls = elo_update(wm, lm, r.is_draw), ws, ls
-            else:
-                (nw, nws), (nl, nls) = skill_update((wm, ws), (lm, ls), r.is_draw)
-            state[r.winner], state[r.loser] = (nw, nws, wc + 1), (nl, nls, lc + 1)
-            out.append((r.id, r.made_at, r.scope, r.winner, r.loser, wm, nw, ws, nws, lm, nl, ls, nls, wc + 1, lc + 1))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in LOG.split(", ")])
+    kinds = [(f.name, pa.float64() if isinstance(f.dataType, T.DoubleType) else pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.int64()) for f in T.StructType.fromDDL(LOG)]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[int | None, tuple[float, float, int]] = {}
+        of = ()  # the scope of the state; none yet
+        for batch in batches:
+            out = []
+            for id_, made_at, own, winner, loser, is_draw, wm0, ws0, lm0, ls0 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if of != own:
+                    state, of = {}, own
+                state.pop(None, None)  # missing assets have nothing in common
+                for asset, m, s in ((winner, wm0, ws0), (loser, lm0, ls0)):
+                    state.setdefault(asset, (mu0 if pd.isna(m) else m, sigma0 if pd.isna(s) else s, 0))
+                (wm, ws, wc), (lm, ls, lc) = state[winner], state[loser]
+                if engine == "elo":
+                    (nw, nl), nws, nls = elo_update(wm, lm, is_draw), ws, ls
+                else:
+                    (nw, nws), (nl, nls) = skill_update((wm, ws), (lm, ls), is_draw)
+                state[winner], state[loser] = (nw, nws, wc + 1), (nl, nls, lc + 1)
+                out.append((id_, made_at, own, winner, loser, wm, nw, ws, nws, lm, nl, ls, nls, wc + 1, lc + 1))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out, strict=True), kinds, strict=True)], [n for n, _ in kinds])
 
     given = both.select("id", "made_at", F.col(scope).alias("scope"), "winner", "loser", "is_draw", "wm", "ws", "lm", "ls")
-    return given.groupBy("scope").applyInPandas(fold, LOG)
+    in_order = given.repartition("scope").sortWithinPartitions("scope", F.asc_nulls_last("made_at"), F.asc_nulls_last("id"))
+    return in_order.mapInArrow(fold, LOG)
 
 
 def final_ratings(log: DataFrame) -> DataFrame:

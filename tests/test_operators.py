@@ -141,6 +141,29 @@ def test_skill_update_moves_and_shrinks():
     assert ratings.skill_update((25.0, 25 / 3), (25.0, 25 / 3), True)[0][0] == 25
 
 
+def test_replay_folds_scopes_batch_by_batch(spark):
+    """Equal to a plain fold where batches end within scopes; no task is handed a whole scope."""
+    rows = [(i, i * 37 % 50, None if i % 9 == 8 else i % 3, i * 7 % 11, (i * 7 + 1 + i % 4) % 11, i % 5 == 0) for i in range(400)]
+    table = spark.createDataFrame(rows, "id long, made_at long, scope long, winner long, loser long, is_draw boolean")
+    begin = spark.createDataFrame([(3, 1600.0, 0.0)], "asset_id long, mu double, sigma double")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        made = ratings.replay(table, begin, "scope")
+        got = {r.id: (r.scope, r.winner_mu_after, r.loser_mu_after, r.winner_count, r.loser_count) for r in made.collect()}
+    finally:
+        spark.conf.set(size, old)
+    state, want = {}, {}
+    for i, _, scope, w, l, draw in sorted(rows, key=lambda r: (r[1], r[0])):  # noqa: E741
+        (mw, nw), (ml, nl) = (state.get((scope, x), (1600.0 if x == 3 else 1500.0, 0)) for x in (w, l))
+        mw, ml = ratings.elo_update(mw, ml, draw)
+        state[scope, w], state[scope, l] = (mw, nw + 1), (ml, nl + 1)
+        want[i] = (scope, mw, ml, nw + 1, nl + 1)
+    assert got == want
+    assert "InPandas" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_next_pair_takes_the_closest(spark, assets):
     df = assets([dict(mu=float(m), sigma=float(s)) for m, s in ((26, 5), (25.7, 5), (12, 2), (40, 2))])
     none = spark.createDataFrame([], "a long, b long")
