@@ -64,12 +64,13 @@ def op5_piece_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarrymill.llm.two_pass_shuffle import shard_of, two_pass_shuffle, weight
+    from quarrymill.llm.two_pass_shuffle import shard_of, write_shards
 
     text, shards, seed = F.coalesce("text", F.lit("")), 40, 17
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    mixed = two_pass_shuffle(docs, "doc_id", F.col("size"), shards, seed)
-    return mixed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", shard_of("doc_id", shards + 1, seed).alias("grown_shard"))
+    size = (F.octet_length(text) + 16).cast("long")
+    files = write_shards(table(spark, sf_dir, "documents"), "doc_id", size, shards, seed)
+    grown = shard_of("doc_id", shards + 1, seed).alias("grown_shard")
+    return files.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", grown)
 
 
 def op7_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
