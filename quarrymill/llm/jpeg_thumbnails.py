@@ -8,8 +8,8 @@ store_texts() is the lossless way to keep any bytes so: each byte is the grey va
 quantiser of 8 and a restart marker after each row of 64 blocks. A JPEG holds 8191 rows; longer payloads are several
 images, one after the other in the same value.
 
-Defined cases: a null or empty text is 64 zero bytes; equal texts give equal media; null, broken or progressive media
-give null dimensions, thumbnail and hash.
+Defined cases: a null or empty text is 64 zero bytes; equal texts give equal media; null, broken, cut-off or progressive
+media give null images.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.shared import bounded_batches, bounds, slices
+from quarrymill.operators.tables import written
 
 ROW, MOST_ROWS = 64, 8191
 #: Bytes of text that are turned into media at a time.
@@ -226,7 +227,8 @@ def decode_scans(scans: list[Scan], tables: Tables) -> list[np.ndarray | None]:
     marks = np.flatnonzero(mark)
     wanted = np.array([-(-s.mcus // s.interval) for s in scans])
     have = np.searchsorted(marks, ends[1:]) - np.searchsorted(marks, ends[:-1]) + 1
-    good = have >= wanted
+    # a block has a bit of each table at least, so what names more blocks than its bytes can hold is cut off
+    good = (have >= wanted) & (8 * np.diff(ends) >= np.array([2 * s.mcus * len(s.blocks) for s in scans]))
     starts, blocks, of = [], [], []
     for k, s in enumerate(scans):
         if good[k]:
@@ -279,7 +281,10 @@ def decode_scans(scans: list[Scan], tables: Tables) -> list[np.ndarray | None]:
                     symbol = code & 0xFF
                     wrong[open_] |= code == 0
                     k[open_] += (symbol >> 4).astype(np.int32) + 1
-                    open_ = open_[(symbol != 0) & (code != 0) & (k[open_] < 64)]
+                    beyond = p[open_] > cap[open_]  # the image is cut off: zeros behind it may be codes, but not its own
+                    wrong[open_] |= beyond
+                    p[open_] = np.minimum(p[open_], cap[open_])
+                    open_ = open_[(symbol != 0) & (code != 0) & (k[open_] < 64) & ~beyond]
                 wrong |= p > cap[:n]
                 if wrong.any():
                     bad[of[rows[:n][wrong]]] = True
@@ -341,30 +346,30 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and media: each text's bytes, padded, as JPEG."""
+    """key, n_bytes and media: each text's bytes, padded, as JPEG."""
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", STORE_BYTES):
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(to_media(batch.column("t").to_pylist()), pa.binary())], ["k", "media"])
+            texts = batch.column("t").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(map(len, texts), pa.int64()), pa.array(to_media(texts), pa.binary())], ["k", "n_bytes", "media"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return _texts(docs, key, text).mapInArrow(store, f"k {kind}, media binary").withColumnRenamed("k", key)
+    return _texts(docs, key, text).mapInArrow(store, f"k {kind}, n_bytes long, media binary").withColumnRenamed("k", key)
 
 
 def media_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The media of store_texts() read back by their thumbnails: digests of both, and the feature of the images."""
+    """Stores store_texts() in the shared folder and reads it back by its thumbnails: digests of both, and the images' feature."""
     names = ["k", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", STORE_BYTES):
-            texts = batch.column("t").to_pylist()
-            media = to_media(texts)
-            rows = []
-            for t, m, images in zip(texts, media, read_media(media), strict=True):
+        for batch in slices(batches, "media", STORE_BYTES):
+            media, rows = batch.column("media").to_pylist(), []
+            for m, images in zip(media, read_media(media), strict=True):
                 payload = b"".join(i.thumbnail.tobytes() for i in images)
-                rows.append((len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(images)))
-            yield pa.RecordBatch.from_arrays([batch.column("k"), *map(pa.array, zip(*rows, strict=True))], names)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(images)))
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("n_bytes"), *map(pa.array, zip(*rows, strict=True))], names)
 
     kind = docs.schema[key].dataType.simpleString()
     shape = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _texts(docs, key, text).mapInArrow(digest, f"k {kind}, {shape}").withColumnRenamed("k", key)
+    stored = written(store_texts(docs, key, text).withColumnRenamed(key, "k"), "media")
+    return bounded_batches(stored).select("k", "n_bytes", "media").mapInArrow(digest, f"k {kind}, {shape}").withColumnRenamed("k", key)

@@ -48,6 +48,7 @@ OPERATORS = {
     "rules": lambda d, y: llr_rules.judge_documents(d, llr_rules.trusted_keys(y)),
     "pieces": lambda d, y: piece_merge.encode_texts(d, PIECE),
     "shuffle": lambda d, y: two_pass_shuffle.two_pass_shuffle(d, "doc_id", size(d), 3),
+    "shards": lambda d, y: two_pass_shuffle.write_shards(d, "doc_id", size(d), 3),
     "urls": lambda d, y: url_trie.filter_urls(d, [("block", "com", "/")], "doc_id", "text"),
     "classifier": lambda d, y: eb_classifier.classify(d, y),
     "duplicates": lambda d, y: icws_dedup.near_duplicates(d),
@@ -131,6 +132,20 @@ def test_jpeg_of_any_bytes_and_broken_ones():
     assert jpeg_thumbnails.read_media([None, b"", b"abc", media[2][:-30], media[3][:60], media[2].replace(b"\xff\xc0", b"\xff\xc2")]) == [None] * 6
 
 
+def test_jpeg_cut_off_in_a_scan_whose_zeros_are_a_code():
+    """The AC code of all zeros isn't the end of block, so zeros behind the data could be read for ever."""
+    zeros = [0] * 16
+    dc, ac = bytes([*zeros[:3], 9, *zeros[:12], *range(9)]), bytes([0, 3, *zeros[:14], 0x11, 0x12, 0x00])
+    s = jpeg_thumbnails.segment
+    head = b"\xff\xd8" + s(0xDB, b"\0" + bytes([8] + [1] * 63)) + s(0xC0, bytes([8, 0, 64, 0, 64, 1, 1, 0x11, 0])) + s(0xC4, b"\0" + dc) + s(0xC4, b"\x10" + ac) + s(0xDA, bytes([1, 1, 0, 0, 63, 0]))
+    bits = ("0000" + "000" * 4 + "10") * 64
+    data = int(bits + "1" * (-len(bits) % 8), 2).to_bytes(-(-len(bits) // 8), "big")
+    whole = head + data + b"\xff\xd9"
+    assert jpeg_thumbnails.read_media([whole])[0][0].thumbnail.tolist() == [[128] * 8] * 8
+    found = jpeg_thumbnails.read_media([whole[:n] for n in range(len(whole) + 1)])
+    assert all(x is None or x[0].thumbnail.shape == (8, 8) for x in found) and sum(x is not None for x in found) <= 3
+
+
 def test_jpeg_with_ac_coefficients_and_subsampling():
     """A colour image written here by hand: 4:2:0, AC codes, no restart markers."""
     rng, zeros = random.Random(5), [0] * 16
@@ -148,6 +163,10 @@ def test_jpeg_with_ac_coefficients_and_subsampling():
     data = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
     s = jpeg_thumbnails.segment
     media = b"\xff\xd8" + s(0xDB, b"\0" + bytes([2] + [1] * 63)) + s(0xC0, bytes([8, 0, 48, 0, 32, 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])) + s(0xC4, b"\0" + dc) + s(0xC4, b"\x10" + ac) + s(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0])) + data + b"\xff\xd9"
+    prefixes = [media[:n] for n in range(len(media))]
+    assert sum(x is not None for x in jpeg_thumbnails.read_media(prefixes)) <= 2  # the end marker may be missing
+    huge = media.replace(bytes([8, 0, 48, 0, 32]), bytes([8, 255, 255, 255, 255]))
+    assert jpeg_thumbnails.read_media([huge]) == [None]
     (image,) = jpeg_thumbnails.read_media([media])[0]
     grey = np.clip(np.rint(np.array(luma) * 2 / 8 + 128), 0, 255).astype(np.uint8).reshape(3, 2, 2, 2).transpose(0, 2, 1, 3).reshape(6, 4)
     assert (image.width, image.height) == (32, 48) and np.array_equal(image.thumbnail, grey)
@@ -262,6 +281,21 @@ def test_shuffle_is_uniform_and_repeats(spark):
         assert abs(ranks) < 0.15
 
 
+def test_buckets_of_a_hot_key_fit_in_memory(spark):
+    """Three quarters of the rows have one key, so one shard holds them: its buckets are no larger than others'."""
+    docs = spark.range(20_000).select(F.when(F.col("id") % 4 < 3, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("x" * 84).alias("text"), F.lit("old").alias("shard"))
+    scattered, total = two_pass_shuffle.scatter(docs, "doc_id", F.lit(100), 8, bucket_bytes=10_000)
+    assert total == 2_000_000 and scattered.groupBy("shard", "bucket").count().agg(F.max("count")).first()[0] < 170
+    files = two_pass_shuffle.write_shards(docs, "doc_id", F.lit(100), 8, bucket_bytes=10_000)
+    got = files.toPandas()
+    assert len(got) == 20_000 and set(got["text"]) == {"x" * 84} and set(got["shard"]) <= set(range(8))
+    for _, own in got.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
+    weights = dict(spark.range(50).select("id", two_pass_shuffle.shard_of("id", 5)).collect())
+    every = {(r["k"], r["s"]): r["w"] for r in spark.range(50).select(F.col("id").alias("k")).crossJoin(spark.range(5).select(F.col("id").cast("int").alias("s"))).select("k", "s", two_pass_shuffle.weight("k", F.col("s"), 0).alias("w")).collect()}
+    assert all(s == max(range(5), key=lambda x: every[k, x]) for k, s in weights.items())  # noqa: B023
+
+
 def test_held_out_toxic_and_junk(spark):
     from quarrymill.llm.queries import table
 
