@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); one of our own only where it is unset, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir); one of our own only where it is unset and Spark is local."""
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -21,7 +23,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder."""
+    """df as a table in the shared folder, in few bytes."""
     spark = df.sparkSession
-    df.write.parquet(path := new_folder(spark, name))
+    df.write.option("compression", "zstd").parquet(path := new_folder(spark, name))
     return spark.read.schema(df.schema).parquet(path)
