@@ -4,17 +4,23 @@ A page's text falls into blocks at block-level tags. Each block gets a score fro
 names of what it stands in, words, links, sentence marks); its positive part is the capacity from the source (content),
 its negative part that to the sink (boilerplate). Blocks that are neighbours on the page, or in the same container, are
 joined by smoothness edges. The maximum flow separates content from boilerplate; content blocks are joined in page order.
+The classifier's costs are of the order of the edges: headings, one-word paragraphs and the like, which look like
+boilerplate by themselves, take the side of what they stand beside.
+
+A page is read in one pass, in time that grows with its length whatever is left open or nested in it.
 
 Defined cases: a null or empty page, or one without content, gives an empty text; tags that are never closed end with
-what holds them or with the page; a script, style or comment that never ends takes the rest of the page; a lone "<" is
-text; repeated rows give equal rows.
+what holds them or with the page; a script, style or comment that never ends takes the rest of the page; a "<" that
+begins no tag, or one that no ">" ends, is text; where a quote in a tag is never closed, the tag ends at its first ">";
+repeated rows give equal rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,11 +29,13 @@ from pyspark.sql import DataFrame
 
 from quarrymill.llm.shared import map_rows
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: What may end a tag: its ">", or the quote that opens a value.
+TAG_END = re.compile(r""">|=\s*(["'])""")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-SENTENCE = re.compile(r"""[.!?…]["'”’)\]]*\s*$""")
+SENTENCE = re.compile(r"""[.!?…]["'”’)\]]*$""")
 
 #: HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,40 +44,51 @@ RAW = frozenset("script style noscript template svg math iframe object canvas au
 #: Elements of which an open one ends when the tag begins.
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 BOILERPLATE_TAGS = frozenset("nav footer aside form button menu dialog fieldset header".split())
-#: Words of class, id and role that name what is not the article, and what is.
+#: Words of class, id and role that name what is not the article, and what is, and words that say nothing beside them.
 BOILERPLATE_NAMES = frozenset(
     "ad ads adsbygoogle adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar toolbar comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login register social share sharing related recommended recommendations widget widgets search searchform form pagination pager copyright legal disclaimer skip tags tagcloud trending teaser outbrain taboola contentinfo complementary".split()
 )
+CONTENT_NAMES = frozenset("article content post entry story body text main prose".split())
+PLAIN_NAMES = frozenset("button buttons link links panel group title label icon icons form site page global box list item items wrap wrapper container inner outer area section block bar row col primary secondary top bottom left right".split())
 #: Of an article element, the names that tell it from the main one.
 OTHER_ARTICLES = frozenset("ad ads advert advertisement comment comments related reply replies sponsored teaser".split())
-CONTENT_NAMES = frozenset("article content post entry story body text main prose".split())
 
-#: The classifier's weights.
-BIAS, BOILERPLATE, ARTICLE, NAMED, LINKS, WORDS, SENTENCES, PARAGRAPH, HEADING = -1.5, -12.0, 5.0, 1.0, -5.0, 0.7, 1.2, 0.8, 0.5
+#: The classifier's weights. NAMED_BAD is of a name that says boilerplate in all its parts, HINTED of one that has such a part.
+BIAS, WORDS, SENTENCES, PARAGRAPH, HEADING, LINKS = -4.0, 0.7, 1.2, 0.8, 2.0, -4.0
+BOILERPLATE, NAMED_BAD, HINTED, UNSEEN, ARTICLE, NAMED = -5.0, -4.0, -1.5, -12.0, 2.0, 1.0
 #: Smoothness: neighbours on the page, and the next block in the same container.
-ADJACENT, TOGETHER = 0.4, 0.8
+ADJACENT, TOGETHER = 0.3, 1.5
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, eq=False)
 class Element:
     tag: str
     parent: Element | None
-    names: frozenset[str] = frozenset()
+    names: tuple[str, ...] = ()
     hidden: bool = False
     article: bool = False  # holds an article or main, or is one
-    state: tuple[bool, bool, bool] | None = None
-
-    def context(self) -> tuple[bool, bool, bool]:
-        """Whether the element stands in boilerplate, in an article, in something named like content."""
-        if self.state is None:
-            bad, inside, named = self.parent.context() if self.parent else (False, False, False)
-            telling = {"html": frozenset(), "body": frozenset(), "article": OTHER_ARTICLES, "main": OTHER_ARTICLES}.get(self.tag, BOILERPLATE_NAMES)
-            own = self.hidden or self.tag in BOILERPLATE_TAGS or bool(self.names & telling)
-            if self.tag == "header" and inside and not self.names & BOILERPLATE_NAMES:
-                own = self.hidden
-            holds = self.article and self.tag not in ("article", "main")  # what holds the article isn't boilerplate
-            self.state = bad or (own and not holds), (inside or self.tag in ("article", "main")), named or bool(self.names & CONTENT_NAMES)
-        return self.state
+    bad: float = 0.0  # cost of the worst boilerplate that it stands in
+    inside: bool = False
+    named: bool = False
+
+    def judge(self) -> None:
+        """Sets what the element says of its blocks, from itself and from its parent, which is judged before."""
+        above = self.parent
+        own = 0.0
+        if self.tag not in ("html", "body"):
+            own = min((said(n, OTHER_ARTICLES if self.tag in ("article", "main") else BOILERPLATE_NAMES) for n in self.names), default=0.0)
+        if self.tag in BOILERPLATE_TAGS and not (self.tag == "header" and above is not None and above.inside):
+            own = BOILERPLATE
+        if self.article and self.tag not in ("article", "main"):  # what holds the article isn't boilerplate
+            own = 0.0
+        if self.hidden:
+            own = UNSEEN
+        self.bad = min(own, above.bad if above else 0.0)
+        self.inside = self.tag in ("article", "main") or (above is not None and above.inside)
+        self.named = (above is not None and above.named) or any(not CONTENT_NAMES.isdisjoint(parts(n)) for n in self.names)
+
+    def cost(self) -> float:
+        return self.bad if self.bad <= NAMED_BAD else self.bad + ARTICLE * self.inside + NAMED * self.named
 
 
 @dataclass(slots=True)
@@ -80,15 +99,96 @@ class Block:
     text: str = ""
 
 
+def parts(name: str) -> list[str]:
+    return [p.lower() for p in PART.findall(name)]
+
+
+def said(name: str, words: frozenset[str]) -> float:
+    """The cost of a class or id: full where it begins with a boilerplate word, or has only plain words before it."""
+    own = parts(name)
+    if words.isdisjoint(own):
+        return 0.0
+    known = next(p for p in own if p not in PLAIN_NAMES) in words
+    return NAMED_BAD if known and all(p in words or p in PLAIN_NAMES or p in CONTENT_NAMES or p.isdigit() for p in own) else HINTED
+
+
+class Reader:
+    """A page and what is known not to come any more in it, so that no search for it is made twice."""
+
+    def __init__(self, page: str):
+        self.page, self.quoting = page, True
+        self.last = page.rfind(">")
+        self.never: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        """Where what comes next from at on, or -1."""
+        if what in self.never:
+            return -1
+        if (found := self.page.find(what, at)) < 0:
+            self.never.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Where the ">" of a tag is, whose name ends at at; -1 if there is none."""
+        if at > self.last:
+            return -1
+        place = at
+        while self.quoting and (found := TAG_END.search(self.page, place)):
+            if found[1] is None:
+                return found.start()
+            closed = self.find(found[1], found.end())
+            if closed < 0 or closed > self.last:
+                self.quoting = False  # a quote was left open somewhere: from here on quotes don't hide a ">"
+            place = closed + 1
+        return self.page.find(">", at)
+
+    def close(self, tag: str, at: int) -> int:
+        """Behind the end tag that closes a raw element, or -1."""
+        if tag in self.never:
+            return -1
+        found = re.compile(f"</{re.escape(tag)}(?![\\w-])", re.I).search(self.page, at)
+        if found is None:
+            self.never.add(tag)
+            return -1
+        return len(self.page) if found.end() > self.last else self.page.find(">", found.end()) + 1
+
+    def tokens(self) -> Iterator[tuple[str, bool, str]]:
+        """Text as ("", False, text), and tags as (name, whether it closes, the rest of the tag)."""
+        page, at = self.page, 0
+        while (begin := self.find("<", at)) >= 0:
+            found = TAG.match(page, begin)
+            if found is None:
+                mark = page[begin + 1 : begin + 2]
+                if mark and mark in "!?":
+                    yield "", False, page[at:begin]
+                    close = next((y for x, y in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(x, begin)), None)
+                    end = self.find(close or ">", begin + 2)
+                    if end < 0:
+                        at = len(page) if close else begin + 2
+                    else:
+                        at = end + len(close or ">")
+                else:
+                    yield "", False, page[at : begin + 1]
+                    at = begin + 1
+                continue
+            end = self.tag_end(found.end())
+            if end < 0:
+                yield "", False, page[at : found.end()]
+                at = found.end()
+                continue
+            yield "", False, page[at:begin]
+            at, tag = end + 1, found[1].lower()
+            closes, rest = page[begin + 1] == "/", page[found.end() : end]
+            yield tag, closes, rest
+            if tag in RAW and not closes and not rest.endswith("/"):
+                behind = self.close(tag, at)
+                at = behind if behind >= 0 else at if tag in ("head", "option", "title") else len(page)
+        yield "", False, page[at:]
+
+
 def parse(page: str) -> list[Block]:
     root = Element("html", None)
-    open_, at, link, blocks = [root], 0, 0, [Block(root)]
-
-    def put(text: str) -> None:
-        if text:
-            blocks[-1].parts.append(text)
-            if link and not text.isspace():
-                blocks[-1].linked += len(text.strip())
+    every, open_, count, link, blocks = [root], [root], Counter(), 0, [Block(root)]
 
     def cut() -> None:
         if blocks[-1].parts:
@@ -96,49 +196,44 @@ def parse(page: str) -> list[Block]:
         else:
             blocks[-1].element = open_[-1]
 
-    while found := TOKEN.search(page, at):
-        put(page[at : found.start()])
-        at = found.end()
-        close, tag, rest = found.group(1), found.group(2), found.group(3)
-        if tag is None:
-            close, tag, rest = found.group(4), found.group(5), found.group(6)
-            if tag is None:
-                continue
-        tag = tag.lower()
-        if tag in RAW and not close:
-            if not rest.endswith("/"):
-                end = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else (at if tag in ("head", "option", "title") else len(page))
-            if tag not in ("svg", "math", "option"):
+    for tag, closes, rest in Reader(page).tokens():
+        if not tag:
+            if rest:
+                blocks[-1].parts.append(rest)
+                blocks[-1].linked += link * len(rest.strip())
+        elif tag in RAW:
+            if not closes and tag not in ("svg", "math", "option"):
                 cut()
-            continue
-        if tag in INLINE:
+        elif tag in INLINE:
             if tag == "a":
-                link = 0 if close else 1
+                link = 0 if closes else 1
             elif tag == "img":
-                put(" ")
-            continue
-        if tag in VOID:
-            cut() if tag == "hr" else put(" ")
-            continue
-        link = 0
-        if close:
-            k = next((k for k in range(len(open_) - 1, 0, -1) if open_[k].tag == tag), 0)
-            if k:
-                del open_[k:]
+                blocks[-1].parts.append(" ")
+        elif tag in VOID:
+            cut() if tag == "hr" else blocks[-1].parts.append(" ")
         else:
-            names = frozenset()
-            if "=" in rest:
-                names = frozenset(p.lower() for m in NAMES.finditer(rest) for p in PART.findall(m[1] or m[2] or m[3] or ""))
-            if len(open_) > 1 and tag in CLOSED_BY.get(open_[-1].tag, ()):
-                open_.pop()
-            open_.append(Element(tag, open_[-1], names, bool(rest) and HIDDEN.search(rest) is not None))
-            if tag in ("article", "main"):
-                e = open_[-1]
-                while e is not None and not e.article:
-                    e.article, e = True, e.parent
-        cut()
-    put(page[at:])
+            link = 0
+            if closes:
+                while count[tag]:
+                    count[(gone := open_.pop()).tag] -= 1
+                    if gone.tag == tag:
+                        break
+            else:
+                names: tuple[str, ...] = ()
+                if "=" in rest:
+                    names = tuple(n for m in NAMES.finditer(rest) for n in (m[1] or m[2] or m[3] or "").split())
+                if len(open_) > 1 and tag in CLOSED_BY.get(open_[-1].tag, ()):
+                    count[open_.pop().tag] -= 1
+                open_.append(Element(tag, open_[-1], names, bool(rest) and HIDDEN.search(rest) is not None))
+                every.append(open_[-1])
+                count[tag] += 1
+                if tag in ("article", "main"):
+                    e = open_[-1]
+                    while e is not None and not e.article:
+                        e.article, e = True, e.parent
+            cut()
+    for e in every:
+        e.judge()
     kept = []
     for b in blocks:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
@@ -148,20 +243,20 @@ def parse(page: str) -> list[Block]:
 
 
 def scores(blocks: list[Block]) -> list[float]:
+    """The classifier: positive for content, negative for boilerplate."""
     out = []
     for b in blocks:
-        bad, inside, named = b.element.context()
         words = b.text.count(" ") + 1
-        score = BIAS + WORDS * min(np.log2(words + 1), 6.0) + LINKS * min(1.0, b.linked / len(b.text))
-        score += SENTENCES * (SENTENCE.search(b.text) is not None) + PARAGRAPH * (b.element.tag == "p") + HEADING * (b.element.tag in ("h1", "h2", "h3"))
-        out.append(float(score + BOILERPLATE * bad + ARTICLE * inside + NAMED * named))
+        score = BIAS + WORDS * min(np.log2(words + 1), 6.0) + LINKS * min(1.0, b.linked / len(b.text)) + b.element.cost()
+        score += SENTENCES * (SENTENCE.search(b.text, max(0, len(b.text) - 16)) is not None) + PARAGRAPH * (b.element.tag == "p") + HEADING * (b.element.tag in ("h1", "h2", "h3"))
+        out.append(float(score))
     return out
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     edges, last = [(i, i + 1, ADJACENT) for i in range(len(blocks) - 1)], {}
     for i, b in enumerate(blocks):
-        holder = id(b.element.parent or b.element)
+        holder = b.element.parent or b.element
         if holder in last:
             edges.append((last[holder], i, TOGETHER))
         last[holder] = i
@@ -172,7 +267,8 @@ def minimum_cut(capacity: list[float], edges: list[tuple[int, int, float]]) -> l
     """Which nodes stay with the source: capacity is to the source if positive, else to the sink; edges go both ways.
 
     A node whose terminal capacity exceeds all its edges is on that side in every minimum cut; it is settled first, and
-    its edges become terminal capacities of its neighbours. Augmenting paths decide about the rest.
+    its edges become terminal capacities of its neighbours. The maximum flow, by shortest paths found a level at a time
+    (Dinic), decides about the rest.
     """
     n = len(capacity)
     near: list[dict[int, float]] = [{} for _ in range(n)]
@@ -192,34 +288,41 @@ def minimum_cut(capacity: list[float], edges: list[tuple[int, int, float]]) -> l
             near[i] = {}
     rest = [i for i in range(n) if side[i] is None]
     flow = {i: dict(near[i]) for i in rest}  # residual capacities
-    source, sink = {i: max(own[i], 0.0) for i in rest}, {i: max(-own[i], 0.0) for i in rest}
+    source, sink, tiny = {i: max(own[i], 0.0) for i in rest}, {i: max(-own[i], 0.0) for i in rest}, 1e-9
     while True:
-        before: dict[int, int | None] = {i: None for i in rest if source[i] > 1e-12}
-        queue, end = deque(before), None
-        while queue and end is None:
+        level = {i: 0 for i in rest if source[i] > tiny}
+        queue, found = deque(level), False
+        while queue:
             i = queue.popleft()
-            if sink[i] > 1e-12:
-                end = i
-                break
+            found = found or sink[i] > tiny
             for j, w in flow[i].items():
-                if w > 1e-12 and j not in before:
-                    before[j] = i
+                if w > tiny and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if end is None:
-            break
-        path = [end]
-        while (i := before[path[-1]]) is not None:
-            path.append(i)
-        path.reverse()
-        push = min(source[path[0]], sink[end], *(flow[a][b] for a, b in zip(path, path[1:], strict=False)))
-        source[path[0]] -= push
-        sink[end] -= push
-        for a, b in zip(path, path[1:], strict=False):
-            flow[a][b] -= push
-            flow[b][a] += push
-    for i in rest:
-        side[i] = i in before
-    return side
+        if not found:
+            return [bool(s) if s is not None else i in level for i, s in enumerate(side)]
+        onward = {i: iter(list(flow[i])) for i in level}
+        for first in [i for i in level if level[i] == 0]:
+            path = [first]
+            while path and source[first] > tiny:
+                i = path[-1]
+                if sink[i] > tiny:
+                    steps = list(zip(path, path[1:], strict=False))
+                    push = min(source[first], sink[i], *(flow[a][b] for a, b in steps))
+                    source[first] -= push
+                    sink[i] -= push
+                    for a, b in steps:
+                        flow[a][b] -= push
+                        flow[b][a] += push
+                    full = next((k for k, (a, b) in enumerate(steps) if flow[a][b] <= tiny), None)
+                    if full is not None:
+                        del path[full + 1 :]
+                    continue
+                j = next((j for j in onward[i] if flow[i][j] > tiny and level.get(j) == level[i] + 1), None)
+                if j is None:
+                    path.pop()
+                else:
+                    path.append(j)
 
 
 def main_text(page: str | None) -> str:

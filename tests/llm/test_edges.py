@@ -195,6 +195,42 @@ def test_main_text_of_a_page_without_article():
     assert html_mincut.main_text(None) == html_mincut.main_text("<script>never closed") == ""
 
 
+def test_the_cut_overrules_the_classifier():
+    """Edges change the label of blocks, on the given pages too, and never for the worse there."""
+    page = """<html><body><nav><a href=a>Home</a></nav><div class="content"><h2>Title</h2><p>First paragraph with quite a few words in it, so that it counts.</p><p>Short.</p><p>Last paragraph, with as many words in it as the first one.</p></div>
+    <div class="social"><p>Share</p></div></body></html>"""
+    blocks = html_mincut.parse(page)
+    alone = [s > 0 for s in html_mincut.scores(blocks)]
+    cut = html_mincut.minimum_cut(html_mincut.scores(blocks), html_mincut.edges_of(blocks))
+    assert alone == html_mincut.minimum_cut(html_mincut.scores(blocks), [])
+    changed = [b.text for b, x, y in zip(blocks, alone, cut, strict=True) if x != y]
+    assert "Short." in changed and "Home" not in changed and "Share" not in changed
+    assert html_mincut.main_text(page).startswith("Title First") and html_mincut.main_text(page).endswith("Short. Last paragraph, with as many words in it as the first one.")
+    import duckdb
+
+    flips = 0
+    for (page,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.1/pages.parquet'").fetchall():
+        blocks = html_mincut.parse(page)
+        score = html_mincut.scores(blocks)
+        flips += sum((s > 0) != k for s, k in zip(score, html_mincut.minimum_cut(score, html_mincut.edges_of(blocks)), strict=True))
+    assert flips > 0
+
+
+def test_names_that_only_hint_at_boilerplate():
+    page = """<article><header class="entry-header"><h1>Title</h1></header><p>A paragraph of the article, with a good many words in it.</p>
+    <div class="social-policy"><p>This long paragraph is about social policy and what it means for all of us.</p></div><div class="share-buttons">Share this article with all of your friends and with the others.</div></article>"""
+    assert html_mincut.main_text(page) == "Title A paragraph of the article, with a good many words in it. This long paragraph is about social policy and what it means for all of us."
+
+
+@pytest.mark.parametrize("page", ["<a " * 3_400_000, "<a '" * 200_000, "<a x='" * 200_000 + ">", "<option>x" * 100_000, "<div>" * 100_000 + "text" + "</p>" * 100_000 + "</div>" * 100_000, "<!--" * 200_000, "<script" * 200_000, "<script></script" * 100_000, "<" * 2_000_000, "<a x='>' y='" * 100_000, "<ul><li><a>x</a> two three. " * 30_000])
+def test_pages_of_broken_tags_take_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    html_mincut.main_text(page)
+    assert time.perf_counter() - began < 30
+
+
 def test_longest_url_rule():
     trie = url_trie.build([("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "example.com", "/en/7"), ("block", "net", ""), ("allow", "a.net", "/x/y")])
     find = lambda u: url_trie.longest(trie, *url_trie.split_url(u))
