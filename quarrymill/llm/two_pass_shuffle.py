@@ -63,5 +63,5 @@ def write_shards(docs: DataFrame, key: str, size: Column, n_shards: int, seed: i
     """The shards as written: whole records in one folder per shard, each bucket a file in order of slot; read back with shard and slot."""
     mixed = two_pass_shuffle(docs, key, size, n_shards, seed, bucket_bytes)
     path = new_folder(docs.sparkSession, "shards")
-    mixed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    mixed.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
     return docs.sparkSession.read.schema(mixed.schema).parquet(path)
