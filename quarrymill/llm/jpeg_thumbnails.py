@@ -32,9 +32,11 @@ from quarrymill.operators.tables import written
 ROW, MOST_ROWS = 64, 8191
 #: Bytes of text that are turned into media at a time.
 STORE_BYTES = 1 << 20
-#: Our Huffman tables: DC categories 0 to 8 in four bits each, and the AC end of block in one.
-DC_BITS = 4
-DC_TABLE = bytes([0, 0, 0, 9, *[0] * 12, *range(9)])
+#: Our Huffman tables. A DC category's code has such a length that with its value and the one bit of the AC end of block
+#: it fills whole bytes: one up to category 6, two for 7, three for 8. So words that come again are bytes that come again,
+#: and the column compresses as text does.
+DC_LENGTHS = (7, 6, 5, 4, 3, 2, 1, 8, 15)
+DC_TABLE = bytes([*(DC_LENGTHS.count(n) for n in range(1, 17)), *sorted(range(9), key=DC_LENGTHS.__getitem__)])
 AC_TABLE = bytes([1, *[0] * 15, 0])
 QUANTISER = bytes([8, *[1] * 63])
 
@@ -57,14 +59,21 @@ def header(rows: int) -> bytes:
 
 
 def code_table() -> tuple[np.ndarray, np.ndarray]:
-    """For a difference of -255 to 255, at + 255: the bits of its DC code, its value and the end of block; their number."""
-    d = np.arange(-255, 256)
-    category = np.ceil(np.log2(np.abs(d) + 1)).astype(np.int64)
-    value = np.where(d < 0, d + (1 << category) - 1, d)
-    return (((category << category) | value) << 1).astype(np.uint16), (DC_BITS + category + 1).astype(np.uint8)
+    """For a difference of -255 to 255, at + 255: the bytes of its DC code, its value and the end of block; their number."""
+    codes, code, last = {}, 0, 0
+    for category in sorted(range(9), key=DC_LENGTHS.__getitem__):
+        code <<= DC_LENGTHS[category] - last
+        codes[category], last, code = code, DC_LENGTHS[category], code + 1
+    out, used = np.zeros((511, 3), np.uint8), np.zeros(511, np.int64)
+    for d in range(-255, 256):
+        n = abs(d).bit_length()
+        used[d + 255] = size = (DC_LENGTHS[n] + n + 1) // 8
+        value = d if d >= 0 else d + (1 << n) - 1
+        out[d + 255, :size] = list(((codes[n] << n | value) << 1).to_bytes(size, "big"))
+    return out, used
 
 
-CODES, CODE_BITS = code_table()
+CODES, CODE_BYTES = code_table()
 
 
 def scans(payload: np.ndarray, last: np.ndarray, restart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,13 +83,9 @@ def scans(payload: np.ndarray, last: np.ndarray, restart: np.ndarray) -> tuple[n
     """
     rows = payload.reshape(-1, ROW).astype(np.int16)
     step = np.diff(rows, axis=1, prepend=np.int16(128)) + 255
-    used = CODE_BITS[step]
-    pad = (-used.sum(axis=1, dtype=np.int64) % 8).astype(np.uint8)
-    bits = np.concatenate([used, pad[:, None]], axis=1)
-    codes = np.concatenate([CODES[step], ((1 << pad.astype(np.uint16)) - 1)[:, None].astype(np.uint16)], axis=1)
-    every = np.unpackbits(codes.astype(">u2").view(np.uint8)).reshape(-1, 16)
-    coded = np.packbits(every[np.arange(16) >= 16 - bits.reshape(-1, 1)])
-    sizes = bits.sum(axis=1, dtype=np.int64) // 8
+    used = CODE_BYTES[step]
+    coded = CODES[step.ravel()][np.arange(3) < used.reshape(-1, 1)]
+    sizes = used.sum(axis=1)
     stuffed = coded == 0xFF
     place = np.arange(len(coded)) + np.cumsum(stuffed) - stuffed + 2 * np.repeat(np.arange(len(sizes)), sizes)
     starts = bounds(sizes + 2 + np.add.reduceat(stuffed, bounds(sizes)[:-1], dtype=np.int64))
