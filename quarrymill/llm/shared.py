@@ -65,13 +65,15 @@ def bounds(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)])
 
 
-#: A side of a join is broadcast up to so many rows of an id and a few numbers; beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast up to so many bytes; beyond, both sides are shuffled.
+BROADCAST_BYTES = 16 << 20
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few rows, else df: the join is the same, only its plan differs."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows have few bytes in all, else df: the join is the same, only its plan differs."""
+    widths = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) if isinstance(f.dataType, T.StringType | T.BinaryType) else F.lit(8) for f in df.schema.fields]
+    size = df.select(F.sum(sum(widths, F.lit(24))).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def map_rows(df: DataFrame, text: str, judge: Callable[[pa.Array], dict[str, pa.Array]], shape: str, limit: int = SLICE_BYTES, extra: list[str] | None = None) -> DataFrame:

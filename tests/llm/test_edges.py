@@ -240,13 +240,17 @@ def test_longest_url_rule():
     assert find("x://b.a.net/x/yz#f") == ("a.net/x/y", "allow") and find("x://a.net?/x/y") == ("net", "block")
 
 
-def brute_classes(texts, threshold=0.8):
-    sets = {}
+def brute_classes(texts, weights, threshold=0.8):
+    """Components of all pairs by weighted Jaccard similarity, and whether plain Jaccard would have linked other pairs."""
+    bags, whole = {}, {}
     for k, t in texts.items():
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         n = min(5, len(w))
-        sets[k] = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if w else Counter()
-    parent = {k: k for k in texts}
+        whole[k] = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if w else Counter()
+        _, run, times = icws_dedup.shingles(pa.array([t]))
+        assert sorted(times) == sorted(whole[k].values())
+        bags[k] = dict(zip(run.tolist(), (times * weights.of(run)).tolist(), strict=True))
+    parent, differs = {k: k for k in texts}, Counter()
 
     def find(k):
         while parent[k] != k:
@@ -256,11 +260,25 @@ def brute_classes(texts, threshold=0.8):
     keys = sorted(texts)
     for i, a in enumerate(keys):
         for b in keys[:i]:
-            both, every = (sets[a] & sets[b]).total(), (sets[a] | sets[b]).total()
-            if texts[a] == texts[b] or (every and both / every >= threshold):
+            x, y = bags[a], bags[b]
+            common = sum(min(w, y[s]) for s, w in x.items() if s in y)
+            if not common and texts[a] != texts[b]:
+                continue
+            every = sum(x.values()) + sum(y.values()) - common
+            linked = texts[a] == texts[b] or common >= (threshold - 1e-9) * every
+            plain = (whole[a] & whole[b]).total() >= threshold * (whole[a] | whole[b]).total()
+            differs["more" if linked else "less"] += linked != plain
+            if linked:
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
-    return {k: find(k) for k in keys}
+    return {k: find(k) for k in keys}, differs
+
+
+def classes_of(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = icws_dedup.near_duplicates(docs).toPandas()
+    want, differs = brute_classes(texts, icws_dedup.frequencies(docs))
+    return dict(zip(got["doc_id"], got["class_id"], strict=True)), want, differs
 
 
 def test_near_duplicates_equal_brute_force(spark):
@@ -276,11 +294,8 @@ def test_near_duplicates_equal_brute_force(spark):
     for i in range(150, 300):
         texts[i] = " ".join(rng.choices(words, k=rng.choice([1, 3, 30, 120])))
     texts |= {300: "", 301: "", 302: texts[200]}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = icws_dedup.near_duplicates(docs).toPandas()
-    ours = dict(zip(got["doc_id"], got["class_id"], strict=True))
-    want = brute_classes(texts)
-    assert all(ours[k] == want[k] for k in texts)
+    ours, want, _ = classes_of(spark, texts)
+    assert ours == want
 
 
 def test_small_classes_of_a_crowd_equal_brute_force(spark):
@@ -299,11 +314,55 @@ def test_small_classes_of_a_crowd_equal_brute_force(spark):
     for _ in range(200):
         inner = edited(base, rng.sample(range(200), 6))
         texts += [edited(inner, rng.sample(range(200), 2)) for _ in range(2)]
-    texts = {i: " ".join(t) for i, t in enumerate(texts)}
-    got = icws_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).toPandas()
-    want = brute_classes(texts)
-    assert len(set(want.values())) > 50
-    assert dict(zip(got["doc_id"], got["class_id"], strict=True)) == want
+    ours, want, _ = classes_of(spark, {i: " ".join(t) for i, t in enumerate(texts)})
+    assert len(set(want.values())) > 50 and ours == want
+
+
+def test_frequent_passages_weigh_less(spark):
+    """IDF decides: texts alike but for passages that many have are linked, texts alike by such a passage are not."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(20_000)]
+    new = lambda n: rng.choices(words, k=n)
+    passages = [new(80), new(80)]
+    texts = [new(400) + passages[i % 2] for i in range(240)]
+    for _ in range(10):
+        body = new(400)
+        texts += [body + p for p in passages]
+        small = new(60)
+        texts += [small[:52] + new(8) + passages[0], small + passages[0]]
+    ours, want, differs = classes_of(spark, {i: " ".join(t) for i, t in enumerate(texts)})
+    assert differs["more"] >= 10 and differs["less"] >= 5
+    assert ours == want
+
+
+def test_given_documents_equal_weighted_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    ours, want, _ = classes_of(spark, docs)
+    assert ours == want
+
+
+def test_document_frequencies_are_exact(spark):
+    """Each text once, and a passage in every third; copies of one text count as one."""
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(20_000)]
+    passage, copied = rng.choices(words, k=30), " ".join(rng.choices(words, k=100))
+    texts = [" ".join(rng.choices(words, k=300) + passage * (i % 3 == 0)) for i in range(600)] + [copied] * 300
+    weights = icws_dedup.frequencies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    run = lambda t: icws_dedup.shingles(pa.array([t]))[1]
+    assert set(weights.of(run(copied))) == {1.0}
+    assert np.allclose(weights.of(run(" ".join(passage))), np.log1p(900 / 200) / np.log1p(900 / 16))
+    assert len(weights.run) == 26
+
+
+def test_one_key_on_several_texts(spark):
+    """Rows keep their number; each class keeps one document, also where a row is repeated or has no key."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (2, b + " end"), (1, a), (None, c), (None, c), (3, b), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = icws_dedup.near_duplicates(docs)
+    assert got.count() == len(rows) and {tuple(r) for r in got.collect()} == {(1, 1, 1), (2, 1, 1), (2, 1, 2), (None, None, None), (3, 1, 1), (7, 7, 7), (8, 7, 7)}
+    kept = icws_dedup.without_near_duplicates(docs).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(1, a), (1, b), (None, c), (7, None)], key=repr)
 
 
 def test_shuffle_is_uniform_and_repeats(spark):
