@@ -1,10 +1,12 @@
 """Packing by lexical retrieval: windows filled with a seed document and its nearest unused neighbours by BM25.
 
-Documents are dealt by range over shards of bounded size (first by the route columns, then by key, so a hot route is
-split). Each shard builds an inverted index of its words with BM25 weights. A document that is cut by a window's end, or
-else the next unused one, is the seed of the next window; the seed's strongest words are looked up, and its unused
-neighbours, best first, fill the window; the last one is cut at the window's end and goes on in the next. Only the last
-sequence of a shard is shorter than the window and padded.
+Documents are dealt by range over shards of bounded size: first by the route columns, then by the least hash of their long
+words, so that near copies meet, then by key, so that a hot group is split. Document frequencies and the mean length are
+counted over all documents, by hashed word in DF_BINS bins. Each shard has one inverted index with BM25 weights. A document
+that is cut by a window's end, or else the next unused one, is the seed of the next window; all its words are looked up,
+and its unused neighbours, best first, fill the window; the last one is cut at the window's end and goes on in the next.
+A look-up gives the NEIGHBOURS best documents of the shard exactly; when they are used up, the seed is looked up again
+among the unused ones. Only the last sequence of a shard is shorter than the window and padded.
 
 Defined cases: a null text counts as empty, and an empty text has only the end id; a document without neighbours is
 followed by the next unused one in key order; repeated rows are packed as often as they come; an empty table gives no
@@ -32,10 +34,16 @@ from quarrymill.llm.shared import TASK_BYTES, bounded_batches, bounds, parts_for
 from quarrymill.llm.word_codes import flat_ids, words_of
 
 WINDOW = 2048
-#: BM25's constants, the words of a seed that are looked up, and the neighbours that one look-up gives.
-K1, B, QUERY_WORDS, NEIGHBOURS = 1.2, 0.75, 12, 64
-#: Bytes of text in one index; a shard with more has several, one after the other.
-INDEX_BYTES = 8 << 20
+#: BM25's constants, and the neighbours that one look-up gives; more follow on demand.
+K1, B, NEIGHBOURS = 1.2, 0.75, 512
+DF_BINS = 1 << 20
+#: Letters from which on a word counts for a document's place among the shards.
+LONG_WORD = 7
+#: A word that more than one in FREQUENT documents of a shard has is a column of its matrix; SEEDS are looked up together.
+FREQUENT, SEEDS = 24, 128
+#: Bytes of text and documents in a shard, and a bound of memory: a range that can't be split further has several indexes
+#: beyond it.
+SHARD_BYTES, SHARD_DOCUMENTS, INDEX_BYTES = TASK_BYTES, 6000, 4 * TASK_BYTES
 START = "\x02"
 #: Texts in which words aren't parted by single spaces or line ends: they are encoded whole.
 ODD = r"[ \n][ \n]|[\t\x0b\x0c\r\x02\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -45,6 +53,54 @@ ODD = r"[ \n][ \n]|[\t\x0b\x0c\r\x02\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def marked_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """words_of() the texts; a text's first word begins with START, and a line's first with a line end."""
+    return words_of(pc.binary_join_element_wise(START, pc.replace_substring(texts, "\n", " \n"), ""))
+
+
+def word_counts(words: pa.Array, numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, hash and times of each text's distinct words, in lower case and without marks at the ends."""
+    plain = pc.utf8_trim(pc.utf8_lower(words), "\x02\n.,;:!?")
+    hashed = pd.util.hash_array(plain.to_numpy(zero_copy_only=False), categorize=False)
+    value, same = np.unique(hashed, return_inverse=True)
+    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    pair, times = np.unique(text * len(value) + same[numbers], return_counts=True)
+    return pair // len(value), value[pair % len(value)], times
+
+
+@dataclass
+class Statistics:
+    """Of all documents: their number, words in a mean one, and how many have a word of each bin."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    def idf(self, word: np.ndarray) -> np.ndarray:
+        df = np.minimum(self.df[(word >> np.uint64(44)).astype(np.int64)], self.n)
+        return np.log1p((self.n - df + 0.5) / (df + 0.5))
+
+
+def statistics(docs: DataFrame, text: str) -> Statistics:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n, length = np.zeros(DF_BINS, np.int64), 0, 0
+        for part in slices(batches, "t"):
+            words, numbers, starts = marked_words(part.column("t"))
+            _, word, times = word_counts(words.cast(pa.string()), numbers, starts)
+            total += np.bincount((word >> np.uint64(44)).astype(np.int64), minlength=DF_BINS)
+            n, length = n + part.num_rows, length + int(times.sum())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1, -2]), pa.array([*total[at].tolist(), n, length])], ["bin", "n"])
+
+    given = bounded_batches(docs).select(F.coalesce(F.col(text), F.lit("")).alias("t"))
+    got = given.mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # DF_BINS rows
+    at, found = got["bin"].to_numpy(), got["n"].to_numpy()
+    n, length = (int(found[at == x].sum()) for x in (-1, -2))
+    df = np.zeros(DF_BINS, np.float32)
+    df[at[at >= 0]] = found[at >= 0]
+    return Statistics(n, max(length / max(n, 1), 1.0), df)
+
+
 class ByteLevel:
     """Ids of a byte-level BPE whose words begin with the white space before them.
 
@@ -93,8 +149,7 @@ class ByteLevel:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
         """Ids with the end id, each text's number of ids; the distinct words, words in order, each text's begin."""
-        marked = pc.binary_join_element_wise(START, pc.replace_substring(texts, "\n", " \n"), "")
-        words, numbers, starts = words_of(marked)
+        words, numbers, starts = marked_words(texts)
         words = words.cast(pa.string())  # a slice is far below 2 GB
         of_word, length = self.of_words(words)
         own = length[numbers]
@@ -127,14 +182,8 @@ class Shard:
 
     def add(self, keys: pa.Array, texts: pa.Array, encoder: ByteLevel) -> None:
         ids, counts, words, numbers, starts = encoder.encode(texts)
-        plain = pc.utf8_trim(pc.utf8_lower(words), "\x02\n.,;:!?")
-        hashed = pd.util.hash_array(plain.to_numpy(zero_copy_only=False), categorize=False)
-        _, same = np.unique(hashed, return_inverse=True)
-        first = np.zeros(same.max() + 1, np.int64)
-        first[same] = np.arange(len(words))
-        text = np.repeat(np.arange(len(counts)), np.diff(starts))
-        pair, times = np.unique(text * (len(first) + 1) + same[numbers], return_counts=True)
-        self.words.append((self.n + pair // (len(first) + 1), hashed[first[pair % (len(first) + 1)]], times))
+        text, word, times = word_counts(words, numbers, starts)
+        self.words.append(((self.n + text).astype(np.int32), word, times.astype(np.float32)))
         self.keys.append(keys)
         self.ids.append(ids.astype(np.uint32))
         self.counts.append(counts)
@@ -143,59 +192,89 @@ class Shard:
 
 
 class Index:
-    """Postings by word, with BM25 weights; df is the shard's."""
+    """Postings by word with BM25 weights; the words that many documents have are columns of a matrix instead.
+
+    A document's score for a seed is the sum of its weights over the seed's distinct words.
+    """
 
-    def __init__(self, shard: Shard):
+    def __init__(self, shard: Shard, known: Statistics):
         document, word, times = map(np.concatenate, zip(*shard.words, strict=True))
         length = np.bincount(document, times, shard.n)
-        _, word, df = np.unique(word, return_inverse=True, return_counts=True)
-        idf = np.log(1 + (shard.n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length[document] / max(length.mean(), 1))
-        weight = idf[word] * times * (K1 + 1) / (times + norm)
-        by_word = np.argsort(word, kind="stable")
-        self.documents, self.weights, self.starts = document[by_word], weight[by_word], bounds(df)
-        # each document's strongest words that another one has too
-        shared = np.flatnonzero(df[word] > 1)
-        order = shared[np.lexsort((word[shared], -weight[shared], document[shared]))]
-        own = bounds(np.bincount(document[order], minlength=shard.n))
-        place = np.arange(len(order)) - own[document[order]]
-        best = order[place < QUERY_WORDS]
-        self.query, self.query_starts = word[best], bounds(np.bincount(document[best], minlength=shard.n))
-
-    def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
-        """Unused documents that share the seed's strongest words, best first, then by place."""
-        words = self.query[self.query_starts[seed] : self.query_starts[seed + 1]]
-        at = ranges(self.starts[words], self.starts[words + 1] - self.starts[words])
-        documents = self.documents[at]
-        free = ~used[documents]
-        found, which = np.unique(documents[free], return_inverse=True)
-        scores = np.bincount(which, self.weights[at][free], len(found))
-        return found[np.lexsort((found, -scores))[:NEIGHBOURS]].tolist()
+        distinct, word, df = np.unique(word, return_inverse=True, return_counts=True)
+        norm = (K1 * (1 - B + B * length / known.mean)).astype(np.float32)
+        weight = (known.idf(distinct)[word] * (times * (K1 + 1) / (times + norm[document]))).astype(np.float32)
+        common = FREQUENT * df > shard.n
+        column = np.cumsum(common) - 1
+        at = np.flatnonzero(common[word])
+        self.n, self.common = shard.n, np.zeros((shard.n, int(common.sum())), np.float32)
+        self.common[document[at], column[word[at]]] = weight[at]
+        at = np.flatnonzero(~common[word] & (df[word] > 1))  # a word that no other document of the shard has finds nothing
+        document, word, weight = document[at], word[at], weight[at]
+        self.words, self.own_starts = word.astype(np.int32), bounds(np.bincount(document, minlength=shard.n))
+        order = np.argsort(word, kind="stable")
+        self.documents, self.weights = document[order].astype(np.int64), weight[order].astype(np.float64)
+        self.starts = bounds(np.bincount(word, minlength=len(distinct)))
+
+    def scores(self, a: int, b: int) -> np.ndarray:
+        """Of all documents, for the seeds a to b - 1; a seed isn't its own neighbour."""
+        words = self.words[self.own_starts[a] : self.own_starts[b]]
+        length = self.starts[words + 1] - self.starts[words]
+        row = np.repeat(np.repeat(np.arange(b - a), np.diff(self.own_starts[a : b + 1])), length)
+        at = ranges(self.starts[words], length)
+        out = np.bincount(row * self.n + self.documents[at], self.weights[at], (b - a) * self.n).reshape(b - a, self.n).astype(np.float32)
+        out += (self.common[a:b] > 0).astype(np.float32) @ self.common.T
+        out[np.arange(b - a), np.arange(a, b)] = 0
+        return out
+
+    def nearest(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each document the best NEIGHBOURS others by score and then by place, and how many of them share a word with it."""
+        most = min(NEIGHBOURS, self.n)
+        out, count = np.zeros((self.n, most), np.int32), np.zeros(self.n, np.int64)
+        for a in range(0, self.n, SEEDS):
+            scores = self.scores(a, b := min(self.n, a + SEEDS))
+            found = np.sort(np.argpartition(scores, self.n - most, axis=1)[:, self.n - most :], axis=1)
+            best = np.take_along_axis(scores, found, axis=1)
+            out[a:b] = np.take_along_axis(found, np.argsort(-best, axis=1, kind="stable"), axis=1)
+            count[a:b] = (best > 0).sum(axis=1)
+        return out, count
+
+    def unused(self, seed: int, used: np.ndarray) -> list[int]:
+        """The best NEIGHBOURS unused documents that share a word with the seed."""
+        scores = self.scores(seed, seed + 1)[0]
+        scores[used] = 0
+        found = np.flatnonzero(scores > 0)
+        return found[np.lexsort((found, -scores[found]))][:NEIGHBOURS].tolist()
 
 
 def packing_order(shard: Shard, index: Index, window: int, filled: int) -> list[int]:
     """The order in which the documents are laid end to end, from a window that holds filled ids."""
-    counts = np.concatenate(shard.counts).tolist()
-    used, order, unused, seed = np.zeros(shard.n, bool), [], 0, None
+    counts, (nearest, known) = np.concatenate(shard.counts).tolist(), index.nearest()
+    used, order, unused, seed, again = np.zeros(shard.n, bool), [], 0, None, False
     queue: list[int] = []
     while len(order) < shard.n:
         if seed is not None and not queue:
-            queue = index.neighbours(seed, used)[::-1]
-            seed = None
-        while queue and used[queue[-1]]:
-            queue.pop()
+            if again:  # all that was looked up is used
+                queue = index.unused(seed, used)[::-1]
+                again = len(queue) == NEIGHBOURS
+            else:
+                own = nearest[seed, : known[seed]]
+                queue, again = own[~used[own]][::-1].tolist(), len(own) == NEIGHBOURS
+            seed = seed if again else None
         if queue:
             k = queue.pop()
-        else:
+        elif seed is None:
             while used[unused]:
                 unused += 1
             k = seed = unused
+            again = False
+        else:
+            continue
         used[k] = True
         order.append(k)
         filled += counts[k]
         if filled >= window:  # the next window's seed: the document that goes on in it, if any does
             filled %= window
-            queue, seed = [], k if filled else None
+            queue, seed, again = [], k if filled else None, False
     return order
 
 
@@ -218,7 +297,7 @@ def pieces(shard: Shard, order: list[int], window: int, at: int) -> dict[str, np
 
 def pack(docs: DataFrame, tokenizer_file: str, end_id: int, rank_file: str | None = None, key: str = "doc_id", text: str = "text", route: tuple[str, ...] = (), window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids where asked for."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind, known = docs.schema[key].dataType.simpleString(), statistics(docs, text)
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +306,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, rank_file: str | Non
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal at, shard
-            order = packing_order(shard, Index(shard), window, at % window)
+            order = packing_order(shard, Index(shard, known), window, at % window)
             made = pieces(shard, order, window, at)
             at += int(sum(c.sum() for c in shard.counts))
             keys = pa.concat_arrays(shard.keys)
@@ -243,13 +322,16 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, rank_file: str | Non
 
         for batch in slices(batches, "t"):
             shard.add(batch.column("k"), batch.column("t"), encoder)
-            if shard.bytes >= INDEX_BYTES:
+            if shard.bytes >= INDEX_BYTES or shard.n >= 4 * SHARD_DOCUMENTS:
                 yield from flush()
         if shard.n:
             yield from flush()
 
-    given = bounded_batches(docs).select(*(F.col(c).alias(f"r{i}") for i, c in enumerate(route)), F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
-    order = [*(f"r{i}" for i in range(len(route))), "k"]
-    dealt = given.repartitionByRange(parts_for(text_bytes(docs, text), 2 * TASK_BYTES), *order).sortWithinPartitions(*order).select("k", "t")
+    clean = F.coalesce(F.col(text), F.lit(""))
+    sketch = F.array_min(F.transform(F.split(clean, "[ \n]"), lambda w: F.when(F.length(w) >= LONG_WORD, F.xxhash64(w))))
+    # repeated keys are in order of their texts, so that a repeated task lays out the same
+    given = bounded_batches(docs).select(*(F.col(c).alias(f"r{i}") for i, c in enumerate(route)), sketch.alias("s"), F.col(key).alias("k"), F.xxhash64(clean).alias("h"), clean.alias("t"))
+    order = [*(f"r{i}" for i in range(len(route))), "s", "k", "h"]
+    dealt = given.repartitionByRange(max(parts_for(text_bytes(docs, text), SHARD_BYTES), parts_for(known.n, SHARD_DOCUMENTS)), *order).sortWithinPartitions(*order).select("k", "t")
     made = dealt.mapInArrow(run, f"k {kind}, " + ", ".join(f"{n} long" for n in names) + ", ids array<int>" * with_ids)
     return made.withColumnRenamed("k", key)

@@ -77,6 +77,37 @@ def test_packing_of_odd_documents(docs, none):
     assert bm25_packing.pack(none, BYTE, 1).count() == 0
 
 
+def test_look_ups_equal_exhaustive_bm25(spark):
+    """All words of every document against all others of its shard: recall is 1, and frequencies are of all documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [r.text or "" for r in docs.orderBy("doc_id").collect()][:150]
+    known = bm25_packing.statistics(docs, "text")
+    bags = [Counter(w.strip("\x02\n.,;:!?") for w in ("\x02" + t.lower().replace("\n", " \n")).split(" ")) for t in texts]
+    every = [set(re.split(" ", ("\x02" + (r.text or "").lower().replace("\n", " \n")))) for r in docs.collect()]
+    assert known.n == len(every) and known.df.sum() > 0
+    lengths = [b.total() for b in bags]
+    import pandas as pd
+
+    words = sorted(set().union(*bags))
+    idf = dict(zip(words, known.idf(pd.util.hash_array(np.array(words, object), categorize=False)), strict=True))
+    most_common = max(words, key=lambda w: sum(w in b for b in bags))
+    assert idf[most_common] == min(idf.values())
+    shard, encoder = bm25_packing.Shard(), bm25_packing.ByteLevel(BYTE, 1)
+    for a in range(0, 150, 50):
+        shard.add(pa.array(range(a, a + 50)), pa.array(texts[a : a + 50]), encoder)
+    index = bm25_packing.Index(shard, known)
+    (nearest, count), used = index.nearest(), np.zeros(150, bool)
+    used[::3] = True
+    for i in range(150):
+        score = []
+        for j in range(150):
+            norm = 1.2 * (0.25 + 0.75 * lengths[j] / known.mean)
+            score.append(0 if i == j else sum(idf[w] * bags[j][w] * 2.2 / (bags[j][w] + norm) for w in bags[i] if w in bags[j]))
+        for found, free in ((nearest[i, : count[i]].tolist(), [True] * 150), (index.unused(i, used), ~used)):
+            want = sorted((j for j in range(150) if score[j] > 0 and free[j]), key=lambda j: -score[j])[: bm25_packing.NEIGHBOURS]
+            assert len(found) == len(want) and np.allclose([score[j] for j in found], [score[j] for j in want], rtol=1e-4)
+
+
 def test_byte_level_words_equal_whole_texts():
     rng = random.Random(1)
     parts = [*"ab the, '日", "ing", "tion", " ", "\n", " the", "<|endoftext|>", "'s", "12", "\t", "\x02", "\u00a0"]
