@@ -1,7 +1,7 @@
 """Packing by lexical retrieval: windows filled with a seed document and its nearest unused neighbours by BM25.
 
-Documents are dealt by range over shards of bounded size: first by the route columns, then by the least hash of their long
-words, so that near copies meet, then by key, so that a hot group is split. Document frequencies and the mean length are
+Documents are dealt by range over shards of bounded size: first by the route columns, then by their last word in
+alphabetical order, so that near copies meet, then by key, so that a hot group is split. Document frequencies and the mean length are
 counted over all documents, by hashed word in DF_BINS bins. Each shard has one inverted index with BM25 weights. A document
 that is cut by a window's end, or else the next unused one, is the seed of the next window; all its words are looked up,
 and its unused neighbours, best first, fill the window; the last one is cut at the window's end and goes on in the next.
@@ -30,17 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.shared import TASK_BYTES, bounded_batches, bounds, parts_for, ranges, slices, text_bytes
+from quarrymill.llm.shared import SLICE_BYTES, TASK_BYTES, bounded_batches, bounds, parts_for, ranges, slices
 from quarrymill.llm.word_codes import flat_ids, words_of
 
 WINDOW = 2048
 #: BM25's constants, and the neighbours that one look-up gives; more follow on demand.
-K1, B, NEIGHBOURS = 1.2, 0.75, 512
+K1, B, NEIGHBOURS = 1.2, 0.75, 64
 DF_BINS = 1 << 20
-#: Letters from which on a word counts for a document's place among the shards.
-LONG_WORD = 7
-#: A word that more than one in FREQUENT documents of a shard has is a column of its matrix; SEEDS are looked up together.
-FREQUENT, SEEDS = 24, 128
+#: A word that more than one in FREQUENT documents of a shard has is a row of its matrix.
+FREQUENT = 8
 #: Bytes of text and documents in a shard, and a bound of memory: a range that can't be split further has several indexes
 #: beyond it.
 SHARD_BYTES, SHARD_DOCUMENTS, INDEX_BYTES = TASK_BYTES, 6000, 4 * TASK_BYTES
@@ -70,9 +68,10 @@ def word_counts(words: pa.Array, numbers: np.ndarray, starts: np.ndarray) -> tup
 
 @dataclass
 class Statistics:
-    """Of all documents: their number, words in a mean one, and how many have a word of each bin."""
+    """Of all documents: their number and bytes, words in a mean one, and how many have a word of each bin."""
 
     n: int
+    size: int
     mean: float
     df: np.ndarray
 
@@ -83,22 +82,22 @@ class Statistics:
 
 def statistics(docs: DataFrame, text: str) -> Statistics:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, length = np.zeros(DF_BINS, np.int64), 0, 0
-        for part in slices(batches, "t"):
+        total, n, length, size = np.zeros(DF_BINS, np.int64), 0, 0, 0
+        for part in slices(batches, "t", 2 * SLICE_BYTES):
             words, numbers, starts = marked_words(part.column("t"))
             _, word, times = word_counts(words.cast(pa.string()), numbers, starts)
             total += np.bincount((word >> np.uint64(44)).astype(np.int64), minlength=DF_BINS)
-            n, length = n + part.num_rows, length + int(times.sum())
+            n, length, size = n + part.num_rows, length + int(times.sum()), size + (pc.sum(pc.binary_length(part.column("t"))).as_py() or 0)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1, -2]), pa.array([*total[at].tolist(), n, length])], ["bin", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2, -3])), pa.array(np.append(total[at], [n, length, size]))], ["bin", "n"])
 
     given = bounded_batches(docs).select(F.coalesce(F.col(text), F.lit("")).alias("t"))
     got = given.mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # DF_BINS rows
     at, found = got["bin"].to_numpy(), got["n"].to_numpy()
-    n, length = (int(found[at == x].sum()) for x in (-1, -2))
+    n, length, size = (int(found[at == x].sum()) for x in (-1, -2, -3))
     df = np.zeros(DF_BINS, np.float32)
     df[at[at >= 0]] = found[at >= 0]
-    return Statistics(n, max(length / max(n, 1), 1.0), df)
+    return Statistics(n, size, max(length / max(n, 1), 1.0), df)
 
 
 class ByteLevel:
@@ -192,7 +191,7 @@ class Shard:
 
 
 class Index:
-    """Postings by word with BM25 weights; the words that many documents have are columns of a matrix instead.
+    """Postings by word with BM25 weights; the words that many documents have are rows of a matrix instead.
 
     A document's score for a seed is the sum of its weights over the seed's distinct words.
     """
@@ -204,77 +203,64 @@ class Index:
         norm = (K1 * (1 - B + B * length / known.mean)).astype(np.float32)
         weight = (known.idf(distinct)[word] * (times * (K1 + 1) / (times + norm[document]))).astype(np.float32)
         common = FREQUENT * df > shard.n
-        column = np.cumsum(common) - 1
+        row = (np.cumsum(common) - 1)[word]
         at = np.flatnonzero(common[word])
-        self.n, self.common = shard.n, np.zeros((shard.n, int(common.sum())), np.float32)
-        self.common[document[at], column[word[at]]] = weight[at]
+        self.live, self.matrix = np.arange(shard.n), np.zeros((int(common.sum()), shard.n), np.float32)
+        self.matrix[row[at], document[at]] = weight[at]
+        self.rows, self.row_starts = row[at], bounds(np.bincount(document[at], minlength=shard.n))
         at = np.flatnonzero(~common[word] & (df[word] > 1))  # a word that no other document of the shard has finds nothing
         document, word, weight = document[at], word[at], weight[at]
-        self.words, self.own_starts = word.astype(np.int32), bounds(np.bincount(document, minlength=shard.n))
+        self.words, self.word_starts = word, bounds(np.bincount(document, minlength=shard.n))
         order = np.argsort(word, kind="stable")
-        self.documents, self.weights = document[order].astype(np.int64), weight[order].astype(np.float64)
+        self.posted, self.documents, self.weights = word[order], document[order].astype(np.int64), weight[order].astype(np.float64)
         self.starts = bounds(np.bincount(word, minlength=len(distinct)))
 
-    def scores(self, a: int, b: int) -> np.ndarray:
-        """Of all documents, for the seeds a to b - 1; a seed isn't its own neighbour."""
-        words = self.words[self.own_starts[a] : self.own_starts[b]]
-        length = self.starts[words + 1] - self.starts[words]
-        row = np.repeat(np.repeat(np.arange(b - a), np.diff(self.own_starts[a : b + 1])), length)
-        at = ranges(self.starts[words], length)
-        out = np.bincount(row * self.n + self.documents[at], self.weights[at], (b - a) * self.n).reshape(b - a, self.n).astype(np.float32)
-        out += (self.common[a:b] > 0).astype(np.float32) @ self.common.T
-        out[np.arange(b - a), np.arange(a, b)] = 0
-        return out
-
-    def nearest(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each document the best NEIGHBOURS others by score and then by place, and how many of them share a word with it."""
-        most = min(NEIGHBOURS, self.n)
-        out, count = np.zeros((self.n, most), np.int32), np.zeros(self.n, np.int64)
-        for a in range(0, self.n, SEEDS):
-            scores = self.scores(a, b := min(self.n, a + SEEDS))
-            found = np.sort(np.argpartition(scores, self.n - most, axis=1)[:, self.n - most :], axis=1)
-            best = np.take_along_axis(scores, found, axis=1)
-            out[a:b] = np.take_along_axis(found, np.argsort(-best, axis=1, kind="stable"), axis=1)
-            count[a:b] = (best > 0).sum(axis=1)
-        return out, count
-
-    def unused(self, seed: int, used: np.ndarray) -> list[int]:
-        """The best NEIGHBOURS unused documents that share a word with the seed."""
-        scores = self.scores(seed, seed + 1)[0]
-        scores[used] = 0
+    def forget(self, used: np.ndarray) -> None:
+        """Takes the used documents out, as no look-up gives them any more."""
+        keep = ~used[self.live]
+        place = np.cumsum(keep) - 1
+        left = keep[self.documents]
+        self.live, self.matrix = self.live[keep], self.matrix[:, keep]
+        self.posted, self.documents, self.weights = self.posted[left], place[self.documents[left]], self.weights[left]
+        self.starts = bounds(np.bincount(self.posted, minlength=len(self.starts) - 1))
+
+    def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
+        """The best NEIGHBOURS unused documents that share a word with the seed, by score and then by place."""
+        scores = np.add.reduce(self.matrix[self.rows[self.row_starts[seed] : self.row_starts[seed + 1]]], axis=0)
+        words = self.words[self.word_starts[seed] : self.word_starts[seed + 1]]
+        at = ranges(self.starts[words], self.starts[words + 1] - self.starts[words])
+        scores = scores + np.bincount(self.documents[at], self.weights[at], len(self.live))
+        scores[used[self.live]] = 0
         found = np.flatnonzero(scores > 0)
-        return found[np.lexsort((found, -scores[found]))][:NEIGHBOURS].tolist()
+        if len(found) > NEIGHBOURS:
+            found = found[scores[found] >= np.partition(scores[found], -NEIGHBOURS)[-NEIGHBOURS]]
+        return self.live[found[np.lexsort((found, -scores[found]))][:NEIGHBOURS]].tolist()
 
 
 def packing_order(shard: Shard, index: Index, window: int, filled: int) -> list[int]:
     """The order in which the documents are laid end to end, from a window that holds filled ids."""
-    counts, (nearest, known) = np.concatenate(shard.counts).tolist(), index.nearest()
-    used, order, unused, seed, again = np.zeros(shard.n, bool), [], 0, None, False
+    counts = np.concatenate(shard.counts).tolist()
+    used, order, unused, seed = np.zeros(shard.n, bool), [], 0, None
     queue: list[int] = []
     while len(order) < shard.n:
         if seed is not None and not queue:
-            if again:  # all that was looked up is used
-                queue = index.unused(seed, used)[::-1]
-                again = len(queue) == NEIGHBOURS
-            else:
-                own = nearest[seed, : known[seed]]
-                queue, again = own[~used[own]][::-1].tolist(), len(own) == NEIGHBOURS
-            seed = seed if again else None
+            if 5 * (shard.n - len(order)) < 4 * len(index.live):
+                index.forget(used)
+            queue = index.neighbours(seed, used)[::-1]
+            if len(queue) < NEIGHBOURS:  # there are no more
+                seed = None
         if queue:
             k = queue.pop()
-        elif seed is None:
+        else:
             while used[unused]:
                 unused += 1
             k = seed = unused
-            again = False
-        else:
-            continue
         used[k] = True
         order.append(k)
         filled += counts[k]
         if filled >= window:  # the next window's seed: the document that goes on in it, if any does
             filled %= window
-            queue, seed, again = [], k if filled else None, False
+            queue, seed = [], k if filled else None
     return order
 
 
@@ -320,7 +306,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, rank_file: str | Non
                 yield pa.RecordBatch.from_arrays(columns, ["k", *names, *["ids"] * with_ids])
             shard = Shard()
 
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", 2 * SLICE_BYTES):
             shard.add(batch.column("k"), batch.column("t"), encoder)
             if shard.bytes >= INDEX_BYTES or shard.n >= 4 * SHARD_DOCUMENTS:
                 yield from flush()
@@ -328,10 +314,10 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, rank_file: str | Non
             yield from flush()
 
     clean = F.coalesce(F.col(text), F.lit(""))
-    sketch = F.array_min(F.transform(F.split(clean, "[ \n]"), lambda w: F.when(F.length(w) >= LONG_WORD, F.xxhash64(w))))
+    sketch = F.xxhash64(F.array_max(F.split(clean, " ")))
     # repeated keys are in order of their texts, so that a repeated task lays out the same
     given = bounded_batches(docs).select(*(F.col(c).alias(f"r{i}") for i, c in enumerate(route)), sketch.alias("s"), F.col(key).alias("k"), F.xxhash64(clean).alias("h"), clean.alias("t"))
     order = [*(f"r{i}" for i in range(len(route))), "s", "k", "h"]
-    dealt = given.repartitionByRange(max(parts_for(text_bytes(docs, text), SHARD_BYTES), parts_for(known.n, SHARD_DOCUMENTS)), *order).sortWithinPartitions(*order).select("k", "t")
+    dealt = given.repartitionByRange(max(parts_for(known.size, SHARD_BYTES), parts_for(known.n, SHARD_DOCUMENTS)), *order).sortWithinPartitions(*order).select("k", "t")
     made = dealt.mapInArrow(run, f"k {kind}, " + ", ".join(f"{n} long" for n in names) + ", ids array<int>" * with_ids)
     return made.withColumnRenamed("k", key)

@@ -96,16 +96,21 @@ def test_look_ups_equal_exhaustive_bm25(spark):
     for a in range(0, 150, 50):
         shard.add(pa.array(range(a, a + 50)), pa.array(texts[a : a + 50]), encoder)
     index = bm25_packing.Index(shard, known)
-    (nearest, count), used = index.nearest(), np.zeros(150, bool)
+    used = np.zeros(150, bool)
     used[::3] = True
     for i in range(150):
         score = []
         for j in range(150):
             norm = 1.2 * (0.25 + 0.75 * lengths[j] / known.mean)
             score.append(0 if i == j else sum(idf[w] * bags[j][w] * 2.2 / (bags[j][w] + norm) for w in bags[i] if w in bags[j]))
-        for found, free in ((nearest[i, : count[i]].tolist(), [True] * 150), (index.unused(i, used), ~used)):
+        for free in (~used, *[np.ones(150, bool)] * (i <= 100)):
+            found = index.neighbours(i, ~free | (np.arange(150) == i))
             want = sorted((j for j in range(150) if score[j] > 0 and free[j]), key=lambda j: -score[j])[: bm25_packing.NEIGHBOURS]
             assert len(found) == len(want) and np.allclose([score[j] for j in found], [score[j] for j in want], rtol=1e-4)
+        if i == 100:
+            index.forget(used)
+            used[:] = used | (np.arange(150) % 5 == 0)
+    assert len(index.live) == 100
 
 
 def test_byte_level_words_equal_whole_texts():
