@@ -33,14 +33,26 @@ def append(text: Column, suffix: str) -> Column:
 
 
 def find_replace(text: Column, find: str, new: str, regex: bool = False) -> Column:
-    """Literal or regular expression (of at most 500 characters; \\1 names a group)."""
+    """Literal or regular expression (of at most 500 characters; \\1 names a group, all else stands for itself).
+
+    A pattern that is no regular expression changes nothing: callers see their rows unaffected.
+    """
     if not regex:
         return F.replace(text, F.lit(find), F.lit(new))
     if len(find) > 500:
         raise ValueError("a pattern has at most 500 characters")
     import re
 
-    return F.regexp_replace(text, find, re.sub(r"\\(\d)", r"$\1", new))
+    try:
+        groups = re.compile(find).groups
+    except re.error:
+        return text
+    if any(int(g) > groups for g in re.findall(r"\\(\d)", new)):
+        return text
+    # Java's replacement gives "$" and "\\" a meaning; only \\1 to \\9 keep theirs
+    parts = re.split(r"\\(\d)", new)
+    java = "".join("$" + p if i % 2 else p.replace("\\", "\\\\").replace("$", "\\$") for i, p in enumerate(parts))
+    return F.regexp_replace(text, F.lit(find), F.lit(java))
 
 
 def issues(text: Column) -> dict[str, Column]:
@@ -91,7 +103,10 @@ def caption_score(text: Column, style: str = "moderate", trigger: str = "", has_
     n = F.size(words)
     content = F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"^[.,!?;:]+|[.,!?;:]+$", "")), lambda w: ~w.isin(*STOP_WORDS))
     unique = F.size(F.array_distinct(content))
-    repeat = F.coalesce(F.array_max(F.transform(F.array_distinct(content), lambda w: F.size(F.filter(content, lambda x: x == w)))), F.lit(0))
+    # sorted, equal words stand side by side: the longest run is the word that comes most often
+    none = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+    run = lambda s, w: F.when(s["w"] == w, s["run"] + 1).otherwise(1)
+    repeat = F.aggregate(F.array_sort(content), none, lambda s, w: F.struct(w.alias("w"), run(s, w).alias("run"), F.greatest(s["most"], run(s, w)).alias("most")), lambda s: s["most"])
     length = {"minimal": F.when(n > 40, 10).when(n < 5, 20), "rich": F.when(n < 15, 10)}.get(style, F.when(n < 8, 10).when(n > 80, 5))
     loss = F.coalesce(length, F.lit(0))
     if has_face and style == "minimal":

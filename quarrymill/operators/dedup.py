@@ -70,17 +70,19 @@ def dup_phash(assets: DataFrame, distance: int = 8) -> DataFrame:
     return assets.withColumn("h", hash_value(F.col("phash"))).join(named, ["project_id", "h"]).filter("copied OR linked").select("project_id", "asset_id", "cluster")
 
 
-def dup_layered(assets: DataFrame, distance: int = 8, links: DataFrame | None = None) -> DataFrame:
-    """asset_id, cluster and type: exact, then perceptual, then vector links (a, b) by leaders, each on the rest."""
+def dup_layered(assets: DataFrame, distance: int = 8, links: DataFrame | None = None, face_links: DataFrame | None = None) -> DataFrame:
+    """asset_id, cluster and type: exact, then perceptual, then vector links and face links (a, b) by leaders, each on the rest."""
     live = assets.filter("NOT is_rejected")
     done = written(dup_exact(live).select("asset_id", "cluster").withColumn("type", F.lit("exact")), "exact")
     rest = live.join(done, "asset_id", "left_anti")
     done = done.union(written(dup_phash(rest, distance).select("asset_id", "cluster").withColumn("type", F.lit("phash")), "phash"))
-    if links is not None:
+    for kind, pairs in (("embedding", links), ("face", face_links)):
+        if pairs is None:
+            continue
         ids = live.select("asset_id").join(done, "asset_id", "left_anti")
-        inside = links.join(ids.withColumnRenamed("asset_id", "a"), "a").join(ids.withColumnRenamed("asset_id", "b"), "b")
+        inside = pairs.join(ids.withColumnRenamed("asset_id", "a"), "a").join(ids.withColumnRenamed("asset_id", "b"), "b")
         led = leaders(inside).filter("member OR led")
-        done = done.union(led.select(F.col("node").alias("asset_id"), F.col("leader").alias("cluster"), F.lit("embedding").alias("type")))
+        done = done.union(written(led.select(F.col("node").alias("asset_id"), F.col("leader").alias("cluster"), F.lit(kind).alias("type")), kind))
     return done
 
 

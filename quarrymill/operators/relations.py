@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrymill.operators.tables import written
+
 LIVE = "NOT is_rejected"
 
 
@@ -104,6 +106,21 @@ def quartile_tier(rank: Column, total: Column) -> Column:
     return F.when(rank <= F.floor(total * 0.25), "top").when(rank > F.floor(total * 0.75), "bottom").otherwise("middle")
 
 
+def tiers(assets: DataFrame, key: Column) -> DataFrame:
+    """assets with rank (1 to the project's number of assets, by falling key, then asset_id), total and tier.
+
+    Rows are sorted by range over projects and keys, and counted by project and range, so no task holds a large project.
+    """
+    order = [F.col("project_id"), F.col("_key").desc_nulls_last(), F.col("asset_id")]
+    dealt = written(assets.withColumn("_key", key).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("project_id", "_part").agg(F.count("*").alias("_n"))  # a row per project and range
+    before = F.sum("_n").over(Window.partitionBy("project_id").orderBy("_part")) - F.col("_n")
+    begins = counts.select("project_id", "_part", before.alias("_before"), F.sum("_n").over(Window.partitionBy("project_id")).alias("total"))
+    inside = F.row_number().over(Window.partitionBy("project_id", "_part").orderBy(*order[1:]))
+    ranked = dealt.withColumn("_at", inside).join(begins, ["project_id", "_part"]).withColumn("rank", (F.col("_before") + F.col("_at")))
+    return ranked.withColumn("tier", quartile_tier(F.col("rank"), F.col("total"))).drop("_key", "_part", "_at", "_before")
+
+
 def active_caption_version(captions: DataFrame) -> DataFrame:
     return captions.groupBy("asset_id").agg(F.max_by("caption_id", F.struct("created_at", "caption_id")).alias("caption_id"), F.count("*").alias("versions"))
 

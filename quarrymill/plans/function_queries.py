@@ -34,14 +34,14 @@ def score_sql(style: str, length: str) -> str:
     stop = ", ".join(f"'{w}'" for w in c.STOP_WORDS)
     return rf"""WITH w AS (SELECT asset_id, t, list_filter(string_split_regex(t, '\s+'), lambda x: x <> '') AS words FROM (SELECT asset_id, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS t FROM ({ACTIVE}))),
       v AS (SELECT *, len(words) AS n, list_filter(list_transform(words, lambda x: regexp_replace(x, '^[.,!?;:]+|[.,!?;:]+$', '', 'g')), lambda x: x NOT IN ({stop})) AS content FROM w),
-      u AS (SELECT *, len(list_distinct(content)) AS unique_words, coalesce(list_max(list_transform(list_distinct(content), lambda y: len(list_filter(content, lambda x: x = y)))), 0) AS repeat FROM v),
+      u AS (SELECT *, len(list_distinct(content)) AS unique_words, coalesce(list_max(map_values(list_aggregate(content, 'histogram'))), 0) AS repeat FROM v),
       s AS (SELECT *, greatest(0, 100 - (coalesce({length}, 0) + CASE WHEN starts_with(t, 'the') THEN 0 ELSE 15 END + CASE WHEN unique_words / greatest(n, 1) < 0.3 THEN 5 ELSE 0 END + CASE WHEN n > 5 AND repeat > 3 AND repeat / n > 0.15 THEN 5 ELSE 0 END + {missing})) AS score FROM u)
       SELECT asset_id, CAST(score AS INT) AS score, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C' WHEN score >= 30 THEN 'D' ELSE 'F' END AS grade, CAST(n AS INT) AS words, CAST(unique_words AS INT) AS unique_words FROM s"""
 
 
 register("caption_score", lambda t: active(t).select("asset_id", c.caption_score(F.col("text"), trigger="The").alias("x")).select("asset_id", "x.*"), score_sql("moderate", "CASE WHEN n < 8 THEN 10 WHEN n > 80 THEN 5 END"))
 FACE_TEXT = "CASE asset_id % 5 WHEN 0 THEN 'a woman with long brown hair , with blue eyes, smiling' WHEN 1 THEN 'Portrait, her face looks tired. Standing in a room' WHEN 2 THEN ', a man with a strong jaw, olive skin, red lips' WHEN 3 THEN 'facial features, a young face, dark  eyes' ELSE text END"
-STRIPPED = FACE_TEXT.replace("'", "'")
+STRIPPED = FACE_TEXT
 for _pattern in c.FACIAL:
     STRIPPED = f"regexp_replace({STRIPPED}, '{_pattern}', '', 'gi')"
 register("strip_facial_terms", lambda t: active(t).select("asset_id", c.strip_facial_terms(F.expr(FACE_TEXT)).alias("text")), rf"SELECT asset_id, regexp_replace(trim(regexp_replace(regexp_replace({STRIPPED}, '\s*,\s*,', ',', 'g'), '\s+', ' ', 'g')), '^[,.\s]+', '') AS text FROM ({ACTIVE})")

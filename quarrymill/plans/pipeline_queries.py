@@ -72,22 +72,25 @@ register(
 
 
 def pictures(t: Tables) -> DataFrame:
-    """Decoded images made of the documents' bytes: 48 x 48 pixels, smooth where the text is even; every 50th is broken."""
+    """Decoded images of all the documents' bytes: 16 coloured dots a row, 16 rows or more, each dot 3 x 3 pixels; every 50th is broken."""
 
     def draw(batches):
-        for rows in batches:
-            data = []
-            for text in rows["text"]:
-                raw = np.frombuffer((text or " ").encode()[:768].ljust(768, b" "), np.uint8).reshape(16, 16, 3)
-                data.append(np.kron(raw, np.ones((3, 3, 1), np.uint8)).tobytes())
-            broken = rows["doc_id"] % 50 == 49
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "height": np.where(broken, -1, 48), "width": np.where(broken, -1, 48), "channels": 3, "data": data})
+        for batch in batches:
+            for rows in (batch[i : i + 64] for i in range(0, len(batch), 64)):
+                data, height = [], []
+                for text in rows["text"]:
+                    raw = (text or " ").encode()
+                    raw = np.frombuffer(raw.ljust(max(768, -(-len(raw) // 48) * 48), b" "), np.uint8).reshape(-1, 16, 3)
+                    height.append(3 * len(raw))
+                    data.append(np.kron(raw, np.ones((3, 3, 1), np.uint8)).tobytes())
+                broken = rows["doc_id"] % 50 == 49
+                yield pd.DataFrame({"doc_id": rows["doc_id"], "height": np.where(broken, -1, height), "width": np.where(broken, -1, 48), "channels": 3, "data": data})
 
     return documents(t).select("doc_id", "text").mapInPandas(draw, "doc_id long, height int, width int, channels int, data binary")
 
 
 register("perceptual_hash", lambda t: ingest.perceptual_hash(pictures(t), "doc_id"))
-register("image_dims", lambda t: pictures(t).select("doc_id", "width", "height", "channels"), "SELECT doc_id, CAST(CASE WHEN doc_id % 50 = 49 THEN -1 ELSE 48 END AS INT) AS width, CAST(CASE WHEN doc_id % 50 = 49 THEN -1 ELSE 48 END AS INT) AS height, 3 AS channels FROM documents")
+register("image_dims", lambda t: pictures(t).select("doc_id", "width", "height", "channels"), "SELECT doc_id, CAST(CASE WHEN doc_id % 50 = 49 THEN -1 ELSE 48 END AS INT) AS width, CAST(CASE WHEN doc_id % 50 = 49 THEN -1 ELSE 3 * greatest(16, ceil(octet_length(encode(coalesce(text, ''))) / 48)) END AS INT) AS height, 3 AS channels FROM documents")
 FILES = "SELECT doc_id, concat('f', doc_id, CASE doc_id % 7 WHEN 0 THEN '.txt' ELSE '.PNG' END) AS path, CASE doc_id % 5 WHEN 0 THEN 'text/html' WHEN 1 THEN NULL ELSE 'image/png' END AS mime FROM documents"
 
 

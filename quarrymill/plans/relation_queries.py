@@ -16,10 +16,10 @@ SKIPPED = "SELECT session_id, winner AS a, (loser + 1) % 211 AS b FROM compariso
 SEEN = f"SELECT DISTINCT session_id, least(a, b) AS a, greatest(a, b) AS b FROM (SELECT session_id, winner AS a, loser AS b FROM comparisons UNION ALL {SKIPPED})"
 skipped = lambda t: t.comparisons.filter("id % 5 = 0").selectExpr("session_id", "winner AS a", "(loser + 1) % 211 AS b")
 register("compared_or_skipped", lambda t: r.compared_or_skipped(t.comparisons, skipped(t)), SEEN)
-pool = lambda t: t.comparisons.select("session_id", F.explode(F.array("winner", "loser")).alias("asset_id")).distinct().filter("asset_id % 9 = session_id % 9")
+pool = lambda t: t.comparisons.select("session_id", F.explode(F.array("winner", "loser")).alias("asset_id")).distinct()
 register(
     "uncompared_pairs", lambda t: r.uncompared_pairs(pool(t), r.compared_or_skipped(t.comparisons, skipped(t))),
-    f"""WITH p AS (SELECT DISTINCT session_id, asset_id FROM (SELECT session_id, winner AS asset_id FROM comparisons UNION ALL SELECT session_id, loser FROM comparisons) WHERE asset_id % 9 = session_id % 9), seen AS ({SEEN})
+    f"""WITH p AS (SELECT DISTINCT session_id, asset_id FROM (SELECT session_id, winner AS asset_id FROM comparisons UNION ALL SELECT session_id, loser FROM comparisons) ), seen AS ({SEEN})
        SELECT x.session_id, x.asset_id AS a, y.asset_id AS b FROM p x JOIN p y ON x.session_id = y.session_id AND x.asset_id < y.asset_id WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.session_id = x.session_id AND s.a = x.asset_id AND s.b = y.asset_id)""",
 )
 register(
@@ -53,8 +53,8 @@ register(
     "SELECT project_id, asset_id, rank, ordinal, elo, comparisons, greatest(0.0::DOUBLE, 1 - sigma / 8.333::DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ordinal DESC, asset_id) AS rank FROM (SELECT *, mu - 3 * sigma AS ordinal FROM assets WHERE comparisons > 0)) WHERE rank <= 100",
 )
 register(
-    "quartile_tier", lambda t: top_per_project(t.assets, F.col("elo"), 200).join(t.assets.groupBy("project_id").agg(F.count("*").alias("total")), "project_id").select("project_id", "asset_id", "rank", r.quartile_tier(F.col("rank"), F.col("total")).alias("tier")),
-    "SELECT project_id, asset_id, rank, CASE WHEN rank <= floor(total * 0.25) THEN 'top' WHEN rank > floor(total * 0.75) THEN 'bottom' ELSE 'middle' END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY elo DESC, asset_id) AS rank, count(*) OVER (PARTITION BY project_id) AS total FROM assets) WHERE rank <= 200",
+    "quartile_tier", lambda t: r.tiers(t.assets, F.col("elo")).select("project_id", "asset_id", "rank", "tier"),
+    "SELECT project_id, asset_id, rank, CASE WHEN rank <= floor(total * 0.25) THEN 'top' WHEN rank > floor(total * 0.75) THEN 'bottom' ELSE 'middle' END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY elo DESC, asset_id) AS rank, count(*) OVER (PARTITION BY project_id) AS total FROM assets)",
 )
 versions = "SELECT caption_id, asset_id % 300 AS asset_id, created_at FROM captions"
 register("active_caption_version", lambda t: r.active_caption_version(t.captions.selectExpr("caption_id", "asset_id % 300 AS asset_id", "created_at")), f"SELECT asset_id, arg_max(caption_id, row(created_at, caption_id)) AS caption_id, count(*) AS versions FROM ({versions}) GROUP BY 1")
@@ -73,10 +73,10 @@ register(
     f"""WITH k AS (SELECT project_id, asset_id, row_number() OVER (PARTITION BY project_id ORDER BY {PRIORITY} DESC, asset_id) AS q, row_number() OVER (PARTITION BY project_id ORDER BY comparisons, asset_id) AS l, row_number() OVER (PARTITION BY project_id ORDER BY sigma DESC, asset_id) AS s FROM assets)
        SELECT * FROM (SELECT project_id, asset_id, row_number() OVER (PARTITION BY project_id ORDER BY least(q + CASE WHEN q <= 12 THEN 0 ELSE 3000000 END, l + CASE WHEN l <= 12 THEN 1000000 ELSE 9000000 END, s + CASE WHEN s <= 8 THEN 2000000 ELSE 9000000 END)) AS place FROM k WHERE q <= 24 OR l <= 12 OR s <= 8) WHERE place <= 24""",
 )
-register("missing_coverage", lambda t: r.missing_coverage(t.assets.filter("asset_id % 40 < 3")), "WITH a AS (SELECT * FROM assets WHERE asset_id % 40 < 3) " + " UNION ALL ".join(f"SELECT project_id, '{d}' AS dimension, '{label}' AS label FROM a GROUP BY project_id HAVING count(*) FILTER ({x}) = 0" for d, label, x in r.EXPECTED))
+register("missing_coverage", lambda t: r.missing_coverage(t.assets), "WITH a AS (SELECT * FROM assets) " + " UNION ALL ".join(f"SELECT project_id, '{d}' AS dimension, '{label}' AS label FROM a GROUP BY project_id HAVING count(*) FILTER ({x}) = 0" for d, label, x in r.EXPECTED))
 register(
-    "augmentation_plan", lambda t: r.augmentation_plan(t.assets.filter("asset_id % 5 < 2")),
-    """WITH a AS (SELECT * FROM assets WHERE NOT is_rejected AND asset_id % 5 < 2),
+    "augmentation_plan", lambda t: r.augmentation_plan(t.assets),
+    """WITH a AS (SELECT * FROM assets WHERE NOT is_rejected),
        g AS (SELECT project_id, count(*) FILTER (shot_type IN ('wide', 'full')) AS wide, count(*) FILTER (round(width::DOUBLE / height, 2) BETWEEN 0.8 AND 1.2) AS square, count(head_pose_yaw) AS yaws, coalesce(max(abs(head_pose_yaw)), 0) AS yaw FROM a GROUP BY 1),
        p AS (SELECT * FROM (SELECT project_id, 'outpaint' AS kind, asset_id, 0.8::DOUBLE AS benefit, 0 AS o, row_number() OVER (PARTITION BY project_id ORDER BY coalesce(composite_score, 0) DESC, asset_id) AS rank FROM a WHERE shot_type IN ('medium', 'closeup')) WHERE rank <= 1
          UNION ALL SELECT * FROM (SELECT project_id, 'crop', asset_id, 0.5::DOUBLE, 1, row_number() OVER (PARTITION BY project_id ORDER BY coalesce(composite_score, 0) DESC, asset_id) AS rank FROM a) WHERE rank <= 1

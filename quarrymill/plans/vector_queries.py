@@ -13,10 +13,10 @@ PAIR = COS.format(a="x", b="y")
 PAIRS = f"SELECT x.vec_id AS a, y.vec_id AS b, {PAIR} AS similarity FROM vectors x JOIN vectors y ON x.project_id = y.project_id AND x.vec_id < y.vec_id WHERE {PAIR} >= 0.3"
 ONE = "SELECT embedding FROM vectors WHERE vec_id = {i}"
 
-queries = lambda t: t.vectors.filter("vec_id < 20").selectExpr("vec_id AS query_id", "project_id", "embedding AS q")
+queries = lambda t: t.vectors.filter("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "project_id", "embedding AS q")
 register(
     "vector_topk", lambda t: v.vector_topk(queries(t), t.vectors, 5, 0.1),
-    f"SELECT query_id, vec_id, score, rank FROM (SELECT x.vec_id AS query_id, y.vec_id, {PAIR} AS score, row_number() OVER (PARTITION BY x.vec_id ORDER BY {PAIR} DESC, y.vec_id) AS rank FROM vectors x JOIN vectors y ON x.project_id = y.project_id WHERE x.vec_id < 20 AND {PAIR} >= 0.1) WHERE rank <= 5",
+    f"SELECT query_id, vec_id, score, rank FROM (SELECT x.vec_id AS query_id, y.vec_id, {PAIR} AS score, row_number() OVER (PARTITION BY x.vec_id ORDER BY {PAIR} DESC, y.vec_id) AS rank FROM vectors x JOIN vectors y ON x.project_id = y.project_id WHERE x.vec_id % 20 = 0 AND {PAIR} >= 0.1) WHERE rank <= 5",
 )
 register("cosine_pairs", lambda t: v.cosine_pairs(t.vectors, 0.3, 50), PAIRS)
 register(
@@ -42,7 +42,7 @@ register(
     "merge_identities", lambda t: v.merge_identities(t.assets, t.spark.range(1, 6).selectExpr("concat('p', id) AS source", "concat('p', id + 1) AS target")),
     "SELECT CASE WHEN identity_cluster_id IN ('p1', 'p2', 'p3', 'p4', 'p5', 'p6') THEN 'p1' ELSE identity_cluster_id END AS identity, count(*) AS n, CAST(sum(face_count) AS BIGINT) AS faces FROM assets WHERE identity_cluster_id IS NOT NULL GROUP BY 1",
 )
-register("face_pair_similarity", lambda t: t.vectors.filter("vec_id < 300").join(t.vectors.filter("vec_id = 7").select(F.col("embedding").alias("q"))).select("vec_id", F.round(v.cosine(F.col("q"), F.col("embedding")), 6).alias("similarity")), f"SELECT y.vec_id, {PAIR} AS similarity FROM vectors x CROSS JOIN vectors y WHERE x.vec_id = 7 AND y.vec_id < 300")
+register("face_pair_similarity", lambda t: t.vectors.join(t.vectors.filter("vec_id = 7").select(F.col("embedding").alias("q"))).select("vec_id", F.round(v.cosine(F.col("q"), F.col("embedding")), 6).alias("similarity")), f"SELECT y.vec_id, {PAIR} AS similarity FROM vectors x CROSS JOIN vectors y WHERE x.vec_id = 7")
 tags = lambda t: t.vectors.filter("vec_id < 8").selectExpr("concat('tag', vec_id) AS tag", "embedding AS q")
 register(
     "zero_shot_tags", lambda t: v.zero_shot_tags(t.vectors, tags(t)),
@@ -55,7 +55,7 @@ register(
 )
 register("index_backfill", lambda t: v.index_backfill(t.assets, t.vectors), "SELECT project_id, count(*) AS total, count(*) - count(vec_id) AS todo, count(vec_id) AS indexed FROM assets LEFT JOIN vectors ON asset_id = vec_id GROUP BY 1".replace("SELECT project_id", "SELECT assets.project_id"))
 register("dup_embedding", lambda t: v.leader_clusters(t.vectors, 0.3))
-register("dup_face", lambda t: v.leader_clusters(t.vectors.filter("label % 2 = 0"), 0.25))
+register("dup_face", lambda t: v.leader_clusters(t.vectors, 0.25))
 register("identity_dbscan", lambda t: v.identity_dbscan(t.vectors, 0.68))
 register("identity_clusters", lambda t: v.identity_clusters(t.vectors, 0.7))
 
@@ -66,8 +66,5 @@ CLOSURE = f"""WITH RECURSIVE a AS (SELECT project_id, asset_id, CAST(('0x' || ph
   e AS (SELECT x.asset_id AS a, y.asset_id AS b FROM a x JOIN a y ON x.project_id = y.project_id AND x.asset_id <> y.asset_id AND bit_count(xor(x.h, y.h)) <= 8),
   r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)"""
 register("dup_phash", lambda t: d.dup_phash(t.assets), CLOSURE.format(src="assets") + " SELECT project_id, asset_id, cluster FROM (SELECT a AS asset_id, least(a, min(b)) AS cluster FROM r GROUP BY a) c JOIN a USING (asset_id)")
-register(
-    "dup_layered", lambda t: d.dup_layered(t.assets),
-    CLOSURE.format(src="rest").replace("WITH RECURSIVE a AS", "WITH RECURSIVE x AS (SELECT * FROM (SELECT *, min(asset_id) OVER (PARTITION BY project_id, sha256_hash) AS cluster, count(*) OVER (PARTITION BY project_id, sha256_hash) AS n FROM assets WHERE NOT is_rejected) WHERE n > 1), rest AS (SELECT * FROM assets WHERE NOT is_rejected AND asset_id NOT IN (SELECT asset_id FROM x)), a AS")
-    + " SELECT asset_id, cluster, 'exact' AS type FROM x UNION ALL SELECT a, least(a, min(b)), 'phash' FROM r GROUP BY a",
-)
+faces = lambda t: t.vectors.selectExpr("vec_id", "project_id", "slice(embedding, 1, 32) AS embedding")
+register("dup_layered", lambda t: d.dup_layered(t.assets, links=v.cosine_pairs(t.vectors, 0.3).select("a", "b"), face_links=v.cosine_pairs(faces(t), 0.4).select("a", "b")))

@@ -70,7 +70,7 @@ CAPTIONS = {
     "caption_id": "d.doc_id",
     "asset_id": "d.doc_id",
     "project_id": "d.source",
-    "text": "CASE WHEN d.doc_id % 4 = 0 THEN concat('  ', replace(substr(d.text, 1, 300), '. ', ' ,, ')) ELSE substr(d.text, 1, 120 + d.doc_id % 900) END",
+    "text": "CASE WHEN d.doc_id % 4 = 0 THEN concat('  ', replace(d.text, '. ', ' ,, ')) ELSE d.text END",
     "provider": choice("d.doc_id", "manual", "model_a", "model_b"),
     "is_active": "d.doc_id % 11 <> 0",
     "created_at": "d.doc_id * 43 % 86400",

@@ -261,3 +261,34 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(200, 200), (7, 3)]
     got = dict(map(tuple, dedup.connected_components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(60)}
+
+
+def test_find_and_replace_takes_what_is_written(spark):
+    from quarrymill.functions.captions import find_replace
+
+    df = spark.createDataFrame([("a cat (big) costs 5",)], "t string")
+    got = df.select(find_replace(F.col("t"), r"(\d)", r"$\1 or \\x", regex=True), find_replace(F.col("t"), "(", "x", regex=True), find_replace(F.col("t"), "cat", r"\2", regex=True), find_replace(F.col("t"), "(", "[")).first()
+    assert tuple(got) == ("a cat (big) costs $5 or \\\\x", "a cat (big) costs 5", "a cat (big) costs 5", "a cat [big) costs 5")
+
+
+def test_layers_see_what_is_left(spark):
+    """Exact, then hashes, then vectors, then faces: each against a plain scan of what the layers before have left."""
+    from quarrymill.operators.dedup import dup_layered
+
+    rows = [(1, "s", "x", "00000000000000ff", False), (2, "s", "x", None, False), (3, "s", "c", "00000000000000ff", False), (4, "s", "d", "00000000000000fe", False), *((i, "s", f"z{i}", None, i == 9) for i in range(5, 12))]
+    assets = spark.createDataFrame(rows, "asset_id long, project_id string, sha256_hash string, phash string, is_rejected boolean")
+    pairs = lambda *p: spark.createDataFrame(p, "a long, b long")
+    got = {r.asset_id: (r.cluster, r.type) for r in dup_layered(assets, links=pairs((2, 5), (5, 6), (6, 9), (4, 7)), face_links=pairs((6, 7), (7, 8), (9, 10), (10, 11))).collect()}
+    assert got == {1: (1, "exact"), 2: (1, "exact"), 3: (3, "phash"), 4: (3, "phash"), 5: (5, "embedding"), 6: (5, "embedding"), 7: (7, "face"), 8: (7, "face"), 10: (10, "face"), 11: (10, "face")}
+
+
+def test_tiers_of_every_asset(spark):
+    from quarrymill.operators.relations import tiers
+
+    rows = [(i, i % 3 // 2, float(i * 7 % 50) if i % 11 else None) for i in range(400)]
+    got = tiers(spark.createDataFrame(rows, "asset_id long, project_id long, elo double"), F.col("elo")).collect()
+    assert len(got) == 400
+    for p in (0, 1):
+        own = sorted((r for r in rows if r[1] == p), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+        want = {r[0]: (i, "top" if i <= len(own) // 4 else "bottom" if i > int(len(own) * 0.75) else "middle") for i, r in enumerate(own, 1)}
+        assert {r.asset_id: (r["rank"], r.tier) for r in got if r.project_id == p} == want
