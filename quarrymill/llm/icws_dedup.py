@@ -172,26 +172,32 @@ def frequencies(docs: DataFrame, text: str = "text") -> Weights:
     if not len(heavy):
         return Weights(np.zeros(0, np.uint64), np.zeros(0), max(n, 1), floor)
     banded = drafted.filter("bin IS NULL").select("same", F.explode("bands").alias("value")).filter("value <> 0")
-    groups = banded.groupBy("value").agg(F.count("*").alias("n"), F.min("same").alias("same")).filter(F.col("n") >= floor / 8).toArrow()  # DRAFT_BANDS * 8 / RARE at most
-    value = groups["value"].to_numpy()
+    large = banded.groupBy("value").agg(F.count("*").alias("n"), F.min("same").alias("same")).filter(F.col("n") >= floor / 8)
+    groups = written(large, "groups")  # DRAFT_BANDS * 8 / RARE rows at most
+    times = drafted.filter("bin IS NULL").select("same").join(F.broadcast(groups.select("same").distinct()), "same").groupBy("same").agg(F.count("*").alias("times"))
+    known = groups.join(F.broadcast(times), "same").select("value", "same", "times").toArrow()
+    value = known["value"].to_numpy()
     order = np.argsort(value)
-    value, first = value[order], np.array(groups["same"].to_pylist(), dtype="U32")[order]
+    value, first, share = value[order], np.array(known["same"].to_pylist(), dtype="U32")[order], 1 / known["times"].to_numpy()[order]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t", 8 << 20):
             own, run, _ = shingles(part.column("t"))
-            counts = np.ones(part.num_rows, bool)
+            counts = np.ones(part.num_rows)
             if len(value):
                 bands = drafts(part.num_rows, own, run).view(np.int64)
                 at = np.minimum(np.searchsorted(value, bands), len(value) - 1)
                 hit = value[at] == bands
                 grouped = np.flatnonzero(hit.any(axis=1))
-                # of a group's members only the one with the least hash counts
-                counts[grouped] = first[at[grouped, hit[grouped].argmax(axis=1)]] == np.array(part.column("same").take(pa.array(grouped)).to_pylist(), dtype="U32")
-            found, df = np.unique(run[counts[own] & counted[bins(run)]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(df)], ["run", "df"])
-
-    got = texts_and_hashes(docs, text).mapInArrow(count, "run long, df long").groupBy("run").agg(F.sum("df").alias("df")).filter(F.col("df") > floor).toArrow()
+                group = at[grouped, hit[grouped].argmax(axis=1)]
+                # of a group's members only the copies of the text with the least hash count, as one together
+                is_first = first[group] == np.array(part.column("same").take(pa.array(grouped)).to_pylist(), dtype="U32")
+                counts[grouped] = np.where(is_first, share[group], 0)
+            wanted = (counts[own] > 0) & counted[bins(run)]
+            found, which = np.unique(run[wanted], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.bincount(which, counts[own][wanted], len(found)))], ["run", "df"])
+
+    got = texts_and_hashes(docs, text).mapInArrow(count, "run long, df double").groupBy("run").agg(F.sum("df").alias("df")).filter(F.col("df") > floor + 1e-6).toArrow()
     return Weights(got["run"].to_numpy().view(np.uint64), got["df"].to_numpy(), n, floor)
 
 
