@@ -119,8 +119,10 @@ class Evidence:
 
 def evidence_table(docs: DataFrame, labels: DataFrame, key: str, text: str) -> Evidence:
     none = Evidence(np.zeros(0, np.int64), np.zeros(0), 0.0)
-    sample = labels.filter("quality is not null").select(F.col(key).alias("k"), is_good().alias("good")).dropDuplicates(["k"]).orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
-    known = written(docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t")).join(F.broadcast(sample), "k").dropDuplicates(["t"]).select("k", "t", "good"), "labelled")
+    sample = labels.filter("quality is not null").groupBy(F.col(key).alias("k")).agg(F.bool_and(is_good()).alias("good")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
+    found = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t")).join(F.broadcast(sample), "k")
+    # of equal texts one counts, as good only if all their labels say so
+    known = written(found.groupBy(F.md5("t").alias("h")).agg(F.min("k").alias("k"), F.first("t").alias("t"), F.bool_and("good").alias("good")).select("k", "t", "good"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t", 4 << 20):
@@ -205,9 +207,11 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     above = hosts.select(F.col("host").alias("h"), shrunk.alias("parent"))
     paths = by_path.join(above, F.col("host").eqNullSafe(F.col("h"))).drop("h")
     k = strength(paths)
-    site = ((F.col("good") + k * F.col("parent")) / (F.col("n") + k)).alias("site_share")
-    paths = paths.select(F.col("host").alias("h"), F.col("path").alias("p"), site)
-    joined = scored.join(paths, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    paths = paths.select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("good").alias("site_good"), F.col("n").alias("site_n"), F.col("parent").alias("site_parent"))
+    joined = scored.join(small(paths), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    # a document's own evidence is left out of its site's share, as it is added to it
+    share_of_others = (F.greatest(F.lit(0.0), F.col("site_good") - chance) + k * F.col("site_parent")) / (F.col("site_n") - 1 + k)
+    joined = joined.withColumn("site_share", share_of_others)
     posterior = 1 / (1 + F.exp(-(logit(F.col("site_share")) + F.col("evidence"))))
     out = joined.select(F.col("k").alias(key), "host", "path", "evidence", "site_share", posterior.alias("posterior"))
     return out.withColumn("kept", F.col("posterior") >= 0.5)
