@@ -176,7 +176,7 @@ def write_packed(docs: DataFrame, folder: str, tokenizer_file: str, vocabulary:
     The tokenizer must drop white space between words, so that a text's ids are those of its words.
     """
     clean = bounded_batches(docs).select(F.col(key).cast("long").alias("k"), F.coalesce(text, F.lit("")).alias("t"))
-    dealt = clean.repartitionByRange(parts_for(text_bytes(docs, text), 2 * TASK_BYTES), "k").sortWithinPartitions("k")
+    dealt = clean.repartitionByRange(parts_for(text_bytes(docs, text), 2 * TASK_BYTES), "k").sortWithinPartitions("k", "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = WordLevel(tokenizer_file), TaskContext.get().partitionId()
@@ -205,6 +205,10 @@ def write_packed(docs: DataFrame, folder: str, tokenizer_file: str, vocabulary:
     return docs.sparkSession.read.schema(made.schema).parquet(manifest)
 
 
+#: Tasks whose files are summed up together; the spans themselves, a few thousand at most, are summed up in one task.
+SPAN = 4096
+
+
 def read_packed(folder: str, manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per document, from the files: key, start (ids of all documents before it), n_tokens, ids_crc32."""
     spark = manifest.sparkSession
@@ -219,7 +223,11 @@ def read_packed(folder: str, manifest: DataFrame, key: str = "doc_id") -> DataFr
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.bin").load(folder)
     docs = files.select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), "content").mapInArrow(read, "file string, k long, at long, n_tokens long, ids_crc32 long")
-    begins = manifest.select("file", (F.sum("n_ids").over(Window.orderBy("file")) - F.col("n_ids")).alias("begin"))
+    # ids before a file: those of earlier spans of tasks, then those of earlier files of its own span
+    spans = manifest.withColumn("span", F.floor(F.substring("file", 5, 8).cast("long") / SPAN))
+    earlier = spans.groupBy("span").agg(F.sum("n_ids").alias("n")).select("span", (F.sum("n").over(Window.orderBy("span")) - F.col("n")).alias("before"))
+    within = F.sum("n_ids").over(Window.partitionBy("span").orderBy("file")) - F.col("n_ids")
+    begins = spans.select("span", "file", within.alias("within")).join(earlier, "span").select("file", (F.col("before") + F.col("within")).alias("begin"))
     return docs.join(begins, "file").select(F.nullif("k", F.lit(NO_KEY)).alias(key), (F.col("begin") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
