@@ -96,14 +96,47 @@ def coach_metrics(assets: DataFrame, captions: DataFrame, triggers: list[str]) -
     return base.join(exact, "project_id", "left").fillna(0, ["exact_duplicates"])
 
 
+#: White space as a character class, the same in Java's and RE2's patterns.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+UNEVEN = rf"^{SPACE}|{SPACE}\z|  |,{SPACE}*,"
+
+
+def uneven(text: Column) -> Column:
+    """Whether a caption's format is off: blanks at its ends or twice, commas without a word between, below 10 or over 800 characters."""
+    return F.regexp_like(text, F.lit(UNEVEN)) | ~F.length(text).between(10, 800)
+
+
+def inconsistent_captions(captions: DataFrame) -> DataFrame:
+    """project_id and asset_id of active captions whose format is off."""
+    return captions.filter("is_active").filter(uneven(F.col("text"))).select("project_id", "asset_id")
+
+
 def caption_consistency(assets: DataFrame, captions: DataFrame, triggers: list[str]) -> DataFrame:
-    """Per project: captioned or not, mean length, sample deviation (0 for one), with a trigger, far from the mean."""
+    """Per project: captioned or not, mean length, sample deviation (0 for one), texts with a trigger, off formats, and
+    recommendations: missing, format, trigger:<word> (in less than half of the texts), short, varied; or none, good.
+
+    Empty texts have no length and no trigger.
+    """
     text = F.col("text")
-    joined = assets.select("asset_id", "project_id").join(captions.filter("is_active").select("asset_id", "text"), "asset_id", "left").withColumn("len", F.length(text))
-    return joined.groupBy("project_id").agg(
-        F.count("text").alias("captioned"), count_if(text.isNull()).alias("uncaptioned"), F.round(F.avg("len"), 6).alias("mean_length"), F.round(F.coalesce(F.stddev_samp("len"), F.lit(0.0)), 6).alias("sd_length"),
-        count_if(has_trigger(text, triggers)).alias("with_trigger"), count_if(~has_trigger(text, triggers)).alias("without_trigger"),
+    has = {w: has_trigger(text, [w]) for w in triggers}
+    any_has = has_trigger(text, triggers) if triggers else F.lit(False)
+    joined = assets.select("asset_id", "project_id").join(captions.filter("is_active").select("asset_id", "text"), "asset_id", "left").withColumn("len", F.length(F.nullif(text, F.lit(""))))
+    told = F.col("len").isNotNull()
+    counted = joined.groupBy("project_id").agg(
+        F.count("text").alias("captioned"), count_if(text.isNull()).alias("uncaptioned"), F.count("len").alias("texts"), F.round(F.coalesce(F.avg("len"), F.lit(0.0)), 6).alias("mean_length"), F.round(F.coalesce(F.stddev_samp("len"), F.lit(0.0)), 6).alias("sd_length"),
+        count_if(told & any_has).alias("with_trigger"), count_if(told & ~any_has).alias("without_trigger"), count_if(uneven(text)).alias("inconsistent"), *(count_if(h).alias(f"_has_{i}") for i, h in enumerate(has.values())),
     )
+    advice = {"missing": F.col("uncaptioned") > 0, "format": F.col("inconsistent") > 0, **{f"trigger:{w}": 2 * F.col(f"_has_{i}") < F.greatest("texts", F.lit(1)) for i, w in enumerate(has)}, "short": F.col("mean_length") < 30, "varied": (F.col("mean_length") > 0) & (F.col("sd_length") > 0.5 * F.col("mean_length"))}
+    found = F.concat_ws(",", *(F.when(c, k) for k, c in advice.items()))
+    out = counted.withColumn("recommendations", F.when(F.col("captioned") == 0, "none").when(found == "", "good").otherwise(found))
+    return out.drop(*(f"_has_{i}" for i in range(len(has))))
+
+
+def caption_coverage(assets: DataFrame, captions: DataFrame) -> DataFrame:
+    """Per project: total, captioned, coverage_pct, rounded mean length, off formats and recommendations without triggers."""
+    found = caption_consistency(assets, captions, [])
+    total = F.col("captioned") + F.col("uncaptioned")
+    return found.select("project_id", total.alias("total"), "captioned", percent(F.col("captioned"), total).alias("coverage_pct"), F.rint(F.round("mean_length", 1)).cast("long").alias("avg_length"), "inconsistent", "recommendations")
 
 
 def caption_word_counts(captions: DataFrame, most: int = 20) -> DataFrame:
@@ -121,29 +154,50 @@ def embedding_coverage(assets: DataFrame, vectors: DataFrame) -> DataFrame:
     return out.withColumn("pct", percent(F.col("done"), F.col("total")))
 
 
-def provider_benchmark(usage: DataFrame, assets: DataFrame) -> DataFrame:
-    """Per provider: mean latency, p95 as the value at place max(0, int(.95 n) - 1) of the sorted latencies, success.
+def provider_benchmark(usage: DataFrame, assets: DataFrame, samples: int = 3) -> DataFrame:
+    """Per provider: mean latency and p95 of good calls (the value at place max(0, int(.95 n) - 1), 0.0 without any),
+    errors, success rate, and the assets of some good calls, least first.
 
-    Calls on assets that don't exist count as errors. Places come from counts per distinct latency, so that a provider
-    with many calls is never gathered in one task.
+    Calls on assets that don't exist count as errors. The place is sought in two steps, first among classes of latency
+    (64 to a power of two), then among the distinct values of one class, so that no provider is gathered in one task.
     """
-    joined = usage.join(assets.select("asset_id", F.lit(True).alias("_there")), "asset_id", "left").withColumn("good", F.col("ok") & F.col("_there").isNotNull())
-    base = joined.groupBy("provider").agg(F.count("*").alias("calls"), count_if(~F.col("good")).alias("errors"), F.round(F.avg("latency_ms"), 6).alias("mean_latency"), F.round(F.avg(F.col("good").cast("int")), 6).alias("success_rate"))
-    per_value = joined.groupBy("provider", "latency_ms").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("provider").orderBy("latency_ms"))
-    place = F.greatest(F.floor(F.col("calls") * 0.95) - 1, F.lit(0))
-    p95 = per_value.withColumn("upto", upto).join(base.select("provider", "calls"), "provider").filter(F.col("upto") > place).groupBy("provider").agg(F.min("latency_ms").alias("p95_latency"))
-    return base.join(p95, "provider")
+    joined = usage.join(assets.select("asset_id", F.lit(True).alias("_there")), "asset_id", "left").withColumn("good", F.coalesce(F.col("ok") & F.col("_there").isNotNull(), F.lit(False)))
+    good = joined.filter(F.col("good") & F.col("latency_ms").isNotNull())
+    base = joined.groupBy("provider").agg(F.count("*").alias("calls"), count_if(~F.col("good")).alias("errors"), F.round(F.avg(F.col("good").cast("int")), 6).alias("success_rate"), F.round(F.coalesce(F.avg(F.when(F.col("good"), F.col("latency_ms"))), F.lit(0.0)), 6).alias("mean_latency"))
+    ms = F.col("latency_ms")
+    per_value = good.groupBy("provider", F.floor(F.signum(ms) * F.log2(1 + F.abs(ms)) * 64).cast("int").alias("class"), "latency_ms").agg(F.count("*").alias("c"))
+    classes = per_value.groupBy("provider", "class").agg(F.sum("c").alias("c"))
+    own = Window.partitionBy("provider")
+    upto = classes.select("provider", "class", F.sum("c").over(own.orderBy("class")).alias("upto"), "c", F.greatest(F.floor(F.sum("c").over(own) * 0.95) - 1, F.lit(0)).alias("place"))
+    hit = upto.filter((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("c"))).select("provider", "class", (F.col("place") - F.col("upto") + F.col("c")).alias("place"))
+    within = per_value.join(hit, ["provider", "class"]).withColumn("upto", F.sum("c").over(own.orderBy("latency_ms"))).filter(F.col("upto") > F.col("place"))
+    p95 = within.groupBy("provider").agg(F.min("latency_ms").alias("p95_latency"))
+    few = joined.filter("good").withColumn("_n", F.row_number().over(own.orderBy("asset_id"))).filter(F.col("_n") <= samples).groupBy("provider").agg(F.array_join(F.array_sort(F.collect_list("asset_id")).cast("array<string>"), ",").alias("samples"))
+    return base.join(p95, "provider", "left").join(few, "provider", "left").fillna(0.0, ["p95_latency"]).fillna("", ["samples"])
 
 
 def usage_summary(usage: DataFrame) -> DataFrame:
     return usage.groupBy("provider").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost_micros").alias("cost_micros"), F.round(F.avg("latency_ms"), 6).alias("mean_latency"))
 
 
+def member_order() -> Column:
+    """What the best of a cluster has the most of."""
+    return F.struct(*(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("composite_score", "training_usefulness", "technical_quality", "face_quality")), (F.col("width") * F.col("height")).alias("px"), "imported_at", "asset_id")
+
+
 def duplicate_clusters(assets: DataFrame) -> DataFrame:
-    """Clusters of two or more live assets: type, size and best member; the project's duplicates are sum(n - 1)."""
-    quality = F.struct(*(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("composite_score", "training_usefulness", "technical_quality", "face_quality")), (F.col("width") * F.col("height")).alias("px"), "imported_at", "asset_id")
-    return assets.filter(LIVE).filter(F.col("duplicate_cluster_id").isNotNull()).groupBy("project_id", "duplicate_cluster_id").agg(F.min("duplicate_type").alias("type"), F.count("*").alias("n"), F.max_by("asset_id", quality).alias("best_id")).filter("n >= 2")
+    """Clusters of two or more live assets: type, size, best member, and the project's clusters and duplicates, sum(n - 1)."""
+    clusters = assets.filter(LIVE).filter(F.col("duplicate_cluster_id").isNotNull()).groupBy("project_id", "duplicate_cluster_id").agg(F.coalesce(F.min("duplicate_type"), F.lit("unknown")).alias("type"), F.count("*").alias("n"), F.max_by("asset_id", member_order()).alias("best_id")).filter("n >= 2")
+    totals = clusters.groupBy("project_id").agg(F.count("*").alias("total_clusters"), F.sum(F.col("n") - 1).alias("total_duplicates"))
+    return clusters.join(totals, "project_id")
+
+
+def duplicate_cluster_members(assets: DataFrame) -> DataFrame:
+    """The members of each cluster with keep (its best) and score, largest clusters first, best members first."""
+    clusters = duplicate_clusters(assets).select("project_id", "duplicate_cluster_id", "type", "n", "best_id")
+    members = assets.filter(LIVE).join(clusters, ["project_id", "duplicate_cluster_id"])
+    ordered = members.orderBy(F.desc("n"), F.desc("type"), "project_id", "duplicate_cluster_id", member_order().desc())
+    return ordered.select("project_id", "duplicate_cluster_id", "type", "n", "asset_id", (F.col("asset_id") == F.col("best_id")).alias("keep"), F.coalesce("composite_score", F.lit(0.0)).alias("score"))
 
 
 def export_preview(eligible: DataFrame) -> DataFrame:

@@ -46,11 +46,22 @@ register(
          round(avg(face_quality), 6) AS mean_face_quality, count(*) FILTER (review_state = 'approved') AS approved, count(*) FILTER (text IS NULL) AS uncaptioned, any_value(exact_duplicates) AS exact_duplicates
        FROM j JOIN d ON j.project_id = d.project_id GROUP BY 1""",
 )
-register(
-    "caption_consistency", lambda t: s.caption_consistency(t.assets, t.captions, TRIGGERS),
-    f"""SELECT a.project_id, count(text) AS captioned, count(*) FILTER (text IS NULL) AS uncaptioned, round(avg(length(text)), 6) AS mean_length, round(coalesce(stddev_samp(length(text)), 0), 6) AS sd_length,
-         count(*) FILTER ({HIT}) AS with_trigger, count(*) FILTER (NOT {HIT}) AS without_trigger FROM assets a LEFT JOIN (SELECT * FROM captions WHERE is_active) c ON a.asset_id = c.asset_id GROUP BY 1""",
-)
+OFF = f"(regexp_matches(text, '{s.UNEVEN}') OR length(text) NOT BETWEEN 10 AND 800)"
+
+
+def consistency(triggers: list[str]) -> str:
+    """SQL of caption_consistency; a text's length is NULL where it is empty."""
+    hits = [f"contains(lower(text), '{w.lower()}')" for w in triggers]
+    hit = f"({' OR '.join(hits) or 'FALSE'})"
+    advice = ["CASE WHEN uncaptioned > 0 THEN 'missing' END", "CASE WHEN inconsistent > 0 THEN 'format' END", *(f"CASE WHEN 2 * has_{i} < greatest(texts, 1) THEN 'trigger:{w}' END" for i, w in enumerate(triggers)), "CASE WHEN mean_length < 30 THEN 'short' END", "CASE WHEN mean_length > 0 AND sd_length > 0.5::DOUBLE * mean_length THEN 'varied' END"]
+    return f"""WITH j AS (SELECT a.project_id, text, length(nullif(text, '')) AS len FROM assets a LEFT JOIN (SELECT * FROM captions WHERE is_active) c ON a.asset_id = c.asset_id),
+         g AS (SELECT project_id, count(text) AS captioned, count(*) FILTER (text IS NULL) AS uncaptioned, count(len) AS texts, round(coalesce(avg(len), 0), 6) AS mean_length, round(coalesce(stddev_samp(len), 0), 6) AS sd_length,
+           count(*) FILTER (len > 0 AND {hit}) AS with_trigger, count(*) FILTER (len > 0 AND NOT {hit}) AS without_trigger, count(*) FILTER ({OFF}) AS inconsistent {"".join(f", count(*) FILTER ({h}) AS has_{i}" for i, h in enumerate(hits))} FROM j GROUP BY 1)
+         SELECT project_id, captioned, uncaptioned, texts, mean_length, sd_length, with_trigger, without_trigger, inconsistent, CASE WHEN captioned = 0 THEN 'none' ELSE coalesce(nullif(concat_ws(',', {", ".join(advice)}), ''), 'good') END AS recommendations FROM g"""
+
+
+register("caption_consistency", lambda t: s.caption_consistency(t.assets, t.captions, TRIGGERS), consistency(TRIGGERS))
+register("caption_inconsistent", lambda t: s.inconsistent_captions(t.captions), f"SELECT project_id, asset_id FROM captions WHERE is_active AND {OFF}")
 register(
     "caption_word_counts", lambda t: s.caption_word_counts(t.captions.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7f]", "z"))),
     r"""WITH w AS (SELECT project_id, asset_id, unnest(regexp_extract_all(lower(regexp_replace(text, '[^\x00-\x7f]', 'z', 'g')), '\b[a-z][a-z''-]{1,}\b')) AS word, generate_subscripts(regexp_extract_all(lower(regexp_replace(text, '[^\x00-\x7f]', 'z', 'g')), '\b[a-z][a-z''-]{1,}\b'), 1) AS place FROM captions WHERE is_active),
@@ -58,29 +69,27 @@ register(
        SELECT project_id, word, n, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, f) AS rank, 'top' AS kind FROM c QUALIFY rank <= 20
        UNION ALL SELECT project_id, word, n, row_number() OVER (PARTITION BY project_id ORDER BY f) AS rank, 'once' AS kind FROM c WHERE n = 1 QUALIFY rank <= 20""",
 )
-register(
-    "caption_coverage", lambda t: s.project_stats(t.assets).select("project_id", "total", "captioned", "coverage_pct"),
-    "SELECT project_id, count(*) AS total, count(active_caption_id) AS captioned, round(100.0::DOUBLE * count(active_caption_id) / count(*), 1) AS coverage_pct FROM assets GROUP BY 1",
-)
+COVERAGE = "SELECT project_id, captioned + uncaptioned AS total, captioned, round(100.0::DOUBLE * captioned / (captioned + uncaptioned), 1) AS coverage_pct, CAST(round_even(round(mean_length, 1), 0) AS BIGINT) AS avg_length, inconsistent, recommendations FROM g2"
+register("caption_coverage", lambda t: s.caption_coverage(t.assets, t.captions), f"WITH g2 AS ({consistency([])}) {COVERAGE}")
 register(
     "embedding_coverage", lambda t: s.embedding_coverage(t.assets, t.vectors),
     "SELECT *, round(100.0::DOUBLE * done / total, 1) AS pct FROM (SELECT a.project_id, count(*) AS total, count(*) FILTER (analyzed) AS done, count(*) FILTER (NOT analyzed) AS pending, count(vec_id) AS vectors FROM assets a LEFT JOIN vectors ON asset_id = vec_id GROUP BY 1)",
 )
 register(
     "provider_benchmark", lambda t: s.provider_benchmark(t.usage, t.assets),
-    """WITH j AS (SELECT u.*, ok AND a.asset_id IS NOT NULL AS good FROM usage u LEFT JOIN assets a ON u.asset_id = a.asset_id)
-       SELECT provider, count(*) AS calls, count(*) FILTER (NOT good) AS errors, round(avg(latency_ms), 6) AS mean_latency, round(avg(CASE WHEN good THEN 1 ELSE 0 END), 6) AS success_rate,
-         list_sort(list(latency_ms))[CAST(greatest(floor(0.95 * count(*)) - 1, 0) AS BIGINT) + 1] AS p95_latency FROM j GROUP BY 1""",
+    """WITH j AS (SELECT u.*, ok AND a.asset_id IS NOT NULL AS good FROM usage u LEFT JOIN assets a ON u.asset_id = a.asset_id),
+       l AS (SELECT provider, list_sort(list(latency_ms)) AS v, list_sort(list(asset_id))[1:3] AS few FROM j WHERE good GROUP BY 1),
+       b AS (SELECT provider, count(*) AS calls, count(*) FILTER (NOT good) AS errors, round(coalesce(avg(latency_ms) FILTER (good), 0), 6) AS mean_latency, round(avg(CASE WHEN good THEN 1 ELSE 0 END), 6) AS success_rate FROM j GROUP BY 1)
+       SELECT b.*, coalesce(v[CAST(greatest(floor(0.95 * len(v)) - 1, 0) AS BIGINT) + 1], 0.0::DOUBLE) AS p95_latency, coalesce(array_to_string(few, ','), '') AS samples FROM b LEFT JOIN l ON b.provider = l.provider""",
 )
 register(
     "usage_summary", lambda t: s.usage_summary(t.usage),
     "SELECT provider, count(*) AS calls, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum(cost_micros) AS BIGINT) AS cost_micros, round(avg(latency_ms), 6) AS mean_latency FROM usage GROUP BY 1",
 )
-register(
-    "duplicate_clusters", lambda t: s.duplicate_clusters(t.assets),
-    """SELECT project_id, duplicate_cluster_id, min(duplicate_type) AS type, count(*) AS n, CAST(arg_max(asset_id, row(coalesce(composite_score, 0), coalesce(training_usefulness, 0), coalesce(technical_quality, 0), coalesce(face_quality, 0), width * height, imported_at, asset_id)) AS BIGINT) AS best_id
-       FROM assets WHERE NOT is_rejected AND duplicate_cluster_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2""",
-)
+CLUSTERS = """SELECT project_id, duplicate_cluster_id, coalesce(min(duplicate_type), 'unknown') AS type, count(*) AS n, CAST(arg_max(asset_id, row(coalesce(composite_score, 0), coalesce(training_usefulness, 0), coalesce(technical_quality, 0), coalesce(face_quality, 0), width * height, imported_at, asset_id)) AS BIGINT) AS best_id
+       FROM assets WHERE NOT is_rejected AND duplicate_cluster_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2"""
+register("duplicate_clusters", lambda t: s.duplicate_clusters(t.assets), f"SELECT *, count(*) OVER (PARTITION BY project_id) AS total_clusters, CAST(sum(n - 1) OVER (PARTITION BY project_id) AS BIGINT) AS total_duplicates FROM ({CLUSTERS})")
+register("duplicate_cluster_members", lambda t: s.duplicate_cluster_members(t.assets), f"SELECT a.project_id, a.duplicate_cluster_id, c.type, c.n, a.asset_id, a.asset_id = best_id AS keep, coalesce(a.composite_score, 0::DOUBLE) AS score FROM assets a JOIN ({CLUSTERS}) c ON a.project_id = c.project_id AND a.duplicate_cluster_id = c.duplicate_cluster_id WHERE NOT a.is_rejected")
 register(
     "export_preview", lambda t: s.export_preview(export_eligible(t.assets, min_score=0.2)),
     "SELECT project_id, count(*) AS count, count(active_caption_id) AS captioned, count(*) - count(active_caption_id) AS uncaptioned FROM assets WHERE NOT is_rejected AND composite_score >= 0.2 GROUP BY 1",
