@@ -55,17 +55,36 @@ def shot_type_from_ratio(face_height: Column, height: Column) -> Column:
     return F.when(ratio >= 0.35, "close_up").when(ratio >= 0.12, "mid_shot").otherwise("full_body")
 
 
-def pose(offset: Column, pitch: Column) -> Column:
-    """view and pitch class from the nose's offset in eye distances and its place between eyes and mouth."""
-    view = F.when(F.abs(offset) < 0.12, "frontal").when(F.abs(offset) < 0.30, "three_quarter").otherwise("profile")
-    return F.struct(view.alias("view"), F.when(pitch < 0.3, "up").when(pitch > 0.7, "down").otherwise("level").alias("pitch"))
+def pose_from_landmarks(points: Column) -> Column:
+    """yaw, pitch and angle_score of a face from its points (x, y): left eye, right eye, nose and others.
+
+    Too few points, or eyes above one another, are frontal and level with a score of 85.
+    """
+    x = lambda i: F.get(F.get(points, F.lit(i)), F.lit(0))
+    y = lambda i: F.get(F.get(points, F.lit(i)), F.lit(1))
+    apart = F.when(F.size(points) >= 5, F.nullif(F.abs(x(1) - x(0)), F.lit(0.0)))
+    off = F.abs((x(2) - (x(0) + x(1)) / 2) / apart)
+    drop = (y(2) - (y(0) + y(1)) / 2) / apart
+    yaw = F.when(off.isNull() | (off < 0.12), "frontal").when(off < 0.30, "three_quarter").otherwise("profile")
+    pitch = F.when(drop < 0.3, "looking_up").when(drop > 0.7, "looking_down").otherwise("level")
+    worth = F.when(off.isNull(), 85.0).when(off < 0.12, 95 - off * 100).when(off < 0.30, 80 - off * 80).otherwise(60 - off * 40)
+    return F.struct(yaw.alias("yaw"), pitch.alias("pitch"), worth.cast("int").alias("angle_score"))
 
 
 def training_bucket(width: Column, height: Column, side: int = 1024) -> Column:
-    """Bucket sides as multiples of 64 (halves to even, at least 64) for an area of side squared."""
-    ratio = width / height
-    one = lambda r: F.greatest(F.lit(64), (F.rint(F.sqrt(F.lit(float(side * side)) * r) / 64) * 64).cast("int"))
-    return F.struct(one(ratio).alias("width"), one(1 / ratio).alias("height"))
+    """Bucket sides as multiples of 64 (halves to even, at least 64) for an area of side squared, their ratio and
+    megapixels, the scale that fills the bucket, and the pixels to crop after it.
+
+    Without a height the ratio is 1; without a width or a height, its scale is 1.
+    """
+    ratio = F.when(height > 0, F.try_divide(width, height)).otherwise(F.lit(1.0))
+    area = F.lit(float(side * side))
+    snap = lambda a: F.greatest(F.lit(64), (F.rint(F.sqrt(a) / 64) * 64).cast("int"))
+    w, h = snap(area * ratio), snap(F.try_divide(area, ratio))
+    fit = lambda b, x: F.when(x > 0, F.try_divide(b, x)).otherwise(F.lit(1.0))
+    scale = F.greatest(fit(w, width), fit(h, height))
+    crop = lambda x, b: F.greatest(F.lit(0), F.floor(x * scale).cast("int") - b)
+    return F.struct(w.alias("width"), h.alias("height"), F.round(w / h, 3).alias("ar"), F.round(w * h / 1e6, 2).alias("megapixels"), F.round(scale, 3).alias("scale"), crop(width, w).alias("crop_x"), crop(height, h).alias("crop_y"))
 
 
 def aspect_class(width: Column, height: Column) -> Column:

@@ -5,11 +5,13 @@ Metrics and rules are SQL expressions, so one aggregate per project feeds a tabl
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.operators.stats import background, head_angle
+from quarrymill.operators.stats import background, coach_distributions, coach_score_buckets, head_angle
 
 
 def n_where(condition: str) -> str:
@@ -97,7 +99,8 @@ def readiness(measured: DataFrame, found: DataFrame) -> DataFrame:
     loss = found.groupBy("project_id").agg(F.sum(F.expr("CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PENALTY.items()) + " END")).alias("loss"))
     score = F.greatest(F.lit(0), 100 - F.coalesce("loss", F.lit(0)))
     grade = F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F")
-    return measured.select("project_id").join(loss, "project_id", "left").select("project_id", score.cast("long").alias("score"), grade.alias("grade"))
+    label = F.when(score >= 90, "excellent").when(score >= 80, "good").when(score >= 70, "adequate").when(score >= 60, "poor").otherwise("insufficient")
+    return measured.select("project_id").join(loss, "project_id", "left").select("project_id", score.cast("long").alias("score"), grade.alias("grade"), label.alias("label"))
 
 
 def improvement_actions(found: DataFrame) -> DataFrame:
@@ -174,3 +177,26 @@ def coach_report(assets: DataFrame, captions: DataFrame) -> DataFrame:
     first = improvement_actions(found).filter("rank = 1").select("project_id", F.col("action").alias("first_action"))
     target = selection_target(F.col("live")).alias("target")
     return m.select("project_id", "n", target).join(readiness(m, found), "project_id").join(by, "project_id", "left").join(first, "project_id", "left")
+
+
+def coach_report_rows(assets: DataFrame, captions: DataFrame) -> DataFrame:
+    """The whole report as rows: project_id, section, item, place (order within the section) and n.
+
+    Sections: readiness (grade and label, n the score), metric (n its value), distribution (dimension and bucket), score
+    (buckets of ten), issue (severity and title, n the affected), action, and the assets that are recommended or next.
+    """
+    m = metrics(assets, captions)
+    found = issues(m)
+    row = lambda df, section, item, place, n: df.select("project_id", F.lit(section).alias("section"), item.cast("string").alias("item"), place.cast("long").alias("place"), n.cast("double").alias("n"))
+    c, none = F.col, F.lit(None)
+    values = m.select("project_id", F.posexplode(F.array(*(F.struct(F.lit(k).alias("k"), c(k).cast("double").alias("v")) for k in (*METRICS, "exact_dups", "dominant")))).alias("place", "x"))
+    picked = training_selection(assets).filter("part <> 'rest'")
+    return reduce(DataFrame.unionByName, [
+        row(readiness(m, found), "readiness", F.concat_ws(" ", "grade", "label"), F.lit(0), c("score")),
+        row(values, "metric", c("x.k"), c("place"), F.round("x.v", 6)),
+        row(coach_distributions(assets), "distribution", F.concat_ws(" ", "dimension", "bucket"), none, c("n")),
+        row(coach_score_buckets(assets), "score", c("bucket"), c("bucket"), c("n")),
+        row(found, "issue", F.concat_ws(" ", "severity", "title"), c("place"), c("affected")),
+        row(improvement_actions(found), "action", c("action"), c("rank"), none),
+        *(row(picked.filter(c("part") == part), part, c("asset_id"), c("rank"), F.round("effective", 6)) for part in ("recommended", "next")),
+    ])

@@ -32,6 +32,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(dot(a, b) / n)
 
 
+def face_pair_similarity(vectors: DataFrame, face: DataFrame) -> DataFrame:
+    """vec_id, cosine similarity to one face (a row with q), and percent of the way from -1 to 1, whole and clamped."""
+    s = F.round(cosine(F.col("q"), F.col("embedding")), 6)
+    percent = F.least(F.greatest(F.floor((F.col("similarity") + 1) / 2 * 100), F.lit(0)), F.lit(100)).cast("int")
+    return vectors.join(F.broadcast(face.select("q").limit(1))).select("vec_id", s.alias("similarity")).withColumn("percent", percent)
+
+
 def unit(vectors: DataFrame) -> DataFrame:
     """vec_id, project_id and the normalised vector of those that aren't null or 0."""
     n = norm(F.col("embedding"))

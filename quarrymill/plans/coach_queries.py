@@ -23,13 +23,15 @@ LOSS = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in c.PENALTY.
 READY = f"SELECT m.project_id, greatest(0, 100 - coalesce(loss, 0))::BIGINT AS score FROM m LEFT JOIN (SELECT project_id, sum({LOSS}) AS loss FROM i GROUP BY 1) l ON m.project_id = l.project_id"
 GRADE = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END"
 
+LABEL = "CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 80 THEN 'good' WHEN score >= 70 THEN 'adequate' WHEN score >= 60 THEN 'poor' ELSE 'insufficient' END"
+
 
 def ready(t):
     m = c.metrics(t.assets, t.captions)
     return c.readiness(m, c.issues(m))
 
 
-register("readiness", ready, f"WITH {M}, {I} SELECT project_id, score, {GRADE} AS grade FROM ({READY})")
+register("readiness", ready, f"WITH {M}, {I} SELECT project_id, score, {GRADE} AS grade, {LABEL} AS label FROM ({READY})")
 ACTIONS = "SELECT project_id, '[' || upper(severity) || '] ' || title AS action, row_number() OVER (PARTITION BY project_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, place) AS rank FROM i"
 register("improvement_actions", lambda t: c.improvement_actions(found(t)), f"WITH {M}, {I} {ACTIONS}")
 TARGET = "CASE WHEN {n} < 20 THEN {n} WHEN {n} < 40 THEN least({n}, 30) ELSE least({n}, 50) END"
@@ -37,9 +39,10 @@ register("selection_target", lambda t: t.assets.filter("NOT is_rejected").groupB
 register("training_selection", lambda t: c.training_selection(t.assets))
 register(
     "coach_report", lambda t: c.coach_report(t.assets, t.captions),
-    f"""WITH {M}, {I}, a AS ({ACTIONS}), r AS ({READY}) SELECT m.project_id, n, {TARGET.format(n="live")} AS target, score, {GRADE} AS grade, critical, high, medium, low, action AS first_action
+    f"""WITH {M}, {I}, a AS ({ACTIONS}), r AS ({READY}) SELECT m.project_id, n, {TARGET.format(n="live")} AS target, score, {GRADE} AS grade, {LABEL} AS label, critical, high, medium, low, action AS first_action
         FROM m JOIN r ON m.project_id = r.project_id LEFT JOIN (SELECT project_id, {", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in c.PENALTY)} FROM i GROUP BY 1) s ON m.project_id = s.project_id LEFT JOIN a ON m.project_id = a.project_id AND rank = 1""",
 )
+register("coach_report_rows", lambda t: c.coach_report_rows(t.assets, t.captions))
 
 start = lambda t: t.assets.select("asset_id", "mu", "sigma")
 none = lambda t: start(t).limit(0)

@@ -61,8 +61,27 @@ register("quality_priority", lambda t: t.assets.select("asset_id", F.round(q.pri
 register("face_quality", lambda t: t.assets.select("asset_id", F.round(q.face_quality(F.col("face_quality"), F.col("technical_quality")), 6).alias("quality")), "SELECT asset_id, round(CASE WHEN face_quality IS NULL THEN 0.5::DOUBLE ELSE 0.7::DOUBLE * face_quality + 0.3::DOUBLE * least(4 * technical_quality, 1.0::DOUBLE) END, 6) AS quality FROM assets")
 register("face_centering", lambda t: t.assets.select("asset_id", F.round(q.face_centering(F.col("face_quality"), F.coalesce("technical_quality", F.lit(0.3))), 6).alias("centering")), "SELECT asset_id, round(CASE WHEN face_quality IS NULL THEN 0.5::DOUBLE ELSE (least(greatest(1 - 2 * abs(face_quality - 0.5::DOUBLE), 0), 1) + least(greatest(1 - 2.5::DOUBLE * abs(coalesce(technical_quality, 0.3::DOUBLE) - 0.4::DOUBLE), 0), 1)) / 2 END, 6) AS centering FROM assets")
 register("shot_type_from_ratio", lambda t: t.assets.select("asset_id", q.shot_type_from_ratio(F.col("width") / 4, F.col("height")).alias("shot")), "SELECT asset_id, CASE WHEN width / 4 / height >= 0.35 THEN 'close_up' WHEN width / 4 / height >= 0.12 THEN 'mid_shot' ELSE 'full_body' END AS shot FROM assets")
-register("pose_from_landmarks", lambda t: t.assets.select("asset_id", q.pose(F.col("head_pose_yaw") / 100, F.col("technical_quality")).alias("p")).select("asset_id", "p.*"), "SELECT asset_id, CASE WHEN abs(head_pose_yaw / 100) < 0.12 THEN 'frontal' WHEN abs(head_pose_yaw / 100) < 0.30 THEN 'three_quarter' ELSE 'profile' END AS view, CASE WHEN technical_quality < 0.3 THEN 'up' WHEN technical_quality > 0.7 THEN 'down' ELSE 'level' END AS pitch FROM assets")
-register("training_bucket", lambda t: t.assets.select("asset_id", q.training_bucket(F.col("width"), F.col("height"), 768).alias("b")).select("asset_id", "b.*"), "SELECT asset_id, greatest(64, CAST(round_even(sqrt(589824.0::DOUBLE * (width::DOUBLE / height)) / 64, 0) * 64 AS INT)) AS width, greatest(64, CAST(round_even(sqrt(589824.0::DOUBLE * (1 / (width::DOUBLE / height))) / 64, 0) * 64 AS INT)) AS height FROM assets")
+#: Five points per face: eyes, nose, corners of the mouth; every 29th face has its eyes above one another.
+POINTS = {"lx": "CAST(100 + asset_id % 7 AS DOUBLE)", "rx": "CAST(CASE WHEN asset_id % 29 = 0 THEN 100 + asset_id % 7 ELSE 150 + asset_id % 11 END AS DOUBLE)", "nx": "CAST(105 + asset_id % 53 AS DOUBLE)", "ly": "CAST(100 + asset_id % 3 AS DOUBLE)", "ry": "CAST(100 + asset_id % 5 AS DOUBLE)", "ny": "CAST(105 + asset_id % 47 AS DOUBLE)"}
+
+
+def landmarks(t):
+    p = t.assets.select("asset_id", *(F.expr(x).alias(k) for k, x in POINTS.items()))
+    return p.selectExpr("asset_id", "array(array(lx, ly), array(rx, ry), array(nx, ny), array(lx, ny + 20), array(rx, ny + 20)) AS points")
+
+
+register(
+    "pose_from_landmarks", lambda t: landmarks(t).select("asset_id", q.pose_from_landmarks(F.col("points")).alias("p")).select("asset_id", "p.*"),
+    f"""WITH p AS (SELECT asset_id, {", ".join(f"{x} AS {k}" for k, x in POINTS.items())} FROM assets), r AS (SELECT asset_id, abs((nx - (lx + rx) / 2) / nullif(abs(rx - lx), 0)) AS o, (ny - (ly + ry) / 2) / nullif(abs(rx - lx), 0) AS v FROM p)
+       SELECT asset_id, CASE WHEN o IS NULL OR o < 0.12::DOUBLE THEN 'frontal' WHEN o < 0.30::DOUBLE THEN 'three_quarter' ELSE 'profile' END AS yaw, CASE WHEN v < 0.3::DOUBLE THEN 'looking_up' WHEN v > 0.7::DOUBLE THEN 'looking_down' ELSE 'level' END AS pitch,
+         CAST(trunc(CASE WHEN o IS NULL THEN 85 WHEN o < 0.12::DOUBLE THEN 95 - o * 100 WHEN o < 0.30::DOUBLE THEN 80 - o * 80 ELSE 60 - o * 40 END) AS INT) AS angle_score FROM r""",
+)
+register(
+    "training_bucket", lambda t: t.assets.select("asset_id", q.training_bucket(F.col("width"), F.col("height"), 768).alias("b")).select("asset_id", "b.*"),
+    """WITH b AS (SELECT asset_id, width AS w, height AS h, greatest(64, CAST(round_even(sqrt(589824.0::DOUBLE * (width::DOUBLE / height)) / 64, 0) * 64 AS INT)) AS width, greatest(64, CAST(round_even(sqrt(589824.0::DOUBLE / (width::DOUBLE / height)) / 64, 0) * 64 AS INT)) AS height FROM assets),
+       s AS (SELECT *, greatest(width::DOUBLE / w, height::DOUBLE / h) AS scale FROM b)
+       SELECT asset_id, width, height, round(width::DOUBLE / height, 3) AS ar, round((width * height) / 1e6::DOUBLE, 2) AS megapixels, round(scale, 3) AS scale, greatest(0, CAST(floor(w * scale) AS INT) - width) AS crop_x, greatest(0, CAST(floor(h * scale) AS INT) - height) AS crop_y FROM s""",
+)
 register("aspect_class", lambda t: t.assets.select("asset_id", q.aspect_class(F.col("width"), F.col("height")).alias("aspect")), "SELECT asset_id, CASE WHEN round(width::DOUBLE / height, 2) > 1.2 THEN 'landscape' WHEN round(width::DOUBLE / height, 2) < 0.8 THEN 'portrait' ELSE 'square' END AS aspect FROM assets")
 register("background_class", lambda t: t.assets.select("asset_id", q.background_class(F.col("technical_quality") * 100, F.col("aesthetic_score") * 100).alias("background")), "SELECT asset_id, CASE WHEN technical_quality * 100 < 15 AND aesthetic_score * 100 < 30 THEN 'neutral' WHEN technical_quality * 100 < 30 THEN 'simple' WHEN technical_quality * 100 < 60 THEN 'moderate' ELSE 'busy' END AS background FROM assets")
 register("judge_fallback", lambda t: t.assets.select("asset_id", j.judge_fallback(F.col("technical_quality"), F.col("aesthetic_score"), F.col("training_usefulness"), F.col("composite_score")).alias("x")).select("asset_id", F.round("x.composite", 6).alias("composite"), "x.recommendation"), """WITH h AS (SELECT asset_id, coalesce(nullif(coalesce(composite_score, (coalesce(nullif(technical_quality, 0), 0.5::DOUBLE) + coalesce(nullif(aesthetic_score, 0), 0.5::DOUBLE) + coalesce(nullif(training_usefulness, 0), 0.5::DOUBLE)) / 3), 0), 0.5::DOUBLE) AS x FROM assets)

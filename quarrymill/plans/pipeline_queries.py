@@ -90,7 +90,17 @@ def pictures(t: Tables) -> DataFrame:
 
 
 register("perceptual_hash", lambda t: ingest.perceptual_hash(pictures(t), "doc_id"))
-register("image_dims", lambda t: pictures(t).select("doc_id", "width", "height", "channels"), "SELECT doc_id, CAST(CASE WHEN doc_id % 50 = 49 THEN -1 ELSE 48 END AS INT) AS width, CAST(CASE WHEN doc_id % 50 = 49 THEN -1 ELSE 3 * greatest(16, ceil(octet_length(encode(coalesce(text, ''))) / 48)) END AS INT) AS height, 3 AS channels FROM documents")
+#: Files drawn from documents: a PNG, GIF or BMP header, or the bare text, and then the text's bytes.
+HEADED = """CASE doc_id % 4
+  WHEN 0 THEN concat(unhex('89504E470D0A1A0A0000000D49484452'), unhex(lpad(hex(octet_length(text) % 65536), 8, '0')), unhex(lpad(hex(doc_id % 2000000), 8, '0')), unhex('0806000000'), CAST(text AS BINARY))
+  WHEN 1 THEN concat(CAST('GIF89a' AS BINARY), unhex(concat(lpad(hex(doc_id % 256), 2, '0'), lpad(hex(doc_id % 7), 2, '0'))), unhex('4001'), CAST(text AS BINARY))
+  WHEN 2 THEN concat(CAST('BM' AS BINARY), unhex('000000000000000036000000'), unhex('28000000'), unhex(concat(lpad(hex(doc_id % 256), 2, '0'), '020000')), unhex('80010000'), CAST(text AS BINARY))
+  ELSE CAST(text AS BINARY) END"""
+register(
+    "image_dims", lambda t: ingest.image_header(documents(t).selectExpr("doc_id", f"{HEADED} AS content")).drop("content"),
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/bmp' END AS mime, CAST(CASE doc_id % 4 WHEN 0 THEN octet_length(encode(text)) % 65536 WHEN 1 THEN doc_id % 256 + 256 * (doc_id % 7) WHEN 2 THEN doc_id % 256 + 512 END AS INT) AS width,
+         CAST(CASE doc_id % 4 WHEN 0 THEN doc_id % 2000000 WHEN 1 THEN 320 WHEN 2 THEN 384 END AS INT) AS height FROM documents""",
+)
 FILES = "SELECT doc_id, concat('f', doc_id, CASE doc_id % 7 WHEN 0 THEN '.txt' ELSE '.PNG' END) AS path, CASE doc_id % 5 WHEN 0 THEN 'text/html' WHEN 1 THEN NULL ELSE 'image/png' END AS mime FROM documents"
 
 

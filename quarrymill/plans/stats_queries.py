@@ -102,5 +102,5 @@ register(
 )
 register(
     "bucket_distribution", lambda t: s.bucket_distribution(t.assets),
-    """SELECT project_id, concat(greatest(64, CAST(round_even(sqrt(1048576.0::DOUBLE * (width::DOUBLE / height)) / 64, 0) * 64 AS INT)), 'x', greatest(64, CAST(round_even(sqrt(1048576.0::DOUBLE * (1 / (width::DOUBLE / height))) / 64, 0) * 64 AS INT))) AS bucket, count(*) AS n FROM assets GROUP BY 1, 2""",
+    """SELECT project_id, concat(greatest(64, CAST(round_even(sqrt(1048576.0::DOUBLE * (width::DOUBLE / height)) / 64, 0) * 64 AS INT)), 'x', greatest(64, CAST(round_even(sqrt(1048576.0::DOUBLE / (width::DOUBLE / height)) / 64, 0) * 64 AS INT))) AS bucket, count(*) AS n FROM assets GROUP BY 1, 2""",
 )

@@ -42,7 +42,7 @@ register(
     "merge_identities", lambda t: v.merge_identities(t.assets, t.spark.range(1, 6).selectExpr("concat('p', id) AS source", "concat('p', id + 1) AS target")),
     "SELECT CASE WHEN identity_cluster_id IN ('p1', 'p2', 'p3', 'p4', 'p5', 'p6') THEN 'p1' ELSE identity_cluster_id END AS identity, count(*) AS n, CAST(sum(face_count) AS BIGINT) AS faces FROM assets WHERE identity_cluster_id IS NOT NULL GROUP BY 1",
 )
-register("face_pair_similarity", lambda t: t.vectors.join(t.vectors.filter("vec_id = 7").select(F.col("embedding").alias("q"))).select("vec_id", F.round(v.cosine(F.col("q"), F.col("embedding")), 6).alias("similarity")), f"SELECT y.vec_id, {PAIR} AS similarity FROM vectors x CROSS JOIN vectors y WHERE x.vec_id = 7")
+register("face_pair_similarity", lambda t: v.face_pair_similarity(t.vectors, t.vectors.filter("vec_id = 7").select(F.col("embedding").alias("q"))), f"SELECT vec_id, similarity, CAST(least(greatest(floor((similarity + 1) / 2 * 100), 0), 100) AS INT) AS percent FROM (SELECT y.vec_id, {PAIR} AS similarity FROM vectors x CROSS JOIN vectors y WHERE x.vec_id = 7)")
 tags = lambda t: t.vectors.filter("vec_id < 8").selectExpr("concat('tag', vec_id) AS tag", "embedding AS q")
 register(
     "zero_shot_tags", lambda t: v.zero_shot_tags(t.vectors, tags(t)),

@@ -33,6 +33,22 @@ def image_dims(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(folder).select(F.col("image.origin").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
+def image_header(files: DataFrame, content: str = "content") -> DataFrame:
+    """files with mime, width and height as the first bytes state them, without decoding pixels.
+
+    PNG, GIF and BMP state their size at a fixed place; of JPEG and WebP only the mime type is told, and image_dims has
+    their size. Other and cut-off content has none of the three; null content is empty.
+    """
+    data = F.coalesce(F.col(content).cast("binary"), F.lit(b""))
+    start = F.hex(F.substring(data, 1, 12))
+    mime = F.when(start.startswith("89504E470D0A1A0A"), "image/png").when(start.startswith("47494638"), "image/gif").when(start.startswith("424D"), "image/bmp").when(start.startswith("FFD8FF"), "image/jpeg").when(start.rlike("^52494646.{8}57454250"), "image/webp")
+    digits = lambda place, n: F.when(F.octet_length(data) >= place + n - 1, F.hex(F.substring(data, place, n)))
+    little = lambda h: F.regexp_replace(h, "^(..)(..)(?:(..)(..))?$", "$4$3$2$1")
+    number = lambda h: F.conv(h, 16, 10).cast("long").cast("int")
+    side = lambda png, gif, bmp: F.when(mime == "image/png", number(digits(png, 4))).when(mime == "image/gif", number(little(digits(gif, 2)))).when(mime == "image/bmp", number(little(digits(bmp, 4))))
+    return files.withColumns({"mime": mime, "width": side(17, 7, 19), "height": side(21, 9, 23)})
+
+
 def validate_files(wanted: DataFrame, files: DataFrame, decoded: DataFrame) -> DataFrame:
     """wanted (path, mime) with error: the first of missing, unsupported, empty, undecodable, mime; NULL if all is well."""
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
