@@ -57,24 +57,49 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """a < b and similarity of all pairs of a project at threshold or more, by products of blocks of bounded size."""
+def met_blocks(vectors: DataFrame, block: int) -> DataFrame:
+    """project_id, vec_id, u, block and at (i, j): each block of a project meets itself and every other one once, i <= j."""
     count = vectors.groupBy("project_id").agg(F.count("*").alias("n")).select("project_id", F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int").alias("blocks"))
     placed = unit(vectors).join(count, "project_id").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    # each block meets itself and every other one once: pair (i, j) with i <= j
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    dealt = placed.select("project_id", "vec_id", "u", "block", F.explode(meets).alias("at"))
+    return placed.select("project_id", "vec_id", "u", "block", F.explode(meets).alias("at"))
+
+
+def product(rows: pd.DataFrame, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of blocks i and j, and the cosines of all their pairs."""
+    left, right = rows[rows["block"] == i], rows[rows["block"] == j]
+    cosines = np.stack(left["u"]) @ np.stack(right["u"]).T if len(left) and len(right) else np.zeros((0, 0))
+    return left["vec_id"].to_numpy(), right["vec_id"].to_numpy(), cosines
+
+
+def cosine_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """a < b and similarity of all pairs of a project at threshold or more, by products of blocks of bounded size."""
 
     def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
-        left, right = rows[rows["block"] == i], rows[rows["block"] == j]
-        product = np.stack(left["u"]) @ np.stack(right["u"]).T if len(left) and len(right) else np.zeros((0, 0))
-        x, y = np.nonzero(product >= threshold - 1e-9)
-        a, b = left["vec_id"].to_numpy()[x], right["vec_id"].to_numpy()[y]
+        left, right, cosines = product(rows, i, j)
+        x, y = np.nonzero(cosines >= threshold - 1e-9)
+        a, b = left[x], right[y]
         keep = a < b if i == j else np.ones(len(a), bool)
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": np.round(product[x, y][keep], 6)})
+        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": np.round(cosines[x, y][keep], 6)})
+
+    return met_blocks(vectors, block).groupBy("project_id", "at.i", "at.j").applyInPandas(multiply, "a long, b long, similarity double").filter(F.col("similarity") >= threshold)
 
-    return dealt.groupBy("project_id", "at.i", "at.j").applyInPandas(multiply, "a long, b long, similarity double").filter(F.col("similarity") >= threshold)
+
+def least_similarity(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """project_id and the least cosine of two of its vectors; each pair of blocks gives only its own least."""
+    kind = vectors.schema["project_id"].dataType.simpleString()
+
+    def least(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        project, i, j = key
+        cosines = product(rows, i, j)[2]
+        if i == j:
+            np.fill_diagonal(cosines, np.inf)
+        low = cosines.min() if cosines.size else np.inf
+        return pd.DataFrame({"project_id": [project] * int(np.isfinite(low)), "low": [low] * int(np.isfinite(low))})
+
+    lows = met_blocks(vectors, block).groupBy("project_id", "at.i", "at.j").applyInPandas(least, f"project_id {kind}, low double")
+    return lows.groupBy("project_id").agg(F.round(F.min("low"), 6).alias("min_similarity"))
 
 
 def uniqueness_redundancy(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -86,7 +111,8 @@ def uniqueness_redundancy(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def embedding_diversity(vectors: DataFrame) -> DataFrame:
-    """Per project: mean and deviation of the pairwise cosines from sums alone, and diversity (0 to 100).
+    """Per project: mean and deviation of the pairwise cosines from sums alone, their least, the mean deviation of the
+    dimensions, diversity (0 to 100) and its assessment.
 
     With S the sum of the n unit vectors, the cosines sum to (|S|^2 - n) / 2; their squares to (|X'X|^2 - n) / 2.
     """
@@ -103,11 +129,21 @@ def embedding_diversity(vectors: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"project_id": project, "i": i.ravel(), "j": j.ravel(), "g": g.ravel()})
 
     g2 = unit(vectors).select("project_id", "u").mapInPandas(gram, "project_id long, i int, j int, g double").groupBy("project_id", "i", "j").agg(F.sum("g").alias("g")).groupBy("project_id").agg(F.sum(F.col("g") * F.col("g")).alias("g2"))
-    j = n.join(s2, "project_id").join(g2, "project_id").filter("n > 1")
+    spread = u.groupBy("project_id", "i").agg(F.stddev_pop("x").alias("sd")).groupBy("project_id").agg(F.round(F.avg("sd"), 6).alias("spread"))
+    j = n.join(s2, "project_id").join(g2, "project_id").join(spread, "project_id").join(least_similarity(vectors), "project_id").filter("n > 1")
     pairs = F.col("n") * (F.col("n") - 1)
     mean = (F.col("s2") - F.col("n")) / pairs
     deviation = F.sqrt(F.greatest(F.lit(0.0), (F.col("g2") - F.col("n")) / pairs - mean * mean))
-    return j.select("project_id", "n", F.round(mean, 6).alias("mean_similarity"), F.round(deviation, 6).alias("sd_similarity"), F.least(F.greatest(F.floor((1 - mean) * 200), F.lit(0)), F.lit(100)).cast("int").alias("diversity"))
+    diversity = F.least(F.greatest(F.floor((1 - mean) * 200), F.lit(0)), F.lit(100)).cast("int")
+    assessment = F.when(diversity >= 60, "excellent").when(diversity >= 40, "good").when(diversity >= 25, "moderate").otherwise("low")
+    return j.select("project_id", "n", F.round(mean, 6).alias("mean_similarity"), F.round(deviation, 6).alias("sd_similarity"), "min_similarity", "spread", diversity.alias("diversity"), assessment.alias("assessment"))
+
+
+def embedding_regions(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """project_id and regions: leaders of a scan in vec_id order that takes what is above threshold; lone vectors lead."""
+    pairs = written(cosine_pairs(vectors, threshold).filter(F.col("similarity") > threshold), "pairs")
+    led = leaders(pairs).filter("node <> leader").select(F.col("node").alias("vec_id")).distinct()
+    return unit(vectors).join(led, "vec_id", "left_anti").groupBy("project_id").agg(F.count("*").alias("regions"))
 
 
 def identity_consistency(vectors: DataFrame, references: DataFrame, low: float = 0.3) -> DataFrame:
@@ -139,6 +175,35 @@ def zero_shot_tags(vectors: DataFrame, labels: DataFrame, scale: float = 10.0, l
     return p.withColumn("rank", F.row_number().over(own.orderBy(F.desc("p"), "tag"))).filter((F.col("rank") <= most) & (F.col("p") > least)).select("vec_id", "tag", "p", "rank")
 
 
+def scene_tags(vectors: DataFrame, labels: DataFrame, scale: float = 1.0, most: int = 5) -> DataFrame:
+    """vec_id with what each group of a request's labels (grp, tag, q) says, by a softmax of cosines within the group.
+
+    Groups are scene (scene_class, scene_tags above .05), place (is_indoor), light (lighting_tags, three at most above
+    .1), object (object_tags from .08) and background (clutter and plain). Ties go by tag; a group without labels gives
+    null or no tags. The labels travel as one row beside each vector, so nothing is shuffled.
+    """
+    one = labels.agg(F.array_sort(F.collect_list(F.struct("grp", "tag", "q"))).alias("_labels"))
+    nothing = F.array().cast("array<struct<e:double,tag:string>>")
+
+    def ranked(group: str) -> Column:
+        def add(so_far: Column, label: Column) -> Column:
+            e = F.exp(scale * cosine(label["q"], F.col("embedding")))
+            return F.struct((so_far["total"] + e).alias("total"), F.array_append(so_far["all"], F.struct(e.alias("e"), label["tag"].cast("string").alias("tag"))).alias("all"))
+
+        start = F.struct(F.lit(0.0).alias("total"), nothing.alias("all"))
+        share = lambda s: F.array_sort(F.transform(s["all"], lambda x: F.struct((-F.round(x["e"] / s["total"], 6)).alias("p"), x["tag"].alias("tag"))))
+        return F.aggregate(F.filter("_labels", lambda x: x["grp"] == group), start, add, share)
+
+    tags = lambda c, n, least: F.array_join(F.transform(F.filter(F.slice(c, 1, n), least), lambda x: x["tag"]), ",")
+    top = lambda c: F.get(F.col(c), F.lit(0))["tag"]
+    scored = vectors.join(F.broadcast(one)).select("vec_id", *(ranked(g).alias(g) for g in ("scene", "place", "light", "object", "background")))
+    clutter = F.get(F.filter("background", lambda x: F.contains(x["tag"], F.lit("cluttered"))), F.lit(0))["p"]
+    return scored.select(
+        "vec_id", top("scene").alias("scene_class"), tags("scene", most, lambda x: x["p"] < -0.05).alias("scene_tags"), (top("place") == "indoor scene").alias("is_indoor"), tags("light", 3, lambda x: x["p"] < -0.1).alias("lighting_tags"),
+        tags("object", most, lambda x: x["p"] <= -0.08).alias("object_tags"), F.round(F.coalesce(-clutter, F.lit(0.0)), 3).alias("clutter"), F.coalesce(top("background").rlike("plain|gradient"), F.lit(False)).alias("plain"),
+    )
+
+
 def prompt_contrast(vectors: DataFrame, prompts: DataFrame) -> DataFrame:
     """vec_id, contrast and score: mean cosine to positive prompts less that to negative ones (positive, q)."""
     s = vectors.crossJoin(F.broadcast(prompts)).select("vec_id", "positive", cosine(F.col("q"), F.col("embedding")).alias("s"))

@@ -26,9 +26,12 @@ register(
 )
 register(
     "embedding_diversity", lambda t: v.embedding_diversity(t.vectors),
-    """WITH p AS (SELECT x.project_id, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS s FROM vectors x JOIN vectors y ON x.project_id = y.project_id AND x.vec_id <> y.vec_id)
-       SELECT p.project_id, any_value(n) AS n, round(avg(s), 6) AS mean_similarity, round(stddev_pop(s), 6) AS sd_similarity, CAST(least(greatest(floor((1 - avg(s)) * 200), 0), 100) AS INT) AS diversity FROM p JOIN (SELECT project_id, count(*) AS n FROM vectors GROUP BY 1) c ON p.project_id = c.project_id GROUP BY 1""",
+    """WITH p AS (SELECT x.project_id, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS s FROM vectors x JOIN vectors y ON x.project_id = y.project_id AND x.vec_id <> y.vec_id),
+       u AS (SELECT project_id, i, CAST(embedding[i + 1] AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS x FROM vectors CROSS JOIN range(64) r(i)), w AS (SELECT project_id, round(avg(sd), 6) AS spread FROM (SELECT project_id, i, stddev_pop(x) AS sd FROM u GROUP BY 1, 2) GROUP BY 1),
+       d AS (SELECT p.project_id, any_value(n) AS n, round(avg(s), 6) AS mean_similarity, round(stddev_pop(s), 6) AS sd_similarity, round(min(s), 6) AS min_similarity, CAST(least(greatest(floor((1 - avg(s)) * 200), 0), 100) AS INT) AS diversity FROM p JOIN (SELECT project_id, count(*) AS n FROM vectors GROUP BY 1) c ON p.project_id = c.project_id GROUP BY 1)
+       SELECT d.*, spread, CASE WHEN diversity >= 60 THEN 'excellent' WHEN diversity >= 40 THEN 'good' WHEN diversity >= 25 THEN 'moderate' ELSE 'low' END AS assessment FROM d JOIN w ON d.project_id = w.project_id""",
 )
+register("embedding_regions", lambda t: v.embedding_regions(t.vectors, 0.3))
 register(
     "identity_consistency", lambda t: v.identity_consistency(t.vectors, t.vectors.filter("vec_id < 4").selectExpr("project_id", "embedding AS q"), 0.05),
     f"SELECT project_id, round(avg(s), 5) AS mean, min(s) AS least, max(s) AS greatest, count(*) FILTER (s < 0.05) AS outliers FROM (SELECT y.project_id, {PAIR} AS s FROM vectors x JOIN vectors y ON x.project_id = y.project_id WHERE x.vec_id < 4) GROUP BY 1",
@@ -49,6 +52,16 @@ register(
     f"""WITH e AS (SELECT y.vec_id, 'tag' || x.vec_id AS tag, exp(10.0::DOUBLE * list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))) AS e FROM vectors x CROSS JOIN vectors y WHERE x.vec_id < 8), p AS (SELECT vec_id, tag, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS p FROM e)
        SELECT * FROM (SELECT vec_id, tag, p, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, tag) AS rank FROM p) WHERE rank <= 5 AND p > 0.05""",
 )
+GROUPS = {"scene": ["street", "studio", "office", "forest", "beach", "kitchen", "stage"], "place": ["indoor scene", "outdoor scene"], "light": ["soft light", "hard light", "backlight", "neon"], "object": ["chair", "car", "lamp", "dog", "book", "tree"], "background": ["plain wall", "cluttered room", "gradient", "busy street"]}
+LABELS = " UNION ALL ".join(f"SELECT {i} AS vec_id, '{g}' AS grp, '{tag}' AS tag" for i, (g, tag) in enumerate((g, tag) for g, tags in GROUPS.items() for tag in tags))
+words = lambda c, n, least: f"coalesce(string_agg(tag, ',' ORDER BY rank) FILTER (grp = '{c}' AND rank <= {n} AND p {least}::DOUBLE), '')"
+register(
+    "scene_tags", lambda t: v.scene_tags(t.vectors, t.spark.sql(LABELS).join(t.vectors.selectExpr("vec_id", "embedding AS q"), "vec_id"), 4.0),
+    f"""WITH k AS ({LABELS}), e AS (SELECT y.vec_id, grp, tag, exp(4.0::DOUBLE * list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))) AS e FROM k JOIN vectors x ON k.vec_id = x.vec_id CROSS JOIN vectors y),
+       p AS (SELECT *, row_number() OVER (PARTITION BY vec_id, grp ORDER BY p DESC, tag) AS rank FROM (SELECT vec_id, grp, tag, round(e / sum(e) OVER (PARTITION BY vec_id, grp), 6) AS p FROM e))
+       SELECT vec_id, min(tag) FILTER (grp = 'scene' AND rank = 1) AS scene_class, {words("scene", 5, "> 0.05")} AS scene_tags, min(tag) FILTER (grp = 'place' AND rank = 1) = 'indoor scene' AS is_indoor, {words("light", 3, "> 0.1")} AS lighting_tags, {words("object", 5, ">= 0.08")} AS object_tags,
+         round(coalesce(min(p) FILTER (grp = 'background' AND tag = 'cluttered room'), 0), 3) AS clutter, min(tag) FILTER (grp = 'background' AND rank = 1) IN ('plain wall', 'gradient') AS plain FROM p GROUP BY 1""",
+)
 register(
     "prompt_contrast_score", lambda t: v.prompt_contrast(t.vectors, t.vectors.filter("vec_id < 6").selectExpr("vec_id % 2 = 0 AS positive", "embedding AS q")),
     """SELECT vec_id, contrast, CAST(least(greatest(floor((contrast + 0.3) / 0.6 * 100), 0), 100) AS INT) AS score FROM (SELECT y.vec_id, round(avg(s) FILTER (x % 2 = 0) - avg(s) FILTER (x % 2 = 1), 6) AS contrast FROM (SELECT x.vec_id AS x, y.vec_id, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS s FROM vectors x CROSS JOIN vectors y WHERE x.vec_id < 6) y GROUP BY 1)""",

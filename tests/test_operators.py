@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.functions import captions as captions_
+from quarrymill.functions import quality
 from quarrymill.functions.judge import judge_parse
-from quarrymill.operators import actions, coach, dedup, image_qc, ratings, relations, vectors
+from quarrymill.operators import actions, coach, dedup, image_qc, ratings, relations, stats, vectors
 from quarrymill.operators.filters import rule_column
 from quarrymill.plans.views import view
 from quarrymill.sources import ingest, sinks
@@ -292,3 +293,57 @@ def test_tiers_of_every_asset(spark):
         own = sorted((r for r in rows if r[1] == p), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
         want = {r[0]: (i, "top" if i <= len(own) // 4 else "bottom" if i > int(len(own) * 0.75) else "middle") for i, r in enumerate(own, 1)}
         assert {r.asset_id: (r["rank"], r.tier) for r in got if r.project_id == p} == want
+
+
+def test_regions_and_least_similarity(spark):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(12, 8)), 5, axis=0) + rng.normal(scale=0.15, size=(60, 8))
+    df = spark.createDataFrame([(i, i % 2, [float(a) for a in row]) for i, row in enumerate(x)], "vec_id long, project_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    regions, least = {}, {}
+    for project in (0, 1):
+        own = [i for i in range(60) if i % 2 == project]
+        seen, n = set(), 0
+        for i in own:
+            if i not in seen:
+                n += 1
+                seen |= {j for j in own if j >= i and u[i] @ u[j] > 0.85}
+        regions[project] = n
+        least[project] = min(u[i] @ u[j] for i in own for j in own if i < j)
+    assert {r.project_id: r.regions for r in vectors.embedding_regions(df).collect()} == regions
+    got = {r.project_id: r.min_similarity for r in vectors.least_similarity(df, 7).collect()}
+    assert got == pytest.approx(least, abs=1e-6)
+
+
+def test_headers_state_sizes(spark):
+    jpeg, gif = b"\xff\xd8\xff\xe0rest of it", b"GIF89a\x03\x01\x02\x00"
+    files = [("png", png(np.zeros((64, 48, 3), np.uint8))), ("gif", gif), ("bmp", b"BM" + bytes(16) + struct.pack("<ii", 700, 5)), ("jpeg", jpeg), ("cut", png(np.zeros((8, 8, 3), np.uint8))[:20]), ("text", b"plain"), ("none", None)]
+    df = ingest.image_header(spark.createDataFrame([(n, None if c is None else bytearray(c)) for n, c in files], "name string, content binary"))
+    got = {r.name: (r.mime, r.width, r.height) for r in df.collect()}
+    assert got == {"png": ("image/png", 48, 64), "gif": ("image/gif", 259, 2), "bmp": ("image/bmp", 700, 5), "jpeg": ("image/jpeg", None, None), "cut": ("image/png", 8, None), "text": (None, None, None), "none": (None, None, None)}
+
+
+def test_poses_and_buckets(spark):
+    faces = [([[0.0, 0.0], [10.0, 0.0], [5.0, 5.0], [2.0, 9.0], [8.0, 9.0]],), ([[0.0, 0.0], [10.0, 0.0], [7.0, 8.0], [2.0, 9.0], [8.0, 9.0]],), ([[0.0, 0.0], [10.0, 0.0], [10.0, 1.0], [2.0, 9.0], [8.0, 9.0]],), ([[3.0, 0.0], [3.0, 0.0], [10.0, 1.0], [2.0, 9.0], [8.0, 9.0]],), ([[3.0, 0.0]],), (None,)]
+    got = [tuple(r.p) for r in spark.createDataFrame(faces, "points array<array<double>>").select(quality.pose_from_landmarks(F.col("points")).alias("p")).collect()]
+    assert got == [("frontal", "level", 95), ("three_quarter", "looking_down", 64), ("profile", "looking_up", 40), *[("frontal", "level", 85)] * 3]
+    sizes = spark.createDataFrame([(1024, 1024), (1920, 1080), (100, 0)], "w int, h int")
+    buckets = [tuple(r.b) for r in sizes.select(quality.training_bucket(F.col("w"), F.col("h")).alias("b")).collect()]
+    assert buckets == [(1024, 1024, 1.0, 1.05, 1.0, 0, 0), (1344, 768, 1.75, 1.03, 0.711, 21, 0), (1024, 1024, 1.0, 1.05, 10.24, 0, 0)]
+
+
+def test_off_formats_and_advice(spark, assets):
+    df = assets([{"active_caption_id": i} for i in range(5)] + [{}, {"project_id": "q"}])
+    texts = ["a fine caption of Elle in the sun", " leading blank in this caption", "twice  blank in this caption", "comma, , comma in this caption", "short"]
+    own = spark.createDataFrame([(i, "p", t, True) for i, t in enumerate(texts)], "asset_id long, project_id string, text string, is_active boolean")
+    assert sorted(r.asset_id for r in stats.inconsistent_captions(own).collect()) == [1, 2, 3, 4]
+    got = {r.project_id: (r.captioned, r.inconsistent, r.recommendations) for r in stats.caption_consistency(df, own, ["elle"]).collect()}
+    assert got == {"p": (5, 4, "missing,format,trigger:elle,short"), "q": (0, 0, "none")}
+
+
+def test_p95_of_good_calls(spark, assets):
+    values = [float(v) for v in (3, 3, 3, 500, 0.5, 70, 71, 72, 72, 73, 1000, 4, 9, 2, 8, 6, 6, 6, 15, 16, 17)]
+    rows = [("a", 0, v, True) for v in values] + [("a", 0, 9999.0, False), ("b", 99, 5.0, True)]
+    got = {r.provider: r for r in stats.provider_benchmark(spark.createDataFrame(rows, "provider string, asset_id long, latency_ms double, ok boolean"), assets([{}])).collect()}
+    assert got["a"].p95_latency == sorted(values)[max(0, int(0.95 * len(values)) - 1)] and got["a"].errors == 1 and got["a"].samples == "0,0,0"
+    assert got["b"].p95_latency == 0.0 and got["b"].errors == 1 and got["b"].samples == "" and got["b"].success_rate == 0
