@@ -118,7 +118,21 @@ def sigma_pair(assets: DataFrame, top: int = 5) -> DataFrame:
 
 
 def closest_pair(assets: DataFrame) -> DataFrame:
-    """Per project the neighbours in rating that are closest; the least ids among equals."""
-    after = Window.partitionBy("project_id").orderBy("elo", "asset_id")
-    gaps = assets.select("project_id", F.col("asset_id").alias("a"), F.lead("asset_id").over(after).alias("b"), (F.lead("elo").over(after) - F.col("elo")).alias("gap")).filter("b IS NOT NULL")
-    return gaps.groupBy("project_id").agg(F.min(F.struct("gap", "a", "b")).alias("x")).select("project_id", "x.*")
+    """Per project the neighbours in rating that are closest; the least ids among equals. Null ratings have no neighbour.
+
+    Equal ratings are one value with its least two and greatest ids; values meet within whole points, and the ends of
+    these points meet across them, so no task sorts a project's assets.
+    """
+    rated = assets.filter("elo IS NOT NULL").select("project_id", "elo", "asset_id")
+    first = rated.withColumn("n", F.row_number().over(Window.partitionBy("project_id", "elo").orderBy("asset_id"))).filter("n <= 2")
+    equal = first.groupBy("project_id", "elo").agg(F.max("n").alias("n"), F.min("asset_id").alias("a"), F.max("asset_id").alias("b")).filter("n = 2").select("project_id", F.lit(0.0).alias("gap"), "a", "b")
+    values = rated.groupBy("project_id", "elo").agg(F.min("asset_id").alias("low"), F.max("asset_id").alias("high")).withColumn("point", F.floor("elo"))
+    ends = values.groupBy("project_id", "point").agg(F.min(F.struct("elo", "low")).alias("bottom"), F.max(F.struct("elo", "high")).alias("top"))
+
+    def steps(df: DataFrame, own: Window, top: F.Column, bottom: F.Column) -> DataFrame:
+        met = df.select("project_id", top.alias("x"), F.lead(bottom).over(own).alias("y")).filter("y IS NOT NULL")
+        return met.select("project_id", (F.col("y.elo") - F.col("x.elo")).alias("gap"), F.col("x.high").alias("a"), F.col("y.low").alias("b"))
+
+    within = steps(values, Window.partitionBy("project_id", "point").orderBy("elo"), F.struct("elo", "high"), F.struct("elo", "low"))
+    across = steps(ends, Window.partitionBy("project_id").orderBy("point"), F.col("top"), F.col("bottom"))
+    return equal.union(within).union(across).groupBy("project_id").agg(F.min(F.struct("gap", "a", "b")).alias("x")).select("project_id", "x.*")

@@ -347,3 +347,14 @@ def test_p95_of_good_calls(spark, assets):
     got = {r.provider: r for r in stats.provider_benchmark(spark.createDataFrame(rows, "provider string, asset_id long, latency_ms double, ok boolean"), assets([{}])).collect()}
     assert got["a"].p95_latency == sorted(values)[max(0, int(0.95 * len(values)) - 1)] and got["a"].errors == 1 and got["a"].samples == "0,0,0"
     assert got["b"].p95_latency == 0.0 and got["b"].errors == 1 and got["b"].samples == "" and got["b"].success_rate == 0
+
+
+def test_closest_pair_with_ties_and_nulls(spark):
+    rng = random.Random(2)
+    rows = [(f"p{i % 3}", i, None if i % 9 == 0 else float(rng.choice([1500, 1500.25, 1501.5, 1490, 1400.125]) if i % 3 else rng.uniform(1000, 2000))) for i in range(120)] + [("lone", 500, 1500.0)]
+    got = {r.project_id: (r.gap, r.a, r.b) for r in ratings.closest_pair(spark.createDataFrame(rows, "project_id string, asset_id long, elo double")).collect()}
+    want = {}
+    for p in ("p0", "p1", "p2"):
+        own = sorted((e, i) for q, i, e in rows if q == p and e is not None)
+        want[p] = min((y[0] - x[0], x[1], y[1]) for x, y in zip(own, own[1:], strict=False))
+    assert got == want
