@@ -60,7 +60,7 @@ def word_counts(words: pa.Array, numbers: np.ndarray, starts: np.ndarray) -> tup
     """Text number, hash and times of each text's distinct words, in lower case and without marks at the ends."""
     plain = pc.utf8_trim(pc.utf8_lower(words), "\x02\n.,;:!?")
     hashed = pd.util.hash_array(plain.to_numpy(zero_copy_only=False), categorize=False)
-    value, same = np.unique(hashed, return_inverse=True)
+    same, value = pd.factorize(hashed)
     text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     pair, times = np.unique(text * len(value) + same[numbers], return_counts=True)
     return pair // len(value), value[pair % len(value)], times
@@ -136,7 +136,8 @@ class ByteLevel:
         joined = pc.and_(pc.match_substring_regex(whole, common), pc.invert(first))
         joined = pc.and_(joined, pc.invert(pc.match_substring_regex(whole, special))) if special else joined
         fast, rest = whole.filter(joined), whole.filter(pc.invert(joined))
-        some = self.ranks.encode_to_numpy("".join(fast.to_pylist())) if len(fast) else np.zeros(0, np.uint32)
+        one = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(fast)], pa.int32()), fast), "")[0].as_py()
+        some = self.ranks.encode_to_numpy(one) if one else np.zeros(0, np.uint32)
         ends = np.searchsorted(np.cumsum(self.size[some]), np.cumsum(pc.binary_length(fast).to_numpy(zero_copy_only=False)), side="right")
         other, sizes = self.of_texts(rest.to_pylist())
         mask = joined.to_numpy(zero_copy_only=False)
@@ -199,7 +200,8 @@ class Index:
     def __init__(self, shard: Shard, known: Statistics):
         document, word, times = map(np.concatenate, zip(*shard.words, strict=True))
         length = np.bincount(document, times, shard.n)
-        distinct, word, df = np.unique(word, return_inverse=True, return_counts=True)
+        word, distinct = pd.factorize(word)
+        df = np.bincount(word, minlength=len(distinct))
         norm = (K1 * (1 - B + B * length / known.mean)).astype(np.float32)
         weight = (known.idf(distinct)[word] * (times * (K1 + 1) / (times + norm[document]))).astype(np.float32)
         common = FREQUENT * df > shard.n
