@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.shared import SLICE_BYTES, TASK_BYTES, bounded_batches, bounds, parts_for, ranges, slices
-from quarrymill.llm.word_codes import flat_ids, words_of
+from quarrymill.llm.word_codes import flat_ids
 
 WINDOW = 2048
 #: BM25's constants, and the neighbours that one look-up gives; more follow on demand.
@@ -42,23 +42,32 @@ FREQUENT = 8
 #: Bytes of text and documents in a shard, and a bound of memory: a range that can't be split further has several indexes
 #: beyond it.
 SHARD_BYTES, SHARD_DOCUMENTS, INDEX_BYTES = TASK_BYTES, 6000, 4 * TASK_BYTES
-START = "\x02"
 #: Texts in which words aren't parted by single spaces or line ends: they are encoded whole.
-ODD = r"[ \n][ \n]|[\t\x0b\x0c\r\x02\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ODD = r"[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-#: How this kind of vocabulary parts a text before any merge (fixed with the vocabulary).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: How this kind of vocabulary parts a text before any merge (fixed with the vocabulary); white space comes one by one here.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"""
 
 
 def marked_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """words_of() the texts; a text's first word begins with START, and a line's first with a line end."""
-    return words_of(pc.binary_join_element_wise(START, pc.replace_substring(texts, "\n", " \n"), ""))
+    """The distinct words with the space or line end before them, the number of each word in order, and where each text's begin.
+
+    A text's first word has nothing before it, and may be empty. The words lie end to end in the texts' own bytes.
+    """
+    _, offsets, held = texts.buffers()
+    starts = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(held, np.uint8)[starts[0] : starts[-1]] if held else np.zeros(0, np.uint8)
+    at = (np.flatnonzero((data == 32) | (data == 10)) + starts[0]).astype(np.int32)
+    before = np.searchsorted(at, starts)
+    ends = np.append(np.insert(at, before[:-1], starts[:-1]), starts[-1])
+    coded = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), held).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), before + np.arange(len(starts))
 
 
 def word_counts(words: pa.Array, numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, hash and times of each text's distinct words, in lower case and without marks at the ends."""
-    plain = pc.utf8_trim(pc.utf8_lower(words), "\x02\n.,;:!?")
+    plain = pc.utf8_trim(pc.utf8_lower(words), " \n.,;:!?")
     hashed = pd.util.hash_array(plain.to_numpy(zero_copy_only=False), categorize=False)
     same, value = pd.factorize(hashed)
     text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
@@ -85,7 +94,7 @@ def statistics(docs: DataFrame, text: str) -> Statistics:
         total, n, length, size = np.zeros(DF_BINS, np.int64), 0, 0, 0
         for part in slices(batches, "t", 2 * SLICE_BYTES):
             words, numbers, starts = marked_words(part.column("t"))
-            _, word, times = word_counts(words.cast(pa.string()), numbers, starts)
+            _, word, times = word_counts(words, numbers, starts)
             total += np.bincount((word >> np.uint64(44)).astype(np.int64), minlength=DF_BINS)
             n, length, size = n + part.num_rows, length + int(times.sum()), size + (pc.sum(pc.binary_length(part.column("t"))).as_py() or 0)
         at = np.flatnonzero(total)
@@ -112,7 +121,7 @@ class ByteLevel:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.end_id, self.ranks = Tokenizer.from_file(file), end_id, None
         special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.plain = f"^[\\x00-\\x{{24f}}]*$", special
+        self.plain = f"^[ \\n][\\x00-\\x{{24f}}]*$", special
         if rank_file:
             import tiktoken
 
@@ -126,16 +135,13 @@ class ByteLevel:
         return flat_ids([x.ids for i in range(0, len(texts), 8192) for x in self.tokenizer.encode_batch_fast(texts[i : i + 8192], add_special_tokens=False)])
 
     def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their number, of words that begin with START, a line end, or else a space that is left out."""
-        first, line = pc.starts_with(words, START), pc.starts_with(words, "\n")
-        spaced = pc.if_else(line, words, pc.binary_join_element_wise(" ", words, ""))
-        whole = pc.if_else(first, pc.utf8_slice_codeunits(words, 1), spaced)
+        """Ids and their number, of words as marked_words() gives them."""
         if self.ranks is None:
-            return self.of_texts(whole.to_pylist())
+            return self.of_texts(words.to_pylist())
         common, special = self.plain
-        joined = pc.and_(pc.match_substring_regex(whole, common), pc.invert(first))
-        joined = pc.and_(joined, pc.invert(pc.match_substring_regex(whole, special))) if special else joined
-        fast, rest = whole.filter(joined), whole.filter(pc.invert(joined))
+        joined = pc.match_substring_regex(words, common)
+        joined = pc.and_(joined, pc.invert(pc.match_substring_regex(words, special))) if special else joined
+        fast, rest = words.filter(joined), words.filter(pc.invert(joined))
         one = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(fast)], pa.int32()), fast), "")[0].as_py()
         some = self.ranks.encode_to_numpy(one) if one else np.zeros(0, np.uint32)
         ends = np.searchsorted(np.cumsum(self.size[some]), np.cumsum(pc.binary_length(fast).to_numpy(zero_copy_only=False)), side="right")
@@ -150,7 +156,6 @@ class ByteLevel:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
         """Ids with the end id, each text's number of ids; the distinct words, words in order, each text's begin."""
         words, numbers, starts = marked_words(texts)
-        words = words.cast(pa.string())  # a slice is far below 2 GB
         of_word, length = self.of_words(words)
         own = length[numbers]
         ids, at = of_word[ranges((np.cumsum(length) - length)[numbers], own)], bounds(own)[starts]
