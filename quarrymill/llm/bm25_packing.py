@@ -55,6 +55,7 @@ def marked_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
     A text's first word has nothing before it, and may be empty. The words lie end to end in the texts' own bytes.
     """
+    texts = texts.cast(pa.string())  # a slice is far below 2 GB
     _, offsets, held = texts.buffers()
     starts = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(held, np.uint8)[starts[0] : starts[-1]] if held else np.zeros(0, np.uint8)

@@ -125,6 +125,14 @@ def test_byte_level_words_equal_whole_texts():
             assert ids[a:b].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1], t
 
 
+def test_words_lie_in_the_texts_bytes():
+    texts = ["x", "", "a b\n\nc ", " é\tä  日", "", "\n"]
+    for given in (pa.array(texts), pa.array(["skip me", *texts, "z"]).slice(1, 6), pa.array(texts, pa.large_string())):
+        words, numbers, starts = bm25_packing.marked_words(given)
+        found = words.take(pa.array(numbers)).to_pylist()
+        assert [found[a:b] for a, b in zip(starts, starts[1:], strict=False)] == [re.split("(?=[ \n])", t) if t[:1] not in (" ", "\n") else ["", *re.split("(?=[ \n])", t)[1:]] for t in texts]
+
+
 def test_word_level_parts_equal_whole_texts():
     rng = random.Random(2)
     parts = [*"abTHE, '.’é!12½²ªİßẞΣς\u0301\t\n日😀<|", "<|endoftext|>", "'S", "'ll", "ing", " ", " "]
