@@ -97,6 +97,12 @@ def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids(table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"), 49_408, 2)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents")).drop("at_key", "at_byte")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_html_mincut": op1_html_mincut,
@@ -109,6 +115,7 @@ def queries() -> dict[str, Query]:
         "op8_eb_classifier": op8_eb_classifier,
         "op9_icws_dedup": op9_icws_dedup,
         "op10_bit_packing": op10_bit_packing,
+        "op11_collocations": op11_collocations,
     }
 
 
@@ -135,5 +142,40 @@ FROM ruled
 """
 
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, list_filter(str_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS w
+  FROM (SELECT lang, unnest(str_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents)
+), grams AS (
+  SELECT lang, n, array_to_string(w[i : i + n - 1], ' ') AS phrase
+  FROM (SELECT lang, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM pieces, range(1, 5) t(n))
+), counts AS (
+  SELECT lang, n, phrase, CAST(count(*) AS BIGINT) AS a FROM grams GROUP BY ALL
+), words AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM counts WHERE n = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, n, phrase, str_split(phrase, ' ') AS w, a FROM counts WHERE n > 1 AND a >= 30
+), halves AS (
+  SELECT *, array_to_string(w[1 : k], ' ') AS first, array_to_string(w[k + 1 :], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, n)) AS k FROM candidates)
+), scored AS (
+  SELECT h.lang, h.phrase, h.a, h.k, x.a AS l, y.a AS r,
+         CAST(CAST(2000000 AS HUGEINT) * h.a // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
+  FROM halves h JOIN counts x ON x.lang = h.lang AND x.phrase = h.first AND x.n = h.k
+  JOIN counts y ON y.lang = h.lang AND y.phrase = h.rest AND y.n = h.n - h.k
+), weakest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_phrases AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, n, m, unnest(range(1, n - m + 2)) AS i FROM candidates, range(2, 4) t(m) WHERE m < n) GROUP BY ALL
+), ranked AS (
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank, s.phrase, a, l, r, score
+  FROM weakest s LEFT JOIN inner_phrases i ON i.lang = s.lang AND i.phrase = s.phrase
+  WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)
+)
+SELECT lang, rank, phrase, a, l, r, words.n AS n, score FROM ranked JOIN words USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_trie": OP7_SQL}
+    return {"op7_url_trie": OP7_SQL, "op11_collocations": OP11_SQL}
