@@ -103,6 +103,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents")).drop("at_key", "at_byte")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.token_alignment import align
+
+    return align(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), vocabulary_file("piece_bpe_32k.model"), vocabulary_file("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_html_mincut": op1_html_mincut,
@@ -116,6 +122,7 @@ def queries() -> dict[str, Query]:
         "op9_icws_dedup": op9_icws_dedup,
         "op10_bit_packing": op10_bit_packing,
         "op11_collocations": op11_collocations,
+        "op12_token_alignment": op12_token_alignment,
     }
 
 
