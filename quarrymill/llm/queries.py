@@ -109,6 +109,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), vocabulary_file("piece_bpe_32k.model"), vocabulary_file("byte_bpe_50k.tiktoken"))
 
 
+def op13_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.pii_crf import find_private, labelled_table
+
+    return find_private(table(spark, sf_dir, "documents"), labelled_table(spark))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_html_mincut": op1_html_mincut,
@@ -123,6 +129,7 @@ def queries() -> dict[str, Query]:
         "op10_bit_packing": op10_bit_packing,
         "op11_collocations": op11_collocations,
         "op12_token_alignment": op12_token_alignment,
+        "op13_pii_crf": op13_pii_crf,
     }
 
 
