@@ -5,9 +5,9 @@ equal ends, side B to side A, and side A to itself); doubling the successors of
 converges to the terminal token of each component, which labels the group. Two tokens overlap exactly where, between
 neighbouring ends of either side, both have a byte, so the links of a text are its stretches between ends.
 
-Each slice of texts is a block, written with its links and its distinct id pairs. Pairs are summed over blocks, the
+Some slices of texts are a block, written with its links and its distinct id pairs. Pairs are summed over blocks, the
 highest count of each id of B is found (one row per id of the vocabulary), the counts go back to the blocks that have
-the pair, and each block, bounded by its slice, gives its documents their sums. No link leaves its block.
+the pair, and each block, bounded by its texts, gives its documents their sums. No link leaves its block.
 
 Defined cases: a null or empty text, and one whose joined token bytes differ from a space and the text (as where the
 text has U+2581, which side B reads as a space), has no tokens: zeros and an empty groups_sha256; repeated rows have
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -28,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.bm25_packing import ByteLevel
-from quarrymill.llm.piece_merge import Pieces, chunks_of
+from quarrymill.llm.piece_merge import LINE, SPACE, Pieces, chunks_of
 from quarrymill.llm.shared import SLICE_BYTES, bounded_batches, bounds, hand_back, ranges, slices
-from quarrymill.llm.word_codes import WordCodes
+from quarrymill.llm.word_codes import WordCodes, flat_ids
 from quarrymill.operators.tables import written
 
 #: Bits that hold an id of side B in a pair.
 PAIR_BITS = 32
+#: Bytes of text that a block is closed at.
+BLOCK_BYTES = 2 * SLICE_BYTES
 
 
 class Coder:
@@ -43,7 +46,7 @@ class Coder:
     def __init__(self, byte_file: str, rank_file: str | None, piece_file: str):
         self.a, self.pieces = ByteLevel(byte_file, 0, rank_file), Pieces(piece_file)
         self.a.tokenizer.encode_special_tokens = True
-        self.b = WordCodes(self.pieces.encode)
+        self.b = WordCodes(self.library_ids, 200_000)
         lib = self.pieces.library
         names = [lib.id_to_piece(i) for i in range(lib.get_piece_size())]
         self.of_b = [bytes([int(n[3:5], 16)]) if lib.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
@@ -52,6 +55,14 @@ class Coder:
         self.a_flat, self.b_flat = (np.frombuffer(b"".join(own), np.uint8) for own in (self.a_bytes, self.of_b))
         self.a_at, self.b_at = bounds(self.a_length), bounds(self.b_length)
 
+        self.most = max(len(self.a_bytes), len(self.of_b))
+
+    def library_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of chunks that no piece crosses. It puts a space before what it gets, so chunks go without theirs."""
+        lib = self.pieces.library
+        coded = lib.encode([c.removeprefix(SPACE) for c in chunks], num_threads=1)
+        return flat_ids([x[1:] if c[:1] == LINE else x or [lib.piece_to_id(SPACE)] for c, x in zip(chunks, coded, strict=True)])
+
     @staticmethod
     def _byte_values(file: str) -> list[bytes]:
         from tokenizers import Tokenizer
@@ -85,54 +96,81 @@ def byte_characters() -> str:
     return "".join(chr(place[b]) for b in range(256))
 
 
-def labels(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The terminal token (a number of side A) of each token's component; ends are those in the bytes of a slice, both cover it."""
-    n, m = len(a_end), len(b_end)
-    of_last = np.searchsorted(b_end, a_end - 1, side="right")  # the token of B that has the last byte of each of A
-    successor = np.arange(n + m)
-    on = b_end[np.minimum(of_last, m - 1)] > a_end if m else np.zeros(n, bool)
-    successor[:n][on] = n + of_last[on]
-    successor[n:] = np.searchsorted(a_end, b_end - 1, side="right")
-    while True:
-        further = successor[successor]
-        if np.array_equal(further, successor):
-            return successor[:n], successor[n:]
-        successor = further
-
-
-def group_text(a_ids: np.ndarray, a_group: np.ndarray, b_ids: np.ndarray, b_group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All groups as bytes, `a1,a2|b1;a3|b2,b3;`, and where each token's part ends, with tokens in the order of the bytes."""
-    ids, group = np.concatenate([a_ids, b_ids]), np.concatenate([a_group, b_group])
-    side = np.repeat(np.array([0, 1]), [len(a_ids), len(b_ids)])
-    order = np.argsort(group * 2 + side, kind="stable")
-    ids, group, side = ids[order], group[order], side[order]
-    last = np.append((group[1:] != group[:-1]) | (side[1:] != side[:-1]), True) if len(ids) else np.zeros(0, bool)
-    digits, lengths = digits_of(int(ids.max()) + 1 if len(ids) else 1)
-    sizes = lengths[ids] + 1
-    ends = np.cumsum(sizes)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for k in range(digits.shape[1]):
-        has = lengths[ids] > k
-        out[(ends - sizes)[has] + k] = digits[ids[has], k]
-    out[ends - 1] = np.where(last, np.where(side == 0, ord("|"), ord(";")), ord(","))
-    return out, ends
+@dataclass
+class Ends:
+    """Where tokens of either side end in the bytes of a slice, which both cover: how many end up to each byte."""
+
+    a: np.ndarray
+    b: np.ndarray
+    at_a: np.ndarray
+    at_b: np.ndarray
+
+    @classmethod
+    def of(cls, a: np.ndarray, b: np.ndarray) -> Ends:
+        size = int(a[-1]) + 1 if len(a) else 1
+        at_a, at_b = np.zeros(size, bool), np.zeros(size, bool)
+        at_a[a] = at_b[b] = True
+        return cls(a, b, at_a, at_b)
+
+    def labels(self) -> tuple[np.ndarray, np.ndarray]:
+        """The terminal token (a number of side A) of each token's component."""
+        n, m = len(self.a), len(self.b)
+        successor = np.arange(n + m)
+        if m:
+            over = np.cumsum(self.at_b)[self.a - 1]  # the token of B that has the last byte of each of A
+            on = self.b[over] > self.a
+            successor[:n][on] = n + over[on]
+            successor[n:] = np.cumsum(self.at_a)[self.b - 1]
+        while True:
+            further = successor[successor]
+            if np.array_equal(further, successor):
+                return successor[:n], successor[n:]
+            successor = further
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ends of the stretches that one token of each side covers, and the numbers of both tokens."""
+        stop = np.flatnonzero(self.at_a | self.at_b)
+        return stop, np.cumsum(self.at_a)[stop - 1], np.cumsum(self.at_b)[stop - 1]
 
 
 @lru_cache(2)
-def digits_of(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The decimal digits of 0 to n - 1, from the left, and how many each has."""
+def decimal_cells(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of 0 to n - 1: the decimal digits from the left with one more byte, how many there are, and which bytes are used."""
     text = np.arange(n).astype("S")
-    return text.view(np.uint8).reshape(n, -1), np.char.str_len(text)
+    digits = text.view(np.uint8).reshape(n, -1)
+    lengths = np.char.str_len(text)
+    return np.concatenate([digits, np.zeros((n, 1), np.uint8)], axis=1), lengths, np.arange(digits.shape[1] + 1)[None] <= lengths[:, None]
+
+
+def group_text(a_ids: np.ndarray, a_label: np.ndarray, b_ids: np.ndarray, b_label: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """All groups as bytes, `a1,a2|b1;a3|b2,b3;`, and where each token's part ends, with tokens in the order of the bytes."""
+    n, m = len(a_ids), len(b_ids)
+    terminal = a_label == np.arange(n)
+    a_group = np.cumsum(terminal) - terminal
+    b_group = a_group[b_label]
+    groups = int(terminal.sum())
+    a_size, b_size = np.bincount(a_group, minlength=groups), np.bincount(b_group, minlength=groups)
+    a_at, b_at = np.arange(n) + (np.cumsum(b_size) - b_size)[a_group], np.arange(m) + np.cumsum(a_size)[b_group]
+    ids, mark = np.zeros(n + m, np.int64), np.full(n + m, ord(","), np.uint8)
+    ids[a_at], ids[b_at] = a_ids, b_ids
+    ends = np.cumsum(a_size + b_size)
+    mark[ends - b_size - 1], mark[ends - 1] = ord("|"), ord(";")
+    cells, lengths, used = decimal_cells(most)
+    length = lengths[ids]
+    out = cells[ids]
+    out[np.arange(n + m), length] = mark
+    return out[used[ids]], np.cumsum(length + 1)
 
 
 def aligned_slice(coder: Coder, texts: pa.Array) -> dict[str, np.ndarray | list]:
     """For each text its counts and the hash of its groups, and its links: the number of each text's links, each link's id of A and of B."""
     a_ids, a_n, b_ids, b_n = coder.encode(texts)
-    a_text, b_text = np.repeat(np.arange(len(texts)), a_n), np.repeat(np.arange(len(texts)), b_n)
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    ok = (size > 1) & (np.bincount(a_text, coder.a_length[a_ids], len(texts)) == size) & (np.bincount(b_text, coder.b_length[b_ids], len(texts)) == size)
-    a_ids, b_ids = a_ids[ok[a_text]], b_ids[ok[b_text]]
-    a_n, b_n, size = a_n * ok, b_n * ok, size * ok
+    bytes_in = lambda length, ids, n: np.diff(bounds(length[ids])[bounds(n)])
+    ok = (size > 1) & (bytes_in(coder.a_length, a_ids, a_n) == size) & (bytes_in(coder.b_length, b_ids, b_n) == size)
+    if not ok.all():
+        a_ids, b_ids = a_ids[np.repeat(ok, a_n)], b_ids[np.repeat(ok, b_n)]
+        a_n, b_n, size = a_n * ok, b_n * ok, size * ok
     # the bytes of those with the right length
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, int(ok.sum())], pa.int32()), pc.binary_join_element_wise(pa.scalar(" "), texts.filter(pa.array(ok)).cast(pa.string()), "")), "")
     want = np.frombuffer(joined[0].as_py().encode(), np.uint8)
@@ -144,19 +182,43 @@ def aligned_slice(coder: Coder, texts: pa.Array) -> dict[str, np.ndarray | list]
         a_ids, b_ids = a_ids[~np.repeat(wrong, a_n)], b_ids[~np.repeat(wrong, b_n)]
         a_n, b_n, size = a_n * ~wrong, b_n * ~wrong, size * ~wrong
         ends = bounds(size)
-    a_end, b_end = np.cumsum(coder.a_length[a_ids]), np.cumsum(coder.b_length[b_ids])
-    a_label, b_label = labels(a_end, b_end)
-    terminal = np.flatnonzero(a_label == np.arange(len(a_ids)))
-    of_text = lambda at: np.searchsorted(ends, at, side="left") - 1  # noqa: E731 - the text that has the byte before at
-    groups = np.bincount(of_text(a_end[terminal]), minlength=len(texts)) if len(terminal) else np.zeros(len(texts), np.int64)
-    stop = np.union1d(a_end, b_end)
-    first, second = np.searchsorted(a_end, stop, side="left"), np.searchsorted(b_end, stop, side="left")
-    links = np.bincount(of_text(stop), minlength=len(texts)) if len(stop) else np.zeros(len(texts), np.int64)
-    written_out, part = group_text(a_ids, a_label, b_ids, b_label)
-    close = np.append(0, part)[bounds(a_n + b_n)]
-    held = written_out.tobytes()
+    both = Ends.of(np.cumsum(coder.a_length[a_ids]), np.cumsum(coder.b_length[b_ids]))
+    a_label, b_label = both.labels()
+    _, first, second = both.links()
+    in_texts = lambda at: np.diff(np.cumsum(at)[ends])
+    shown, part = group_text(a_ids, a_label, b_ids, b_label, coder.most)
+    close, held = np.append(0, part)[bounds(a_n + b_n)], shown.tobytes()
     digest = [hashlib.sha256(held[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(close.tolist(), close[1:].tolist(), strict=False)]
-    return {"n_a": a_n, "n_b": b_n, "n_groups": groups, "n_links": links, "groups_sha256": digest, "first": a_ids[first], "second": b_ids[second]}
+    return {"n_a": a_n, "n_b": b_n, "n_groups": in_texts(both.at_a & both.at_b), "n_links": in_texts(both.at_a | both.at_b), "groups_sha256": digest, "first": a_ids[first], "second": b_ids[second]}
+
+
+class Block:
+    """What is known of one block after some of its slices: rows of documents, and pairs with their links."""
+
+    def __init__(self):
+        self.size, self.rows, self.pairs = 0, [], []
+
+    def add(self, part: pa.RecordBatch, coder: Coder) -> None:
+        n, made = part.num_rows, aligned_slice(coder, part.column("t"))
+        pairs, number = np.unique(made["first"] << PAIR_BITS | made["second"], return_inverse=True)
+        place, count = np.unique(np.repeat(np.arange(n), made["n_links"]) * max(len(pairs), 1) + number, return_counts=True)
+        columns = [part.column("k"), *(pa.array(made[c].astype(np.int64)) for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(made["groups_sha256"], pa.string())]
+        self.rows.append((columns, bounds(np.bincount(place // max(len(pairs), 1), minlength=n)).tolist(), (place % max(len(pairs), 1)).astype(np.int32), count.astype("<u4")))
+        self.pairs.append((pairs, np.bincount(number, minlength=len(pairs))))
+        self.size += part.column("t").nbytes
+
+    def batches(self, block: int) -> Iterator[pa.RecordBatch]:
+        every = np.concatenate([p for p, _ in self.pairs])
+        pairs, number = np.unique(every, return_inverse=True)
+        times = np.bincount(number, np.concatenate([t for _, t in self.pairs]), len(pairs)).astype("<i8")
+        held, start = pairs.astype("<i8").tobytes() + times.tobytes(), 0
+        for (columns, ends, place, count), (own, _) in zip(self.rows, self.pairs, strict=True):
+            at = number[start : start + len(own)].astype("<u4")[place]
+            start += len(own)
+            links = [at[a:b].tobytes() + count[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+            n = len(links)
+            yield pa.RecordBatch.from_arrays([columns[0], pa.array(np.full(n, block)), *columns[1:], pa.array(links, pa.binary()), pa.array([held, *[None] * (n - 1)], pa.binary())], ["k", "block", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links", "pairs"])
+            held = None
 
 
 def blocks(docs: DataFrame, key: str, text: str, byte_file: str, rank_file: str | None, piece_file: str) -> DataFrame:
@@ -165,17 +227,14 @@ def blocks(docs: DataFrame, key: str, text: str, byte_file: str, rank_file: str
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task = Coder(byte_file, rank_file, piece_file), TaskContext.get().partitionId()
-        for at, part in enumerate(slices(batches, "t", 2 * SLICE_BYTES)):
-            n, made = part.num_rows, aligned_slice(coder, part.column("t"))
-            pairs, number, times = np.unique(made["first"] << PAIR_BITS | made["second"], return_inverse=True, return_counts=True)
-            own, count = np.unique(np.repeat(np.arange(n), made["n_links"]) * max(len(pairs), 1) + number, return_counts=True)
-            ends = bounds(np.bincount(own // max(len(pairs), 1), minlength=n)).tolist()
-            own = (own % max(len(pairs), 1)).astype("<u4")
-            links = [own[a:b].tobytes() + count[a:b].astype("<u4").tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-            held = [pairs.astype("<i8").tobytes() + times.astype("<i8").tobytes(), *[None] * (n - 1)]
-            columns = [part.column("k"), pa.array(np.full(n, task << 32 | at)), *(pa.array(made[c].astype(np.int64)) for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(made["groups_sha256"], pa.string()), pa.array(links, pa.binary()), pa.array(held, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["k", "block", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links", "pairs"])
+        coder, task, block, n = Coder(byte_file, rank_file, piece_file), TaskContext.get().partitionId(), Block(), 0
+        for part in slices(batches, "t", SLICE_BYTES // 2):
+            block.add(part, coder)
+            if block.size >= BLOCK_BYTES:
+                yield from block.batches(task << 32 | n)
+                block, n = Block(), n + 1
+        if block.rows:
+            yield from block.batches(task << 32 | n)
         hand_back()
 
     given = bounded_batches(docs).select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))

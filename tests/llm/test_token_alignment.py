@@ -10,7 +10,7 @@ import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
 
-from quarrymill.llm.token_alignment import align, byte_characters, labels
+from quarrymill.llm.token_alignment import Ends, align, byte_characters
 
 BYTE, RANKS, PIECE = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
 LONG = "word and another. " * 20_000
@@ -86,12 +86,12 @@ def test_successor_doubling_finds_components():
         size = rng.randint(1, 60)
         a, b = (np.array(sorted({*rng.sample(range(1, size + 1), rng.randint(0, size)), size})) for _ in range(2))
         common = np.intersect1d(a, b)
-        got_a, got_b = labels(a, b)
+        got_a, got_b = Ends.of(a, b).labels()
         assert got_a.tolist() == [int(np.flatnonzero(a == common[np.searchsorted(common, e)])[0]) for e in a]
         assert got_b.tolist() == [int(np.flatnonzero(a == common[np.searchsorted(common, e)])[0]) for e in b]
 
 
 def test_a_long_chain_of_overlaps_is_one_group():
     a, b = np.append(np.arange(2, 200_001, 2), 200_001), np.append(np.arange(1, 200_000, 2), [200_001])
-    got_a, got_b = labels(a, b)
+    got_a, got_b = Ends.of(a, b).labels()
     assert len(set(got_a.tolist()) | set(got_b.tolist())) == 1
