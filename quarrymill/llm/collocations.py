@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.shared import SLICE_BYTES, bounded_batches, slices, small
+from quarrymill.llm.shared import SLICE_BYTES, bounded_batches, short_lived_shuffles, slices, small
 from quarrymill.operators.tables import written
 
 UNKNOWN = "und"
@@ -212,8 +212,7 @@ def phrases(docs: DataFrame, key: str, text: str, lang: str, longest: int, known
         return pa.concat_batches([pa.RecordBatch.from_arrays(p, names) for p in parts])
 
     found = scanned(docs, key, text, lang, find, f"lang string, phrase string, n_words int, a long, k {kind}, start long")
-    pointer = F.min(F.struct("k", "start"))
-    summed = found.groupBy("lang", "phrase", "n_words").agg(F.sum("a").alias("a"), pointer.alias("pointer"))
+    summed = found.groupBy("lang", "phrase", "n_words").agg(F.sum("a").alias("a"), F.first("k").alias("at_key"), F.first("start").alias("at_byte"))
     return summed.filter((F.col("a") >= least) | (F.col("n_words") == 0))
 
 
@@ -221,10 +220,11 @@ def counted_phrases(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     """The words and phrases that occur least times or more, as phrases() gives them, as a table in the shared folder."""
     context = docs.sparkSession.sparkContext
     known, sent = None, None
-    for lengths in ((n,) if n < 3 else tuple(range(n, longest + 1)) for n in range(1, min(longest, 3) + 1)):
-        bitmap = bitmap_of(frequent(docs, key, text, lang, lengths, least, sent), known)
-        known, sent = bitmap, context.broadcast(bitmap)
-    return written(phrases(docs, key, text, lang, longest, sent, least), "phrases")
+    with short_lived_shuffles(docs.sparkSession):
+        for lengths in ((n,) if n < 3 else tuple(range(n, longest + 1)) for n in range(1, min(longest, 3) + 1)):
+            bitmap = bitmap_of(frequent(docs, key, text, lang, lengths, least, sent), known)
+            known, sent = bitmap, context.broadcast(bitmap)
+        return written(phrases(docs, key, text, lang, longest, sent, least), "phrases")
 
 
 def cuts(table: DataFrame) -> DataFrame:
@@ -262,6 +262,6 @@ def collocations(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     scored = cuts(table).join(small(covered(table, cover)), ["lang", "phrase"], "left_anti")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-    places_of = table.select("lang", "phrase", F.col("pointer.k").alias("at_key"), F.col("pointer.start").alias("at_byte"))
+    places_of = table.select("lang", "phrase", "at_key", "at_byte")
     return best.join(size, "lang").join(places_of, ["lang", "phrase"]).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score", "at_key", "at_byte")
 
