@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,8 +72,9 @@ def dup_phash(assets: DataFrame, distance: int = 8) -> DataFrame:
     return assets.withColumn("h", hash_value(F.col("phash"))).join(named, ["project_id", "h"]).filter("copied OR linked").select("project_id", "asset_id", "cluster")
 
 
-def dup_layered(assets: DataFrame, distance: int = 8, links: DataFrame | None = None, face_links: DataFrame | None = None) -> DataFrame:
-    """asset_id, cluster and type: exact, then perceptual, then vector links and face links (a, b) by leaders, each on the rest."""
+def dup_layered(assets: DataFrame, distance: int = 8, links: DataFrame | None = None, face_links: DataFrame | None = None, faces: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """asset_id, cluster and type: exact, then perceptual, then vector links and face links (a, b) by leaders, each on the
+    rest. faces, instead of face_links, gives asset_id and cluster of the assets (asset_id) that are left to it."""
     live = assets.filter("NOT is_rejected")
     done = written(dup_exact(live).select("asset_id", "cluster").withColumn("type", F.lit("exact")), "exact")
     rest = live.join(done, "asset_id", "left_anti")
@@ -83,6 +86,9 @@ def dup_layered(assets: DataFrame, distance: int = 8, links: DataFrame | None =
         inside = pairs.join(ids.withColumnRenamed("asset_id", "a"), "a").join(ids.withColumnRenamed("asset_id", "b"), "b")
         led = leaders(inside).filter("member OR led")
         done = done.union(written(led.select(F.col("node").alias("asset_id"), F.col("leader").alias("cluster"), F.lit(kind).alias("type")), kind))
+    if faces:
+        rest = written(live.select("asset_id").join(done, "asset_id", "left_anti"), "rest")
+        done = done.union(faces(rest).select("asset_id", "cluster", F.lit("face").alias("type")))
     return done
 
 

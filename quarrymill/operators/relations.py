@@ -71,9 +71,17 @@ def augmentation_lineage(assets: DataFrame) -> DataFrame:
 
 
 def cluster_members(assets: DataFrame) -> DataFrame:
-    """Per identity: size, representative, and members by id (as text); members are numbered before they are joined."""
-    grouped = assets.filter("identity_cluster_id IS NOT NULL").groupBy("project_id", "identity_cluster_id")
-    return grouped.agg(F.count("*").alias("n"), F.max_by("asset_id", quality_order()).alias("representative"), F.concat_ws(",", F.array_sort(F.collect_list("asset_id")).cast("array<string>")).alias("members"))
+    """project_id, identity_cluster_id, asset_id of each member, with the number of members and the best one. An identity is
+    aggregated before it is joined, so it may hold any share of the assets."""
+    members = assets.filter("identity_cluster_id IS NOT NULL")
+    groups = members.groupBy("project_id", "identity_cluster_id").agg(F.count("*").alias("n"), F.max_by("asset_id", quality_order()).alias("representative"))
+    return members.select("project_id", "identity_cluster_id", "asset_id").join(groups, ["project_id", "identity_cluster_id"])
+
+
+def search_results(hits: DataFrame, assets: DataFrame) -> DataFrame:
+    """The assets that a search has found (query_id, vec_id, score, rank), as its results are shown; hits without an asset are left out."""
+    found = hits.select("query_id", "rank", F.col("vec_id").alias("asset_id"), F.col("score").alias("similarity"))
+    return found.join(assets.select("asset_id", "filename", "composite_score"), "asset_id").select("query_id", "rank", "asset_id", "filename", "composite_score", "similarity")
 
 
 def best_per_cluster(assets: DataFrame) -> DataFrame:

@@ -10,13 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.operators.dedup import connected_components, leaders
+from quarrymill.operators.relations import quality_order, tiers
+from quarrymill.operators.similarity import BLOCK, grown, least_cosines, near_pairs, spaced, top_k
 from quarrymill.operators.tables import written
 
-#: Vectors in one block of the pair join; two blocks and their product are what a task holds.
-BLOCK = 2048
-#: Larger components of the identity graph are clustered by leaders, and marked as approximate.
-LINKAGE_CAP = 2000
-
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -45,61 +42,27 @@ def unit(vectors: DataFrame) -> DataFrame:
     return vectors.filter("embedding IS NOT NULL").withColumn("_n", n).filter("_n > 0").select("vec_id", "project_id", F.transform("embedding", lambda x: x.cast("double") / F.col("_n")).alias("u"))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float = 0.95) -> DataFrame:
-    """query_id, vec_id, score, rank: the k most similar of the query's project at threshold or more.
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float = 0.95, block: int = BLOCK) -> DataFrame:
+    """query_id, vec_id, score, rank: the k most similar of the query's project (query_id, project_id, q) at threshold or more.
 
-    The queries of a request (query_id, project_id, q) are few; each partition of the vectors keeps its own best k.
+    Vectors lie in the leaves of a tree with radii; a query searches leaf after leaf, the most promising first, until
+    its k-th score beats what the others can hold. Queries are dealt to leaves, not broadcast, and may be many.
     """
-    scored = vectors.join(F.broadcast(queries), "project_id").withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6)).filter(F.col("score") >= threshold)
-    order = [F.desc("score"), F.col("vec_id")]
-    part = scored.withColumn("_p", F.spark_partition_id())
-    best = part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "_p").orderBy(*order))).filter(F.col("rank") <= k)
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
-
-
-def met_blocks(vectors: DataFrame, block: int) -> DataFrame:
-    """project_id, vec_id, u, block and at (i, j): each block of a project meets itself and every other one once, i <= j."""
-    count = vectors.groupBy("project_id").agg(F.count("*").alias("n")).select("project_id", F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int").alias("blocks"))
-    placed = unit(vectors).join(count, "project_id").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    return placed.select("project_id", "vec_id", "u", "block", F.explode(meets).alias("at"))
-
-
-def product(rows: pd.DataFrame, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ids of blocks i and j, and the cosines of all their pairs."""
-    left, right = rows[rows["block"] == i], rows[rows["block"] == j]
-    cosines = np.stack(left["u"]) @ np.stack(right["u"]).T if len(left) and len(right) else np.zeros((0, 0))
-    return left["vec_id"].to_numpy(), right["vec_id"].to_numpy(), cosines
+    asked = spaced(queries, "query_id", "q").withColumnRenamed("u", "q")
+    return top_k(asked, grown(spaced(vectors), block), k, threshold, digits=6)[0]
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """a < b and similarity of all pairs of a project at threshold or more, by products of blocks of bounded size."""
-
-    def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        left, right, cosines = product(rows, i, j)
-        x, y = np.nonzero(cosines >= threshold - 1e-9)
-        a, b = left[x], right[y]
-        keep = a < b if i == j else np.ones(len(a), bool)
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": np.round(cosines[x, y][keep], 6)})
-
-    return met_blocks(vectors, block).groupBy("project_id", "at.i", "at.j").applyInPandas(multiply, "a long, b long, similarity double").filter(F.col("similarity") >= threshold)
+    """a < b and similarity of all pairs of a project at threshold or more: blocks of bounded size meet where they can hold one."""
+    pairs = near_pairs(spaced(vectors), threshold - 1e-9, block)
+    return pairs.withColumn("similarity", F.round("similarity", 6)).filter(F.col("similarity") >= threshold)
 
 
 def least_similarity(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """project_id and the least cosine of two of its vectors; each pair of blocks gives only its own least."""
-    kind = vectors.schema["project_id"].dataType.simpleString()
-
-    def least(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        project, i, j = key
-        cosines = product(rows, i, j)[2]
-        if i == j:
-            np.fill_diagonal(cosines, np.inf)
-        low = cosines.min() if cosines.size else np.inf
-        return pd.DataFrame({"project_id": [project] * int(np.isfinite(low)), "low": [low] * int(np.isfinite(low))})
-
-    lows = met_blocks(vectors, block).groupBy("project_id", "at.i", "at.j").applyInPandas(least, f"project_id {kind}, low double")
-    return lows.groupBy("project_id").agg(F.round(F.min("low"), 6).alias("min_similarity"))
+    """project_id and the least cosine of two of its vectors."""
+    units = spaced(vectors)
+    names = units.select("space", "project_id").distinct()
+    return least_cosines(units, block).join(names, "space").groupBy("project_id").agg(F.round(F.min("low"), 6).alias("min_similarity"))
 
 
 def uniqueness_redundancy(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -232,43 +195,75 @@ def identity_dbscan(vectors: DataFrame, eps: float, min_samples: int = 2) -> Dat
     return vectors.select("vec_id").join(own, "vec_id", "left").join(border, "vec_id", "left").select("vec_id", F.coalesce("cluster", "reached").alias("cluster"))
 
 
-def average_linkage(x: np.ndarray, distance: float) -> np.ndarray:
-    """Cluster numbers: the closest two clusters by mean cosine distance merge while that is below distance."""
-    n = len(x)
-    sums = 1 - x @ x.T
-    size, label, live = np.ones(n), np.arange(n), np.ones(n, bool)
-    while live.sum() > 1:
-        mean = sums / np.outer(size, size)
-        mean[~live] = mean[:, ~live] = np.inf
-        np.fill_diagonal(mean, np.inf)
-        i, j = np.unravel_index(np.argmin(mean), mean.shape)
-        if mean[i, j] >= distance:
-            break
-        i, j = min(i, j), max(i, j)
-        sums[i] += sums[j]
-        sums[:, i] += sums[:, j]
-        size[i] += size[j]
-        live[j], label[label == j] = False, i
-    return label
-
-
-def identity_clusters(vectors: DataFrame, distance: float = 0.6, cap: int = LINKAGE_CAP) -> DataFrame:
-    """vec_id, cluster (least member) and approximate: average linkage within components of the graph of pairs below
-    distance (no cluster spans two); components of more than cap vectors by leaders."""
-    pairs = written(cosine_pairs(vectors, 1 - distance).filter(F.col("similarity") > 1 - distance), "pairs")
-    labels = connected_components(pairs)
-    sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-    placed = unit(vectors).join(labels, F.col("vec_id") == F.col("node"), "left").join(sizes, "label", "left").withColumn("label", F.coalesce("label", "vec_id"))
-
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vec_id").reset_index(drop=True)
-        ids = rows["vec_id"].to_numpy()
-        return pd.DataFrame({"vec_id": ids, "cluster": ids[average_linkage(np.stack(rows["u"]), distance)], "approximate": False})
-
-    exact = placed.filter(F.coalesce("n", F.lit(1)) <= cap).select("label", "vec_id", "u").groupBy("label").applyInPandas(link, "vec_id long, cluster long, approximate boolean")
-    big = sizes.filter(F.col("n") > cap).join(labels, "label").select("node")
-    led = leaders(pairs.join(big.withColumnRenamed("node", "a"), "a", "left_semi")).select(F.col("node").alias("vec_id"), F.col("leader").alias("cluster"), F.lit(True).alias("approximate"))
-    return exact.union(led)
+def merged(clusters: DataFrame, links: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """clusters (space, project_id, node, n, total) after links (a, b: b goes into a), and keep (vec_id, cluster) with the new clusters."""
+    to = links.select(F.col("b").alias("node"), F.col("a").alias("to"))
+    moved = clusters.join(to, "node", "left").withColumn("node", F.coalesce("to", "node"))
+    parts = moved.select("space", "project_id", "node", "n", F.posexplode("total").alias("i", "x"))
+    sums = parts.groupBy("space", "project_id", "node", "i").agg(F.sum("x").alias("x"))
+    total = sums.groupBy("space", "project_id", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("total"))
+    size = moved.groupBy("node").agg(F.sum("n").alias("n"))
+    named = keep.join(to.select(F.col("node").alias("cluster"), "to"), "cluster", "left").select("vec_id", F.coalesce("to", "cluster").alias("cluster"))
+    return written(total.join(size, "node").select("space", "project_id", "node", "n", "total"), "clusters"), written(named, "named")
+
+
+def identity_clusters(vectors: DataFrame, distance: float = 0.6, block: int = BLOCK) -> DataFrame:
+    """vec_id and cluster (its least member): average linkage at cosine distance, at every size by one method.
+
+    The mean cosine of two clusters is the product of their mean vectors, so a cluster is its number and sum. Each round
+    finds every cluster's most similar other one, by an exact search; two that are each other's, nearer than distance,
+    merge. With average linkage these are merges that the sequential order would make too, as no merge brings
+    a third cluster nearer. Equal similarities go to the least pair. Copies of a vector are one cluster from the start.
+    """
+    units = written(spaced(vectors), "units")
+    nodes = units.groupBy("space", "u").agg(F.first("project_id").alias("project_id"), F.min("vec_id").alias("node"), F.count("*").alias("n"))
+    clusters = written(nodes.select("space", "project_id", "node", F.col("n"), F.transform("u", lambda x: x * F.col("n")).alias("total")), "clusters")
+    keep = written(units.select("space", "u", "vec_id").join(nodes.select("space", "u", "node"), ["space", "u"]).select("vec_id", F.col("node").alias("cluster")), "named")
+    while True:
+        length = F.sqrt(dot(F.col("total"), F.col("total")))
+        means = clusters.withColumn("_l", length).filter("_l > 1e-12").select("space", "project_id", F.col("node").alias("vec_id"), F.transform("total", lambda x: x / F.col("_l")).alias("u"), (F.col("_l") / F.col("n")).alias("scale"))
+        asked = means.select(F.col("vec_id").alias("query_id"), "space", F.col("u").alias("q"), "scale")
+        nearest = written(top_k(asked, grown(means, block), 1, 1 - distance + 1e-12, others_only=True, digits=12)[0].select(F.col("query_id").alias("x"), F.col("vec_id").alias("y")), "nearest")
+        back = nearest.select(F.col("y").alias("x"), F.col("x").alias("y"))
+        links = written(nearest.join(back, ["x", "y"]).filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+        if links.isEmpty():
+            return keep
+        clusters, keep = merged(clusters, links, keep)
+
+
+def primary_vectors(faces: DataFrame) -> DataFrame:
+    """One vector of each asset, that of its least face_index (ties: least vec_id), as vec_id, with asset_id and face_index."""
+    first = faces.filter("embedding IS NOT NULL").groupBy("project_id", "asset_id").agg(F.min_by(F.struct("vec_id", "embedding", "face_index"), F.struct("face_index", "vec_id")).alias("f"))
+    return first.select("project_id", "asset_id", "f.vec_id", "f.face_index", "f.embedding")
+
+
+def face_duplicates(faces: DataFrame, assets: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """asset_id, cluster, representative and similarity to it (NULL for itself): assets whose primary faces are near a leader.
+
+    A scan over primary vectors by face_index, then asset_id, where each free one leads its free neighbours at threshold
+    or more. The representative is the best asset of the cluster, as in best_per_cluster.
+    """
+    primary = written(primary_vectors(faces), "primary")
+    units = spaced(primary.select("project_id", F.col("asset_id").alias("vec_id"), "embedding"))
+    near = written(near_pairs(units, threshold - 1e-9, block).filter(F.round("similarity", 6) >= threshold), "pairs")
+    place = primary.select(F.col("asset_id").alias("id"), F.struct("face_index", "asset_id").alias("node"))
+    ordered = near.join(place.select(F.col("id").alias("a"), F.col("node").alias("x")), "a").join(place.select(F.col("id").alias("b"), F.col("node").alias("y")), "b")
+    led = leaders(ordered.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).filter("member OR led")
+    found = written(led.select(F.col("node.asset_id").alias("asset_id"), F.col("leader.asset_id").alias("cluster")), "led")
+    best = found.join(assets, "asset_id").groupBy("cluster").agg(F.max_by("asset_id", quality_order()).alias("representative"))
+    u = units.select(F.col("vec_id").alias("asset_id"), "u")
+    own = found.join(best, "cluster").join(u, "asset_id").join(u.select(F.col("asset_id").alias("representative"), F.col("u").alias("q")), "representative")
+    similarity = F.when(F.col("asset_id") != F.col("representative"), F.round(dot(F.col("u"), F.col("q")), 6))
+    return own.select("asset_id", "cluster", "representative", similarity.alias("similarity"))
+
+
+def asset_identities(faces: DataFrame, clusters: DataFrame, assets: DataFrame) -> DataFrame:
+    """asset_id, cluster, label, asset_count, representative: each asset has the cluster of its first face; clusters are
+    named Person 1, 2, ... in their project by falling number of assets (ties: least cluster)."""
+    named = faces.join(clusters, "vec_id").groupBy("project_id", "asset_id").agg(F.min_by("cluster", F.struct("face_index", "vec_id")).alias("cluster"))
+    sizes = named.join(assets.drop("project_id"), "asset_id").groupBy("project_id", "cluster").agg(F.count("*").alias("asset_count"), F.max_by("asset_id", quality_order()).alias("representative"))
+    ranked = tiers(sizes.withColumn("asset_id", F.col("cluster")), F.col("asset_count")).select("project_id", "cluster", "asset_count", "representative", F.concat(F.lit("Person "), F.col("rank")).alias("label"))
+    return named.join(ranked, ["project_id", "cluster"]).select("asset_id", "project_id", "cluster", "label", "asset_count", "representative")
 
 
 def index_backfill(assets: DataFrame, vectors: DataFrame) -> DataFrame:

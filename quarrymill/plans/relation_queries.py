@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.operators import relations as r
 from quarrymill.operators.filters import top_per_project
+from quarrymill.operators.vectors import vector_topk
 from quarrymill.plans.registry import register, split_columns
 
 QUALITY = "row(coalesce(composite_score, 0), coalesce(training_usefulness, 0), coalesce(technical_quality, 0), coalesce(face_quality, 0), coalesce(aesthetic_score, 0), coalesce(uniqueness_score, 0), -coalesce(redundancy_score, 0), width * height, asset_id)"
@@ -23,8 +24,10 @@ register(
        SELECT x.session_id, x.asset_id AS a, y.asset_id AS b FROM p x JOIN p y ON x.session_id = y.session_id AND x.asset_id < y.asset_id WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.session_id = x.session_id AND s.a = x.asset_id AND s.b = y.asset_id)""",
 )
 register(
-    "text_to_asset_join", lambda t: t.vectors.select(F.col("vec_id").alias("asset_id"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("score")).filter("score >= 0.05").join(t.assets.select("asset_id", "filename"), "asset_id"),
-    "SELECT asset_id, filename, round(CAST(embedding[1] AS DOUBLE), 6) AS score FROM vectors JOIN assets ON vec_id = asset_id WHERE round(CAST(embedding[1] AS DOUBLE), 6) >= 0.05",
+    "text_to_asset_join", lambda t: r.search_results(vector_topk(t.vectors.filter("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "project_id", "embedding AS q"), t.vectors, 5, 0.1), t.assets),
+    """WITH s AS (SELECT x.vec_id AS query_id, y.vec_id AS asset_id, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS similarity FROM vectors x JOIN vectors y ON x.project_id = y.project_id WHERE x.vec_id % 20 = 0),
+       k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, asset_id) AS rank FROM s WHERE similarity >= 0.1)
+       SELECT query_id, rank, asset_id, filename, composite_score, similarity FROM k JOIN assets USING (asset_id) WHERE rank <= 5""",
 )
 LAST = "SELECT * FROM comparisons QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY made_at DESC, id DESC) = 1"
 register("last_comparison", lambda t: r.last_comparison(t.comparisons), LAST)
@@ -38,7 +41,8 @@ register(
 )
 register(
     "cluster_members", lambda t: r.cluster_members(t.assets),
-    f"SELECT project_id, identity_cluster_id, count(*) AS n, arg_max(asset_id, {QUALITY}) AS representative, string_agg(CAST(asset_id AS STRING), ',' ORDER BY asset_id) AS members FROM assets WHERE identity_cluster_id IS NOT NULL GROUP BY 1, 2",
+    f"""WITH g AS (SELECT project_id, identity_cluster_id, count(*) AS n, arg_max(asset_id, {QUALITY}) AS representative FROM assets WHERE identity_cluster_id IS NOT NULL GROUP BY 1, 2)
+       SELECT a.project_id, a.identity_cluster_id, asset_id, n, representative FROM assets a JOIN g ON a.project_id = g.project_id AND a.identity_cluster_id = g.identity_cluster_id""",
 )
 register("best_per_cluster", lambda t: r.best_per_cluster(t.assets), f"SELECT project_id, duplicate_cluster_id, arg_max(asset_id, {QUALITY}) AS best_id FROM assets WHERE NOT is_rejected AND duplicate_cluster_id IS NOT NULL GROUP BY 1, 2")
 register(

@@ -18,7 +18,7 @@ register(
     "vector_topk", lambda t: v.vector_topk(queries(t), t.vectors, 5, 0.1),
     f"SELECT query_id, vec_id, score, rank FROM (SELECT x.vec_id AS query_id, y.vec_id, {PAIR} AS score, row_number() OVER (PARTITION BY x.vec_id ORDER BY {PAIR} DESC, y.vec_id) AS rank FROM vectors x JOIN vectors y ON x.project_id = y.project_id WHERE x.vec_id % 20 = 0 AND {PAIR} >= 0.1) WHERE rank <= 5",
 )
-register("cosine_pairs", lambda t: v.cosine_pairs(t.vectors, 0.3, 50), PAIRS)
+register("cosine_pairs", lambda t: v.cosine_pairs(t.vectors, 0.3), PAIRS)
 register(
     "uniqueness_redundancy", lambda t: v.uniqueness_redundancy(t.vectors, v.cosine_pairs(t.vectors, 0.3)),
     f"""WITH p AS ({PAIRS}), b AS (SELECT a AS vec_id, similarity FROM p UNION ALL SELECT b, similarity FROM p), g AS (SELECT vec_id, count(*) AS n, max(similarity) AS most FROM b GROUP BY 1)
@@ -68,9 +68,14 @@ register(
 )
 register("index_backfill", lambda t: v.index_backfill(t.assets, t.vectors), "SELECT project_id, count(*) AS total, count(*) - count(vec_id) AS todo, count(vec_id) AS indexed FROM assets LEFT JOIN vectors ON asset_id = vec_id GROUP BY 1".replace("SELECT project_id", "SELECT assets.project_id"))
 register("dup_embedding", lambda t: v.leader_clusters(t.vectors, 0.3))
-register("dup_face", lambda t: v.leader_clusters(t.vectors, 0.25))
-register("identity_dbscan", lambda t: v.identity_dbscan(t.vectors, 0.68))
-register("identity_clusters", lambda t: v.identity_clusters(t.vectors, 0.7))
+register("dup_face", lambda t: v.face_duplicates(t.faces, t.assets, 0.25))
+register(
+    "identity_dbscan", lambda t: v.identity_dbscan(t.vectors, 0.68),
+    f"""WITH RECURSIVE p AS ({PAIRS.replace("0.3", "0.32")}), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+       SELECT vec_id, cluster FROM vectors LEFT JOIN (SELECT a, least(a, min(b)) AS cluster FROM r GROUP BY a) ON a = vec_id""",
+)
+register("identity_clusters", lambda t: v.identity_clusters(t.faces, 0.7))
+register("identity_assets", lambda t: v.asset_identities(t.faces, v.identity_clusters(t.faces, 0.7), t.assets))
 
 register("dup_exact", lambda t: d.dup_exact(t.assets), "SELECT * FROM (SELECT project_id, asset_id, min(asset_id) OVER (PARTITION BY project_id, sha256_hash) AS cluster, count(*) OVER (PARTITION BY project_id, sha256_hash) AS n FROM assets) WHERE n > 1")
 H = "(SELECT DISTINCT project_id, CAST(('0x' || phash) AS BIGINT) AS h FROM assets WHERE phash IS NOT NULL)"
@@ -79,5 +84,10 @@ CLOSURE = f"""WITH RECURSIVE a AS (SELECT project_id, asset_id, CAST(('0x' || ph
   e AS (SELECT x.asset_id AS a, y.asset_id AS b FROM a x JOIN a y ON x.project_id = y.project_id AND x.asset_id <> y.asset_id AND bit_count(xor(x.h, y.h)) <= 8),
   r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)"""
 register("dup_phash", lambda t: d.dup_phash(t.assets), CLOSURE.format(src="assets") + " SELECT project_id, asset_id, cluster FROM (SELECT a AS asset_id, least(a, min(b)) AS cluster FROM r GROUP BY a) c JOIN a USING (asset_id)")
-faces = lambda t: t.vectors.selectExpr("vec_id", "project_id", "slice(embedding, 1, 32) AS embedding")
-register("dup_layered", lambda t: d.dup_layered(t.assets, links=v.cosine_pairs(t.vectors, 0.3).select("a", "b"), face_links=v.cosine_pairs(faces(t), 0.4).select("a", "b")))
+ALONE = "SELECT * FROM assets WHERE NOT is_rejected QUALIFY count(*) OVER (PARTITION BY project_id, sha256_hash) = 1"
+register(
+    "dup_layered_content", lambda t: d.dup_layered(t.assets),
+    CLOSURE.format(src=f"({ALONE})") + """ SELECT a AS asset_id, least(a, min(b)) AS cluster, 'phash' AS type FROM r GROUP BY a
+       UNION ALL SELECT asset_id, min(asset_id) OVER (PARTITION BY project_id, sha256_hash), 'exact' FROM assets WHERE NOT is_rejected QUALIFY count(*) OVER (PARTITION BY project_id, sha256_hash) > 1""",
+)
+register("dup_layered", lambda t: d.dup_layered(t.assets, links=v.cosine_pairs(t.vectors, 0.3).select("a", "b"), faces=lambda rest: v.face_duplicates(t.faces.join(rest, "asset_id"), t.assets, 0.3)))

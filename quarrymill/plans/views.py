@@ -94,6 +94,9 @@ USAGE = {
     "cost_micros": "e.event_id * 11 % 5000",
 }
 VECTORS = {"vec_id": "v.vec_id", "embedding": "v.embedding", "label": "v.label", "project_id": "v.vec_id % 4"}
+#: Two faces of each asset; which of them has index 0 differs.
+OWNER = "CAST((v.vec_id - v.vec_id % 2) / 2 AS BIGINT)"
+FACE_VECTORS = {"vec_id": "v.vec_id", "asset_id": OWNER, "face_index": f"(v.vec_id + {OWNER}) % 2", "project_id": f"{OWNER} % 4", "embedding": "v.embedding"}
 
 #: View: its expressions, what it reads in Spark, and its FROM clause in DuckDB.
 SOURCES = {
@@ -102,6 +105,7 @@ SOURCES = {
     "comparisons": (COMPARISONS, "events e WHERE e.event_id * 13 % 211 <> e.event_id * 29 % 211"),
     "usage": (USAGE, "events e"),
     "vectors": (VECTORS, "embeddings v"),
+    "faces": (FACE_VECTORS, "embeddings v"),
 }
 
 
