@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrymill.functions.quality import priority
+from quarrymill.operators.dedup import connected_components
 from quarrymill.operators.relations import canonical, last_comparison, zero
+from quarrymill.operators.tables import written
 
 MU, SIGMA, ELO, K = 25.0, 25.0 / 3.0, 1500.0, 32.0
 BETA, KAPPA = 25.0 / 6.0, 1e-4
@@ -40,13 +42,26 @@ def skill_update(w: tuple[float, float], l: tuple[float, float], draw: bool) ->
     return (mw + sw * sw * ow, shrink(sw)), (ml + sl * sl * ol, shrink(sl))
 
 
-def replay(comparisons: DataFrame, start: DataFrame, scope: str, engine: str = "elo") -> DataFrame:
+def independent(comparisons: DataFrame, scope: str) -> DataFrame:
+    """comparisons with grp: those of a scope that share assets, directly or by others between them, have one; comparisons
+    of different groups can't change each other's ratings. Missing assets have nothing in common: such a comparison goes with
+    its other asset."""
+    node = lambda c: F.struct(F.col(scope).alias("scope"), F.col(c).alias("asset"))
+    sides = comparisons.select(node("winner").alias("a"), node("loser").alias("b")).filter("a.asset IS NOT NULL AND b.asset IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    labels = connected_components(written(sides, "met")).select("node", "label")
+    own = comparisons.withColumn("_own", F.when(F.col("winner").isNotNull(), node("winner")).otherwise(node("loser")))
+    return own.join(labels, F.col("_own").eqNullSafe(F.col("node")), "left").withColumn("grp", F.coalesce("label", "_own")).drop("_own", "node", "label")
+
+
+def replay(comparisons: DataFrame, start: DataFrame, scope: str, engine: str = "elo", split: bool = False) -> DataFrame:
     """The log of all comparisons: values before and after, and counts, in each scope's order (made_at, id).
 
     start has asset_id, mu and sigma (for elo: mu is the rating); missing assets get the defaults. An order-dependent
-    fold is one task per scope; scopes are what runs in parallel. Spark sorts the comparisons, and the task folds them batch
-    by batch: of a scope it holds the state of its assets and one batch, not its comparisons.
+    fold is one task per scope, or, if split, per group of assets of a scope that comparisons link. Spark sorts the
+    comparisons, and the task folds them batch by batch: it holds the state of a scope's or group's assets and one
+    batch, not its comparisons.
     """
+    comparisons = independent(comparisons, scope) if split else comparisons.withColumn("grp", F.struct(F.col(scope).alias("scope"), F.lit(None).cast("long").alias("asset")))
     both = comparisons.join(start.select(F.col("asset_id").alias("winner"), F.col("mu").alias("wm"), F.col("sigma").alias("ws")), "winner", "left").join(start.select(F.col("asset_id").alias("loser"), F.col("mu").alias("lm"), F.col("sigma").alias("ls")), "loser", "left")
     mu0, sigma0 = (ELO, 0.0) if engine == "elo" else (MU, SIGMA)
 
@@ -54,12 +69,12 @@ def replay(comparisons: DataFrame, start: DataFrame, scope: str, engine: str = "
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[int | None, tuple[float, float, int]] = {}
-        of = ()  # the scope of the state; none yet
+        of = ()  # the scope and group of the state; none yet
         for batch in batches:
             out = []
-            for id_, made_at, own, winner, loser, is_draw, wm0, ws0, lm0, ls0 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if of != own:
-                    state, of = {}, own
+            for id_, made_at, own, group, winner, loser, is_draw, wm0, ws0, lm0, ls0 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if of != (own, group):
+                    state, of = {}, (own, group)
                 state.pop(None, None)  # missing assets have nothing in common
                 for asset, m, s in ((winner, wm0, ws0), (loser, lm0, ls0)):
                     state.setdefault(asset, (mu0 if pd.isna(m) else m, sigma0 if pd.isna(s) else s, 0))
@@ -73,8 +88,8 @@ def replay(comparisons: DataFrame, start: DataFrame, scope: str, engine: str = "
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out, strict=True), kinds, strict=True)], [n for n, _ in kinds])
 
-    given = both.select("id", "made_at", F.col(scope).alias("scope"), "winner", "loser", "is_draw", "wm", "ws", "lm", "ls")
-    in_order = given.repartition("scope").sortWithinPartitions("scope", F.asc_nulls_last("made_at"), F.asc_nulls_last("id"))
+    given = both.select("id", "made_at", F.col(scope).alias("scope"), F.col("grp.asset").alias("grp"), "winner", "loser", "is_draw", "wm", "ws", "lm", "ls")
+    in_order = given.repartition("scope", "grp").sortWithinPartitions("scope", "grp", F.asc_nulls_last("made_at"), F.asc_nulls_last("id"))
     return in_order.mapInArrow(fold, LOG)
 
 

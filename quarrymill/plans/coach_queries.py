@@ -46,8 +46,8 @@ register("coach_report_rows", lambda t: c.coach_report_rows(t.assets, t.captions
 
 start = lambda t: t.assets.select("asset_id", "mu", "sigma")
 none = lambda t: start(t).limit(0)
-register("elo_replay", lambda t: r.final_ratings(r.replay(t.comparisons, none(t), "project_id")).withColumn("skill", F.round(F.col("mu") / 60, 6)))
-register("skill_replay", lambda t: r.final_ratings(r.replay(t.comparisons, none(t), "project_id", "plackett_luce")).withColumn("ordinal", F.round(F.col("mu") - 3 * F.col("sigma"), 5)))
+register("elo_replay", lambda t: r.final_ratings(r.replay(t.comparisons, none(t), "project_id", split=True)).withColumn("skill", F.round(F.col("mu") / 60, 6)))
+register("skill_replay", lambda t: r.final_ratings(r.replay(t.comparisons, none(t), "project_id", "plackett_luce", split=True)).withColumn("ordinal", F.round(F.col("mu") - 3 * F.col("sigma"), 5)))
 register("session_replay", lambda t: r.final_ratings(r.replay(t.comparisons, start(t), "session_id", "plackett_luce")))
 register("comparison_log", lambda t: r.replay(t.comparisons.join(t.assets.selectExpr("asset_id AS winner"), "winner", "left_semi"), start(t), "session_id", "plackett_luce"))
 BEFORE = "SELECT id, winner AS asset_id, CAST(id % 50 AS DOUBLE) AS mu, CAST(1000 + id % 900 AS DOUBLE) AS elo FROM comparisons UNION ALL SELECT id, loser, CAST(id % 40 AS DOUBLE), CAST(1100 + id % 800 AS DOUBLE) FROM comparisons"

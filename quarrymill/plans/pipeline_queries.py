@@ -119,7 +119,7 @@ register("qc_pipeline", lambda t: image_qc.qc_pipeline(pictures(t), t.assets.sel
 
 X = expressions("comparisons", "spark")
 events = lambda t: streams.stream_of(t.spark, f"{t.sf_dir}/events.parquet").alias("e")
-register("stream_ingest_dedup", lambda t: streams.ingest_dedup(streams.stream_of(t.spark, f"{t.sf_dir}/documents.parquet").select(F.col("source").alias("project_id"), F.sha2("text", 256).alias("sha256"))), "SELECT DISTINCT source AS project_id, sha256(text) AS sha256 FROM documents")
+register("stream_ingest_dedup", lambda t: streams.ingest_dedup(streams.stream_of(t.spark, f"{t.sf_dir}/documents.parquet").select(F.col("source").alias("project_id"), F.sha2("text", 256).alias("sha256"), F.timestamp_seconds(F.col("doc_id") * 61 % 86400).alias("arrived"))), "SELECT DISTINCT source AS project_id, sha256(text) AS sha256 FROM documents")
 register("stream_counters", lambda t: streams.counters(streams.stream_of(t.spark, f"{t.sf_dir}/labels.parquet").selectExpr("concat('p', doc_id % 20) AS project_id", "IF(quality = 1, 'approved', 'rejected') AS review_state", "toxic = 1 AS is_flagged", "quality = 0 AS is_rejected")), "SELECT 'p' || CAST(doc_id % 20 AS STRING) AS project_id, count(*) AS asset_count, count(*) AS reviewed, count(*) FILTER (toxic = 1) AS flagged, count(*) FILTER (quality = 0) AS rejected FROM labels GROUP BY 1")
 register("stream_provider_latency", lambda t: streams.provider_latency(events(t).selectExpr("e.event_type AS provider", "CAST(e.ts AS TIMESTAMP) AS ts", "e.event_type <> 'error' AND e.event_id % 9 <> 0 AS ok", "CAST(e.value AS DOUBLE) AS latency_ms")), "SELECT event_type AS provider, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, count(*) AS calls, count(*) FILTER (event_type = 'error' OR event_id % 9 = 0) AS failures, max(CAST(value AS DOUBLE)) AS most FROM events GROUP BY 1, 2")
 register("stream_ratings", lambda t: streams.ratings(events(t).where("e.event_id * 13 % 211 <> e.event_id * 29 % 211").selectExpr(*(f"{x} AS {k}" for k, x in X.items()))))

@@ -10,6 +10,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quarrymill.operators.ratings import ELO, elo_update
 from quarrymill.operators.tables import new_folder
@@ -20,19 +21,48 @@ def stream_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
 
 
-def run(stream: DataFrame, mode: str, name: str, sink: Callable[[DataFrame, int], None] | None = None) -> str:
-    """Runs a stream over what is there; gives the folder of its output."""
-    base = new_folder(stream.sparkSession, name)
+def run(stream: DataFrame, mode: str, name: str, sink: Callable[[DataFrame, int], None] | None = None, base: str | None = None, watch: Callable[[dict], None] | None = None) -> str:
+    """Runs a stream over what is there; gives the folder of its output.
+
+    With a base (a shared folder) a later run goes on where one with the same base has ended. watch gets the progress of each batch.
+    """
+    base = base or new_folder(stream.sparkSession, name)
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True)
     query = writer.foreachBatch(sink).start() if sink else writer.format("parquet").option("path", f"{base}/rows").start()
     query.awaitTermination()
+    for progress in query.recentProgress if watch else ():
+        watch(json.loads(progress.json) if hasattr(progress, "json") else progress)
     return f"{base}/rows"
 
 
-def ingest_dedup(files: DataFrame) -> DataFrame:
-    """project_id and sha256 of the first arrival of each content; later copies are dropped by the state."""
-    fresh = files.select("project_id", "sha256").dropDuplicates(["project_id", "sha256"])
-    return files.sparkSession.read.schema(fresh.schema).parquet(run(fresh, "append", "ingest"))
+def has_files(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path))
+
+
+def ingest_dedup(files: DataFrame, late: str = "10 minutes", base: str | None = None, watch: Callable[[dict], None] | None = None) -> DataFrame:
+    """project_id and sha256 of the first arrival (arrived) of each content; later copies are dropped.
+
+    Copies that arrive within the watermark of each other are dropped by the stream's state, which forgets a content
+    once the watermark has passed it. What has been let through is a table of known contents, by the first digits of the
+    hash; later batches are held against it, so a copy is found however late it comes. A batch that is run again
+    writes over its own part, and isn't held against it.
+    """
+    spark = files.sparkSession
+    base = base or new_folder(spark, "ingest")
+    known = f"{base}/known"
+    fresh = files.select("project_id", "sha256", "arrived").withWatermark("arrived", late).dropDuplicatesWithinWatermark(["project_id", "sha256"])
+
+    def keep(df: DataFrame, i: int) -> None:
+        new = df.select("project_id", "sha256", F.substring("sha256", 1, 2).alias("prefix"))
+        if has_files(spark, known):
+            before = spark.read.schema("project_id string, sha256 string, batch long, prefix string").parquet(known).filter(F.col("batch") != i).drop("batch")
+            new = new.join(before, ["project_id", "sha256", "prefix"], "left_anti")
+        new.write.mode("overwrite").partitionBy("prefix").parquet(f"{known}/batch={i}")
+
+    run(fresh, "append", "ingest", keep, base, watch)
+    shape = f"project_id {files.schema['project_id'].dataType.simpleString()}, sha256 string, batch long, prefix string"
+    return spark.read.schema(shape).parquet(known).select("project_id", "sha256")
 
 
 def counters(assets: DataFrame) -> DataFrame:
@@ -58,24 +88,40 @@ def provider_latency(usage: DataFrame, window: str = "1 hour", late: str = "10 m
     return every.groupBy("provider", "start").agg(F.max_by(F.struct("calls", "failures", "most"), "batch").alias("x")).select("provider", "start", "x.*")
 
 
-def ratings(comparisons: DataFrame) -> DataFrame:
-    """session_id, asset_id, elo and comparisons: one update per comparison, in order (made_at, id) within a batch."""
-    spark = comparisons.sparkSession
-    shape = "session_id long, asset_id long, elo double, comparisons int"
+class SessionRatings(StatefulProcessor):
+    """A session's ratings as a map from asset to rating and comparisons; a batch reads and writes only the assets it has."""
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        known = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(batches)).sort_values(["made_at", "id"])
-        for r in rows.itertuples():
-            (w, wn), (l, ln) = known.get(str(r.winner), (ELO, 0)), known.get(str(r.loser), (ELO, 0))  # noqa: E741
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("ratings", "asset_id long", "elo double, comparisons int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
+        batch = pd.concat(list(rows)).sort_values(["made_at", "id"])
+        touched = sorted({int(x) for x in (*batch["winner"], *batch["loser"])})
+        now = {a: tuple(self.known.getValue((a,))) if self.known.containsKey((a,)) else (ELO, 0) for a in touched}
+        for r in batch.itertuples():
+            (w, wn), (l, ln) = now[r.winner], now[r.loser]  # noqa: E741
             w, l = elo_update(w, l, bool(r.is_draw))  # noqa: E741
-            known[str(r.winner)], known[str(r.loser)] = (w, wn + 1), (l, ln + 1)
-        state.update((json.dumps(known),))
-        touched = sorted({*rows["winner"], *rows["loser"]})
-        yield pd.DataFrame({"session_id": key[0], "asset_id": touched, "elo": [round(known[str(a)][0], 6) for a in touched], "comparisons": [known[str(a)][1] for a in touched]})
-
-    stream = comparisons.groupBy("session_id").applyInPandasWithState(update, shape, "known string", "update", "NoTimeout")
-    out = new_folder(spark, "ratings")
-    run(stream, "update", "ratings", lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/batches/batch={i:08d}"))
-    every = spark.read.parquet(f"{out}/batches/*")
-    return every.groupBy("session_id", "asset_id").agg(F.max_by(F.struct("elo", "comparisons"), "batch").alias("x")).select("session_id", "asset_id", "x.*")
+            now[r.winner], now[r.loser] = (w, wn + 1), (l, ln + 1)
+        for a in touched:
+            self.known.updateValue((a,), (float(now[a][0]), int(now[a][1])))
+        yield pd.DataFrame({"session_id": key[0], "asset_id": touched, "elo": [now[a][0] for a in touched], "comparisons": [now[a][1] for a in touched]})
+
+    def close(self) -> None:
+        pass
+
+
+def ratings(comparisons: DataFrame, base: str | None = None, watch: Callable[[dict], None] | None = None) -> DataFrame:
+    """session_id, asset_id, elo and comparisons: one update per comparison, in order (made_at, id) within a batch."""
+    spark = comparisons.sparkSession
+    base = base or new_folder(spark, "ratings")
+    provider, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, rocks)  # map states need it
+    try:
+        stream = comparisons.groupBy("session_id").transformWithStateInPandas(SessionRatings(), "session_id long, asset_id long, elo double, comparisons int", "update", "none")
+        run(stream, "update", "ratings", lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{base}/batches/batch={i:08d}"), base, watch)
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    every = spark.read.schema("session_id long, asset_id long, elo double, comparisons int, batch int").parquet(f"{base}/batches/*")
+    last = every.groupBy("session_id", "asset_id").agg(F.max_by(F.struct("elo", "comparisons"), "batch").alias("x"))
+    return last.select("session_id", "asset_id", F.round("x.elo", 6).alias("elo"), "x.comparisons")
