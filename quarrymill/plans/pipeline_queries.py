@@ -46,7 +46,8 @@ register("caption_version_prune", lambda t: a.caption_version_prune(t.captions.s
 
 TEXTS = "(SELECT asset_id, text FROM captions WHERE is_active AND trim(text) <> '')"
 STEM, END = r"regexp_replace(filename, '\.[^.]*$', '')", r"regexp_extract(filename, '(\.[^.]*)$', 1)"
-register("export_sidecars", lambda t: sinks.sidecar_counts(export_eligible(t.assets), t.captions), f"SELECT project_id, count(text) AS written, count(*) - count(text) AS errors FROM assets LEFT JOIN {TEXTS} c ON assets.asset_id = c.asset_id WHERE NOT is_rejected GROUP BY 1")
+register("export_sidecars", lambda t: sinks.sidecar_results(export_eligible(t.assets), t.captions, new_folder(t.spark, "sidecars")), f"SELECT project_id, count(text) AS written, count(*) - count(text) AS errors FROM assets LEFT JOIN {TEXTS} c ON assets.asset_id = c.asset_id WHERE NOT is_rejected GROUP BY 1")
+register("export_sidecar_files", lambda t: sinks.write_sidecars(export_eligible(t.assets), t.captions, new_folder(t.spark, "sidecars")).select("asset_id", "caption"), f"SELECT c.asset_id, text AS caption FROM assets a JOIN {TEXTS} c ON a.asset_id = c.asset_id WHERE NOT is_rejected")
 register("export_lora_manifest", lambda t: sinks.lora_manifest(export_eligible(t.assets), t.captions, "sks", 10), f"SELECT project_id, a.asset_id, project_id || '/10_sks/' || {STEM} || '.png' AS path, CASE WHEN text IS NOT NULL THEN project_id || '/10_sks/' || {STEM} || '.txt' END AS caption_path, trim('sks, ' || text, ', ') AS caption FROM assets a LEFT JOIN {TEXTS} c ON a.asset_id = c.asset_id WHERE NOT is_rejected")
 register("export_kohya_manifest", lambda t: sinks.kohya_manifest(export_eligible(t.assets), t.captions, "sks", 5), f"SELECT project_id, a.asset_id, project_id || '/img/5_sks/' || filename AS path, CASE WHEN text IS NOT NULL THEN project_id || '/img/5_sks/' || {STEM} || '.txt' END AS caption_path FROM assets a LEFT JOIN {TEXTS} c ON a.asset_id = c.asset_id WHERE NOT is_rejected")
 register("export_zip_manifest", lambda t: sinks.zip_manifest(export_eligible(t.assets), t.captions), f"SELECT project_id, asset_id, filename AS entry FROM assets WHERE NOT is_rejected UNION ALL SELECT project_id, a.asset_id, {STEM} || '.txt' FROM assets a JOIN {TEXTS} c ON a.asset_id = c.asset_id WHERE NOT is_rejected")
@@ -90,16 +91,19 @@ def pictures(t: Tables) -> DataFrame:
 
 
 register("perceptual_hash", lambda t: ingest.perceptual_hash(pictures(t), "doc_id"))
-#: Files drawn from documents: a PNG, GIF or BMP header, or the bare text, and then the text's bytes.
-HEADED = """CASE doc_id % 4
+#: Files drawn from documents: a header of PNG, GIF, BMP, JPEG (behind a segment of some length) or WebP, or the bare text, and then the text's bytes.
+HEADED = """CASE doc_id % 6
   WHEN 0 THEN concat(unhex('89504E470D0A1A0A0000000D49484452'), unhex(lpad(hex(octet_length(text) % 65536), 8, '0')), unhex(lpad(hex(doc_id % 2000000), 8, '0')), unhex('0806000000'), CAST(text AS BINARY))
   WHEN 1 THEN concat(CAST('GIF89a' AS BINARY), unhex(concat(lpad(hex(doc_id % 256), 2, '0'), lpad(hex(doc_id % 7), 2, '0'))), unhex('4001'), CAST(text AS BINARY))
   WHEN 2 THEN concat(CAST('BM' AS BINARY), unhex('000000000000000036000000'), unhex('28000000'), unhex(concat(lpad(hex(doc_id % 256), 2, '0'), '020000')), unhex('80010000'), CAST(text AS BINARY))
+  WHEN 3 THEN concat(unhex(concat('FFD8FFE1', lpad(hex(2 + doc_id % 5000), 4, '0'), repeat('C0', CAST(doc_id % 5000 AS INT)), 'FFC2001108', lpad(hex(1 + doc_id % 3000), 4, '0'), lpad(hex(1 + octet_length(text) % 60000), 4, '0'), '03')), CAST(text AS BINARY))
+  WHEN 4 THEN concat(unhex('52494646000000005745425056503858'), unhex('0A00000000000000'), unhex(concat(lpad(hex(doc_id % 256), 2, '0'), '01007F0200')), CAST(text AS BINARY))
   ELSE CAST(text AS BINARY) END"""
 register(
     "image_dims", lambda t: ingest.image_header(documents(t).selectExpr("doc_id", f"{HEADED} AS content")).drop("content"),
-    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/bmp' END AS mime, CAST(CASE doc_id % 4 WHEN 0 THEN octet_length(encode(text)) % 65536 WHEN 1 THEN doc_id % 256 + 256 * (doc_id % 7) WHEN 2 THEN doc_id % 256 + 512 END AS INT) AS width,
-         CAST(CASE doc_id % 4 WHEN 0 THEN doc_id % 2000000 WHEN 1 THEN 320 WHEN 2 THEN 384 END AS INT) AS height FROM documents""",
+    """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/bmp' WHEN 3 THEN 'image/jpeg' WHEN 4 THEN 'image/webp' END AS mime,
+         CAST(CASE doc_id % 6 WHEN 0 THEN octet_length(encode(text)) % 65536 WHEN 1 THEN doc_id % 256 + 256 * (doc_id % 7) WHEN 2 THEN doc_id % 256 + 512 WHEN 3 THEN 1 + octet_length(encode(text)) % 60000 WHEN 4 THEN 257 + doc_id % 256 END AS INT) AS width,
+         CAST(CASE doc_id % 6 WHEN 0 THEN doc_id % 2000000 WHEN 1 THEN 320 WHEN 2 THEN 384 WHEN 3 THEN 1 + doc_id % 3000 WHEN 4 THEN 640 END AS INT) AS height FROM documents""",
 )
 FILES = "SELECT doc_id, concat('f', doc_id, CASE doc_id % 7 WHEN 0 THEN '.txt' ELSE '.PNG' END) AS path, CASE doc_id % 5 WHEN 0 THEN 'text/html' WHEN 1 THEN NULL ELSE 'image/png' END AS mime FROM documents"
 

@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quarrymill.sources import folders
 
 #: Accepted endings and the largest size in bytes.
 IMAGES = ("jpg", "jpeg", "png", "webp", "bmp", "gif", "tiff", "tif")
@@ -15,13 +18,23 @@ MOST_BYTES = 500 * 1024 * 1024
 MIMES = ("image/jpeg", "image/png", "image/webp", "image/bmp", "image/gif", "image/tiff")
 
 
-def scan_files(spark: SparkSession, folder: str, endings: tuple[str, ...] = IMAGES, most: int = MOST_BYTES) -> DataFrame:
-    """path, name and length of the files below folder: no hidden part, a known ending, not too large. No content is read;
-    Spark's file source lists no files of length 0."""
+def scan_files(spark: SparkSession, folder: str, endings: tuple[str, ...] = IMAGES, most: int = MOST_BYTES, links: bool = False) -> DataFrame:
+    """path, name and length of the files below folder: no hidden part, a known ending, not too large, and no links unless
+    asked for. Empty files are listed. No content is read.
+
+    The folder source lists folders in partitions. Where only Spark can open a path, its own file source lists instead,
+    which has neither links nor, as it gives nothing to read, files of length 0.
+    """
+    scheme = folder.split(":", 1)[0] if "://" in folder or folder.startswith("file:") else "file"
+    if scheme in ("file", "s3", "gs", "hdfs", "abfs", "abfss"):
+        folders.register(spark)
+        files = spark.read.format("folder").option("path", folder).option("endings", ",".join(endings)).load()
+        files = files.filter(F.lit(links) | ~F.col("is_link")).filter(F.col("length") <= most)
+        return files.select("path", F.regexp_extract("path", r"[^/]+$", 0).alias("name"), "length", *(["is_link"] if links else []))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     inside = F.substring_index(F.col("path"), folder.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
-    return files.filter((F.col("length") <= most) & ending.isin(*endings) & ~inside.rlike(r"(^|/)\.")).select("path", F.regexp_extract("path", r"[^/]+$", 0).alias("name"), "length")
+    return files.filter((F.col("length") <= most) & ending.isin(*endings) & ~inside.rlike(r"(^|/)\.")).select("path", F.regexp_extract("path", r"[^/]+$", 0).alias("name"), "length", *([F.lit(False).alias("is_link")] if links else []))
 
 
 def storage_bytes(files: DataFrame) -> DataFrame:
@@ -33,20 +46,70 @@ def image_dims(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(folder).select(F.col("image.origin").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
+#: JPEG markers that hold the frame's size, and those without a segment behind them (fixed by the format).
+FRAMES = {0xC0, 0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF}
+BARE = {0x01, *range(0xD0, 0xD8)}
+SCAN, END = 0xDA, 0xD9
+
+
+def jpeg_size(data: bytes) -> tuple[int, int] | None:
+    """Width and height by the first frame header, from marker to marker; None if it is cut off or comes after a scan."""
+    at = 2
+    while at + 4 <= len(data):
+        if data[at] != 0xFF:
+            return None
+        marker = data[at + 1]
+        if marker == 0xFF or marker in BARE:  # a filling byte, or nothing but a marker
+            at += 1 if marker == 0xFF else 2
+        elif marker in FRAMES:
+            return (int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")) if at + 9 <= len(data) else None
+        elif marker in (SCAN, END):
+            return None
+        else:
+            at += 2 + max(2, int.from_bytes(data[at + 2 : at + 4], "big"))
+    return None
+
+
+def webp_size(data: bytes) -> tuple[int, int] | None:
+    """Width and height by the first of the chunks VP8X, VP8L and VP8; None if it is cut off."""
+    at, little = 12, lambda place, n: int.from_bytes(data[place : place + n], "little")
+    while at + 8 <= len(data):
+        kind, size, body = data[at : at + 4], little(at + 4, 4), at + 8
+        if kind == b"VP8X" and body + 10 <= len(data):
+            return little(body + 4, 3) + 1, little(body + 7, 3) + 1
+        if kind == b"VP8L" and body + 5 <= len(data) and data[body] == 0x2F:
+            bits = little(body + 1, 4)
+            return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+        if kind == b"VP8 " and body + 10 <= len(data) and data[body + 3 : body + 6] == b"\x9d\x01\x2a":
+            return little(body + 6, 2) & 0x3FFF, little(body + 8, 2) & 0x3FFF
+        if kind in (b"VP8X", b"VP8L", b"VP8 "):
+            return None
+        at = body + size + size % 2
+    return None
+
+
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
+def walked_size(data: pd.Series) -> pd.DataFrame:
+    """Sizes of JPEG and WebP, whose place depends on what comes before; null for null."""
+    found = [None if d is None else jpeg_size(d) if d[:2] == b"\xff\xd8" else webp_size(d) for d in data]
+    return pd.DataFrame([f or (None, None) for f in found], columns=["width", "height"], dtype="Int32")
+
+
 def image_header(files: DataFrame, content: str = "content") -> DataFrame:
-    """files with mime, width and height as the first bytes state them, without decoding pixels.
+    """files with mime, width and height as the headers state them, without decoding pixels.
 
-    PNG, GIF and BMP state their size at a fixed place; of JPEG and WebP only the mime type is told, and image_dims has
-    their size. Other and cut-off content has none of the three; null content is empty.
+    PNG, GIF and BMP state their size at a fixed place; for JPEG the markers and for WebP the chunks are walked, and only
+    these contents go to Python. Other and cut-off content has no size; null content is empty.
     """
     data = F.coalesce(F.col(content).cast("binary"), F.lit(b""))
     start = F.hex(F.substring(data, 1, 12))
     mime = F.when(start.startswith("89504E470D0A1A0A"), "image/png").when(start.startswith("47494638"), "image/gif").when(start.startswith("424D"), "image/bmp").when(start.startswith("FFD8FF"), "image/jpeg").when(start.rlike("^52494646.{8}57454250"), "image/webp")
+    walked = walked_size(F.when(mime.isin("image/jpeg", "image/webp"), data))
     digits = lambda place, n: F.when(F.octet_length(data) >= place + n - 1, F.hex(F.substring(data, place, n)))
     little = lambda h: F.regexp_replace(h, "^(..)(..)(?:(..)(..))?$", "$4$3$2$1")
     number = lambda h: F.conv(h, 16, 10).cast("long").cast("int")
-    side = lambda png, gif, bmp: F.when(mime == "image/png", number(digits(png, 4))).when(mime == "image/gif", number(little(digits(gif, 2)))).when(mime == "image/bmp", number(little(digits(bmp, 4))))
-    return files.withColumns({"mime": mime, "width": side(17, 7, 19), "height": side(21, 9, 23)})
+    side = lambda name, png, gif, bmp: F.when(mime == "image/png", number(digits(png, 4))).when(mime == "image/gif", number(little(digits(gif, 2)))).when(mime == "image/bmp", number(little(digits(bmp, 4)))).otherwise(F.col("_walked")[name])
+    return files.withColumn("_walked", walked).withColumns({"mime": mime, "width": side("width", 17, 7, 19), "height": side("height", 21, 9, 23)}).drop("_walked")
 
 
 def validate_files(wanted: DataFrame, files: DataFrame, decoded: DataFrame) -> DataFrame:

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import json
-import posixpath
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.captions import export_caption
 from quarrymill.operators.tables import written
+from quarrymill.sources import folders
 
 
 def stem(name: Column) -> Column:
@@ -68,22 +66,22 @@ def sidecar_counts(assets: DataFrame, captions: DataFrame) -> DataFrame:
 
 
 def write_sidecars(assets: DataFrame, captions: DataFrame, folder: str) -> DataFrame:
-    """Writes one UTF-8 text file per captioned asset, from the tasks and to any file system Arrow knows; gives the paths."""
-    named = with_caption(assets, captions).filter("caption IS NOT NULL").select("asset_id", F.concat("project_id", F.lit("_"), F.col("asset_id").cast("string"), F.lit(".txt")).alias("name"), "caption")
-    uri = folder if "://" in folder else "file://" + folder
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.fs
-
-        system, root = pyarrow.fs.FileSystem.from_uri(uri)
-        system.create_dir(root)
-        for rows in batches:
-            for name, caption in zip(rows["name"], rows["caption"], strict=True):
-                with system.open_output_stream(posixpath.join(root, name)) as out:
-                    out.write(caption.encode())
-            yield rows[["asset_id", "name"]]
-
-    return named.mapInPandas(write, "asset_id long, name string")
+    """Writes {project}_{asset_id}.txt, in UTF-8, for each captioned asset, all or none; gives asset_id, name and the caption as it is in the file.
+
+    Tasks write beside the folder's files, and the job's commit puts them in place (see sources.folders).
+    """
+    named = with_caption(assets, captions).filter("caption IS NOT NULL").select(F.concat("project_id", F.lit("_"), F.col("asset_id").cast("string"), F.lit(".txt")).alias("name"), F.col("caption").alias("text"))
+    folders.register(assets.sparkSession)
+    named.write.format("text_files").option("path", folder).mode("append").save()
+    back = assets.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder)
+    name = F.regexp_extract("path", r"[^/]+$", 0)
+    return back.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("asset_id"), name.alias("name"), F.decode("content", "UTF-8").alias("caption"))
+
+
+def sidecar_results(assets: DataFrame, captions: DataFrame, folder: str) -> DataFrame:
+    """Per project: sidecar files as they are in the folder after writing, and assets without one."""
+    files = write_sidecars(assets, captions, folder).select("asset_id", "name")
+    return assets.select("project_id", "asset_id").join(files, "asset_id", "left").groupBy("project_id").agg(F.count("name").alias("written"), F.count_if(F.col("name").isNull()).alias("errors"))
 
 
 def parquet_shards(df: DataFrame, folder: str, rows_per_file: int) -> DataFrame:

@@ -207,7 +207,7 @@ def test_images_from_files(spark, tmp_path):
     for name, data in {"flat.png": png(flat), "ramp.png": png(ramp), "copy.PNG": png(ramp), "broken.png": png(flat)[:40], "empty.png": b"", "note.md": b"x", ".hidden.png": png(flat), "flat.txt": "subject token, studio portrait\n".encode(), "ramp.txt": b"  "}.items():
         (tmp_path / name).write_bytes(data)
     listed = ingest.scan_files(spark, str(tmp_path))
-    assert sorted(r.name for r in listed.collect()) == ["broken.png", "copy.PNG", "flat.png", "ramp.png"]
+    assert sorted(r.name for r in listed.collect()) == ["broken.png", "copy.PNG", "empty.png", "flat.png", "ramp.png"]
     decoded = ingest.image_dims(spark, str(tmp_path))
     name = F.regexp_extract("path", "[^/]+$", 0)
     dims = {r.name: (r.width, r.height) for r in decoded.select(name.alias("name"), "width", "height").collect()}
@@ -216,14 +216,14 @@ def test_images_from_files(spark, tmp_path):
     key = F.regexp_replace("path", "^file:/+", "/")
     same = lambda df: df.withColumn("path", key)
     errors = {r.name: r.error for r in ingest.validate_files(same(wanted), same(listed).select("path", "length").union(spark.createDataFrame([("zero.png", 0)], "path string, length long")), same(decoded)).select(name.alias("name"), "error").collect()}
-    assert errors == {"flat.png": None, "ramp.png": None, "copy.PNG": None, "broken.png": "undecodable", "zero.png": "empty", "gone.png": "missing"}
+    assert errors == {"flat.png": None, "ramp.png": None, "copy.PNG": None, "broken.png": "undecodable", "empty.png": "empty", "zero.png": "empty", "gone.png": "missing"}
     hashes = {r.name: r for r in ingest.perceptual_hash(decoded.filter("path NOT LIKE '%.md' AND path NOT LIKE '%.txt'"), "path").select(name.alias("name"), "phash", "dhash", "ahash").collect()}
     assert hashes["ramp.png"].dhash == "f" * 16 == hashes["copy.PNG"].dhash and hashes["ramp.png"].phash == hashes["copy.PNG"].phash and hashes["broken.png"].phash is None
     found = {r.name: r for r in image_qc.image_features(decoded, "path").select(name.alias("name"), *image_qc.NAMES, "error").collect()}
     assert found["flat.png"].sharpness == 0 and found["flat.png"].levels == 1 and found["flat.png"].borders == 4 and found["broken.png"].error == "undecodable"
     texts = spark.read.text(str(tmp_path), wholetext=True, pathGlobFilter="*.txt").select(F.col("_metadata.file_path").alias("path"), "value")
     joined = {r.name: r.caption for r in ingest.sidecar_join(same(listed.select("path")), same(texts)).select(name.alias("name"), "caption").collect()}
-    assert joined == {"flat.png": "subject token, studio portrait", "ramp.png": None, "copy.PNG": None, "broken.png": None}
+    assert joined == {"flat.png": "subject token, studio portrait", "ramp.png": None, "copy.PNG": None, "broken.png": None, "empty.png": None}
 
 
 def test_sidecar_files(spark, assets, tmp_path):
