@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,13 @@ def clip(x: float) -> float:
     return float(min(max(x, 0.0), 1.0))
 
 
+@lru_cache(16)
+def radii(height: int, width: int) -> np.ndarray:
+    """How far each frequency of a shifted spectrum is from its middle, 1 at the ends of the axes."""
+    y, x = np.indices((height, width))
+    return np.hypot((y - height // 2) / max(height / 2, 1), (x - width // 2) / max(width / 2, 1))
+
+
 def features(height: int, width: int, channels: int, data: bytes) -> dict[str, float]:
     px = np.frombuffer(data, np.uint8).reshape(height, width, channels)[:, :, :3].astype(float)
     bgr = np.repeat(px, 3, axis=2) if px.shape[2] == 1 else px
@@ -36,8 +44,7 @@ def features(height: int, width: int, channels: int, data: bytes) -> dict[str, f
     strip = max(1, min(height, width) // 20)
     flat = sum(s.std() < 8 for s in (grey[:strip], grey[-strip:], grey[:, :strip], grey[:, -strip:]))
     power = np.abs(np.fft.fftshift(np.fft.fft2(grey)))
-    y, x = np.indices(power.shape)
-    radius = np.hypot((y - height // 2) / max(height / 2, 1), (x - width // 2) / max(width / 2, 1))
+    radius = radii(height, width)
     total = max(power.sum(), 1e-9)
     return dict(zip(NAMES, (
         1 - 1 / (1 + laplace.var() / 300), 1 - 1 / (1 + 0.8 * height * width / 1e6), clip(1 - 2 * abs(mean - 0.45)), clip(2 * grey.std() / 255), clip(1.5 * saturation), clip(around.mean() / (255 * 9) * 10),
@@ -65,10 +72,3 @@ def image_features(images: DataFrame, key: str) -> DataFrame:
     shape = f"k {kind}, " + ", ".join(f"{n} double" for n in NAMES) + ", error string"
     return images.select(F.col(key).alias("k"), "height", "width", "channels", "data").mapInPandas(run, shape).withColumnRenamed("k", key)
 
-
-def qc_pipeline(images: DataFrame, faces: DataFrame, key: str) -> DataFrame:
-    """Features joined with face quality (key, face); composite of what there is, and error per stage."""
-    f = image_features(images, key).withColumnRenamed("error", "image_error")
-    j = f.join(faces, key, "left").withColumn("face_error", F.when(F.col("face").isNull(), "no face"))
-    score = 0.20 * F.col("sharpness") + 0.20 * F.coalesce("face", F.lit(0.5)) + 0.15 * F.col("aesthetic") + 0.10 * F.col("brightness") + 0.10 * F.col("contrast") + 0.05 * F.col("saturation") + 0.05 * F.col("background") + 0.05 * F.col("resolution")
-    return j.withColumn("composite", F.round(score, 6))

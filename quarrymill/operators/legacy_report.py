@@ -1,16 +1,20 @@
-"""The older dataset report: shot shares, issues per image, recommendations, score and grade, from a table of features."""
+"""The older dataset report: shot shares, issues per image, recommendations, score and grade, from a table of features,
+with how far faces and skin tones agree."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.operators.colour import tone_consistency
+from quarrymill.operators.vectors import cosine
+
 #: Ideal shares of the shot types, and the sizes that suit the target model.
 IDEAL = {"close_up": (0.20, 0.30), "mid_shot": (0.40, 0.50), "full_body": (0.20, 0.30)}
 SIZE = (20, 60)
-#: Per image: severity and condition over its features.
+#: Fixed values, per image: severity and condition over its features.
 IMAGE_ISSUES = (("high", "sharpness < 25"), ("high", "artifact < 40"), ("medium", "brightness > 230 OR brightness < 40"), ("medium", "faces > 1"), ("low", "faces > 0 AND abs(face_x - 0.5) > 0.35"), ("high", "faces = 0"))
-#: Per project: severity and condition over n, the counts below and the shots' shares.
+#: Fixed values, per project: severity and condition over n, the counts below and the shots' shares.
 ADVICE = (
     ("high", f"n < {SIZE[0]}"),
     ("medium", f"n > {SIZE[1]} * 1.5"),
@@ -36,7 +40,25 @@ TOTALS = {
 SCORE = f"greatest(0, 100 - ({weighted(ADVICE, 15, 7)}) - image_penalty)"
 
 
-def legacy_dataset_report(features: DataFrame) -> DataFrame:
+#: A face below this similarity to the reference is an outlier.
+OUTLIER = 0.3
+
+
+def identity_agreement(faces: DataFrame) -> DataFrame:
+    """project_id, mean_similarity, min_similarity, max_similarity and outliers of faces (project_id, position, embedding)
+    against the first face of their project; projects with one face are left out."""
+    first = faces.filter("embedding IS NOT NULL").groupBy("project_id").agg(F.min_by(F.struct("position", "embedding"), "position").alias("r"))
+    s = faces.join(first.select("project_id", F.col("r.position").alias("p"), F.col("r.embedding").alias("q")), "project_id").filter("position <> p")
+    s = s.select("project_id", cosine(F.col("q"), F.col("embedding")).alias("s"))
+    return s.groupBy("project_id").agg(F.round(F.avg("s"), 4).alias("mean_similarity"), F.round(F.min("s"), 4).alias("min_similarity"), F.round(F.max("s"), 4).alias("max_similarity"), F.count_if(F.col("s") < OUTLIER).alias("outliers"))
+
+
+def legacy_dataset_report(features: DataFrame, faces: DataFrame | None = None, tones: DataFrame | None = None) -> DataFrame:
+    """A row per project. With faces (project_id, position, embedding) and tones (project_id, l, a, b), also how far these
+    agree (NULL where there are too few); tones that don't are one more issue of medium weight."""
     t = features.groupBy("project_id").agg(*(F.expr(x).alias(k) for k, x in TOTALS.items()))
+    t = t.join(identity_agreement(faces), "project_id", "left") if faces is not None else t
+    if tones is not None:
+        t = t.join(tone_consistency(tones), "project_id", "left").withColumn("image_penalty", F.col("image_penalty") + F.when(~F.col("consistent"), 1).otherwise(0))
     t = t.withColumn("score", F.expr(SCORE).cast("long"))
     return t.withColumn("grade", F.when(F.col("score") >= 85, "A").when(F.col("score") >= 70, "B").when(F.col("score") >= 50, "C").when(F.col("score") >= 30, "D").otherwise("F"))

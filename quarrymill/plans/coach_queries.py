@@ -78,7 +78,14 @@ register(
 
 FEATURES = "project_id, 60 + technical_quality * 100 AS sharpness, 50 + aesthetic_score * 50 AS artifact, 100 + training_usefulness * 100 AS brightness, greatest(face_count, CASE WHEN asset_id % 12 > 0 THEN 1 ELSE 0 END) AS faces, face_quality AS face_x, CASE asset_id % 10 WHEN 0 THEN 'close_up' WHEN 1 THEN 'close_up' WHEN 2 THEN 'full_body' WHEN 3 THEN 'full_body' ELSE 'mid_shot' END AS shot, CASE asset_id % 3 WHEN 0 THEN 'frontal' WHEN 1 THEN 'profile' END AS pose"
 TOTALS = ", ".join(f"{x} AS {k}" for k, x in legacy.TOTALS.items())
+#: Tones of assets that differ by project: some agree, some don't.
+TONES = "project_id, CAST(128 + asset_id % 5 + CASE WHEN project_id IN ('src1', 'src2') THEN asset_id * 7 % 40 ELSE 0 END AS DOUBLE) AS l, CAST(130 + asset_id % 3 AS DOUBLE) AS a, CAST(140 + asset_id % 9 + CASE WHEN project_id = 'src3' THEN asset_id % 20 ELSE 0 END AS DOUBLE) AS b"
+owned = lambda t: t.vectors.select(F.col("vec_id").alias("position"), "embedding").join(t.assets.selectExpr("asset_id AS position", "project_id"), "position")
 register(
-    "legacy_dataset_report", lambda t: legacy.legacy_dataset_report(t.assets.selectExpr("*").selectExpr(*split_columns(FEATURES))),
-    f"""SELECT * REPLACE (CAST(image_penalty AS BIGINT) AS image_penalty), CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C' WHEN score >= 30 THEN 'D' ELSE 'F' END AS grade FROM (SELECT *, CAST({legacy.SCORE} AS BIGINT) AS score FROM (SELECT project_id, {TOTALS} FROM (SELECT {FEATURES} FROM assets) GROUP BY 1))""",
+    "legacy_dataset_report", lambda t: legacy.legacy_dataset_report(t.assets.selectExpr("*").selectExpr(*split_columns(FEATURES)), owned(t), t.assets.selectExpr(*split_columns(TONES))),
+    f"""WITH f AS (SELECT a.project_id, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM vectors JOIN assets a ON vec_id = asset_id), r AS (SELECT project_id, min(vec_id) AS first, arg_min(e, vec_id) AS q FROM f GROUP BY 1),
+       i AS (SELECT project_id, round(avg(s), 4) AS mean_similarity, round(min(s), 4) AS min_similarity, round(max(s), 4) AS max_similarity, count(*) FILTER (s < 0.3) AS outliers FROM (SELECT f.project_id, list_cosine_similarity(q, e) AS s FROM f JOIN r ON f.project_id = r.project_id WHERE vec_id <> first) GROUP BY 1),
+       d AS (SELECT project_id, stddev_pop(l) AS l, stddev_pop(a) AS a, stddev_pop(b) AS b FROM (SELECT {TONES} FROM assets) GROUP BY 1 HAVING count(*) >= 2), c AS (SELECT project_id, round(l, 2) AS std_l, round(a, 2) AS std_a, round(b, 2) AS std_b, l < 8 AND a < 5 AND b < 5 AS consistent FROM d),
+       t AS (SELECT project_id, {TOTALS} FROM (SELECT {FEATURES} FROM assets) GROUP BY 1), j AS (SELECT t.* REPLACE (CAST(image_penalty + CASE WHEN consistent = FALSE THEN 1 ELSE 0 END AS BIGINT) AS image_penalty), mean_similarity, min_similarity, max_similarity, outliers, std_l, std_a, std_b, consistent FROM t LEFT JOIN i ON t.project_id = i.project_id LEFT JOIN c ON t.project_id = c.project_id)
+       SELECT *, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C' WHEN score >= 30 THEN 'D' ELSE 'F' END AS grade FROM (SELECT *, CAST({legacy.SCORE} AS BIGINT) AS score FROM j)""",
 )

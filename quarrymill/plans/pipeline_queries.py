@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quarrymill.operators import actions as a
 from quarrymill.operators import dedup, image_qc
+from quarrymill.operators.analysis import analyse, asset_stages
+from quarrymill.operators.colour import skin_tones
 from quarrymill.operators.filters import export_eligible
 from quarrymill.operators.tables import new_folder
 from quarrymill.plans.registry import Tables, register
@@ -119,7 +121,19 @@ register("validate_files", validated, f"SELECT path, mime, CASE WHEN doc_id % 11
 QC = {"sharpness": "sharpness", "resolution": "resolution", "photometric": "brightness, contrast, saturation", "noise": "noise", "aesthetic_heuristic": "aesthetic", "background": "background", "exposure_clipping": "bright_share, dark_share, clipped_share", "posterization": "levels, empty_bins", "jpeg_blocks": "blockiness", "borders": "borders", "frequency_balance": "low_freq, mid_freq, high_freq"}
 for kernel, columns in QC.items():
     register(f"qc_{kernel}", lambda t, columns=columns: image_qc.image_features(pictures(t), "doc_id").select("doc_id", *(F.round(c, 6).alias(c) for c in columns.split(", ")), "error"))
-register("qc_pipeline", lambda t: image_qc.qc_pipeline(pictures(t), t.assets.selectExpr("asset_id AS doc_id", "face_quality AS face"), "doc_id").select("doc_id", "composite", "image_error", "face_error"))
+
+
+def analysed(t: Tables) -> DataFrame:
+    labels = t.vectors.filter("vec_id < 24").selectExpr("CASE vec_id % 3 WHEN 0 THEN 'scene' WHEN 1 THEN 'background' ELSE 'light' END AS grp", "concat('tag', vec_id) AS tag", "embedding AS q")
+    faces = t.assets.selectExpr("asset_id AS doc_id", "face_quality AS face")
+    stages = asset_stages("doc_id", pictures(t), faces, t.vectors.selectExpr("vec_id AS doc_id", "embedding"), labels, t.assets)
+    return analyse(t.assets.selectExpr("asset_id AS doc_id"), "doc_id", stages)
+
+
+register("qc_pipeline", analysed)
+#: Boxes of faces in pictures, in turns inside, over the rim, and outside.
+BOXED = ("*", "CAST(doc_id % 30 AS DOUBLE) AS x1", "CAST(doc_id % 20 AS DOUBLE) AS y1", "CAST(doc_id % 30 + 8 + doc_id % 40 AS DOUBLE) AS x2", "CAST(doc_id % 20 + 8 + doc_id % 25 AS DOUBLE) AS y2")
+register("skin_tones", lambda t: skin_tones(pictures(t).selectExpr(*BOXED), "doc_id"))
 
 X = expressions("comparisons", "spark")
 events = lambda t: streams.stream_of(t.spark, f"{t.sf_dir}/events.parquet").alias("e")
