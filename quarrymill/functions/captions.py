@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections import Counter
+
+import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = r"(?U)\s"
+MOST_PATTERN = 500
 
 
 def strip(text: Column) -> Column:
@@ -32,27 +39,54 @@ def append(text: Column, suffix: str) -> Column:
     return F.concat(bare, F.when(F.endswith(bare, F.lit(",")), " ").otherwise(", "), F.lit(suffix))
 
 
+def java_pattern(find: str) -> str | None:
+    """A regular expression in Java's dialect: named groups and references to them are written otherwise there. None if
+    Python or Java does not know it, or if it has more than MOST_PATTERN characters."""
+    if len(find) > MOST_PATTERN:
+        return None
+    try:
+        re.compile(find)
+    except re.error:
+        return None
+    plain = lambda name: name.replace("_", "X")  # noqa: E731 - Java's names have letters and digits only
+    java, at = [], 0
+    for m in re.finditer(r"\\.|\(\?P<(\w+)>|\(\?P=(\w+)\)", find, re.S):
+        java.append(find[at : m.start()])
+        java.append(f"(?<{plain(m[1])}>" if m[1] else rf"\k<{plain(m[2])}>" if m[2] else r"\z" if m[0] == r"\Z" else m[0])
+        at = m.end()
+    made = "".join([*java, find[at:]])
+    session = SparkSession.active()
+    try:
+        session._jvm.java.util.regex.Pattern.compile(made)
+    except Py4JError:
+        return None
+    return made
+
+
 def find_replace(text: Column, find: str, new: str, regex: bool = False) -> Column:
-    """Literal or regular expression (of at most 500 characters; \\1 names a group, all else stands for itself).
+    """Literal or regular expression of Python's (\\1 and \\g<name> name a group, all else stands for itself).
 
-    A pattern that is no regular expression changes nothing: callers see their rows unaffected.
+    A pattern that is no regular expression, or that is too long or unknown to the engine, changes nothing: callers see
+    their rows unaffected.
     """
     if not regex:
         return F.replace(text, F.lit(find), F.lit(new))
-    if len(find) > 500:
-        raise ValueError("a pattern has at most 500 characters")
-    import re
-
-    try:
-        groups = re.compile(find).groups
-    except re.error:
+    if (made := java_pattern(find)) is None:
         return text
-    if any(int(g) > groups for g in re.findall(r"\\(\d)", new)):
-        return text
-    # Java's replacement gives "$" and "\\" a meaning; only \\1 to \\9 keep theirs
-    parts = re.split(r"\\(\d)", new)
-    java = "".join("$" + p if i % 2 else p.replace("\\", "\\\\").replace("$", "\\$") for i, p in enumerate(parts))
-    return F.regexp_replace(text, F.lit(find), F.lit(java))
+    compiled = re.compile(find)
+    # Java's replacement gives "$" and "\\" a meaning; only groups keep theirs
+    parts = re.split(r"\\(\d)|\\g<(\w+)>", new)
+    out = []
+    for plain, digit, name in zip(parts[::3], [*parts[1::3], None], [*parts[2::3], None], strict=True):
+        out.append(plain.replace("\\", "\\\\").replace("$", "\\$"))
+        if digit or name:
+            group = int(digit or (name if name.isdigit() else compiled.groupindex.get(name, -1)))
+            if not (0 if name else 1) <= group <= compiled.groups:
+                return text
+            out.append(f"${group}")
+    # a digit behind a group's number would be read as one of its digits
+    java = "".join("\\" + o if k and k % 2 == 0 and o[:1].isdigit() else o for k, o in enumerate(out))
+    return F.regexp_replace(text, F.lit(made), F.lit(java))
 
 
 def issues(text: Column) -> dict[str, Column]:
@@ -92,32 +126,45 @@ ELEMENTS = {
 }
 
 
-def any_of(text: Column, words: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+#: What the caption score counts of a text: words, distinct content words, how often the most frequent one comes, and
+#: whether it has words of the lists.
+COUNTED = T.StructType([T.StructField(n, T.IntegerType()) for n in ("words", "unique", "most")] + [T.StructField(n, T.BooleanType()) for n in ("facial", *ELEMENTS)])
+BLANKS, MARKS = re.compile(r"[ \t\n\x0b\f\r]+"), ".,!?;:"
+
+
+@F.pandas_udf(COUNTED)
+def counted(lower: pd.Series) -> pd.DataFrame:
+    """COUNTED of lower-case texts, in one pass over each; null for null."""
+    stop, rows = set(STOP_WORDS), []
+    for text in lower:
+        if text is None:
+            rows.append((None,) * len(COUNTED))
+            continue
+        words = [w for w in BLANKS.split(text) if w]
+        content = Counter(w for w in (w.strip(MARKS) for w in words) if w not in stop)
+        rows.append((len(words), len(content), max(content.values(), default=0), any(w in text for w in FACIAL_WORDS), *(any(w in text for w in some) for some in ELEMENTS.values())))
+    return pd.DataFrame(rows, columns=COUNTED.names).astype({f.name: "Int32" if isinstance(f.dataType, T.IntegerType) else "boolean" for f in COUNTED})
 
 
 def caption_score(text: Column, style: str = "moderate", trigger: str = "", has_face: bool = True) -> Column:
-    """Struct of score (0 to 100), grade, words and unique content words. Styles: minimal, moderate, rich."""
+    """Struct of score (0 to 100), grade, words and unique content words. Styles: minimal, moderate, rich.
+
+    The words are counted once a text, in Arrow batches: as columns they would be split anew at each use.
+    """
     lower = F.lower(strip(text))
-    words = F.filter(F.split(lower, r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    content = F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"^[.,!?;:]+|[.,!?;:]+$", "")), lambda w: ~w.isin(*STOP_WORDS))
-    unique = F.size(F.array_distinct(content))
-    # sorted, equal words stand side by side: the longest run is the word that comes most often
-    none = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("run"), F.lit(0).alias("most"))
-    run = lambda s, w: F.when(s["w"] == w, s["run"] + 1).otherwise(1)
-    repeat = F.aggregate(F.array_sort(content), none, lambda s, w: F.struct(w.alias("w"), run(s, w).alias("run"), F.greatest(s["most"], run(s, w)).alias("most")), lambda s: s["most"])
+    x = counted(lower)
+    n, unique, repeat = x["words"], x["unique"], x["most"]
     length = {"minimal": F.when(n > 40, 10).when(n < 5, 20), "rich": F.when(n < 15, 10)}.get(style, F.when(n < 8, 10).when(n > 80, 5))
     loss = F.coalesce(length, F.lit(0))
     if has_face and style == "minimal":
-        loss = loss + F.when(any_of(lower, FACIAL_WORDS), 20).otherwise(0)
+        loss = loss + F.when(x["facial"], 20).otherwise(0)
     if trigger:
         loss = loss + F.when(F.startswith(lower, F.lit(trigger.lower())), 0).otherwise(15)
     loss = loss + F.when(unique / F.greatest(n, F.lit(1)) < 0.3, 5).otherwise(0)
     loss = loss + F.when((n > 5) & (repeat > 3) & (repeat / n > 0.15), 5).otherwise(0)
     if style != "minimal":
-        for some in ELEMENTS.values():
-            loss = loss + F.when(any_of(lower, some), 0).otherwise(3)
+        for some in ELEMENTS:
+            loss = loss + F.when(x[some], 0).otherwise(3)
     score = F.greatest(F.lit(0), 100 - loss)
     grade = F.when(score >= 85, "A").when(score >= 70, "B").when(score >= 50, "C").when(score >= 30, "D").otherwise("F")
     return F.struct(score.alias("score"), grade.alias("grade"), n.alias("words"), unique.alias("unique_words"))

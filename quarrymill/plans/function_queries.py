@@ -40,7 +40,7 @@ def score_sql(style: str, length: str) -> str:
 
 
 register("caption_score", lambda t: active(t).select("asset_id", c.caption_score(F.col("text"), trigger="The").alias("x")).select("asset_id", "x.*"), score_sql("moderate", "CASE WHEN n < 8 THEN 10 WHEN n > 80 THEN 5 END"))
-FACE_TEXT = "CASE asset_id % 5 WHEN 0 THEN 'a woman with long brown hair , with blue eyes, smiling' WHEN 1 THEN 'Portrait, her face looks tired. Standing in a room' WHEN 2 THEN ', a man with a strong jaw, olive skin, red lips' WHEN 3 THEN 'facial features, a young face, dark  eyes' ELSE text END"
+FACE_TEXT = "concat(text, ' ', CASE asset_id % 5 WHEN 0 THEN 'a woman with long brown hair , with blue eyes, smiling' WHEN 1 THEN 'Portrait, her face looks tired. Standing in a room' WHEN 2 THEN ', a man with a strong jaw, olive skin, red lips' WHEN 3 THEN 'facial features, a young face, dark  eyes' ELSE '' END)"
 STRIPPED = FACE_TEXT
 for _pattern in c.FACIAL:
     STRIPPED = f"regexp_replace({STRIPPED}, '{_pattern}', '', 'gi')"
@@ -48,7 +48,7 @@ register("strip_facial_terms", lambda t: active(t).select("asset_id", c.strip_fa
 register("caption_tokens_est", lambda t: active(t).select("asset_id", c.tokens_estimate(F.col("text")).alias("tokens")), f"SELECT asset_id, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM ({ACTIVE})")
 register("trigger_match", lambda t: active(t).select("asset_id", F.exists(F.array(F.lit("ering"), F.lit("aux")), lambda w: F.contains(F.lower("text"), w)).alias("hit")), f"SELECT asset_id, contains(lower(text), 'ering') OR contains(lower(text), 'aux') AS hit FROM ({ACTIVE})")
 register("export_caption", lambda t: active(t).select("asset_id", c.export_caption(F.col("text"), "sks", "trigger_prefix").alias("text")), f"SELECT asset_id, trim('sks, ' || text, ', ') AS text FROM ({ACTIVE})")
-register("sanitize_filename", lambda t: active(t).select("asset_id", q.sanitize_filename(F.substring("text", 1, 40)).alias("name")), f"""SELECT asset_id, regexp_replace(substr(text, 1, 40), '[<>:"/\\\\|?*]', '_', 'g') AS name FROM ({ACTIVE})""")
+register("sanitize_filename", lambda t: active(t).select("asset_id", q.sanitize_filename(F.col("text")).alias("name")), f"""SELECT asset_id, regexp_replace(text, '[<>:"/\\\\|?*]', '_', 'g') AS name FROM ({ACTIVE})""")
 PARTS = dict(zip(q.WEIGHTS, ("technical_quality", "face_quality", "aesthetic_score", "composite_score", "training_usefulness", "uniqueness_score", "redundancy_score", "technical_quality", "aesthetic_score"), strict=True))
 SUM = "least(greatest(" + " + ".join(["0.0::DOUBLE", *(f"{w}::DOUBLE * {PARTS[k]}" for k, w in q.WEIGHTS.items())]) + ", 0), 1)"
 register(
