@@ -1,11 +1,13 @@
 """Main-text extraction by minimum cut.
 
 A page's text falls into blocks at block-level tags. Each block gets a score from a small linear classifier (tags and
-names of what it stands in, words, links, sentence marks); its positive part is the capacity from the source (content),
+names of what it stands in, links, sentence marks), in proportion to its mass, so that a short block can't outvote a
+long one; its positive part is the capacity from the source (content),
 its negative part that to the sink (boilerplate). Blocks that are neighbours on the page, or in the same container, are
 joined by smoothness edges. The maximum flow separates content from boilerplate; content blocks are joined in page order.
-The classifier's costs are of the order of the edges: headings, one-word paragraphs and the like, which look like
-boilerplate by themselves, take the side of what they stand beside.
+Text is content unless something near it says otherwise, so pages without an article element, of short paragraphs, or
+within a form are kept; parts of lists and tables follow one another. One-word paragraphs lean to boilerplate by less
+than an edge, and take the side of what they stand beside.
 
 A page is read in one pass, in time that grows with its length whatever is left open or nested in it.
 
@@ -43,21 +45,32 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea select option title head".split())
 #: Elements of which an open one ends when the tag begins.
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form button menu dialog fieldset header".split())
 #: Words of class, id and role that name what is not the article, and what is, and words that say nothing beside them.
 BOILERPLATE_NAMES = frozenset(
     "ad ads adsbygoogle adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar toolbar comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login register social share sharing related recommended recommendations widget widgets search searchform form pagination pager copyright legal disclaimer skip tags tagcloud trending teaser outbrain taboola contentinfo complementary".split()
 )
 CONTENT_NAMES = frozenset("article content post entry story body text main prose".split())
-PLAIN_NAMES = frozenset("button buttons link links panel group title label icon icons form site page global box list item items wrap wrapper container inner outer area section block bar row col primary secondary top bottom left right".split())
+PLAIN_NAMES = frozenset("button buttons link links panel group title label icon icons form site page global box list item items wrap wrapper container inner outer slot unit area section block bar row col primary secondary top bottom left right".split())
 #: Of an article element, the names that tell it from the main one.
 OTHER_ARTICLES = frozenset("ad ads advert advertisement comment comments related reply replies sponsored teaser".split())
 
-#: The classifier's weights. NAMED_BAD is of a name that says boilerplate in all its parts, HINTED of one that has such a part.
-BIAS, WORDS, SENTENCES, PARAGRAPH, HEADING, LINKS = -4.0, 0.7, 1.2, 0.8, 2.0, -4.0
-BOILERPLATE, NAMED_BAD, HINTED, UNSEEN, ARTICLE, NAMED = -5.0, -4.0, -1.5, -12.0, 2.0, 1.0
-#: Smoothness: neighbours on the page, and the next block in the same container.
-ADJACENT, TOGETHER = 0.3, 1.5
+#: What says copyright at the beginning of a text, or anywhere in it.
+RIGHTS = re.compile(r"^(?:©|\(c\)|copyright\b)|all rights reserved", re.I)
+
+#: The classifier's weights, of a unit of a block's mass, which is the logarithm of its words: text is content unless
+#: something says otherwise. NAMED_BAD is of a name that says boilerplate in all its parts, HINTED of one that has such a part.
+TEXT, SENTENCES, PARAGRAPH, HEADING, LINKS, OWNED = 0.25, 0.4, 0.3, 0.3, -2.0, -1.5
+BOILERPLATE, NAMED_BAD, HINTED, UNSEEN, ARTICLE, NAMED = -2.5, -2.0, -0.75, -20.0, 1.0, 0.5
+MOST_MASS = 7.0
+#: A paragraph of one or two words says nothing by itself: it leans this little to boilerplate, whatever it stands in.
+FEW, LEAN = 2, -0.2
+#: Smoothness: neighbours on the page, the next block in the same container, and the next part of a list or table.
+ADJACENT, TOGETHER, FOLLOWING = 0.3, 1.5, 4.0
+PARTS = frozenset("li dt dd tr td th caption figcaption pre blockquote".split())
+#: A form with this share of the page's words out of links is the page, not a part of it.
+WHOLE = 0.5
 
 
 @dataclass(slots=True, eq=False)
@@ -70,6 +83,8 @@ class Element:
     bad: float = 0.0  # cost of the worst boilerplate that it stands in
     inside: bool = False
     named: bool = False
+    words: int = 0  # of its blocks, out of links
+    whole: bool = False  # a form around the page
 
     def judge(self) -> None:
         """Sets what the element says of its blocks, from itself and from its parent, which is judged before."""
@@ -79,6 +94,8 @@ class Element:
             own = min((said(n, OTHER_ARTICLES if self.tag in ("article", "main") else BOILERPLATE_NAMES) for n in self.names), default=0.0)
         if self.tag in BOILERPLATE_TAGS and not (self.tag == "header" and above is not None and above.inside):
             own = BOILERPLATE
+        if self.whole:
+            own = 0.0
         if self.article and self.tag not in ("article", "main"):  # what holds the article isn't boilerplate
             own = 0.0
         if self.hidden:
@@ -88,6 +105,7 @@ class Element:
         self.named = (above is not None and above.named) or any(not CONTENT_NAMES.isdisjoint(parts(n)) for n in self.names)
 
     def cost(self) -> float:
+        """Of a unit of a block's mass."""
         return self.bad if self.bad <= NAMED_BAD else self.bad + ARTICLE * self.inside + NAMED * self.named
 
 
@@ -189,8 +207,10 @@ class Reader:
 def parse(page: str) -> list[Block]:
     root = Element("html", None)
     every, open_, count, link, blocks = [root], [root], Counter(), 0, [Block(root)]
+    unseen: list[str] = []  # inline elements from a hidden one on
 
     def cut() -> None:
+        unseen.clear()
         if blocks[-1].parts:
             blocks.append(Block(open_[-1]))
         else:
@@ -198,7 +218,7 @@ def parse(page: str) -> list[Block]:
 
     for tag, closes, rest in Reader(page).tokens():
         if not tag:
-            if rest:
+            if rest and not unseen:
                 blocks[-1].parts.append(rest)
                 blocks[-1].linked += link * len(rest.strip())
         elif tag in RAW:
@@ -209,6 +229,13 @@ def parse(page: str) -> list[Block]:
                 link = 0 if closes else 1
             elif tag == "img":
                 blocks[-1].parts.append(" ")
+            if tag not in VOID and not rest.endswith("/"):
+                if not closes:
+                    if unseen or (rest and HIDDEN.search(rest)):
+                        unseen.append(tag)
+                elif tag in unseen:
+                    while unseen.pop() != tag:
+                        pass
         elif tag in VOID:
             cut() if tag == "hr" else blocks[-1].parts.append(" ")
         else:
@@ -232,24 +259,37 @@ def parse(page: str) -> list[Block]:
                     while e is not None and not e.article:
                         e.article, e = True, e.parent
             cut()
-    for e in every:
-        e.judge()
     kept = []
     for b in blocks:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
         if b.text:
             kept.append(b)
+            if not b.linked:
+                b.element.words += b.text.count(" ") + 1
+    for e in reversed(every):  # parents come before what they hold
+        if e.parent is not None:
+            e.parent.words += e.words
+    for e in every:
+        e.whole = e.tag in ("form", "fieldset") and e.words >= WHOLE * root.words
+        e.judge()
     return kept
 
 
 def scores(blocks: list[Block]) -> list[float]:
     """The classifier: positive for content, negative for boilerplate."""
-    out = []
-    for b in blocks:
-        words = b.text.count(" ") + 1
-        score = BIAS + WORDS * min(np.log2(words + 1), 6.0) + LINKS * min(1.0, b.linked / len(b.text)) + b.element.cost()
-        score += SENTENCES * (SENTENCE.search(b.text, max(0, len(b.text) - 16)) is not None) + PARAGRAPH * (b.element.tag == "p") + HEADING * (b.element.tag in ("h1", "h2", "h3"))
-        out.append(float(score))
+    out, few, few_before = [], [], -2
+    for i, b in enumerate(blocks):
+        words, tag = b.text.count(" ") + 1, b.element.tag
+        unit = TEXT + LINKS * min(1.0, b.linked / len(b.text)) + b.element.cost()
+        unit += SENTENCES * (SENTENCE.search(b.text, max(0, len(b.text) - 16)) is not None) + PARAGRAPH * (tag == "p") + HEADING * (tag in HEADINGS)
+        unit += OWNED * (words <= 40 and RIGHTS.search(b.text[:400]) is not None)
+        if unit > 0 and words <= FEW and tag not in PARTS and tag not in HEADINGS:
+            few.append(i)
+        out.append(float(unit * min(np.log2(words + 1), MOST_MASS)))
+    if sum(s > 0 for s in out) > len(few):  # beside longer content; alone, they are the page
+        for i in few:  # a run of them as a whole leans as one does
+            out[i] = 0.0 if few_before == i - 1 else LEAN
+            few_before = i
     return out
 
 
@@ -258,7 +298,7 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     for i, b in enumerate(blocks):
         holder = b.element.parent or b.element
         if holder in last:
-            edges.append((last[holder], i, TOGETHER))
+            edges.append((last[holder], i, FOLLOWING if b.element.tag in PARTS else TOGETHER))
         last[holder] = i
     return edges
 
