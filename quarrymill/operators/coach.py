@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrymill.operators.relations import ranked
 from quarrymill.operators.stats import background, coach_distributions, coach_score_buckets, head_angle
+from quarrymill.operators.tables import small
 
 
 def n_where(condition: str) -> str:
@@ -133,7 +135,7 @@ def with_selection_score(assets: DataFrame) -> DataFrame:
     score = F.col("base")
     for d, w in zip(DIMENSIONS, RARITY, strict=True):
         size = live.groupBy("project_id", d).agg(F.count("*").alias(f"n_{d}"))
-        live = live.join(F.broadcast(size), ["project_id", d])  # buckets are few
+        live = live.join(small(size), ["project_id", d])
         score = score + w / F.col(f"n_{d}")
     return live.select("project_id", "asset_id", *DIMENSIONS, score.alias("score"))
 
@@ -162,11 +164,10 @@ def training_selection(assets: DataFrame) -> DataFrame:
     best = scored.groupBy("project_id", *DIMENSIONS).agg(F.max_by(F.struct("asset_id", "score"), F.struct("score", "asset_id")).alias("h")).select("project_id", *DIMENSIONS, "h.*")
     heads = best.groupBy("project_id").applyInPandas(greedy_heads, "project_id string, asset_id long, effective double")
     placed = scored.join(heads, ["project_id", "asset_id"], "left").withColumn("effective", F.coalesce("effective", "score"))
-    counts = scored.groupBy("project_id").agg(F.count("*").alias("n"))
-    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("effective"), F.desc("asset_id")))).join(counts, "project_id")
-    target = selection_target(F.col("n"))
+    order = ranked(placed.select("project_id", "asset_id", "effective"), F.col("effective"), F.desc("asset_id"))
+    target = selection_target(F.col("total"))
     part = F.when(F.col("rank") <= target, "recommended").when(F.col("rank") <= target + 10, "next").otherwise("rest")
-    return ranked.select("project_id", "asset_id", "rank", part.alias("part"), F.round("effective", 6).alias("effective"))
+    return order.select("project_id", "asset_id", "rank", part.alias("part"), F.round("effective", 6).alias("effective"))
 
 
 def coach_report(assets: DataFrame, captions: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def last_comparison(comparisons: DataFrame) -> DataFrame:
 
 
 def augmentation_lineage(assets: DataFrame) -> DataFrame:
-    """Augmented assets take review state and flag from their source and are not rejected; a composite of 0 or none is its technical quality."""
+    """Augmented assets take review state and flag from their source and are not rejected; a composite of 0 or none is the source's."""
     source = assets.select(F.col("asset_id").alias("source_id"), F.col("review_state").alias("state"), F.col("is_flagged").alias("flagged"), F.col("composite_score").alias("before"))
     mine = F.nullif("composite_score", F.lit(0.0))
     return assets.filter("is_augmented").join(source, F.col("augmentation_source_id") == F.col("source_id")).select("asset_id", "source_id", F.col("state").alias("review_state"), F.col("flagged").alias("is_flagged"), F.lit(False).alias("is_rejected"), F.coalesce(mine, "before").alias("composite_score"))
@@ -114,19 +114,24 @@ def quartile_tier(rank: Column, total: Column) -> Column:
     return F.when(rank <= F.floor(total * 0.25), "top").when(rank > F.floor(total * 0.75), "bottom").otherwise("middle")
 
 
-def tiers(assets: DataFrame, key: Column) -> DataFrame:
-    """assets with rank (1 to the project's number of assets, by falling key, then asset_id), total and tier.
+def ranked(assets: DataFrame, key: Column, ids: Column | None = None) -> DataFrame:
+    """assets with rank (1 to the project's number of assets, by falling key, then ids, rising asset_id if not given) and total.
 
     Rows are sorted by range over projects and keys, and counted by project and range, so no task holds a large project.
     """
-    order = [F.col("project_id"), F.col("_key").desc_nulls_last(), F.col("asset_id")]
+    order = [F.col("project_id"), F.col("_key").desc_nulls_last(), F.col("asset_id") if ids is None else ids]
     dealt = written(assets.withColumn("_key", key).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = dealt.groupBy("project_id", "_part").agg(F.count("*").alias("_n"))  # a row per project and range
     before = F.sum("_n").over(Window.partitionBy("project_id").orderBy("_part")) - F.col("_n")
-    begins = counts.select("project_id", "_part", before.alias("_before"), F.sum("_n").over(Window.partitionBy("project_id")).alias("total"))
+    begins = counts.select(F.col("project_id").alias("_project"), F.col("_part").alias("_of"), before.alias("_before"), F.sum("_n").over(Window.partitionBy("project_id")).alias("total"))
     inside = F.row_number().over(Window.partitionBy("project_id", "_part").orderBy(*order[1:]))
-    ranked = dealt.withColumn("_at", inside).join(begins, ["project_id", "_part"]).withColumn("rank", (F.col("_before") + F.col("_at")))
-    return ranked.withColumn("tier", quartile_tier(F.col("rank"), F.col("total"))).drop("_key", "_part", "_at", "_before")
+    placed = dealt.withColumn("_at", inside).join(begins, F.col("project_id").eqNullSafe(F.col("_project")) & (F.col("_part") == F.col("_of")))
+    return placed.withColumn("rank", F.col("_before") + F.col("_at")).drop("_key", "_part", "_at", "_before", "_project", "_of")
+
+
+def tiers(assets: DataFrame, key: Column) -> DataFrame:
+    """assets with rank (1 to the project's number of assets, by falling key, then asset_id), total and tier."""
+    return ranked(assets, key).withColumn("tier", quartile_tier(F.col("rank"), F.col("total")))
 
 
 def active_caption_version(captions: DataFrame) -> DataFrame:

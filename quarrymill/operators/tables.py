@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,6 +20,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: A side of a join is broadcast up to so many bytes; beyond, both sides are shuffled.
+BROADCAST_BYTES = 16 << 20
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows have few bytes in all, by a count of them, else df: only the join's plan differs."""
+    width = lambda f: F.octet_length(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.StringType | T.BinaryType) else F.size(F.col(f"`{f.name}`")) * 8 if isinstance(f.dataType, T.ArrayType) else F.lit(8)
+    size = df.select(F.sum(sum((F.coalesce(width(f), F.lit(0)) for f in df.schema.fields), F.lit(24))).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.operators.dedup import connected_components, leaders
 from quarrymill.operators.relations import quality_order, tiers
 from quarrymill.operators.similarity import BLOCK, grown, least_cosines, near_pairs, spaced, top_k
-from quarrymill.operators.tables import written
+from quarrymill.operators.tables import small, written
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -111,7 +112,7 @@ def embedding_regions(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
 
 def identity_consistency(vectors: DataFrame, references: DataFrame, low: float = 0.3) -> DataFrame:
     """Per project, similarities to its reference vector (project_id, q): mean, least, greatest, and how many are low."""
-    s = vectors.join(F.broadcast(references), "project_id").select("project_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("s"))
+    s = vectors.join(small(references), "project_id").select("project_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("s"))
     return s.groupBy("project_id").agg(F.round(F.avg("s"), 5).alias("mean"), F.min("s").alias("least"), F.max("s").alias("greatest"), F.count_if(F.col("s") < low).alias("outliers"))
 
 
@@ -126,15 +127,47 @@ def cluster_centroids(vectors: DataFrame) -> DataFrame:
 def merge_identities(assets: DataFrame, merges: DataFrame) -> DataFrame:
     """Identities after merges (source, target), chains included: each is named by the least name it is merged with."""
     labels = connected_components(merges.select(F.col("source").alias("a"), F.col("target").alias("b")))
-    moved = assets.filter("identity_cluster_id IS NOT NULL").join(F.broadcast(labels), F.col("identity_cluster_id") == F.col("node"), "left")
+    moved = assets.filter("identity_cluster_id IS NOT NULL").join(small(labels), F.col("identity_cluster_id") == F.col("node"), "left")
     return moved.groupBy(F.coalesce("label", "identity_cluster_id").alias("identity")).agg(F.count("*").alias("n"), F.sum("face_count").alias("faces"))
 
 
+#: A request's labels or prompts, at most: their vectors go to the tasks with the code.
+MOST_LABELS = 10_000
+
+
+def label_cosines(vectors: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """vec_id, name and s: the cosine of each vector with each of a request's labels (name, q), by products of Arrow
+    batches with the matrix of labels. It is 0 where a norm is 0, and NULL for NULL vectors and those of another length."""
+    rows = labels.select(name, F.col("q").cast("array<double>").alias("q")).orderBy(name).limit(MOST_LABELS + 1).collect()
+    if len(rows) > MOST_LABELS:
+        raise ValueError(f"a request has at most {MOST_LABELS} labels")
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    sizes = {}
+    for i, r in enumerate(rows):
+        sizes.setdefault(len(r.q), []).append(i)
+    unit_of = {n: np.array([rows[i].q for i in own], float) / np.maximum(np.linalg.norm(np.array([rows[i].q for i in own], float), axis=1, keepdims=True), 1e-300) for n, own in sizes.items() if n}
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column("x").value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            out = np.full((batch.num_rows, len(rows)), np.nan)
+            for n, own in unit_of.items():
+                at = np.flatnonzero(lengths == n)
+                if len(at):
+                    x = batch.column("x").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                    out[np.ix_(at, sizes[n])] = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ own.T
+            flat = pa.array(out.ravel(), from_pandas=True)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(rows), pa.int32()), flat)], ["vec_id", "s"])
+
+    scored = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("x")).mapInArrow(multiply, f"vec_id {kind}, s array<double>")
+    names = F.array(*(F.lit(r[0]) for r in rows)) if rows else F.array().cast(f"array<{labels.schema[name].dataType.simpleString()}>")
+    return scored.select("vec_id", F.explode(F.arrays_zip(names.alias("label"), "s")).alias("x")).select("vec_id", F.col("x.label").alias(name), F.col("x.s").alias("s"))
+
+
 def zero_shot_tags(vectors: DataFrame, labels: DataFrame, scale: float = 10.0, least: float = 0.05, most: int = 5) -> DataFrame:
     """vec_id, tag, p, rank: softmax of scaled cosines to the label vectors (tag, q), best first."""
-    s = vectors.crossJoin(F.broadcast(labels)).select("vec_id", "tag", F.exp(scale * cosine(F.col("q"), F.col("embedding"))).alias("e"))
     own = Window.partitionBy("vec_id")
-    p = s.withColumn("p", F.round(F.col("e") / F.sum("e").over(own), 6))
+    p = label_cosines(vectors, labels, "tag").withColumn("e", F.exp(scale * F.col("s"))).withColumn("p", F.round(F.col("e") / F.sum("e").over(own), 6))
     return p.withColumn("rank", F.row_number().over(own.orderBy(F.desc("p"), "tag"))).filter((F.col("rank") <= most) & (F.col("p") > least)).select("vec_id", "tag", "p", "rank")
 
 
@@ -169,7 +202,7 @@ def scene_tags(vectors: DataFrame, labels: DataFrame, scale: float = 1.0, most:
 
 def prompt_contrast(vectors: DataFrame, prompts: DataFrame) -> DataFrame:
     """vec_id, contrast and score: mean cosine to positive prompts less that to negative ones (positive, q)."""
-    s = vectors.crossJoin(F.broadcast(prompts)).select("vec_id", "positive", cosine(F.col("q"), F.col("embedding")).alias("s"))
+    s = label_cosines(vectors, prompts, "positive")
     d = s.groupBy("vec_id").agg(F.round(F.avg(F.when(F.col("positive"), F.col("s"))) - F.avg(F.when(~F.col("positive"), F.col("s"))), 6).alias("contrast"))
     return d.withColumn("score", F.least(F.greatest(F.floor((F.col("contrast") + 0.3) / 0.6 * 100), F.lit(0)), F.lit(100)).cast("int"))
 

@@ -46,8 +46,26 @@ register("coach_report_rows", lambda t: c.coach_report_rows(t.assets, t.captions
 
 start = lambda t: t.assets.select("asset_id", "mu", "sigma")
 none = lambda t: start(t).limit(0)
-register("elo_replay", lambda t: r.final_ratings(r.replay(t.comparisons, none(t), "project_id", split=True)).withColumn("skill", F.round(F.col("mu") / 60, 6)))
-register("skill_replay", lambda t: r.final_ratings(r.replay(t.comparisons, none(t), "project_id", "plackett_luce", split=True)).withColumn("ordinal", F.round(F.col("mu") - 3 * F.col("sigma"), 5)))
+#: A fold in SQL: each step of the recursion takes every scope's next comparison; an asset's values stand at its number in lists.
+FOLD = """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY made_at, id) AS k FROM comparisons),
+  s AS (SELECT project_id AS scope, CAST(0 AS BIGINT) AS n, list_transform(range(211), lambda i: {mu}::DOUBLE) AS m, list_transform(range(211), lambda i: {sigma}::DOUBLE) AS v, list_transform(range(211), lambda i: CAST(0 AS INT)) AS c FROM (SELECT DISTINCT project_id FROM comparisons)
+    UNION ALL SELECT scope, n + 1, list_transform(m, lambda x, i: CASE WHEN i = w THEN {mw} WHEN i = l THEN {ml} ELSE x END), list_transform(v, lambda x, i: CASE WHEN i = w THEN {sw} WHEN i = l THEN {sl} ELSE x END), list_transform(c, lambda x, i: CASE WHEN i = w OR i = l THEN x + 1 ELSE x END) FROM ({step})),
+  z AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY scope ORDER BY n DESC) = 1)
+  SELECT scope, i AS asset_id, round(m[i + 1], 6) AS mu, round(v[i + 1], 6) AS sigma, c[i + 1] AS comparisons, {last} FROM z CROSS JOIN range(211) r(i) WHERE c[i + 1] > 0"""
+NEXT = "SELECT s.*, winner + 1 AS w, loser + 1 AS l, is_draw AS d FROM s JOIN o ON o.project_id = s.scope AND o.k = s.n + 1"
+ELO_STEP = f"SELECT *, 32 * (CASE WHEN d THEN 0.5::DOUBLE ELSE 1 END - 1 / (1 + pow(10::DOUBLE, (m[l] - m[w]) / 400))) AS g FROM ({NEXT})"
+SKILL_C = f"SELECT *, sqrt(v[w] * v[w] + v[l] * v[l] + 2 * {r.BETA!r}::DOUBLE * {r.BETA!r}::DOUBLE) AS q FROM ({NEXT})"
+SKILL_P = f"SELECT *, 1 / (1 + exp((m[l] - m[w]) / q)) AS p FROM ({SKILL_C})"
+SKILL_STEP = f"SELECT *, (CASE WHEN d THEN 0.5::DOUBLE ELSE 1 END - p) / q AS g, p * (1 - p) / (q * q) AS e FROM ({SKILL_P})"
+SHRUNK = f"v[{{0}}] * sqrt(greatest(1 - v[{{0}}] * v[{{0}}] * e * v[{{0}}] / q, {r.KAPPA!r}::DOUBLE))"
+register(
+    "elo_replay", lambda t: r.final_ratings(r.replay(t.comparisons, none(t), "project_id", split=True)).withColumn("skill", F.round(F.col("mu") / 60, 6)),
+    FOLD.format(mu=r.ELO, sigma=0, mw="x + g", ml="x - g", sw="x", sl="x", step=ELO_STEP, last="round(round(m[i + 1], 6) / 60, 6) AS skill"),
+)
+register(
+    "skill_replay", lambda t: r.final_ratings(r.replay(t.comparisons, none(t), "project_id", "plackett_luce", split=True)).withColumn("ordinal", F.round(F.col("mu") - 3 * F.col("sigma"), 6)),
+    FOLD.format(mu=r.MU, sigma=repr(r.SIGMA), mw="x + v[w] * v[w] * g", ml="x - v[l] * v[l] * g", sw=SHRUNK.format("w"), sl=SHRUNK.format("l"), step=SKILL_STEP, last="round(round(m[i + 1], 6) - 3 * round(v[i + 1], 6), 6) AS ordinal"),
+)
 register("session_replay", lambda t: r.final_ratings(r.replay(t.comparisons, start(t), "session_id", "plackett_luce")))
 register("comparison_log", lambda t: r.replay(t.comparisons.join(t.assets.selectExpr("asset_id AS winner"), "winner", "left_semi"), start(t), "session_id", "plackett_luce"))
 BEFORE = "SELECT id, winner AS asset_id, CAST(id % 50 AS DOUBLE) AS mu, CAST(1000 + id % 900 AS DOUBLE) AS elo FROM comparisons UNION ALL SELECT id, loser, CAST(id % 40 AS DOUBLE), CAST(1100 + id % 800 AS DOUBLE) FROM comparisons"

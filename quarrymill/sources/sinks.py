@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions.captions import export_caption
+from quarrymill.operators.relations import ranked
 from quarrymill.operators.tables import written
 from quarrymill.sources import folders
 
@@ -47,9 +48,9 @@ def zip_manifest(assets: DataFrame, captions: DataFrame) -> DataFrame:
 
 def ranked_names(assets: DataFrame, key: Column, digits: int = 4) -> DataFrame:
     """project_id, asset_id, name: rank (from 1, by key, at least so many digits), stem and ending."""
-    rank = F.row_number().over(Window.partitionBy("project_id").orderBy(key.desc_nulls_last(), "asset_id"))
-    place = F.lpad(rank.cast("string"), digits, "0")
-    return assets.select("project_id", "asset_id", F.concat(F.when(rank < 10**digits, place).otherwise(rank.cast("string")), F.lit("_"), "filename").alias("name"))
+    rank, digit = F.col("rank"), F.lpad(F.col("rank").cast("string"), digits, "0")
+    place = F.when(rank < 10**digits, digit).otherwise(rank.cast("string"))
+    return ranked(assets.select("project_id", "asset_id", "filename", key.alias("_by")), F.col("_by")).select("project_id", "asset_id", F.concat(place, F.lit("_"), "filename").alias("name"))
 
 
 def split_layout(assets: DataFrame, mode: str) -> DataFrame:

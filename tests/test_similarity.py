@@ -174,3 +174,12 @@ def test_results_of_a_search(spark):
     hits = spark.createDataFrame([(1, 5, 0.9, 1), (1, 6, 0.8, 2), (2, 99, 0.7, 1)], "query_id long, vec_id long, score double, rank int")
     assets = spark.createDataFrame([(5, "a.png", 0.5), (6, "b.png", None)], "asset_id long, filename string, composite_score double")
     assert sorted(tuple(r) for r in search_results(hits, assets).collect()) == [(1, 1, 5, "a.png", 0.5, 0.9), (1, 2, 6, "b.png", None, 0.8)]
+
+
+def test_cosines_to_labels(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, 1.0, 1.0]), (4, [3.0, 4.0])], "vec_id long, embedding array<double>")
+    labels = spark.createDataFrame([("a", [0.0, 2.0]), ("b", [0.0, 0.0]), ("c", [1.0, 1.0, 1.0])], "tag string, q array<double>")
+    got = {(r.vec_id, r.tag): r.s and round(r.s, 6) for r in vectors.label_cosines(df, labels, "tag").collect()}
+    nothing = dict.fromkeys([(0, "c"), (1, "c"), (2, "a"), (2, "b"), (2, "c"), (3, "a"), (3, "b"), (4, "c")])
+    assert got == {(0, "a"): 0.0, (0, "b"): 0.0, (1, "a"): 0.0, (1, "b"): 0.0, (3, "c"): 1.0, (4, "a"): 0.8, (4, "b"): 0.0} | nothing
+    assert vectors.label_cosines(df, labels.limit(0), "tag").count() == vectors.label_cosines(df.limit(0), labels, "tag").count() == 0
