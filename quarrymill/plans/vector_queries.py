@@ -31,7 +31,6 @@ register(
        d AS (SELECT p.project_id, any_value(n) AS n, round(avg(s), 6) AS mean_similarity, round(stddev_pop(s), 6) AS sd_similarity, round(min(s), 6) AS min_similarity, CAST(least(greatest(floor((1 - avg(s)) * 200), 0), 100) AS INT) AS diversity FROM p JOIN (SELECT project_id, count(*) AS n FROM vectors GROUP BY 1) c ON p.project_id = c.project_id GROUP BY 1)
        SELECT d.*, spread, CASE WHEN diversity >= 60 THEN 'excellent' WHEN diversity >= 40 THEN 'good' WHEN diversity >= 25 THEN 'moderate' ELSE 'low' END AS assessment FROM d JOIN w ON d.project_id = w.project_id""",
 )
-register("embedding_regions", lambda t: v.embedding_regions(t.vectors, 0.3))
 register(
     "identity_consistency", lambda t: v.identity_consistency(t.vectors, t.vectors.filter("vec_id < 4").selectExpr("project_id", "embedding AS q"), 0.05),
     f"SELECT project_id, round(avg(s), 5) AS mean, min(s) AS least, max(s) AS greatest, count(*) FILTER (s < 0.05) AS outliers FROM (SELECT y.project_id, {PAIR} AS s FROM vectors x JOIN vectors y ON x.project_id = y.project_id WHERE x.vec_id < 4) GROUP BY 1",
@@ -67,8 +66,27 @@ register(
     """SELECT vec_id, contrast, CAST(least(greatest(floor((contrast + 0.3) / 0.6 * 100), 0), 100) AS INT) AS score FROM (SELECT y.vec_id, round(avg(s) FILTER (x % 2 = 0) - avg(s) FILTER (x % 2 = 1), 6) AS contrast FROM (SELECT x.vec_id AS x, y.vec_id, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS s FROM vectors x CROSS JOIN vectors y WHERE x.vec_id < 6) y GROUP BY 1)""",
 )
 register("index_backfill", lambda t: v.index_backfill(t.assets, t.vectors), "SELECT project_id, count(*) AS total, count(*) - count(vec_id) AS todo, count(vec_id) AS indexed FROM assets LEFT JOIN vectors ON asset_id = vec_id GROUP BY 1".replace("SELECT project_id", "SELECT assets.project_id"))
-register("dup_embedding", lambda t: v.leader_clusters(t.vectors, 0.3))
-register("dup_face", lambda t: v.face_duplicates(t.faces, t.assets, 0.25))
+#: A scan in SQL: each step of the recursion takes the next node (nb: k, i, lesser neighbours) and adds it to the leaders if no neighbour of it is one.
+SCAN = """s AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS led UNION ALL SELECT nb.k, CASE WHEN len(list_intersect(led, lesser)) = 0 THEN list_append(led, i) ELSE led END FROM s JOIN nb ON nb.k = s.k + 1),
+  z AS (SELECT led FROM s ORDER BY k DESC LIMIT 1)"""
+NEAR = "nb AS (SELECT vec_id AS i, row_number() OVER (ORDER BY vec_id) AS k, coalesce(list(a) FILTER (a IS NOT NULL), CAST([] AS BIGINT[])) AS lesser FROM vectors LEFT JOIN p ON b = vec_id GROUP BY vec_id)"
+register(
+    "dup_embedding", lambda t: v.leader_clusters(t.vectors, 0.3),
+    f"""WITH RECURSIVE p AS ({PAIRS}), {NEAR}, {SCAN}, f AS (SELECT i AS node, coalesce(list_min(list_intersect(led, lesser)), i) AS leader FROM nb CROSS JOIN z)
+       SELECT node, leader, coalesce(similarity, 1.0::DOUBLE) AS similarity FROM f LEFT JOIN p ON a = leader AND b = node WHERE node <> leader OR node IN (SELECT leader FROM f WHERE node <> leader)""",
+)
+register("embedding_regions", lambda t: v.embedding_regions(t.vectors, 0.3), f"WITH RECURSIVE p AS ({PAIRS.replace('>= 0.3', '> 0.3')}), {NEAR}, {SCAN} SELECT project_id, count(*) AS regions FROM vectors JOIN (SELECT unnest(led) AS vec_id FROM z) USING (vec_id) GROUP BY 1")
+#: Places in the scan over primary vectors stand for assets: by face_index, then asset.
+FACE_COS = COS.format(a="x", b="y")
+QUALITY = "row(coalesce(composite_score, 0), coalesce(training_usefulness, 0), coalesce(technical_quality, 0), coalesce(face_quality, 0), coalesce(aesthetic_score, 0), coalesce(uniqueness_score, 0), -coalesce(redundancy_score, 0), width * height, asset_id)"
+register(
+    "dup_face", lambda t: v.face_duplicates(t.faces, t.assets, 0.25),
+    f"""WITH RECURSIVE w AS (SELECT * FROM faces QUALIFY row_number() OVER (PARTITION BY project_id, asset_id ORDER BY face_index, vec_id) = 1), m AS (SELECT *, row_number() OVER (ORDER BY face_index, asset_id) AS k FROM w),
+       p AS (SELECT x.k AS a, y.k AS b FROM m x JOIN m y ON x.project_id = y.project_id AND x.k < y.k WHERE {FACE_COS} >= 0.25), nb AS (SELECT k, k AS i, coalesce(list(a) FILTER (a IS NOT NULL), CAST([] AS BIGINT[])) AS lesser FROM m LEFT JOIN p ON b = k GROUP BY k), {SCAN},
+       f AS (SELECT i AS node, coalesce(list_min(list_intersect(led, lesser)), i) AS leader FROM nb CROSS JOIN z), c AS (SELECT node, leader FROM f WHERE node <> leader OR node IN (SELECT leader FROM f WHERE node <> leader)),
+       n AS (SELECT x.asset_id, y.asset_id AS cluster, x.embedding FROM c JOIN m x ON x.k = node JOIN m y ON y.k = leader), r AS (SELECT cluster, arg_max(a.asset_id, {QUALITY.replace("asset_id)", "a.asset_id)")}) AS representative FROM n JOIN assets a ON a.asset_id = n.asset_id GROUP BY 1)
+       SELECT x.asset_id, x.cluster, representative, CASE WHEN x.asset_id <> representative THEN {FACE_COS} END AS similarity FROM n x JOIN r ON r.cluster = x.cluster JOIN n y ON y.asset_id = representative""",
+)
 register(
     "identity_dbscan", lambda t: v.identity_dbscan(t.vectors, 0.68),
     f"""WITH RECURSIVE p AS ({PAIRS.replace("0.3", "0.32")}), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
