@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -111,32 +112,38 @@ class Pieces:
         order = np.argsort(chunks, kind="stable")
         return out[order], np.bincount(chunks, minlength=len(lengths))
 
-    def merge_one(self, symbols: list[int]) -> list[int]:
-        """The same for one chunk, by a heap of (rank, place)."""
-        n, before, after = len(symbols), list(range(-1, len(symbols) - 1)), list(range(1, len(symbols) + 1))
-        agenda: list[tuple[int, int, int, int, int]] = []
-        keys, union = self.pairs
-
-        def offer(i: int) -> None:
-            if i >= 0 and (j := after[i]) < n and symbols[i] >= 0 and symbols[j] >= 0:
-                pair = symbols[i] << 32 | symbols[j]
-                at = min(int(np.searchsorted(keys, pair)), len(keys) - 1)
-                if keys[at] == pair:
-                    heapq.heappush(agenda, (int(self.rank[union[at]]), i, symbols[i], symbols[j], int(union[at])))
+    @cached_property
+    def union_of(self) -> dict[int, int]:
+        return dict(zip(*(x.tolist() for x in self.pairs), strict=True))
+
+    def merge_one(self, symbols: np.ndarray) -> np.ndarray:
+        """The same for one chunk, by a heap. An entry is a pair's rank and place in one number; it is stale if the pair at
+        its place has another rank by now."""
+        n, place = len(symbols), (1 << 32) - 1
+        own, after, before, alive = array("q", symbols.tobytes()), array("i", range(1, n + 1)), array("i", range(-1, n - 1)), bytearray(b"\1") * n
+        union = self.unions(symbols[:-1], symbols[1:])
+        at = np.flatnonzero(union >= 0)
+        agenda = (self.rank[union[at]].astype(np.int64) << 32 | at).tolist()
+        heapq.heapify(agenda)
+        union_of, rank = self.union_of, self.rank.tolist()
+
+        def found(i: int) -> int | None:
+            j = after[i]
+            return union_of.get(own[i] << 32 | own[j]) if j < n and own[i] >= 0 and own[j] >= 0 else None
 
-        for i in range(n):
-            offer(i)
-        alive = [True] * n
         while agenda:
-            _, i, a, b, merged = heapq.heappop(agenda)
-            j = after[i] if alive[i] else n
-            if j < n and symbols[i] == a and symbols[j] == b:
-                symbols[i], alive[j], after[i] = merged, False, after[j]
-                if after[i] < n:
-                    before[after[i]] = i
-                offer(before[i])
-                offer(i)
-        return [s for s, x in zip(symbols, alive, strict=True) if x]
+            entry = heapq.heappop(agenda)
+            i = entry & place
+            if not alive[i] or (merged := found(i)) is None or rank[merged] != entry >> 32:
+                continue
+            j = after[i]
+            own[i], alive[j], after[i] = merged, 0, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (u := found(k)) is not None:
+                    heapq.heappush(agenda, rank[u] << 32 | k)
+        return np.frombuffer(own, np.int64)[np.frombuffer(alive, np.uint8) == 1]
 
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the chunks and the number of each one's, checked against the library."""
@@ -147,13 +154,14 @@ class Pieces:
         if long.any():
             every = np.zeros(len(chunks), np.int64)
             every[~long] = counts
-            merged = {k: self.merge_one(symbols[starts[k] : starts[k + 1]].tolist()) for k in np.flatnonzero(long).tolist()}
+            merged = {k: self.merge_one(symbols[starts[k] : starts[k + 1]]) for k in np.flatnonzero(long).tolist()}
             for k, m in merged.items():
                 every[k] = len(m)
             out = np.zeros(every.sum(), np.int64)
             out[np.repeat(~long, every)] = flat
+            ends = np.cumsum(every)
             for k, m in merged.items():
-                out[(end := every[: k + 1].sum()) - len(m) : end] = m
+                out[ends[k] - len(m) : ends[k]] = m
             flat, counts = out, every
         flat, counts = self.to_bytes(flat, counts)
         self.check(chunks, flat, counts)
