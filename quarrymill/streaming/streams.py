@@ -41,20 +41,20 @@ def has_files(spark: SparkSession, folder: str) -> bool:
 
 
 def ingest_dedup(files: DataFrame, late: str = "10 minutes", base: str | None = None, watch: Callable[[dict], None] | None = None) -> DataFrame:
-    """project_id and sha256 of the first arrival (arrived) of each content; later copies are dropped.
+    """project_id and sha256 of the first arrival of each content; later copies are dropped.
 
-    Copies that arrive within the watermark of each other are dropped by the stream's state, which forgets a content
-    once the watermark has passed it. What has been let through is a table of known contents, by the first digits of the
+    Time is when a batch is read, so no file is too late to be taken. Copies that are read within the watermark of each
+    other are dropped by the stream's state, which forgets a content once the watermark has passed it. What has been let through is a table of known contents, by the first digit of the
     hash; later batches are held against it, so a copy is found however late it comes. A batch that is run again
     writes over its own part, and isn't held against it.
     """
     spark = files.sparkSession
     base = base or new_folder(spark, "ingest")
     known = f"{base}/known"
-    fresh = files.select("project_id", "sha256", "arrived").withWatermark("arrived", late).dropDuplicatesWithinWatermark(["project_id", "sha256"])
+    fresh = files.select("project_id", "sha256", F.current_timestamp().alias("read_at")).withWatermark("read_at", late).dropDuplicatesWithinWatermark(["project_id", "sha256"])
 
     def keep(df: DataFrame, i: int) -> None:
-        new = df.select("project_id", "sha256", F.substring("sha256", 1, 2).alias("prefix"))
+        new = df.select("project_id", "sha256", F.substring("sha256", 1, 1).alias("prefix"))
         if has_files(spark, known):
             before = spark.read.schema("project_id string, sha256 string, batch long, prefix string").parquet(known).filter(F.col("batch") != i).drop("batch")
             new = new.join(before, ["project_id", "sha256", "prefix"], "left_anti")

@@ -48,13 +48,14 @@ def test_late_copies_are_found_and_the_state_stays_small(spark, folder):
     days[3].append(("p", "0000", 3 * 86400))  # a copy that comes three days late
     days[3].append(("q", "0000", 3 * 86400))  # the same content elsewhere is new
     days[2].append(("p", "0502", 2 * 86400 + 5))
+    days[3].append(("r", "ffff", 0))  # new, but with a time before all others: still taken
     base = "file://" + tempfile.mkdtemp(prefix="spark-")
     seen = []
     batches(spark, folder, [made(d) for d in days[:4]])
-    streams.ingest_dedup(stream(spark, folder, schema), "1 minute", base, seen.append)
+    streams.ingest_dedup(stream(spark, folder, schema), "0 seconds", base, seen.append)
     batches(spark, folder, [made([*days[4], ("p", "0101", 4 * 86400)])], 4)  # after a restart, a copy of day 1
-    got = [tuple(r) for r in streams.ingest_dedup(stream(spark, folder, schema), "1 minute", base, seen.append).collect()]
-    assert sorted(got) == sorted([("p", f"{k:02x}{day:02d}") for day in range(5) for k in range(50)] + [("q", "0000")])
+    got = [tuple(r) for r in streams.ingest_dedup(stream(spark, folder, schema), "0 seconds", base, seen.append).collect()]
+    assert sorted(got) == sorted([("p", f"{k:02x}{day:02d}") for day in range(5) for k in range(50)] + [("q", "0000"), ("r", "ffff")])
     state = [p["stateOperators"][0]["numRowsTotal"] for p in seen if p["stateOperators"]]
     assert len(state) >= 4 and max(state) <= 110  # of two days at most, not of all
 
