@@ -44,9 +44,9 @@ def ingest_dedup(files: DataFrame, late: str = "10 minutes", base: str | None =
     """project_id and sha256 of the first arrival of each content; later copies are dropped.
 
     Time is when a batch is read, so no file is too late to be taken. Copies that are read within the watermark of each
-    other are dropped by the stream's state, which forgets a content once the watermark has passed it. What has been let through is a table of known contents, by the first digit of the
-    hash; later batches are held against it, so a copy is found however late it comes. A batch that is run again
-    writes over its own part, and isn't held against it.
+    other are dropped by the stream's state, which forgets a content once the watermark has passed it. What has been
+    let through is a table of known contents, by the first digit of the hash; later batches are held against it, so a
+    copy is found however late it comes. A batch that is run again writes over its own part, and isn't held against it.
     """
     spark = files.sparkSession
     base = base or new_folder(spark, "ingest")
