@@ -132,9 +132,9 @@ def with_selection_score(assets: DataFrame) -> DataFrame:
     base = base - F.when(F.col("duplicate_cluster_id").isNotNull(), 1.25).otherwise(0.0) - F.when(F.col("is_flagged"), 0.75).otherwise(0.0)
     buckets = {"shot": F.coalesce("shot_type", F.lit("unknown")), "angle": head_angle(), "expression": F.when(F.coalesce("face_count", F.lit(0)) <= 0, "none").otherwise(F.coalesce("dominant_emotion", F.lit("unknown"))), "background": background()}
     live = assets.filter("NOT is_rejected").select("project_id", "asset_id", base.alias("base"), *(v.alias(k) for k, v in buckets.items()))
-    score = F.col("base")
+    score, alone = F.col("base"), live
     for d, w in zip(DIMENSIONS, RARITY, strict=True):
-        size = live.groupBy("project_id", d).agg(F.count("*").alias(f"n_{d}"))
+        size = alone.groupBy("project_id", d).agg(F.count("*").alias(f"n_{d}"))
         live = live.join(small(size), ["project_id", d])
         score = score + w / F.col(f"n_{d}")
     return live.select("project_id", "asset_id", *DIMENSIONS, score.alias("score"))
