@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of documents that fill windows of 2048 ids."""
-    return pack(docs, vocabulary_file("byte_bpe_50k.json"), 1, vocabulary_file("byte_bpe_50k.tiktoken"), route=("lang",))
+    return pack(docs, vocabulary_file("byte_bpe_50k.json"), 1, vocabulary_file("byte_bpe_50k.tiktoken"))
 
 
 STAGES: list[tuple[str, Stage]] = [
