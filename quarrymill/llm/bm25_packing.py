@@ -1,15 +1,17 @@
 """Packing by lexical retrieval: windows filled with a seed document and its nearest unused neighbours by BM25.
 
-Documents are dealt by range over shards of bounded size: first by the route columns, then by their last word in
-alphabetical order, so that near copies meet, then by key, so that a hot group is split. Document frequencies and the mean length are
-counted over all documents, by hashed word in DF_BINS bins. Each shard has one inverted index with BM25 weights. A document
+Documents are dealt over shards of bounded size by content: a tree over all their words (content_tree) gives each its cell, and one
+pass counts the bytes of every cell, with the document frequencies and the mean length, over all documents. Cells lie on a line in
+the tree's order, each as long as its bytes; a document lies at the place in its cell that the hash of its key and text says, and the
+line is cut into shards of equal length. So similar documents meet, and a hot cell is split. Each shard has one inverted index with BM25
+weights. A document
 that is cut by a window's end, or else the next unused one, is the seed of the next window; all its words are looked up,
 and its unused neighbours, best first, fill the window; the last one is cut at the window's end and goes on in the next.
 A look-up gives the NEIGHBOURS best documents of the shard exactly; when they are used up, the seed is looked up again
 among the unused ones. Only the last sequence of a shard is shorter than the window and padded.
 
 Defined cases: a null text counts as empty, and an empty text has only the end id; a document without neighbours is
-followed by the next unused one in key order; repeated rows are packed as often as they come; an empty table gives no
+followed by the next unused one by cell and key; repeated rows are packed as often as they come; an empty table gives no
 rows; a null key is kept as null.
 """
 
@@ -30,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm.content_tree import SAMPLE, SAMPLE_BYTES, Bag, Tree
 from quarrymill.llm.shared import SLICE_BYTES, TASK_BYTES, bounded_batches, bounds, parts_for, ranges, slices
 from quarrymill.llm.word_codes import flat_ids
 
@@ -39,8 +42,8 @@ K1, B, NEIGHBOURS = 1.2, 0.75, 64
 DF_BINS = 1 << 20
 #: A word that more than one in FREQUENT documents of a shard has is a row of its matrix.
 FREQUENT = 8
-#: Bytes of text and documents in a shard, and a bound of memory: a range that can't be split further has several indexes
-#: beyond it.
+#: Bytes of text and documents in a shard, and a bound of memory: a row repeated more often than that, which nothing can split, has
+#: several indexes.
 SHARD_BYTES, SHARD_DOCUMENTS, INDEX_BYTES = TASK_BYTES, 6000, 4 * TASK_BYTES
 #: Texts in which words aren't parted by single spaces or line ends: they are encoded whole.
 ODD = r"[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -66,10 +69,14 @@ def marked_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), before + np.arange(len(starts))
 
 
-def word_counts(words: pa.Array, numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, hash and times of each text's distinct words, in lower case and without marks at the ends."""
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """Hashes of words in lower case and without marks at the ends."""
     plain = pc.utf8_trim(pc.utf8_lower(words), " \n.,;:!?")
-    hashed = pd.util.hash_array(plain.to_numpy(zero_copy_only=False), categorize=False)
+    return pd.util.hash_array(plain.to_numpy(zero_copy_only=False), categorize=False)
+
+
+def word_counts(hashed: np.ndarray, numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, hash and times of each text's distinct words."""
     same, value = pd.factorize(hashed)
     text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     pair, times = np.unique(text * len(value) + same[numbers], return_counts=True)
@@ -78,36 +85,77 @@ def word_counts(words: pa.Array, numbers: np.ndarray, starts: np.ndarray) -> tup
 
 @dataclass
 class Statistics:
-    """Of all documents: their number and bytes, words in a mean one, and how many have a word of each bin."""
+    """Of all documents: their number and bytes, words in a mean one, how many have a word of each bin, and the length of each cell."""
 
     n: int
     size: int
     mean: float
     df: np.ndarray
+    cells: np.ndarray
+    lengths: np.ndarray
 
     def idf(self, word: np.ndarray) -> np.ndarray:
         df = np.minimum(self.df[(word >> np.uint64(44)).astype(np.int64)], self.n)
         return np.log1p((self.n - df + 0.5) / (df + 0.5))
 
 
-def statistics(docs: DataFrame, text: str) -> Statistics:
+def word_bag(texts: pa.Array) -> Bag:
+    words, numbers, starts = marked_words(texts)
+    return Bag(word_hashes(words), numbers, starts)
+
+
+def lengths_of(texts: pa.Array) -> np.ndarray:
+    """Lengths on the line of cells: bytes, and so many more that neither bytes nor documents of a shard exceed twice their bound."""
+    return pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + SHARD_BYTES // SHARD_DOCUMENTS
+
+
+def fitted_tree(docs: DataFrame, key: str, text: str) -> Tree:
+    """A tree on documents with the least hashes of their keys, about SAMPLE of them and at most twice as many."""
+    share, least = F.pmod(F.xxhash64(key), F.lit(1 << 31)), (SAMPLE << 31) // max(docs.count(), SAMPLE)
+    some = docs.filter((share <= least) & (F.octet_length(text) <= SAMPLE_BYTES)).select(F.col(text).alias("t")).limit(2 * SAMPLE).toArrow()
+    return Tree(word_bag(pa.concat_arrays(some["t"].chunks)) if some.num_rows else Bag(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64)))
+
+
+def statistics(docs: DataFrame, text: str, tree: Tree | None = None) -> Statistics:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, length, size = np.zeros(DF_BINS, np.int64), 0, 0, 0
+        total, n, length, size = np.zeros(2 * DF_BINS, np.int64), 0, 0, 0
         for part in slices(batches, "t", 2 * SLICE_BYTES):
-            words, numbers, starts = marked_words(part.column("t"))
-            _, word, times = word_counts(words, numbers, starts)
-            total += np.bincount((word >> np.uint64(44)).astype(np.int64), minlength=DF_BINS)
+            bag = word_bag(part.column("t"))
+            _, word, times = word_counts(bag.hashes, bag.numbers, bag.starts)
+            total[:DF_BINS] += np.bincount((word >> np.uint64(44)).astype(np.int64), minlength=DF_BINS)
+            if tree:
+                np.add.at(total, DF_BINS + tree.cells(bag), lengths_of(part.column("t")))
             n, length, size = n + part.num_rows, length + int(times.sum()), size + (pc.sum(pc.binary_length(part.column("t"))).as_py() or 0)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2, -3])), pa.array(np.append(total[at], [n, length, size]))], ["bin", "n"])
 
     given = bounded_batches(docs).select(F.coalesce(F.col(text), F.lit("")).alias("t"))
-    got = given.mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # DF_BINS rows
+    got = given.mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).sort("bin").toArrow()  # 2 * DF_BINS rows
     at, found = got["bin"].to_numpy(), got["n"].to_numpy()
     n, length, size = (int(found[at == x].sum()) for x in (-1, -2, -3))
-    df = np.zeros(DF_BINS, np.float32)
-    df[at[at >= 0]] = found[at >= 0]
-    return Statistics(n, size, max(length / max(n, 1), 1.0), df)
+    df, words, cells = np.zeros(DF_BINS, np.float32), (at >= 0) & (at < DF_BINS), at >= DF_BINS
+    df[at[words]] = found[words]
+    return Statistics(n, size, max(length / max(n, 1), 1.0), df, at[cells] - DF_BINS, found[cells])
+
+
+def dealt(docs: DataFrame, key: str, text: str, tree: Tree, known: Statistics) -> DataFrame:
+    """Keys and texts (k, t) in a partition per shard, by cell, key and hash of the text."""
+    parts = max(parts_for(known.size, SHARD_BYTES), parts_for(known.n, SHARD_DOCUMENTS))
+    kind, cells, lengths, begins = docs.schema[key].dataType.simpleString(), known.cells, known.lengths, bounds(known.lengths)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "t", 2 * SLICE_BYTES):
+            cell = tree.cells(word_bag(part.column("t")))
+            at = np.searchsorted(cells, cell)
+            share = (part.column("u").to_numpy().view(np.uint64) >> np.uint64(11)) / float(1 << 53)
+            shard = ((begins[at] + share * lengths[at]) / begins[-1] * parts).astype(np.int32).clip(0, parts - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(cell), *(part.column(c) for c in "kht")], [*"pckht"])
+
+    clean = F.coalesce(F.col(text), F.lit(""))
+    given = bounded_batches(docs).select(F.col(key).alias("k"), F.xxhash64(clean).alias("h"), clean.alias("t")).withColumn("u", F.xxhash64("k", "h"))
+    made = given.mapInArrow(place, f"p int, c long, k {kind}, h long, t string")
+    # repeated keys are in order of their texts, so that a repeated task lays out the same
+    return made.repartitionById(parts, "p").sortWithinPartitions("c", "k", "h").select("k", "t")
 
 
 class ByteLevel:
@@ -188,7 +236,7 @@ class Shard:
 
     def add(self, keys: pa.Array, texts: pa.Array, encoder: ByteLevel) -> None:
         ids, counts, words, numbers, starts = encoder.encode(texts)
-        text, word, times = word_counts(words, numbers, starts)
+        text, word, times = word_counts(word_hashes(words), numbers, starts)
         self.words.append(((self.n + text).astype(np.int32), word, times.astype(np.float32)))
         self.keys.append(keys)
         self.ids.append(ids.astype(np.uint32))
@@ -289,9 +337,10 @@ def pieces(shard: Shard, order: list[int], window: int, at: int) -> dict[str, np
     return {"document": np.array(order)[document], "start": start, "length": right - left, "ids_crc32": np.array(crc, np.int64), "doc_tokens": lengths[document], "sequence": left // window, "offset": left % window, "source": source}
 
 
-def pack(docs: DataFrame, tokenizer_file: str, end_id: int, rank_file: str | None = None, key: str = "doc_id", text: str = "text", route: tuple[str, ...] = (), window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, end_id: int, rank_file: str | None = None, key: str = "doc_id", text: str = "text", window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids where asked for."""
-    kind, known = docs.schema[key].dataType.simpleString(), statistics(docs, text)
+    tree = fitted_tree(docs, key, text)
+    kind, known = docs.schema[key].dataType.simpleString(), statistics(docs, text, tree)
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,11 +370,5 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, rank_file: str | Non
         if shard.n:
             yield from flush()
 
-    clean = F.coalesce(F.col(text), F.lit(""))
-    sketch = F.xxhash64(F.array_max(F.split(clean, " ")))
-    # repeated keys are in order of their texts, so that a repeated task lays out the same
-    given = bounded_batches(docs).select(*(F.col(c).alias(f"r{i}") for i, c in enumerate(route)), sketch.alias("s"), F.col(key).alias("k"), F.xxhash64(clean).alias("h"), clean.alias("t"))
-    order = [*(f"r{i}" for i in range(len(route))), "s", "k", "h"]
-    dealt = given.repartitionByRange(max(parts_for(known.size, SHARD_BYTES), parts_for(known.n, SHARD_DOCUMENTS)), *order).sortWithinPartitions(*order).select("k", "t")
-    made = dealt.mapInArrow(run, f"k {kind}, " + ", ".join(f"{n} long" for n in names) + ", ids array<int>" * with_ids)
+    made = dealt(docs, key, text, tree, known).mapInArrow(run, f"k {kind}, " + ", ".join(f"{n} long" for n in names) + ", ids array<int>" * with_ids)
     return made.withColumnRenamed("k", key)

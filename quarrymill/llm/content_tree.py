@@ -1,0 +1,90 @@
+"""Cells of similar documents: a tree of splits over hashed TF-IDF vectors, and a min-hash within its leaves.
+
+The tree is fitted on a sample of at most SAMPLE documents of at most SAMPLE_BYTES each. A node parts its documents at the
+widest gap in the middle of their main direction, found by power iteration. A document's projection on it sends it left or right, so
+all of its words count, and an edit of one moves few documents. Leaves are numbered from left to right, so neighbouring numbers are
+similar too. Within a leaf, the least hash of a document's words is its finer place: near copies mostly share it.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+
+#: Documents that the tree is fitted on, and the bytes of the longest of them.
+SAMPLE, SAMPLE_BYTES = 4096, 1 << 14
+#: Coordinates of a document's vector, levels of the tree, and bits of the finer place: 2^20 cells.
+WIDTH, DEPTH, FINE = 1024, 10, 10
+#: Documents whose vectors are made at a time.
+AT_ONCE = 2048
+
+
+@dataclass
+class Bag:
+    """Words of some texts, end to end: hashes of distinct words, the number of each word in order, where each text begins."""
+
+    hashes: np.ndarray
+    numbers: np.ndarray
+    starts: np.ndarray
+
+    def vectors(self, weight: np.ndarray) -> np.ndarray:
+        """Sums of the words' weights by hashed coordinate and sign, of length 1 (or 0)."""
+        at = (self.hashes >> np.uint64(20)).astype(np.int64) % WIDTH
+        signed = np.where(self.hashes & np.uint64(1), weight, -weight)
+        n, first = len(self.starts) - 1, self.starts[0]
+        words = self.numbers[first : self.starts[-1]]
+        text = np.repeat(np.arange(n), np.diff(self.starts))
+        made = np.bincount(text * WIDTH + at[words], signed[words], n * WIDTH).reshape(n, WIDTH).astype(np.float32)
+        return made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-9)
+
+    def least(self) -> np.ndarray:
+        """The least mixed hash of each text's words. A text has one word at least."""
+        mixed = (self.hashes ^ (self.hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        first = self.starts[0]
+        return np.minimum.reduceat(mixed[self.numbers[first : self.starts[-1]]], self.starts[:-1] - first)
+
+
+class Tree:
+    """Directions and splits by node, the root being 1; weights by the top 20 bits of a word's hash."""
+
+    def __init__(self, bag: Bag):
+        n = len(bag.starts) - 1
+        pair = np.unique(np.repeat(np.arange(n), np.diff(bag.starts)) * len(bag.hashes) + bag.numbers)
+        df = np.bincount((bag.hashes >> np.uint64(44)).astype(np.int64)[pair % len(bag.hashes)], minlength=1 << 20)
+        # a word that one document has says nothing about groups
+        self.weight = np.where(df > 1, np.log((n + 1) / np.maximum(df, 1)), 0).astype(np.float32)
+        self.direction = np.zeros((1 << DEPTH, WIDTH), np.float32)
+        self.split = np.zeros(1 << DEPTH, np.float32)
+        self.fit(bag.vectors(self.of(bag.hashes)), 1)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return self.weight[(hashes >> np.uint64(44)).astype(np.int64)]
+
+    def fit(self, x: np.ndarray, node: int) -> None:
+        if node >> DEPTH or len(x) < 2:
+            return
+        centred = x - x.mean(axis=0)
+        far = centred[np.argmax((centred**2).sum(axis=1))]
+        for _ in range(12):
+            far = centred.T @ (centred @ far)
+            far = far / max(float(np.linalg.norm(far)), 1e-12)
+        place = x @ far
+        ordered = np.sort(place)
+        middle = ordered[int(len(x) * 0.3) : int(len(x) * 0.7) + 2]
+        gap = int(np.argmax(np.diff(middle)))
+        self.direction[node], self.split[node] = far, (middle[gap] + middle[gap + 1]) / 2
+        left = place <= self.split[node]
+        self.fit(x[left], 2 * node)
+        self.fit(x[~left], 2 * node + 1)
+
+    def cells(self, bag: Bag) -> np.ndarray:
+        """The cell of each text: its leaf, then its finer place."""
+        found, weight = [], self.of(bag.hashes)
+        for a in range(0, len(bag.starts) - 1, AT_ONCE):
+            part = Bag(bag.hashes, bag.numbers, bag.starts[a : a + AT_ONCE + 1])
+            x, node = part.vectors(weight), np.ones(len(part.starts) - 1, np.int64)
+            for _ in range(DEPTH):
+                node = 2 * node + (np.einsum("ij,ij->i", x, self.direction[node]) > self.split[node])
+            found.append(((node - (1 << DEPTH)) << FINE) | (part.least() >> np.uint64(64 - FINE)).astype(np.int64))
+        return np.concatenate(found) if found else np.zeros(0, np.int64)

@@ -46,7 +46,7 @@ def op2_jpeg_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.bm25_packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), 1, vocabulary_file("byte_bpe_50k.tiktoken"), route=("lang",))
+    return pack(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), 1, vocabulary_file("byte_bpe_50k.tiktoken"))
 
 
 def op4_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
