@@ -1,0 +1,83 @@
+"""Shards by content: near copies meet, hot groups are split, and what recall over the whole table is left."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from quarrymill.llm import bm25_packing
+from quarrymill.llm.content_tree import DEPTH, FINE, Tree
+
+SF = "/root/testdata/sf0.01"
+
+
+def shards(docs, parts, monkeypatch):
+    """The shard of each document, of so many."""
+    monkeypatch.setattr(bm25_packing, "SHARD_DOCUMENTS", -(-docs.count() // parts))
+    tree = bm25_packing.fitted_tree(docs, "doc_id", "text")
+    known = bm25_packing.statistics(docs, "text", tree)
+    rows = bm25_packing.dealt(docs, "doc_id", "text", tree, known).withColumn("p", F.spark_partition_id()).collect()
+    return {r.k: r.p for r in rows}
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_near_copies_meet(spark, texts, monkeypatch):
+    """A copy with another word in place of every fiftieth, and another last one in alphabetical order."""
+    rng, rows = random.Random(3), []
+    for key, text in texts.items():
+        words = text.split(" ")
+        if len(words) > 50:
+            edited = [w if rng.random() > 0.02 else rng.choice(words) for w in words]
+            rows += [(2 * key, text), (2 * key + 1, " ".join([*edited, "zzyzx"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts, least in ((10, 0.85), (50, 0.7)):
+        found = shards(docs, parts, monkeypatch)
+        assert len(found) == len(rows)
+        assert np.mean([found[k] == found[k + 1] for k, _ in rows[::2]]) > least
+
+
+def test_recall_over_the_whole_table(spark, texts, monkeypatch):
+    """Of the 8 best neighbours by exhaustive BM25, many more lie in a document's shard than by chance, yet not all."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    keys = sorted(texts)
+    shard, encoder = bm25_packing.Shard(), bm25_packing.ByteLevel(*_files())
+    shard.add(pa.array(keys), pa.array([texts[k] for k in keys]), encoder)
+    index = bm25_packing.Index(shard, bm25_packing.statistics(docs, "text"))
+    best = {i: index.neighbours(i, np.arange(len(keys)) == i)[:8] for i in range(0, len(keys), 7)}
+    for parts in (10, 50):
+        found = shards(docs, parts, monkeypatch)
+        recall = np.mean([found[keys[i]] == found[keys[j]] for i in best for j in best[i]])
+        print(f"{parts} shards: recall {recall:.2f}")
+        assert recall > 2.5 / parts
+
+
+def _files():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), 1, public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def test_hot_groups_are_split(spark, texts, monkeypatch):
+    """A third of all rows in one group of copies: shards stay near their mean size, and the rows are all there."""
+    some = list(texts.items())
+    rows = some + [(10**6 + i, some[0][1]) for i in range(len(some) // 2)]
+    found = shards(spark.createDataFrame(rows, "doc_id long, text string"), 20, monkeypatch)
+    sizes = np.bincount(list(found.values()), minlength=20)
+    assert len(found) == len(rows) and sizes.max() < 2 * sizes.mean()
+
+
+def test_cells_do_not_depend_on_the_batch():
+    rng = random.Random(5)
+    texts = ["", "x", *(" ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.randint(1, 80))) for _ in range(300))]
+    bag = bm25_packing.word_bag(pa.array(texts))
+    tree = Tree(bag)
+    cells = tree.cells(bag)
+    assert cells.min() >= 0 and cells.max() < 1 << (DEPTH + FINE)
+    again = np.concatenate([tree.cells(bm25_packing.word_bag(pa.array(texts[a : a + 7]))) for a in range(0, len(texts), 7)])
+    assert (cells == again).mean() > 0.99  # sums of floats in another order may move a document that lies on a split
