@@ -1,7 +1,7 @@
 """Packing by lexical retrieval: windows filled with a seed document and its nearest unused neighbours by BM25.
 
-Documents are dealt by range over shards of bounded size: first by the route columns, then by their last word in
-alphabetical order, so that near copies meet, then by key, so that a hot group is split. Document frequencies and the mean length are
+Documents are dealt by range over shards of bounded size: first by the route columns, then by how their last sentence in
+alphabetical order begins, so that near copies meet, then by key, so that a hot group is split. Document frequencies and the mean length are
 counted over all documents, by hashed word in DF_BINS bins. Each shard has one inverted index with BM25 weights. A document
 that is cut by a window's end, or else the next unused one, is the seed of the next window; all its words are looked up,
 and its unused neighbours, best first, fill the window; the last one is cut at the window's end and goes on in the next.
@@ -21,13 +21,14 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.shared import SLICE_BYTES, TASK_BYTES, bounded_batches, bounds, parts_for, ranges, slices
@@ -37,6 +38,8 @@ WINDOW = 2048
 #: BM25's constants, and the neighbours that one look-up gives; more follow on demand.
 K1, B, NEIGHBOURS = 1.2, 0.75, 64
 DF_BINS = 1 << 20
+#: Letters of the alphabetically last sentence that decide where a document goes.
+SKETCH = 12
 #: A word that more than one in FREQUENT documents of a shard has is a row of its matrix.
 FREQUENT = 8
 #: Bytes of text and documents in a shard, and a bound of memory: a range that can't be split further has several indexes
@@ -116,13 +119,9 @@ class ByteLevel:
     With a rank file of the same vocabulary, distinct words of common letters are encoded together, as one text.
     """
 
-    def __init__(self, file: str, end_id: int, rank_file: str | None = None):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.end_id, self.ranks = Tokenizer.from_file(file), end_id, None
-        special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.plain = f"^[ \\n][\\x00-\\x{{24f}}]*$", special
+    def __init__(self, file: str, end_id: int, rank_file: str | None = None, special: str | None = None):
+        self.file, self.end_id, self.ranks = file, end_id, None
+        self.plain = "^[\\x00-\\x{24f}]*$", self.special() if special is None else special
         if rank_file:
             import tiktoken
 
@@ -132,6 +131,18 @@ class ByteLevel:
             self.size = np.zeros(max(ranks.values()) + 1, np.int64)
             self.size[list(ranks.values())] = [len(r) for r in ranks]
 
+    @cached_property
+    def tokenizer(self):
+        """The library's; it is loaded when there is a text or word for it."""
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        return Tokenizer.from_file(self.file)
+
+    def special(self) -> str:
+        """A pattern of the vocabulary's special tokens."""
+        return "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+
     def of_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return flat_ids([x.ids for i in range(0, len(texts), 8192) for x in self.tokenizer.encode_batch_fast(texts[i : i + 8192], add_special_tokens=False)])
 
@@ -143,13 +154,16 @@ class ByteLevel:
         joined = pc.match_substring_regex(words, common)
         joined = pc.and_(joined, pc.invert(pc.match_substring_regex(words, special))) if special else joined
         fast, rest = words.filter(joined), words.filter(pc.invert(joined))
+        bare = pc.invert(pc.match_substring_regex(fast, "^[ \\n]"))  # first words: with a line end before them, an id of its own
+        fast, bare = pc.if_else(bare, pc.binary_join_element_wise("\n", fast, ""), fast), bare.to_numpy(zero_copy_only=False)
         one = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(fast)], pa.int32()), fast), "")[0].as_py()
-        some = self.ranks.encode_to_numpy(one) if one else np.zeros(0, np.uint32)
+        some = np.array(self.ranks.encode_ordinary(one), np.int64)  # encode_to_numpy looks for special tokens at every place
         ends = np.searchsorted(np.cumsum(self.size[some]), np.cumsum(pc.binary_length(fast).to_numpy(zero_copy_only=False)), side="right")
+        some, own = np.delete(some, (ends - np.diff(ends, prepend=0))[bare]), np.diff(ends, prepend=0) - bare
         other, sizes = self.of_texts(rest.to_pylist())
         mask = joined.to_numpy(zero_copy_only=False)
         counts = np.zeros(len(mask), np.int64)
-        counts[mask], counts[~mask] = np.diff(ends, prepend=0), sizes
+        counts[mask], counts[~mask] = own, sizes
         out = np.zeros(counts.sum(), np.uint32)
         out[np.repeat(mask, counts)], out[np.repeat(~mask, counts)] = some, other
         return out, counts
@@ -234,10 +248,11 @@ class Index:
 
     def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
         """The best NEIGHBOURS unused documents that share a word with the seed, by score and then by place."""
-        scores = np.add.reduce(self.matrix[self.rows[self.row_starts[seed] : self.row_starts[seed + 1]]], axis=0)
+        own = np.zeros(len(self.matrix), np.float32)
+        own[self.rows[self.row_starts[seed] : self.row_starts[seed + 1]]] = 1
         words = self.words[self.word_starts[seed] : self.word_starts[seed + 1]]
         at = ranges(self.starts[words], self.starts[words + 1] - self.starts[words])
-        scores = scores + np.bincount(self.documents[at], self.weights[at], len(self.live))
+        scores = own @ self.matrix + np.bincount(self.documents.take(at), self.weights.take(at), len(self.live))
         scores[used[self.live]] = 0
         found = np.flatnonzero(scores > 0)
         if len(found) > NEIGHBOURS:
@@ -289,13 +304,18 @@ def pieces(shard: Shard, order: list[int], window: int, at: int) -> dict[str, np
     return {"document": np.array(order)[document], "start": start, "length": right - left, "ids_crc32": np.array(crc, np.int64), "doc_tokens": lengths[document], "sequence": left // window, "offset": left % window, "source": source}
 
 
+def content_sketch(text: Column) -> Column:
+    """How the last sentence in alphabetical order begins: an edit elsewhere leaves it as it is."""
+    return F.substring(F.array_max(F.split(F.concat(F.lit(" "), text), r"\.")), 1, SKETCH)  # the first one, too, has a space before it
+
+
 def pack(docs: DataFrame, tokenizer_file: str, end_id: int, rank_file: str | None = None, key: str = "doc_id", text: str = "text", route: tuple[str, ...] = (), window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids where asked for."""
-    kind, known = docs.schema[key].dataType.simpleString(), statistics(docs, text)
+    kind, known, special = docs.schema[key].dataType.simpleString(), statistics(docs, text), ByteLevel(tokenizer_file, end_id).special()
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = ByteLevel(tokenizer_file, end_id, rank_file), TaskContext.get().partitionId(), 0
+        encoder, part, at = ByteLevel(tokenizer_file, end_id, rank_file, special), TaskContext.get().partitionId(), 0
         shard = Shard()
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -322,7 +342,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, rank_file: str | Non
             yield from flush()
 
     clean = F.coalesce(F.col(text), F.lit(""))
-    sketch = F.xxhash64(F.array_max(F.split(clean, " ")))
+    sketch = F.xxhash64(content_sketch(clean))
     # repeated keys are in order of their texts, so that a repeated task lays out the same
     given = bounded_batches(docs).select(*(F.col(c).alias(f"r{i}") for i, c in enumerate(route)), sketch.alias("s"), F.col(key).alias("k"), F.xxhash64(clean).alias("h"), clean.alias("t"))
     order = [*(f"r{i}" for i in range(len(route))), "s", "k", "h"]

@@ -125,6 +125,27 @@ def test_byte_level_words_equal_whole_texts():
             assert ids[a:b].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1], t
 
 
+def test_first_words_need_no_library():
+    texts = ["", "Abc d", "'s x", "12 y", "é", "\nq", "a<b c", ",", "ab,\nab, ab"]
+    encoder = bm25_packing.ByteLevel(BYTE, 1, public_tokenizers.path("byte_bpe_50k.tiktoken"), r"<\|endoftext\|>")
+    ids, counts, *_ = encoder.encode(pa.array(texts))
+    assert "tokenizer" not in vars(encoder)
+    tokenizer = Tokenizer.from_file(BYTE)
+    assert np.split(ids, np.cumsum(counts)[:-1])[2].tolist() == [*tokenizer.encode("'s x").ids, 1]
+    assert ids.tolist() == [i for t in texts for i in [*tokenizer.encode(t, add_special_tokens=False).ids, 1]]
+    assert encoder.encode(pa.array(["<|endoftext|>", "日 b"]))[0].tolist() == [i for t in ("<|endoftext|>", "日 b") for i in [*tokenizer.encode(t, add_special_tokens=False).ids, 1]]
+    assert bm25_packing.ByteLevel(BYTE, 1).special() == r"<\|endoftext\|>"
+
+
+def test_an_edit_elsewhere_keeps_the_sketch(spark):
+    """An added word moves the last word of a text, but its last sentence only if it stands there."""
+    text = "Some words. Where do they go? To a shard. Always. The same one."
+    texts = [text, text.replace("they", "they zz"), text.replace("The same", "The very same"), "An edit. " + text, text.replace("Where", "Zz where"), "", "日本語"]
+    made = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", bm25_packing.content_sketch(F.col("t")).alias("s"))
+    found = [r.s for r in made.orderBy("k").collect()]
+    assert found[0] == " Where do th" and set(found[:4]) == {found[0]} and found[4:] == [" Zz where do", " ", " 日本語"]
+
+
 def test_words_lie_in_the_texts_bytes():
     texts = ["x", "", "a b\n\nc ", " é\tä  日", "", "\n"]
     for given in (pa.array(texts), pa.array(["skip me", *texts, "z"]).slice(1, 6), pa.array(texts, pa.large_string())):
