@@ -2,8 +2,10 @@
 
 import os
 import struct
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quarrymill.sources import folders, ingest
@@ -65,6 +67,23 @@ def test_text_files_are_written_whole_or_not_at_all(spark, tmp_path):
     assert files_in(bad) == {} and not (tmp_path / "out.txt").exists()
 
 
+def test_a_task_that_outlives_an_abort_leaves_nothing(tmp_path, monkeypatch):
+    """The job is aborted while one of its tasks goes on with further files, in old and in new folders."""
+    monkeypatch.setattr(folders, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(taskAttemptId=lambda: 7)))
+    for later in ("p/b.txt", "q/r/b.txt"):
+        writer = folders.TextFileWriter({"path": str(tmp_path / "out")})
+
+        def rows(writer=writer, later=later):
+            yield Row(name="p/a.txt", text="a")
+            assert os.path.exists(f"{writer.staging}/7/p/a.txt")
+            writer.abort([])
+            yield Row(name=later, text="b")
+
+        with pytest.raises(OSError):
+            writer.write(rows())
+        assert os.listdir(tmp_path / "out") == []
+
+
 def test_a_repeated_attempt_leaves_one_file(tmp_path):
     """Two attempts of a task have written; Spark takes the second one's message."""
     writer = folders.TextFileWriter({"path": str(tmp_path)})
