@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.llm.shared import SLICE_BYTES, TASK_BYTES, bounded_batches, bounds, parts_for, ranges, slices, text_bytes
-from quarrymill.llm.word_codes import WordCodes, flat_ids, words_of
+from quarrymill.llm.word_codes import flat_ids, words_of
 from quarrymill.operators.tables import new_folder
 
 MAGIC = b"TIDPACK1"
@@ -96,26 +97,34 @@ class WordLevel:
     """Ids of texts under a lower-casing BPE that marks word ends and drops white space.
 
     The vocabulary's own pattern cuts a word of common letters into parts, each of which is merged alone; distinct
-    parts are encoded together as one text, and the ids that end a word show where each part's ids end. Other words
-    are parts of their own, and encoded one by one.
+    parts are encoded together as one text, by the library's merges without its normalisation and pattern, and the ids
+    that end a word show where each part's ids end. Other words are parts of their own, and encoded one by one.
     """
 
     #: Fixed with the vocabulary.
     PARTS = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
-    #: Characters that normalisation leaves alone and that have one lower-case character each.
+    #: Characters that normalisation leaves alone and that have one lower-case character each, also a common one.
     COMMON = r"^[\x21-\x7e\x{a1}-\x{12f}\x{131}-\x{17f}]*$"
-    TOGETHER = 4096
+    #: Of each character up to the last common one: 0 for a letter, 1 for a number, else -1.
+    KINDS = np.array(["LN".find(unicodedata.category(chr(c))[0]) for c in range(0x180)], np.int8)
+    #: Parts that are encoded as one text, and parts whose ids are kept from slice to slice.
+    TOGETHER, KEPT = 4096, 400_000
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(file)
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.codes = WordCodes(self.of_parts, most=400_000, at_once=1 << 16)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.ids, self.ends = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def common(self, words: pa.Array) -> pa.Array:
         known = pc.ascii_is_printable(words)
@@ -124,37 +133,75 @@ class WordLevel:
             known = pc.and_not(known, pc.match_substring(words, token))
         return known
 
+    def cut(self, words: pa.Array) -> pa.Array:
+        """Lower-case words of common characters, with a space between their parts: where kinds change, and at each number."""
+        mark = pc.match_substring(words, "'")  # may begin a part that goes on with a letter
+        plain = words.filter(pc.invert(mark))
+        _, offsets, held = plain.buffers()
+        starts = np.frombuffer(offsets, np.int32)[plain.offset : plain.offset + len(plain) + 1] if len(plain) else np.zeros(1, np.int32)
+        data = np.frombuffer(held, np.uint8)[starts[0] : starts[-1]] if held else np.zeros(0, np.uint8)
+        starts = starts - starts[0]
+        at = np.flatnonzero((data & 0xC0) != 0x80)  # characters begin there, with one byte or two
+        lead = data[at].astype(np.int32)
+        second = data[np.minimum(at + 1, len(data) - 1)]
+        kind = self.KINDS[np.where(lead < 0x80, lead, (lead & 0x1F) << 6 | (second & 0x3F))]
+        parted = np.append(False, (kind[1:] != kind[:-1]) | (kind[1:] == 1))[: len(at)]
+        parted[np.searchsorted(at, starts[:-1][np.diff(starts) > 0])] = False
+        spaces = at[parted]
+        ends = (starts + np.searchsorted(spaces, starts)).astype(np.int32)
+        done = pa.StringArray.from_buffers(len(plain), pa.py_buffer(ends), pa.py_buffer(np.insert(data, spaces, 32)))
+        by_pattern = pc.utf8_rtrim(pc.replace_substring_regex(words.filter(mark), self.PARTS, r"\1 "), " ")
+        return pc.replace_with_mask(pc.replace_with_mask(words, pc.invert(mark), done), mark, by_pattern)
+
     def one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return flat_ids([x.ids for i in range(0, len(words), 8192) for x in self.tokenizer.encode_batch_fast(words[i : i + 8192], add_special_tokens=False)])
 
-    def together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, np.uint32)
+    def together(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        one = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts), " ")[0].as_py()
+        ids = np.array(self.merges.encode_batch_fast([one], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.ends_word[ids])
-        return (ids, np.diff(ends, prepend=-1)) if len(ends) == len(parts) else self.one_by_one(parts)
+        return (ids, np.diff(ends, prepend=-1)) if len(ends) == len(parts) else self.one_by_one(parts.to_pylist())
 
-    def of_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        every = pa.array(parts, pa.string())
-        plain = pc.ascii_is_alpha(every)
-        other = every.filter(pc.invert(plain))
+    def of_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the parts, one part after the other, and how many each part has."""
+        plain = pc.ascii_is_alpha(parts)
+        other = parts.filter(pc.invert(plain))
         plain = pc.replace_with_mask(plain, pc.invert(plain), pc.and_(self.common(other), pc.greater(pc.binary_length(other), 0)))
-        own = every.filter(plain).to_pylist()
+        own = parts.filter(plain)
         coded = [self.together(own[i : i + self.TOGETHER]) for i in range(0, len(own), self.TOGETHER)]
-        coded.append(self.one_by_one(every.filter(pc.invert(plain)).to_pylist()))
+        coded.append(self.one_by_one(parts.filter(pc.invert(plain)).to_pylist()))
         flat, length = (np.concatenate(x) for x in zip(*coded, strict=True))
         mask = plain.to_numpy(zero_copy_only=False)
         place = np.empty(len(parts), np.int64)
         place[mask], place[~mask] = np.arange(len(own)), np.arange(len(own), len(parts))
         return flat[ranges((np.cumsum(length) - length)[place], length[place])], length[place]
 
+    def places(self, parts: pa.Array) -> np.ndarray:
+        """Where the ids of distinct parts are kept; those that are new to the task are encoded."""
+        if len(self.known) > self.KEPT:
+            self.forget()
+        found = pc.index_in(parts, value_set=self.known)
+        new = parts.filter(pc.is_null(found))
+        flat, length = self.of_parts(new)
+        place = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[place < 0] = np.arange(len(self.known), len(self.known) + len(new))
+        self.known = pa.concat_arrays([self.known, new])
+        self.ids, self.ends = np.concatenate([self.ids, flat]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(length)])
+        return place
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and where each text's ids begin (one more than texts)."""
         words, numbers, starts = words_of(pc.replace_substring(texts, "\n", " "))
         words = words.cast(pa.string())  # a slice is far below 2 GB
         other = pc.invert(pc.ascii_is_alpha(words))  # the rest is one part in any case
         mixed = words.filter(other)
-        cut = pc.utf8_rtrim(pc.replace_substring_regex(pc.utf8_lower(mixed), self.PARTS, r"\1 "), " ")
-        parts, part, at = words_of(pc.replace_with_mask(pc.ascii_lower(words), other, pc.if_else(self.common(mixed), cut, mixed)))
-        ids, ends = self.codes.ids_of(parts.to_pylist(), part, at)
+        common = self.common(mixed)
+        mixed = pc.replace_with_mask(mixed, common, self.cut(pc.utf8_lower(mixed.filter(common))))
+        parts, part, at = words_of(pc.replace_with_mask(pc.ascii_lower(words), other, mixed))
+        place = self.places(parts.cast(pa.string()))
+        first, length = self.ends[place], self.ends[place + 1] - self.ends[place]
+        counts = length[part]
+        ids, ends = self.ids[ranges(first[part], counts)], bounds(counts)[at]
         length = np.diff(ends)[numbers]
         return ids[ranges(ends[:-1][numbers], length)], bounds(length)[starts]
 

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -164,6 +165,29 @@ def test_word_level_parts_equal_whole_texts():
         assert ids[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_common_words_are_cut_like_the_pattern():
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(0x21, 0x180) if re.match("[\x21-\x7e\xa1-\u012f\u0131-\u017f]", chr(c))]
+    words = ["", *letters, "'s", "it's", ".'s", "'special", *("".join(rng.choices(letters + [*"abc'12."] * 12, k=rng.randint(1, 9))) for _ in range(4000))]
+    encoder = bit_packing.WordLevel(WORD)
+    for given in (pa.array(words), pa.array(["skip", *words]).slice(1), pa.array([""]), pa.array([], pa.string()), pa.array(["'s"])):
+        assert pc.all(encoder.common(given)).as_py() is not False
+        low = pc.utf8_lower(given)
+        assert encoder.cut(low).equals(pc.utf8_rtrim(pc.replace_substring_regex(low, encoder.PARTS, r"\1 "), " "))
+
+
+def test_common_words_need_only_merges():
+    """Neither the library's normalisation nor its pattern, which take most of its time; words are kept from call to call."""
+    tokenizer = Tokenizer.from_file(WORD)
+    texts = ["The End, isn't it? 12 ÄÖü½²", *(chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x130), *range(0x131, 0x180)]), "x" * 3000 + " The"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = bit_packing.WordLevel(WORD)
+    encoder.tokenizer, encoder.TOGETHER, encoder.KEPT = None, 7, 300
+    for part in (texts, texts[:1], texts[1:], texts):
+        ids, at = encoder.encode(pa.array(part))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want[texts.index(part[0]) :][: len(part)]
+
+
 def test_pieces_equal_whole_texts():
     rng = random.Random(3)
     parts = [*"ab the ing  ▁éñ\n\t日本😀ﬁ\u0301\x00xX.,", "the", "tion", " "]
