@@ -33,6 +33,17 @@ def test_pairs_equal_brute_force(spark, spread, threshold):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
 
 
+def at_cosines(*cosines):
+    """A vector and others at these cosines to it."""
+    return np.array([[1.0, 0.0], *([c, np.sqrt(1 - c * c)] for c in cosines)])
+
+
+def test_pairs_that_only_rounding_lifts_to_the_threshold(spark):
+    """Half a digit below the threshold is at it, as in the SQL, which rounds first."""
+    got = vectors.cosine_pairs(frame(spark, at_cosines(0.2999996, 0.2999994, 0.3), lambda i: 0), 0.3).filter("a = 0").collect()
+    assert sorted((r.b, r.similarity) for r in got) == [(1, 0.3), (3, 0.3)]
+
+
 def test_few_vectors_meet_where_they_lie_in_clusters(spark):
     n, block = 4000, 100
     x = clustered(n, 60, 0.05, 2)
