@@ -44,6 +44,12 @@ def test_pairs_that_only_rounding_lifts_to_the_threshold(spark):
     assert sorted((r.b, r.similarity) for r in got) == [(1, 0.3), (3, 0.3)]
 
 
+def test_neighbours_that_only_rounding_lifts_count_for_uniqueness(spark):
+    df = frame(spark, at_cosines(0.2999996), lambda i: 0)
+    got = vectors.uniqueness_redundancy(df, vectors.cosine_pairs(df, 0.3)).collect()
+    assert [(r.neighbours, r.uniqueness, r.redundancy) for r in got] == [(1, 0.7, 0.5)] * 2
+
+
 def test_few_vectors_meet_where_they_lie_in_clusters(spark):
     n, block = 4000, 100
     x = clustered(n, 60, 0.05, 2)
