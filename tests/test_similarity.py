@@ -124,6 +124,18 @@ def test_identities_equal_average_linkage(spark, n, block):
     assert all(r.cluster <= r.vec_id for r in got.collect())
 
 
+@pytest.mark.parametrize("few", [100, 16384])
+def test_identities_take_few_rounds_of_searches(spark, monkeypatch, few):
+    """The long tail of rounds with a merge or two runs in one task, over the clusters that are left of a space."""
+    searches = []
+    search = vectors.top_k
+    monkeypatch.setattr(vectors, "top_k", lambda *a, **k: searches.append(1) or search(*a, **k))
+    x = np.random.default_rng(11).normal(size=(240, 8))
+    got = groups(vectors.identity_clusters(frame(spark, x, lambda i: 0 if i < 40 else 1), 0.5, 64, **({"few": few} if few < 16384 else {})))
+    assert got == sorted(linkage(unit(x[:40]), 0.5) + [[i + 40 for i in g] for g in linkage(unit(x[40:]), 0.5)])
+    assert (1 if few < 200 else 0) <= len(searches) <= 4
+
+
 def test_identities_of_one_large_component(spark):
     """2,300 vectors that hang together in one component: no other method above a size."""
     rng = np.random.default_rng(6)
