@@ -212,3 +212,77 @@ def test_cosines_to_labels(spark):
     nothing = dict.fromkeys([(0, "c"), (1, "c"), (2, "a"), (2, "b"), (2, "c"), (3, "a"), (3, "b"), (4, "c")])
     assert got == {(0, "a"): 0.0, (0, "b"): 0.0, (1, "a"): 0.0, (1, "b"): 0.0, (3, "c"): 1.0, (4, "a"): 0.8, (4, "b"): 0.0} | nothing
     assert vectors.label_cosines(df, labels.limit(0), "tag").count() == vectors.label_cosines(df.limit(0), labels, "tag").count() == 0
+
+
+def scanned(s, threshold):
+    """node: (leader, similarity) by a scan in order over a matrix of similarities; those without neighbours are left out."""
+    leads, got = [], {}
+    for i in range(len(s)):
+        near = [j for j in leads if s[i, j] >= threshold]
+        if near:
+            got[i] = (near[0], s[i, near[0]])
+            got.setdefault(near[0], (near[0], 1.0))
+        else:
+            leads.append(i)
+    return got
+
+
+def tables_written(monkeypatch):
+    """Rows of the tables that operators write, by name."""
+    rows = {}
+
+    def written(df, name, keep=vectors.written):
+        out = keep(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(vectors, "written", written)
+    return rows
+
+
+def test_leaders_by_steps_equal_a_scan_and_make_few_pairs(spark, monkeypatch):
+    """Vectors that an earlier step's leaders lead are paired with nothing else."""
+    n = 700
+    x = np.random.default_rng(12).normal(size=(n, 6))
+    x[300:303] = x[0]
+    s = np.round(unit(x) @ unit(x).T, 6)
+    want = scanned(s, 0.3)
+    rows = tables_written(monkeypatch)
+    got = {r.node: (r.leader, r.similarity) for r in vectors.leader_clusters(frame(spark, x, lambda i: 0), 0.3, 64, 60).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in got)
+    assert rows["pairs"] < 0.1 * (np.triu(s, 1) >= 0.3).sum()
+
+
+@pytest.mark.parametrize(("least", "threshold"), [(2, 0.9), (12, 0.9)])
+def test_density_clusters_equal_brute_force_and_write_few_links(spark, monkeypatch, least, threshold):
+    x = clustered(500, 14, 0.45, 13, 6)
+    s = np.round(unit(x) @ unit(x).T, 6) >= threshold
+    s &= np.arange(500)[:, None] % 2 == np.arange(500)[None] % 2
+    np.fill_diagonal(s, False)
+    core = (s.sum(axis=1) >= 1) & (s.sum(axis=1) + 1 >= least)
+    label = np.arange(500)
+    while True:
+        lower = np.array([min([label[i], *label[s[i] & core]]) if core[i] else i for i in range(500)])
+        if (lower == label).all():
+            break
+        label = lower
+    want = {i: int(label[i]) if core[i] else min((int(label[j]) for j in np.flatnonzero(s[i] & core)), default=None) for i in range(500)}
+    rows = tables_written(monkeypatch)
+    got = {r.vec_id: r.cluster for r in vectors.identity_dbscan(frame(spark, x), 1 - threshold, least, 64).collect()}
+    assert got == want and len(set(want.values())) > 3
+    assert rows["links"] < (0.25 if least == 2 else 0.5) * s.sum()
+
+
+def test_leaves_are_shuffled_once_for_many_others(spark):
+    """Without anything to prune, each vector goes to a task for a group of leaves, not for each leaf."""
+    x = np.random.default_rng(14).normal(size=(2000, 16))
+    tree = grown(spaced(frame(spark, x, lambda i: 0)), 50)
+    leaves = tree.leaves.count()
+    moved = sides(tree, within_reach(tree, 2.0), 2.0).agg(F.sum("n")).first()[0]
+    assert leaves > 30 and moved < 0.4 * 2000 * leaves
+
+
+def test_leaders_by_similarities_that_only_rounding_lifts(spark):
+    got = vectors.leader_clusters(frame(spark, at_cosines(0.2999996, 0.2999994), lambda i: 0), 0.3).collect()
+    assert (1, 0, 0.3) in [(r.node, r.leader, r.similarity) for r in got]
