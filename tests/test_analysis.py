@@ -86,3 +86,12 @@ def test_agreement_within_projects(spark):
     faces = spark.createDataFrame([("p", 2, [1.0, 0.0]), ("p", 5, [0.0, 1.0]), ("p", 6, [1.0, 1.0]), ("q", 1, [1.0, 0.0])], "project_id string, position long, embedding array<double>")
     got = [tuple(r) for r in legacy_report.identity_agreement(faces).collect()]
     assert got == [("p", 0.3536, 0.0, 0.7071, 1)]
+
+
+def test_stages_that_compress_well_are_not_broadcast(spark):
+    """A stage's table is small as a file; its rows would all go through the driver."""
+    n = 800_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(0.5).alias("s"))
+    made = analyse(spark.range(n).withColumnRenamed("id", "doc_id"), "doc_id", [Stage("t", "s double", lambda _: rows)])
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.filter("s = 0.5 AND t_error IS NULL").count() == n
